@@ -60,7 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def word_count(text):
     """Words of a text column; null counts as empty."""
-    return F.expr(f"regexp_count(coalesce({text}, ''), '{WORD}')").cast("long") if isinstance(text, str) else F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    return F.expr(f"regexp_count(coalesce({text}, ''), r'{WORD}')").cast("long") if isinstance(text, str) else F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 # ---- Arrow batches as flat bytes -------------------------------------------------------------

@@ -30,7 +30,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     and neighbours with equal hash bits are compared word by word, so that equal hashes of different windows do not count.
     """
     t = "__text"
-    out = docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))).withColumn("__w", F.expr(f"regexp_extract_all({t}, '{WORD}', 0)"))
+    out = docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))).withColumn("__w", F.expr(f"regexp_extract_all({t}, r'{WORD}', 0)"))
     out = out.withColumn("n_words", F.size("__w").cast("long")).withColumn("word_chars", F.length(_without(t, WS_CHARS)).cast("long"))
     out = out.withColumn("n_symbols", (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long"))
     out = out.withColumn("__l", F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, WS_CHARS, "")) > 0)).withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
@@ -49,7 +49,7 @@ def _host_lines(docs: DataFrame) -> DataFrame:
     """A row for each line with a word: row key, host, position, hash of the normalised line, words."""
     lines = docs.select("doc_id", "th", "host", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("pos", "line"))
     norm = F.lower(F.trim(F.col("line"), F.lit(WS_CHARS)))
-    return lines.select("doc_id", "th", "host", "pos", F.xxhash64(norm).alias("line"), F.expr(f"regexp_count(line, '{WORD}')").alias("words")).filter("words > 0")
+    return lines.select("doc_id", "th", "host", "pos", F.xxhash64(norm).alias("line"), F.expr(f"regexp_count(line, r'{WORD}')").alias("words")).filter("words > 0")
 
 
 def line_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, most_sent: int = MOST_SENT) -> DataFrame:
