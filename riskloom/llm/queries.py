@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from riskloom.llm import line_dedup, mixing, rules
+from riskloom.llm import html_text, language, line_dedup, mixing, passages, quality_model, rules
 
 QUERIES = {
+    "op2_html_text": html_text.op2_html_text,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_quality_classifier": quality_model.op4_quality_classifier,
     "op5_quality_rules": rules.op5_quality_rules,
+    "op6_decontamination": passages.op6_decontamination,
+    "op7_language_id": language.op7_language_id,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
+_TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE = {
     "op3_mix_sources": f"""
@@ -27,6 +33,20 @@ e as (select *, epoch, (source_size * epoch + upto)::double / target as finish,
 b as (select *, sum(size) over (order by fits desc, finish, source nulls last, epoch, key, doc_id rows unbounded preceding) as total from e where size > 0)
 select q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0)::bigint as taken from q
 left join (select doc_id, sum(size) as taken from b where fits or total <= budget group by doc_id) t using (doc_id)""",
+    "op6_decontamination": f"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TOKEN}') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TOKEN}') as w from benchmark),
+bl as (select item_id, w, least(len(w), 10) as n from b where len(w) > 0),
+bw as (select item_id, n, unnest(range(1, len(w) - n + 2)) as i, w from bl),
+win as (select distinct item_id, n, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') as t from bw),
+lens as (select distinct n from win),
+dw as (select doc_id, lens.n, unnest(range(1, len(w) - lens.n + 2)) as i, w from d, lens where len(w) >= lens.n),
+occ as (select dw.doc_id, dw.i, dw.n, list_aggregate(w[i : i + dw.n - 1], 'string_agg', ' ') as t from dw),
+hit as (select occ.doc_id, occ.i, occ.n, win.item_id from occ join win on occ.n = win.n and occ.t = win.t),
+pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from hit)) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (doc_id) left join its using (doc_id)""",
     "op10_line_dedup": f"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
 k as (select *, translate(regexp_replace(regexp_replace(line, '^{_WS}+', ''), '{_WS}+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
