@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import html_text, language, line_dedup, mixing, passages, quality_model, rules
+from riskloom.llm import html_text, jaccard, language, line_dedup, mixing, passages, quality_model, rules
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_decontamination": passages.op6_decontamination,
     "op7_language_id": language.op7_language_id,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
@@ -47,6 +48,19 @@ pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(ra
 its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join pos using (doc_id) left join its using (doc_id)""",
+    "op9_jaccard_join": f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') as w from documents),
+sh as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [list_aggregate(w, 'string_agg', ' ')] else [list_aggregate(w[i : i + 4], 'string_agg', ' ') for i in range(1, len(w) - 3)] end)) as s from d),
+cls as (select min(doc_id) as rep, s, len(s) as n from sh where len(s) > 0 group by s),
+mem as (select sh.doc_id, cls.rep from sh join cls on sh.s = cls.s),
+inv as (select rep, n, unnest(s) as t from cls),
+common as (select t from inv group by t having count(*) > 1),
+inv2 as (select inv.* from inv join common using (t)),
+lk as (select a.rep as a, b.rep as b from inv2 a join inv2 b on a.t = b.t and a.rep <> b.rep group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (select rep as v, rep as u from cls union select r.v, lk.b from reach r join lk on r.u = lk.a),
+comp as (select v, min(u) as c from reach group by v)
+select sh.doc_id, len(sh.s)::bigint as n_shingles, coalesce(comp.c, sh.doc_id) as component_id
+from sh left join mem using (doc_id) left join comp on mem.rep = comp.v""",
     "op10_line_dedup": f"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
 k as (select *, translate(regexp_replace(regexp_replace(line, '^{_WS}+', ''), '{_WS}+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
