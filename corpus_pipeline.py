@@ -1,10 +1,68 @@
-"""Placeholder until all stages exist."""
+"""Corpus pipeline: quality classifier, line dedup, near duplicates, decontamination, mix to target weights.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All stages but the last return the columns of documents; the last returns the mix. Labels and benchmark
+items come from the tables beside documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskloom.llm.common import stored, table
+from riskloom.llm.jaccard import near_duplicates
+from riskloom.llm.line_dedup import drop_repeated_lines
+from riskloom.llm.mixing import mix_sources
+from riskloom.llm.passages import contamination
+from riskloom.llm.quality_model import classify_quality
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids of dropped documents up to this number are sent to every task; more are joined by shuffle.
+MOST_SENT = 1 << 20
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    ids = stored(ids.distinct())
+    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return classify_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).filter("predicted = 1").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one; a document may become empty."""
+    out = drop_repeated_lines(docs.select(*COLUMNS)).withColumn("text", F.col("kept_text"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    found = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
+    return _without(docs, found)
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", duplicates), ("benchmark decontamination", contaminated), ("mixing sources", mix)]
+
+#: The classifier's scores cannot be written in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs

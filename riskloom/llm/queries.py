@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskloom.llm import html_text, jaccard, language, line_dedup, mixing, passages, quality_model, rules
+from riskloom.llm import html_text, jaccard, language, line_dedup, mixing, passages, pii, quality_model, rules
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_html_text": html_text.op2_html_text,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_quality_classifier": quality_model.op4_quality_classifier,
