@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import html_text, jaccard, language, line_dedup, mixing, passages, pii, quality_model, rules
+from riskloom.llm import html_text, jaccard, language, line_dedup, mixing, passages, pii, quality_model, repeats, rules
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": rules.op5_quality_rules,
     "op6_decontamination": passages.op6_decontamination,
     "op7_language_id": language.op7_language_id,
+    "op8_repeated_passages": repeats.op8_repeated_passages,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
