@@ -11,6 +11,7 @@ from riskloom.functions import clean, fixed
 from riskloom.operators import detect, resolve, route, score, signals
 from riskloom.plans.adapters import Tables, oracle
 from riskloom.sources import tables as src
+from riskloom.streaming import replay, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -910,3 +911,36 @@ def o18_strike_off_spikes(t):
 def o19_alert_record(t):
     pen = score.contagion_penalty(score.peers(t.edge), score.weigh(_parts(t)).select("cin", "band"))
     return signals.alert_record(_digests(t), pen, signals.confidence_label(t.ev), t.company).withColumn("penalty", F.col("penalty").cast("long"))
+
+
+# ---- streams, replayed from the events table -------------------------------------------------
+
+
+def _stream(t):
+    return replay.file_stream(t.spark, t.dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("select distinct user_id, event_type from events")
+def n1_h3_deduplicated_stream(t):
+    return replay.drained(streams.deduplicated(_stream(t), ["user_id", "event_type"], delay="400 days").select("user_id", "event_type"))
+
+
+@query("select w as window_start, event_type, count(*)::bigint as n from (select time_bucket(interval 6 hours, ts) - k * interval 6 hours as w, event_type from events, range(0, 4) r(k)) group by 1, 2")
+def n6_rolling_counts_stream(t):
+    return replay.drained(streams.rolling_counts(_stream(t), ["event_type"], length="24 hours", step="6 hours"), "complete")
+
+
+@query(_SCORE + " select ev.id, ev.cin, cast(floor(score) as int) as health_score_after from ev join bd using (cin)")
+def n5_scored_batches(t):
+    """Each micro-batch scores the companies that it touches."""
+    spark, path = t.spark, replay.shared(t.spark)
+
+    def score_batch(batch: DataFrame, _: int) -> None:
+        touched = batch.select(F.col("user_id").alias("k")).distinct()
+        master = t.company.join(touched, "k", "left_semi")
+        scored = score.weigh(score.components(master, t.edge, t.legal, t.finance, t.ev, t.order_day))
+        ids = batch.select(F.col("event_id").alias("id"), F.col("user_id").alias("k")).join(t.company.select("k", "cin"), "k")
+        ids.join(scored.select("cin", F.col("score_stored").alias("health_score_after")), "cin").select("id", "cin", "health_score_after").write.mode("append").parquet(f"{path}/rows")
+
+    streams.scored_batches(_stream(t), f"{path}/state", score_batch).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows")
