@@ -43,3 +43,50 @@ def test_status_changes(events):
     got = drained(streams.status_changes(stream))
     assert got.filter("status = was").count() == 0
     assert got.count() == 27
+
+
+class _List:
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def clear(self):
+        self.rows = []
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.state = [], _List()
+
+    def getListState(self, name, schema):
+        return self.state
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Clock:
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def test_held_alerts():
+    import pandas as pd
+
+    p, h = streams.HeldAlerts(), _Handle()
+    p.init(h)
+    rows = pd.DataFrame({"event_id": [1, 2, 3], "severity": ["WATCH", "CRITICAL", "ALERT"]})
+    now = pd.concat(p.handleInputRows((7, "U1"), iter([rows]), _Clock()))
+    assert now.values.tolist() == [[7, "U1", 1, "CRITICAL"]]
+    assert h.timers == [1000 + 24 * 3_600_000, 1000 + 4 * 3_600_000]
+    due = pd.concat(p.handleExpiredTimer((7, "U1"), _Clock(), None))
+    assert due.values.tolist() == [[7, "U1", 2, "ALERT"]]
+    assert len(pd.concat(p.handleExpiredTimer((7, "U1"), _Clock(), None))) == 0
