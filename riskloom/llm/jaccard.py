@@ -73,6 +73,28 @@ def _set_hashes(owner: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray
     return size, out[0], out[1]
 
 
+def _sketches(owner: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parity bitmaps: each element flips one of 2 to 4 bits per element of its set (a power of two, 64 at least). Bits in
+    which two bitmaps differ are at most the elements in which the sets differ, so a larger number rules a pair out."""
+    words = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(size, 1) * 2 / 64)).astype(np.int64).clip(0))
+    begin = np.concatenate([[0], np.cumsum(words)])
+    spot = (mixed(h ^ np.uint64(0x5851F42D4C957F2D)) & (words[owner] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.zeros(begin[-1], np.uint64)
+    np.bitwise_xor.at(bits, begin[owner] + (spot >> 6), np.uint64(1) << (spot & 63).astype(np.uint64))
+    raw = bits.tobytes()
+    return [raw[a * 8 : b * 8] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def _apart(x: bytes, y: bytes, sizes: int) -> bool:
+    """Whether bitmaps (the larger folded to the smaller) differ in more bits than similar sets can differ in elements."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) > sizes // 9
+
+
 # ---- signatures ------------------------------------------------------------------------------
 
 
@@ -151,8 +173,9 @@ def signatures(owner: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.n
 
 def _describe(batches):
     for batch in pieces(batches, "text"):
-        size, h1, h2 = _set_hashes(*shingle_sets(batch.column("text")), batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(h1), pa.array(h2)], names=["doc_id", "n_shingles", "h", "h2"])
+        owner, h = shingle_sets(batch.column("text"))
+        size, h1, h2 = _set_hashes(owner, h, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(_sketches(owner, h, size), pa.binary())], names=["doc_id", "n_shingles", "h", "h2", "sketch"])
 
 
 def _sign(batches):
@@ -222,6 +245,13 @@ def _verify(batches):
             yield batch.select(["a", "b"]).take(pa.array(keep))
 
 
+def _close(batches):
+    for batch in batches:
+        keep = [i for i, (x, y, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "sizes")), strict=True)) if not _apart(x, y, n)]
+        if keep:
+            yield batch.select(["a", "b"]).take(pa.array(keep))
+
+
 def _block_links(pdf):
     """Links between a block's documents that lack a link to the main class (part 0) and another block's documents."""
     import pandas as pd
@@ -254,8 +284,8 @@ def _block_links(pdf):
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and two hashes of the set of each document; documents of equal sets have equal hashes."""
-    return docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, h long, h2 long")
+    """doc_id, n_shingles, two hashes and the sketch of the set of each document; equal sets have equal hashes."""
+    return docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, h long, h2 long, sketch binary")
 
 
 def links(docs: DataFrame, described: DataFrame, small: int = SMALL, most_sent: int = MOST_SENT) -> DataFrame:
@@ -275,15 +305,23 @@ def links(docs: DataFrame, described: DataFrame, small: int = SMALL, most_sent:
     # the buckets as they are without what was dropped
     n = kept.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(kept.join(n, "sig"))
-    sets = described.filter("n_shingles > 0").groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
-    wanted = buckets.select("h").distinct().join(sets, "h").select("h", "doc_id", "size")
-    wanted = stored(wanted)
-    few = wanted.limit(most_sent + 1).count() <= most_sent
-    items = stored(docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(wanted.select("doc_id", "h"), "doc_id").select("h", "text").mapInArrow(_with_sets, "h long, items binary") if not few else _texts(docs, wanted).mapInArrow(_with_sets, "h long, items binary"))
-    sized = wanted.select("h", "size")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").filter(f"{OF} * least(na, nb) >= {ABOVE} * greatest(na, nb)").select("a", "b")
+    sets = described.filter("n_shingles > 0").groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"))
+    sets = stored(sets.join(buckets.select("h").distinct(), "h", "left_semi"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Pairs that neither sizes nor sketches rule out."""
+        side = lambda x: sets.select(F.col("h").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{OF} * least(size_a, size_b) >= {ABOVE} * greatest(size_a, size_b)")
+        return stored(both.select("a", "b", "sketch_a", "sketch_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(_close, "a long, b long"))
+
+    def items_of(wanted: DataFrame) -> DataFrame:
+        """The sets of some hashes, from the text of one document each."""
+        wanted = stored(sets.select("h", "doc_id").join(wanted, "h", "left_semi"))
+        few = wanted.limit(most_sent + 1).count() <= most_sent
+        texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("h", "text")
+        return stored(texts.mapInArrow(_with_sets, "h long, items binary").dropDuplicates(["h"]))
+
+    def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
         full = pairs.join(items.toDF("a", "items_a"), "a").join(items.toDF("b", "items_b"), "b").select("a", "b", "items_a", "items_b")
         return full.mapInArrow(_verify, "a long, b long")
 
@@ -291,12 +329,15 @@ def links(docs: DataFrame, described: DataFrame, small: int = SMALL, most_sent:
     pairs = little.alias("x").join(little.alias("y"), F.expr("x.sig = y.sig and x.h < y.h")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
     large = buckets.filter(F.col("n") > small)
     if large.limit(1).count() == 0:
-        return stored(verified(pairs.distinct()))
+        near = close(pairs.distinct())
+        return stored(verified(near, items_of(near.select(F.col("a").alias("h")).union(near.select("b")).distinct())))
     # the most central set of a bucket: the one in most large buckets
     central = large.groupBy("h").agg(F.count("*").alias("times"))
     pivot = large.join(central, "h").groupBy("sig").agg(F.max_by("h", F.struct("times", "h")).alias("pivot"))
     stars = stored(large.join(pivot, "sig").select(F.col("h").alias("a"), F.col("pivot").alias("b")).filter("a <> b").distinct())
-    found = stored(verified(pairs.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()))
+    near = close(pairs.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    items = items_of(near.select(F.col("a").alias("h")).union(near.select("b")).union(large.select("h")).distinct())
+    found = stored(verified(near, items))
     groups = connected(stars).select(F.col("v").alias("h"), F.col("c").alias("g"))
     classes = connected(found).select(F.col("v").alias("h"), F.col("c").alias("own"))
     members = groups.join(classes, "h", "left").select("h", "g", F.coalesce("own", "h").alias("c"))
@@ -311,10 +352,6 @@ def links(docs: DataFrame, described: DataFrame, small: int = SMALL, most_sent:
     return stored(found.union(more))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id", "h")), "doc_id").dropDuplicates(["h"]).select("h", "text")
-
-
 def near_duplicates(docs: DataFrame, small: int = SMALL, most_sent: int = MOST_SENT) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
