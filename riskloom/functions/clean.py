@@ -189,9 +189,7 @@ IDENTIFIERS = {
 
 def extract_identifiers(docs: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
     """One row (key, id_type, value) for each distinct identifier of a text."""
-    found = []
-    for t, p in (patterns or IDENTIFIERS).items():
-        found.append(F.expr(f"transform(regexp_extract_all({text}, r'{p}', 1), v -> named_struct('id_type', '{t}', 'value', v))"))
+    found = [F.expr(f"transform(regexp_extract_all({text}, r'{p}', 1), v -> named_struct('id_type', '{t}', 'value', v))") for t, p in (patterns or IDENTIFIERS).items()]
     return docs.select(key, F.explode(F.array_distinct(F.concat(*found))).alias("f")).select(key, "f.id_type", "f.value")
 
 

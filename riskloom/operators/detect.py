@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import fixed
-from riskloom.functions.clean import as_json, col, money, parties, present, whole
+from riskloom.functions.clean import as_json, col, parties, present, whole
 
 EVENT = ["cin", "source", "event_type", "severity", "record_id"]
 

@@ -60,8 +60,7 @@ def centrality(edges: DataFrame, capital: DataFrame, keep, rounds: int = 10) ->
     v = a.select("cin").distinct().withColumn("x", F.lit(1.0))
     for i in range(rounds):
         d = a.join(v, "cin").groupBy("din").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
-        # half of the old value stays, so that the iteration settles on graphs of two sides too
-        nxt = a.join(d, "din").groupBy("cin").agg(F.sum("y").alias("z")).join(v, "cin").withColumn("z", F.col("z"))
+        nxt = a.join(d, "din").groupBy("cin").agg(F.sum("y").alias("z"))
         top = nxt.agg(F.max("z").alias("top"))
         v = nxt.crossJoin(F.broadcast(top)).select("cin", (F.col("z") / F.col("top")).alias("x"))
         if i % 2:

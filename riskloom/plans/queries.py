@@ -452,7 +452,6 @@ b as (select cur.*, was, ws, prev.id is not null as known from cur left join pre
 @query(_CHG + """ select cin, id as charge_id, 'CHARGE_EXCEEDS_CAPITAL' as event_type, 'CRITICAL' as severity from b where not known and amount > 100000000 union all select cin, id, 'CHARGE_CREATED', 'ALERT' from b where not known and amount between 10000000 and 100000000 union all select cin, id, 'CHARGE_MODIFIED', 'WATCH' from b where known and amount > was
 union all select cin, id, 'CHARGE_SATISFIED', 'INFO' from b where known and status = 'Satisfied' union all select cin, id, 'CHARGE_EXCEEDS_CAPITAL', 'CRITICAL' from b where known and amount > cap""")
 def j9_i14_charges(t):
-    cur = t.legal.select("cin", F.col("case_number").alias("charge_id"), (F.col("amount") * 200).alias("amount"), F.lit(30_000_000).alias("authorized_capital")).withColumn("status", F.when(F.col("amount") / 200 % 5 == 0, "Satisfied").otherwise("Open"))
     cur = t.legal.select("cin", F.col("case_number").alias("charge_id"), F.col("amount").alias("a"), (F.col("amount") * 200).alias("amount"), F.lit(30_000_000).alias("authorized_capital")).withColumn("status", F.when(F.col("a") % 5 == 0, "Satisfied").otherwise("Open"))
     prev = cur.filter("amount % 2 = 0").select("cin", "charge_id", (F.col("amount") - F.col("amount") % 3 * 100).alias("amount"), F.lit("Open").alias("status"))
     return detect.classify_charges(prev, cur)
