@@ -55,16 +55,14 @@ def working_capital(df: DataFrame, coefficients: DataFrame) -> DataFrame:
 
 def centrality(edges: DataFrame, capital: DataFrame, keep, rounds: int = 10) -> DataFrame:
     """Capital-weighted eigenvector centrality over shared directors: power iteration on company - director - company, which
-    never lists pairs of companies. keep: writes a table and reads it back; used every other round."""
+    never lists pairs of companies. keep: writes a round's table and reads it back."""
     a = active_edges(edges).join(capital.select("cin", F.col("capital").cast("double").alias("w")), "cin").filter("w > 0")
     v = a.select("cin").distinct().withColumn("x", F.lit(1.0))
-    for i in range(rounds):
+    for _ in range(rounds):
         d = a.join(v, "cin").groupBy("din").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
-        nxt = a.join(d, "din").groupBy("cin").agg(F.sum("y").alias("z"))
+        nxt = keep(a.join(d, "din").groupBy("cin").agg(F.sum("y").alias("z")))
         top = nxt.agg(F.max("z").alias("top"))
         v = nxt.crossJoin(F.broadcast(top)).select("cin", (F.col("z") / F.col("top")).alias("x"))
-        if i % 2:
-            v = keep(v)
     return v.select("cin", F.round("x", 6).alias("centrality"))
 
 
