@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import BASES, RangeHash, flat, pieces, stored, table
 
-LENGTH, K, BLOCK = 400, 32, 100
+LENGTH, K, BLOCK = 400, 120, 100
 WINDOW = LENGTH - K + 1
 #: Shards of a work unit, and bytes of text from which on a unit is closed (at the next anchor).
-SHARDS, UNIT = 2, 1 << 20
+SHARDS, UNIT = 2, 1 << 19
+#: A unit of more bytes (one anchor with very many different texts around it) is merged in pairs of parts of this size.
+PART = 1 << 21
 #: Anchors, or documents with repeats, up to this number are sent to every task; more are joined by shuffle.
 MOST_SENT = 1 << 20
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Low bits of a packed hash that hold a position; a text has at most so many bytes.
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -179,35 +181,71 @@ def _contexts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h[k[q]].view(np.int64)), pa.array(c[row[k[q]]]), pa.array(first[k[q]]), pa.array([raw[x:y] for x, y in zip(lo[q].tolist(), hi[q].tolist(), strict=True)], pa.binary())], names=["anchor", "c", "start", "context"])
 
 
+def _in_parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """repeated() in bounded memory: every two parts of the texts meet once."""
+    size = np.cumsum([len(t) for t in texts])
+    if size[-1] <= 2 * PART:
+        return repeated(texts)
+    cuts = [np.flatnonzero(size // PART == k) for k in range(int(size[-1] // PART) + 1)]
+    cuts = [c for c in cuts if len(c)]
+    found = []
+    for i in range(len(cuts)):
+        for j in range(i + 1, len(cuts)):
+            ids = np.concatenate([cuts[i], cuts[j]])
+            text, place = repeated([texts[x] for x in ids])
+            found.append(np.stack([ids[text], place], 1))
+    both = np.unique(np.concatenate(found), axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def _units(batches):
-    """Work units from rows sorted by anchor: spans (c, start, end) of repeated strings. A unit ends at a new anchor."""
-    held, size, last = [], 0, None
+    """Work units from rows sorted by anchor: spans (c, start, end) of repeated strings. A unit ends at a new anchor. Equal
+    texts around an anchor repeat each other as a whole and are merged once."""
+    held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    groups: dict[int, int] = {}
+    size, last = 0, None
 
     def done():
-        text, place = repeated([x[2] for x in held])
-        if not len(text):
-            return None
-        order = np.lexsort((place, text))
-        text, place = text[order], place[order]
-        new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)]))
-        end = np.concatenate([new[1:], [len(text)]]) - 1
-        c, start = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c[text[new]]), pa.array(start[text[new]] + place[new]), pa.array(start[text[end]] + place[end] + LENGTH)], names=["c", "start", "end"])
+        c, start, end = [], [], []
+        texts = list(held)
+        # an anchor with one text around it, however often, has nothing to merge
+        some = [i for i, (anchor, _) in enumerate(texts) if groups[anchor] > 1]
+        if some:
+            text, place = _in_parts([texts[i][1] for i in some])
+            order = np.lexsort((place, text))
+            text, place = text[order], place[order]
+            new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)])) if len(text) else np.zeros(0, np.int64)
+            stop = np.concatenate([new[1:], [len(text)]]) - 1 if len(text) else new
+            for i, x, y in zip(text[new].tolist(), place[new].tolist(), place[stop].tolist(), strict=True):
+                for doc, at in held[texts[some[i]]]:
+                    c.append(doc)
+                    start.append(at + x)
+                    end.append(at + y + LENGTH)
+        for (_, context), owners in held.items():
+            if len(owners) > 1:
+                for doc, at in owners:
+                    c.append(doc)
+                    start.append(at)
+                    end.append(at + len(context))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["c", "start", "end"])
 
     for batch in batches:
         for anchor, c, start, context in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if size >= UNIT and anchor != last:
-                out = done()
-                if out is not None:
-                    yield out
-                held, size = [], 0
-            held.append((c, start, context))
-            size += len(context)
+                yield done()
+                held.clear()
+                groups.clear()
+                size = 0
+            owners = held.get((anchor, context))
+            if owners is None:
+                held[anchor, context] = [(c, start)]
+                groups[anchor] = groups.get(anchor, 0) + 1
+                size += len(context)
+            else:
+                owners.append((c, start))
             last = anchor
     if held:
-        out = done()
-        if out is not None:
-            yield out
+        yield done()
 
 
 def _apply(batches):
@@ -237,7 +275,7 @@ def repeated_spans(docs: DataFrame, described: DataFrame, most_sent: int = MOST_
     """c, spans: for each text (by hash) the stretches of bytes that go, as an array of (start, end) which may overlap.
 
     Texts that several documents share go whole and give anchors once. Anchors of one corpus place are dropped by a sort
-    of (anchor, text, position) rows, about one for 185 bytes; only texts around the others are shuffled, by anchor.
+    of (anchor, text, position) rows, about one for 140 bytes; only texts around the others are shuffled, by anchor.
     """
     rows = docs.select("text").mapInArrow(_anchor_rows, "anchor long, c long, place long").distinct()
     rows = stored(rows)
