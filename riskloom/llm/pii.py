@@ -34,6 +34,7 @@ _VALID = {
 CONTEXT = 100
 #: A term: a letter and at least three more letters or digits.
 TERM = r"\p{L}[\p{L}\p{N}]{3,}+"
+_WORDS = f"regexp_extract_all(lower(coalesce(text, '')), r'{TERM}', 0)"
 #: A pair of value and word needs so many different contexts.
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.9
@@ -65,7 +66,7 @@ def _contexts(spans: DataFrame) -> DataFrame:
     """value (hash of kind and text), context (hash), term: each word near each value once."""
     near = spans.select(F.explode("near").alias("x")).select("x.value", "x.around")
     cut = F.expr(rf"regexp_replace(around, r'^[\p{{L}}\p{{N}}]+|[\p{{L}}\p{{N}}]+$', '')")
-    return near.withColumn("cut", cut).select("value", F.xxhash64("cut").alias("context"), F.explode(F.array_distinct(F.expr(f"transform(regexp_extract_all(cut, r'{TERM}', 0), w -> lower(w))"))).alias("term"))
+    return near.withColumn("cut", cut).select("value", F.xxhash64("cut").alias("context"), F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(cut), r'{TERM}', 0)"))).alias("term"))
 
 
 def revealing_terms(docs: DataFrame, spans: DataFrame, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE, most_sent: int = MOST_SENT) -> DataFrame | None:
@@ -82,8 +83,10 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, min_contexts: int = MIN_C
     values = spans.select(F.explode("near").alias("x")).select("x.value", "x.around").distinct().groupBy("value").agg(F.count("*").alias("n_e"))
     terms = pairs.select("term").distinct()
     few = terms.limit(most_sent + 1).count() <= most_sent
-    words = docs.select(F.explode(F.array_distinct(F.expr(f"transform(regexp_extract_all(coalesce(text, ''), r'{TERM}', 0), w -> lower(w))"))).alias("term"))
-    spread = words.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    words = docs.select(F.explode(F.array_distinct(F.expr(_WORDS))).alias("term"))
+    # counted before the join: a candidate may be a common word
+    counts = words.groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_contexts)
+    spread = counts.join(F.broadcast(terms) if few else terms, "term")
     ratio = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log(F.lit(float(n)) / F.col("n_e"))
     found = pairs.join(values, "value").join(spread, "term").filter(F.col("n_e") < n).withColumn("disclosure", F.least(ratio, F.lit(1.0)))
     return stored(found.filter(F.col("disclosure") >= disclosure).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
@@ -92,7 +95,7 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, min_contexts: int = MIN_C
 def _term_spans(docs: DataFrame, terms: DataFrame, most_sent: int) -> DataFrame:
     """doc_id, th, terms (s, e, v) of the documents that hold a revealing term."""
     few = terms.limit(most_sent + 1).count() <= most_sent
-    words = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.expr(f"transform(regexp_extract_all(coalesce(text, ''), r'{TERM}', 0), w -> lower(w))"))).alias("term"))
+    words = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.expr(_WORDS))).alias("term"))
     held = stored(words.join(F.broadcast(terms) if few else terms, "term").groupBy("doc_id", "th").agg(F.collect_set("term").alias("own")))
     few = held.limit(most_sent + 1).count() <= most_sent
     mine = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("d").join((F.broadcast(held) if few else held).alias("h"), F.expr("d.doc_id <=> h.doc_id and d.th = h.th")).select("d.doc_id", "d.th", F.col("d.text").alias("t"), "own").dropDuplicates(["doc_id", "th"])
