@@ -36,7 +36,7 @@ class Index:
         self.docs, self.window = docs.select("doc_id", "text"), window
         self.items = stored(items.select("item_id", tokens(F.col("text")).alias("words")).withColumn("n", F.size("words")).filter("n > 0").withColumn("len", F.least("n", F.lit(window))))
         size = self.items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        self.small = size * window <= most_sent * window
+        self.small, self.most_sent = size <= most_sent, most_sent
         side = self._side
         words = self.items.select("item_id", "n", "len", F.posexplode("words").alias("ipos", "term"))
         exploded = self.docs.select(F.explode(tokens(F.col("text"))).alias("term"))
@@ -69,7 +69,11 @@ class Index:
         their documents by doc_id; each window is then compared word by word."""
         found = stored(self.candidates())
         per = found.join(self._side(self.items.select("item_id", "words", "n", "len")), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "delta", "words", "n", "len")).alias("found"))
-        w = self.docs.join(per, "doc_id").withColumn("w", tokens(F.col("text"))).drop("text")
+        ids = found.select("doc_id").distinct()
+        few = ids.limit(self.most_sent + 1).count() <= self.most_sent
+        # only texts with candidates are shuffled
+        texts = self.docs.join(F.broadcast(ids), "doc_id", "left_semi") if few else self.docs
+        w = texts.join(per, "doc_id").withColumn("w", tokens(F.col("text"))).drop("text")
         w = w.withColumn("found", F.expr("""transform(found, f -> struct(f.item_id as item_id, f.delta as delta, f.len as len, f.n as n,
             array_join(transform(f.words, (x, j) -> if(f.delta + j >= 0 and f.delta + j < size(w), if(get(w, f.delta + j) = x, '1', '0'), '0')), '') as same))"""))
         w = w.withColumn("found", F.expr("transform(found, f -> struct(f.item_id as item_id, f.delta as delta, f.len as len, filter(sequence(0, f.n - f.len), s -> substring(f.same, s + 1, f.len) = repeat('1', f.len)) as starts))"))
@@ -91,7 +95,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
     a document repeat its result. Empty tables give an empty table or documents without hits. A null doc_id has no hits.
     """
     index = Index(docs, items, window, most_sent=most_sent)
-    found = index.phrases().filter(F.size("hits") > 0).dropDuplicates(["doc_id", "n_words", "hits"]).select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), "items")
+    # no filter on hits: Catalyst would push it below the words, which would then be cut out anew for each comparison
+    best = F.max(F.struct(F.size("hits").cast("long").alias("n_hit"), "items")).alias("b")
+    found = index.phrases().groupBy("doc_id", "n_words").agg(best).select("doc_id", "n_words", "b.n_hit", "b.items")
     counted = docs.select("doc_id", F.regexp_count(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(TOKEN)).cast("long").alias("n_words"))
     out = counted.join(found, ["doc_id", "n_words"], "left")
     none = F.array().cast("array<string>")
