@@ -271,6 +271,15 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(np.diff(at)), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], names=[*names, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, most_sent: int, how: str = "left_semi") -> DataFrame:
+    """The documents whose ids are wanted (or, with left_anti, the others). Up to most_sent ids go to every task, so that
+    only those documents' texts are shuffled afterwards; with more, left_semi leaves the choice to the join that follows."""
+    ids = wanted.select("doc_id").distinct()
+    if ids.limit(most_sent + 1).count() <= most_sent:
+        return docs.join(F.broadcast(ids), "doc_id", how)
+    return docs if how == "left_semi" else docs.join(ids, "doc_id", how)
+
+
 def repeated_spans(docs: DataFrame, described: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """c, spans: for each text (by hash) the stretches of bytes that go, as an array of (start, end) which may overlap.
 
@@ -280,12 +289,10 @@ def repeated_spans(docs: DataFrame, described: DataFrame, most_sent: int = MOST_
     rows = docs.select("text").mapInArrow(_anchor_rows, "anchor long, c long, place long").distinct()
     rows = stored(rows)
     again = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    wanted = rows.join(again, "anchor").groupBy("c").agg(F.collect_list("place").alias("places"), F.count("*").alias("k"))
+    wanted = rows.join(again, "anchor").groupBy("c").agg(F.collect_list("place").alias("places"))
     first = described.filter(F.col("n_bytes") >= LENGTH).groupBy("c", "c2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    wanted = stored(wanted.join(first, "c").select("doc_id", "c", "places", "k"))
-    few = (wanted.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]) <= most_sent
-    side = wanted.drop("k")
-    texts = docs.select("doc_id", "text").join(F.broadcast(side) if few else side, "doc_id").select("c", "places", "text")
+    wanted = stored(wanted.join(first, "c").select("doc_id", "c", "places"))
+    texts = _texts(docs.select("doc_id", "text"), wanted, most_sent).join(wanted, "doc_id").select("c", "places", "text")
     around = texts.mapInArrow(_contexts, "anchor long, c long, start long, context binary").repartition("anchor").sortWithinPartitions("anchor", "c", "start")
     parts = around.mapInArrow(_units, "c long, start long, `end` long").distinct()
     whole = first.join(described.select("c", "c2", "n_bytes").distinct(), ["c", "c2"]).filter("copies > 1").select("c", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
@@ -302,10 +309,13 @@ def remove_repeats(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "spans")
     described = stored(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_bytes long, c long, c2 long"))
     spans = stored(repeated_spans(docs, described, most_sent))
-    own = described.join(spans, "c").select("doc_id", "n_bytes", "spans").dropDuplicates(["doc_id", "n_bytes"])
-    few = own.limit(most_sent // 4 + 1).count() <= most_sent // 4
+    own = stored(described.join(spans, "c").select("doc_id", "n_bytes", "spans").dropDuplicates(["doc_id", "n_bytes"]))
     # rows that repeat a doc_id with texts of other lengths keep theirs
-    joined = docs.withColumn("__n", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("d").join((F.broadcast(own) if few else own).alias("o"), F.expr("d.doc_id = o.doc_id and d.__n = o.n_bytes"), "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], "spans")
+    mine = _texts(docs, own, most_sent).withColumn("__n", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("d")
+    mine = mine.join(own.alias("o"), F.expr("d.doc_id = o.doc_id and d.__n = o.n_bytes"), "left").filter("d.doc_id is not null").select(*[F.col(f"d.`{c}`") for c in docs.columns], "spans")
+    others = _texts(docs, own, most_sent, "left_anti").withColumn("spans", F.lit(None).cast("array<struct<start: bigint, end: bigint>>"))
+    few = own.select("doc_id").distinct().limit(most_sent + 1).count() <= most_sent
+    joined = mine.select(*docs.columns, "spans").unionByName(others.select(*docs.columns, "spans")) if few else mine.unionByName(docs.filter("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start: bigint, end: bigint>>")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"])
     return joined.mapInArrow(_apply, schema)
 
