@@ -278,8 +278,20 @@ def _block_links(pdf):
             both = more if at == 0 else both + more  # noqa: F821
         n = np.rint(both).astype(np.int64)
         ok = (OF * n >= ABOVE * (nx[:, None] + ny[None, :] - n)) & (x["h"].to_numpy()[:, None] != y["h"].to_numpy()[None, :]) & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :])
-        i, j = np.nonzero(ok)
-        found = list(zip(x["h"].to_numpy()[i].tolist(), y["h"].to_numpy()[j].tolist(), strict=True))
+        # links that join nothing new within the two blocks are left out
+        parent: dict[int, int] = {}
+
+        def root(c):
+            while c in parent:
+                c = parent[c]
+            return c
+
+        hx, hy, cx, cy = (df[k].tolist() for df, k in ((x, "h"), (y, "h"), (x, "c"), (y, "c")))
+        for i, j in zip(*(k.tolist() for k in np.nonzero(ok)), strict=True):
+            a, b = root(cx[i]), root(cy[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                found.append((hx[i], hy[j]))
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
