@@ -26,7 +26,7 @@ def _jaro_winkler(a: str, b: str) -> float:
     if not m:
         return 0.0
     second = [y for j, y in enumerate(b) if used[j]]
-    half = sum(x != y for x, y in zip(first, second, strict=True)) / 2
+    half = sum(x != y for x, y in zip(first, second, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - half) / m) / 3
     prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
     return jaro + prefix * 0.1 * (1 - jaro)

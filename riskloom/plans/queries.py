@@ -15,6 +15,7 @@ from riskloom.streaming import replay, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+_made: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def query(sql: str | None = None):
@@ -22,6 +23,7 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
             ORACLE[f.__name__] = oracle(sql)
+        _made[f.__name__] = f
         return f
 
     return add
@@ -215,8 +217,8 @@ def b28_age_months(t):
 
 
 def _name_pairs(t):
-    m = t.company.filter("k < 400").withColumn("company_name", F.concat(F.element_at(F.array(*map(F.lit, ["Apex", "Bharat", "Crystal", "Deccan", "Eastern", "Falcon", "Ganga"])), (F.col("k") % 7 + 1).cast("int")), F.lit(" "), F.element_at(F.array(*map(F.lit, ["Steel", "Textiles", "Chemical Works", "Motors", "Foods"])), (F.col("k") % 5 + 1).cast("int")), F.lit(" "), F.col("k").cast("string"), F.lit(" Pvt Ltd")))
-    q = m.filter("k % 5 = 1").select(F.col("k").alias("qid"), F.when(F.col("k") % 2 == 0, F.upper("company_name")).otherwise(F.regexp_replace("company_name", "e", "a")).alias("raw_name"), F.col("registered_state").alias("state"), F.col("industrial_class").alias("industry"), F.when(F.col("k") % 11 == 0, F.col("cin")).alias("cin"), F.when(F.col("k") % 13 == 0, F.col("pan")).alias("pan"))
+    m = t.cut(t.company, "k < 400").withColumn("company_name", F.concat(F.element_at(F.array(*map(F.lit, ["Apex", "Bharat", "Crystal", "Deccan", "Eastern", "Falcon", "Ganga"])), (F.col("k") % 7 + 1).cast("int")), F.lit(" "), F.element_at(F.array(*map(F.lit, ["Steel", "Textiles", "Chemical Works", "Motors", "Foods"])), (F.col("k") % 5 + 1).cast("int")), F.lit(" "), F.col("k").cast("string"), F.lit(" Pvt Ltd")))
+    q = t.cut(m, "k % 5 = 1").select(F.col("k").alias("qid"), F.when(F.col("k") % 2 == 0, F.upper("company_name")).otherwise(F.regexp_replace("company_name", "e", "a")).alias("raw_name"), F.col("registered_state").alias("state"), F.col("industrial_class").alias("industry"), F.when(F.col("k") % 11 == 0, F.col("cin")).alias("cin"), F.when(F.col("k") % 13 == 0, F.col("pan")).alias("pan"))
     return m, q
 
 
@@ -943,3 +945,21 @@ def n5_scored_batches(t):
 
     streams.scored_batches(_stream(t), f"{path}/state", score_batch).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/rows")
+
+
+# ---- the same over the whole input -----------------------------------------------------------
+
+
+def _whole(name: str, *cuts: str) -> None:
+    """Registers `<name>_whole`: a query whose SQL cuts its input, without the cut. Its SQL is the other's less the cuts."""
+    f = _made[name]
+    QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Tables(spark, sf_dir, whole=True))
+    if name in ORACLE:
+        text = ORACLE[name]
+        for cut in cuts:
+            text = text.replace(cut, "")
+        ORACLE[f"{name}_whole"] = text
+
+
+for _name in ("e1_e3_similarity_join", "e3_candidates_in_state", "e2_jaro_winkler", "e4_resolve_strict", "e5_resolve_light", "e6_ambiguous"):
+    _whole(_name, " where k < 400", " where k % 5 = 1")
