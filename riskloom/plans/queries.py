@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import clean, fixed
 from riskloom.operators import detect, resolve, route, score, signals
-from riskloom.plans.adapters import Tables, oracle
+from riskloom.plans.adapters import CUT_LEGAL, Tables, oracle
 from riskloom.sources import tables as src
 from riskloom.streaming import replay, streams
 
@@ -83,14 +83,14 @@ def a5_cells_to_records(t):
 
 @query("select event_id as id, cast(json_extract_string(props, '$.k') as string) as din, concat('D', cast(user_id as string)) as name from events where event_id % 5 = 0")
 def a6_json_records(t):
-    e = t.base("events").filter("event_id % 5 = 0")
+    e = t.cut(t.base("events"), "event_id % 5 = 0")
     doc = F.concat(F.lit('{"result": {"page": 1, "directors": [{"dinNumber": "'), F.get_json_object("props", "$.k"), F.lit('", "directorName": "D'), F.col("user_id").cast("string"), F.lit('"}]}}'))
     return src.json_records(e.select(F.col("event_id").alias("id"), doc.alias("doc")), "id", "doc", {"din": ["din", "din_number"], "name": ["director_name", "name"]}).select("id", "din", "name")
 
 
 @query("select event_id as id, json_extract_string(props, '$.k') as value from events where event_id % 5 = 1")
 def a7_json_deep_value(t):
-    e = t.base("events").filter("event_id % 5 = 1").select(F.col("event_id").alias("id"), F.concat(F.lit('{"a": {"taxpayerStatus": '), F.get_json_object("props", "$.k"), F.lit('}, "z": 1}')).alias("doc"))
+    e = t.cut(t.base("events"), "event_id % 5 = 1").select(F.col("event_id").alias("id"), F.concat(F.lit('{"a": {"taxpayerStatus": '), F.get_json_object("props", "$.k"), F.lit('}, "z": 1}')).alias("doc"))
     return src.json_deep_value(e, "id", "doc", ["taxpayer", "status"])
 
 
@@ -483,7 +483,7 @@ def j11_bulk_deals(t):
 select case when k % 4 = 0 then b else concat('X', b) end as borrower, case when k % 4 = 0 then concat('U', lpad(cast(k % 100000 as string), 5, '0'), 'MH2015PTC', lpad(cast(k as string), 6, '0')) end as cin, case when k % 4 = 0 then 'WILFUL_DEFAULT_COMPANY' else 'UNMAPPED' end as event_type, case when k % 4 = 0 then 'CRITICAL' else 'INFO' end as severity from r
 union all select case when k % 4 = 0 then b else concat('X', b) end, dl.cin, 'WILFUL_DEFAULT_DIRECTOR', 'ALERT' from r join dl on dl.director_name = r.dn""")
 def j12_wilful_defaulters(t):
-    r = t.base("customer").filter("c_custkey % 2 = 0").select(F.expr("case when c_custkey % 4 = 0 then c_name else concat('X', c_name) end").alias("borrower"), F.concat(F.lit("DIRECTOR "), (F.col("c_custkey") % 900).cast("string")).alias("director_name"))
+    r = t.cut(t.base("customer"), "c_custkey % 2 = 0").select(F.expr("case when c_custkey % 4 = 0 then c_name else concat('X', c_name) end").alias("borrower"), F.concat(F.lit("DIRECTOR "), (F.col("c_custkey") % 900).cast("string")).alias("director_name"))
     return detect.defaulter_rows(r, r.limit(0), t.company, t.edge.select("director_name", "cin").distinct())
 
 
@@ -963,3 +963,11 @@ def _whole(name: str, *cuts: str) -> None:
 
 for _name in ("e1_e3_similarity_join", "e3_candidates_in_state", "e2_jaro_winkler", "e4_resolve_strict", "e5_resolve_light", "e6_ambiguous"):
     _whole(_name, " where k < 400", " where k % 5 = 1")
+
+_whole("a6_json_records", " where event_id % 5 = 0")
+_whole("a7_json_deep_value", " where event_id % 5 = 1")
+_whole("j12_wilful_defaulters", " where c_custkey % 2 = 0")
+for _name in """a10_upsert_legal_events b24_b29_case_labels d9_d10_case_pivot f9_multiple_lenders j8_security_interests j9_i14_charges k1_k5_components k6_health_score
+    k7_c6_contagion_penalty k8_propagate_contagion k9_apply_scores k12_d5_sector_clusters k14_company_profile n5_scored_batches o1_legal_velocity o4_sector_stress o11_contagious_directors
+    o18_strike_off_spikes o19_alert_record""".split():
+    _whole(_name, CUT_LEGAL)

@@ -7,7 +7,8 @@ import pytest
 from riskloom.functions import clean
 from riskloom.operators import resolve
 from riskloom.plans.adapters import Tables
-from riskloom.plans.queries import QUERIES, _name_pairs
+from riskloom.plans.queries import ORACLE, QUERIES, _name_pairs
+from tests.compare import same
 
 SF = "/root/testdata/sf0.01"
 
@@ -47,3 +48,20 @@ def test_similarity_join_against_all_pairs(spark):
 def test_odd_transpositions_round_down():
     """Three letters out of order are one transposition, as in the SQL (found by matching every name)."""
     assert round(resolve._jaro_winkler("abcdefgh", "abdecfgh"), 6) == 0.966667
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_every_order_event_and_customer_is_read(spark):
+    n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "events", "customer")}
+    rows = lambda name: QUERIES[name](spark, SF)
+    assert rows("a10_upsert_legal_events_whole").count() == n["orders"]
+    assert rows("a6_json_records_whole").count() == rows("a7_json_deep_value_whole").count() == n["events"]
+    assert rows("j12_wilful_defaulters_whole").select("borrower").distinct().count() == n["customer"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["k6_health_score_whole", "f9_multiple_lenders_whole", "j12_wilful_defaulters_whole"])
+def test_whole_inputs_against_sql(spark, name):
+    """The SQL is the cut query's, less the cut."""
+    assert "o_orderkey % 10 = 0" not in ORACLE[name] and "c_custkey % 2 = 0)" not in ORACLE[name]
+    same(QUERIES[name](spark, SF), ORACLE[name], SF)
