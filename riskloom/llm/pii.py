@@ -1,9 +1,10 @@
 """Operator 1: personal data, with information-theoretic sanitisation. DataFrame functions only.
 
 Base spans come from four patterns. Besides, words that stand near a protected value (a base span) in the corpus are
-weighed: with n_e and n_t the documents of the value and of the word, and n_et the contexts they share, the disclosure is
-the pointwise mutual information log(N n_et / (n_e n_t)) as a share of the value's information log(N / n_e). It is 1 for a
-word that is only found with the value. Words above the threshold are spans of the kind `term` wherever they occur.
+weighed: with n_e the value's contexts, n_et those that hold the word, n_t these and the other texts of the word, and N the
+value's contexts and the texts without it, the disclosure is the pointwise mutual information log(N n_et / (n_e n_t)) as a
+share of the value's information log(N / n_e). It is 1 for a word that is only found with the value. Equal contexts and
+equal texts count once in all four. Words above the threshold are spans of the kind `term` wherever they occur.
 """
 
 from __future__ import annotations
@@ -63,32 +64,52 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(spans: DataFrame) -> DataFrame:
-    """value (hash of kind and text), context (hash), term: each word near each value once."""
-    near = spans.select(F.explode("near").alias("x")).select("x.value", "x.around")
+    """value (hash of kind and text), context (hash), th (hash of the whole text), terms: a row for each value's place."""
+    near = spans.select("th", F.explode("near").alias("x")).select("th", "x.value", "x.around")
     cut = F.expr(rf"regexp_replace(around, r'^[\p{{L}}\p{{N}}]+|[\p{{L}}\p{{N}}]+$', '')")
-    return near.withColumn("cut", cut).select("value", F.xxhash64("cut").alias("context"), F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(cut), r'{TERM}', 0)"))).alias("term"))
+    return near.withColumn("cut", cut).select("value", F.xxhash64("cut").alias("context"), "th", F.array_distinct(F.expr(f"regexp_extract_all(lower(cut), r'{TERM}', 0)")).alias("terms"))
+
+
+def _distinct_texts(docs: DataFrame, most_sent: int) -> tuple[DataFrame, int]:
+    """Each text once (th, text), and their number. Only texts that have copies are shuffled, while their hashes are few."""
+    texts = docs.select(F.xxhash64("text").alias("th"), "text")
+    sizes = stored(texts.groupBy("th").agg(F.count("*").alias("copies")))
+    again = sizes.filter("copies > 1").select("th")
+    if again.limit(most_sent + 1).count() > most_sent:
+        return texts.dropDuplicates(["th"]), sizes.count()
+    once = texts.join(F.broadcast(again), "th", "left_anti")
+    return once.unionByName(texts.join(F.broadcast(again), "th", "left_semi").dropDuplicates(["th"])), sizes.count()
 
 
 def revealing_terms(docs: DataFrame, spans: DataFrame, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE, most_sent: int = MOST_SENT) -> DataFrame | None:
     """term, disclosure of the words that reveal a value; None if no value has enough contexts with any word.
 
-    Equal contexts (of copies) count once. A word's documents are counted over the whole corpus, but only for words that
-    share enough contexts with a value; counts are summed before each shuffle.
+    Equal contexts and equal texts (copies) count once. A word's texts are counted over the whole corpus; those in which it
+    stands near the value are represented by its contexts there, so that a passage in many texts hides no word. Counts are
+    summed before each shuffle.
     """
-    rows = _contexts(spans).distinct()
-    pairs = stored(rows.groupBy("value", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_contexts))
+    near = _contexts(spans)
+    rows = near.select("value", "context", "th", F.explode("terms").alias("term"))
+    shared = rows.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count("*").alias("n_et"))
+    pairs = stored(shared.filter(F.col("n_et") >= min_contexts))
     if pairs.limit(1).count() == 0:
         return None
-    n = docs.count()
-    values = spans.select(F.explode("near").alias("x")).select("x.value", "x.around").distinct().groupBy("value").agg(F.count("*").alias("n_e"))
+    texts, n = _distinct_texts(docs, most_sent)
+    # n_e contexts in d_e texts
+    values = near.select("value", "context").distinct().groupBy("value").agg(F.count("*").alias("n_e")).join(near.select("value", "th").distinct().groupBy("value").agg(F.count("*").alias("d_e")), "value")
     terms = pairs.select("term").distinct()
     few = terms.limit(most_sent + 1).count() <= most_sent
-    words = docs.select(F.explode(F.array_distinct(F.expr(_WORDS))).alias("term"))
+    # d_et: the texts behind n_et
+    wanted = rows.select("value", "term", "th").join(F.broadcast(terms) if few else terms, "term", "left_semi").distinct()
+    behind = wanted.groupBy("value", "term").agg(F.count("*").alias("d_et"))
+    words = texts.select(F.explode(F.array_distinct(F.expr(_WORDS))).alias("term"))
     # counted before the join: a candidate may be a common word
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_contexts)
+    counts = words.groupBy("term").agg(F.count("*").alias("d_t"))
     spread = counts.join(F.broadcast(terms) if few else terms, "term")
-    ratio = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    found = pairs.join(values, "value").join(spread, "term").filter(F.col("n_e") < n).withColumn("disclosure", F.least(ratio, F.lit(1.0)))
+    found = pairs.join(behind, ["value", "term"]).join(values, "value").join(spread, "term")
+    found = found.withColumn("n", (F.lit(n) - F.col("d_e") + F.col("n_e")).cast("double")).withColumn("n_t", F.greatest(F.col("d_t") - F.col("d_et"), F.lit(0)) + F.col("n_et")).filter("n_e < n")
+    ratio = F.log(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_e"))
+    found = found.withColumn("disclosure", F.least(ratio, F.lit(1.0)))
     return stored(found.filter(F.col("disclosure") >= disclosure).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
 
 
