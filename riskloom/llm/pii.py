@@ -31,7 +31,7 @@ _VALID = {
     "card": "length(translate(m.v, ' -', '')) between 12 and 19 and aggregate(sequence(1, length(translate(m.v, ' -', ''))), 0, (a, i) -> a + element_at(array(0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 0, 2, 4, 6, 8, 1, 3, 5, 7, 9), cast(substring(reverse(translate(m.v, ' -', '')), i, 1) as int) + if(i % 2 = 0, 10, 0) + 1)) % 10 = 0",
     "phone": "length(regexp_replace(m.v, '[^0-9]', '')) between 9 and 15",
 }
-#: Characters of context on each side of a value; the words cut off at its ends do not count.
+#: Characters of context on each side of a value; words that its ends cut in two do not count.
 CONTEXT = 100
 #: A term: a letter and at least three more letters or digits.
 TERM = r"\p{L}[\p{L}\p{N}]{3,}+"
@@ -66,8 +66,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def _contexts(spans: DataFrame) -> DataFrame:
     """value (hash of kind and text), context (hash), th (hash of the whole text), terms: a row for each value's place."""
     near = spans.select("th", F.explode("near").alias("x")).select("th", "x.value", "x.around")
-    cut = F.expr(rf"regexp_replace(around, r'^[\p{{L}}\p{{N}}]+|[\p{{L}}\p{{N}}]+$', '')")
-    return near.withColumn("cut", cut).select("value", F.xxhash64("cut").alias("context"), "th", F.array_distinct(F.expr(f"regexp_extract_all(lower(cut), r'{TERM}', 0)")).alias("terms"))
+    return near.select("value", F.xxhash64("around").alias("context"), "th", F.array_distinct(F.expr(f"regexp_extract_all(lower(around), r'{TERM}', 0)")).alias("terms"))
 
 
 def _distinct_texts(docs: DataFrame, most_sent: int) -> tuple[DataFrame, int]:
@@ -133,7 +132,10 @@ def find_personal_data(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, disclo
     """
     docs = docs.select("doc_id", "text")
     spans = base_spans(docs)
-    around = f"named_struct('value', xxhash64(b.k, lower(b.v)), 'around', concat(substring(t, greatest(b.s - {CONTEXT}, 0) + 1, least(b.s, {CONTEXT})), ' # ', substring(t, b.e + 1, {CONTEXT})))"
+    # with the character outside of the window goes the word that it belongs to, if any
+    before = rf"if(b.s > {CONTEXT}, regexp_replace(substring(t, b.s - {CONTEXT}, {CONTEXT + 1}), r'(?s)^(?:[\p{{L}}\p{{N}}]+|.)', ''), substring(t, 1, b.s))"
+    after = rf"if(length(substring(t, b.e + 1, {CONTEXT + 1})) > {CONTEXT}, regexp_replace(substring(t, b.e + 1, {CONTEXT + 1}), r'(?s)(?:[\p{{L}}\p{{N}}]+|.)\z', ''), substring(t, b.e + 1, {CONTEXT}))"
+    around = f"named_struct('value', xxhash64(b.k, lower(b.v)), 'around', concat({before}, ' # ', {after}))"
     spans = stored(spans.withColumn("near", F.expr(f"transform(base, b -> {around})")).select("doc_id", F.xxhash64("text").alias("th"), "base", "near"))
     terms = revealing_terms(docs, spans, min_contexts, disclosure, most_sent)
     if terms is None or terms.limit(1).count() == 0:

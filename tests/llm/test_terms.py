@@ -30,3 +30,15 @@ def test_texts_are_counted_once_by_either_way(spark):
     for most in (0, 100):
         texts, n = pii._distinct_texts(t, most)
         assert n == 4 and sorted(map(repr, (r.text for r in texts.collect()))) == sorted(map(repr, ["a", "b", None, ""]))
+
+
+def test_whole_words_at_the_edges(spark):
+    """Names at the start and end of texts, right at the window's edge, and one that the edge cuts in two."""
+    rows = [(i, f"Kowalski, a@x.example.com {i}") for i in range(4)]
+    rows += [(10 + i, f"{i} b@x.example.com heronblue") for i in range(4)]
+    rows += [(20 + i, f"{i}{'.' * 100} edgeword {'=' * 91}c@x.example.com {i}") for i in range(4)]
+    rows += [(30 + i, f"{i}{'.' * 100} cutword {'=' * 93}d@x.example.com {i}") for i in range(4)]
+    rows += [(40 + i, f"{i} e@x.example.com {'=' * 91}lastword. {i}{'.' * 100}") for i in range(4)]
+    rows += [(50 + i, f"{i} f@x.example.com {'=' * 92}cuttails. {i}{'.' * 100}") for i in range(4)]
+    found = _terms(spark, rows + OTHERS)
+    assert (found[0], found[10], found[20], found[30], found[40], found[50]) == (["Kowalski"], ["heronblue"], ["edgeword"], [], ["lastword"], [])
