@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.common import pieces, table
 
-#: Lines summed by a window, and the sum at which a page without an article element surges.
+#: Lines summed by a window, and the sum at which text outside of an article element surges.
 WINDOW, SURGE = 3, 86
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|template|noscript|iframe|object|textarea|select|svg|math|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
@@ -91,19 +91,37 @@ def lines_of(html: str) -> list[tuple[str, bool]]:
 
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """Sums the lengths of `window` lines from each line on. Text starts where a sum surges above the limit and ends at
-    the dive, where a sum is zero. With an article in the page the lines outside of it count as empty and any text in it
-    is a surge; without one the sums have to reach `surge` code points somewhere between two dives."""
+    """Sums the lengths of `window` lines from each line on, over all lines that are not marked. Text starts where a sum
+    surges and ends at the dive, where a sum is zero, or where an article or main element starts or ends. The sums have to
+    reach `surge` code points somewhere between; inside of an article any text is enough, and where a page has nothing of
+    either kind its highest sum is the surge."""
     lines = lines_of(html or "")
-    if any(inside for _, inside in lines):
-        lines, surge = [(t if inside else "", inside) for t, inside in lines], 1
-    size = [len(t) for t, _ in lines]
+    return "\n\n".join(_parts(lines, window, surge) or _parts(lines, window, _highest(lines, window)))
+
+
+def _highest(lines: list[tuple[str, bool]], window: int) -> int:
+    return max((sum(len(t) for t, _ in lines[i : i + window]) for i in range(len(lines))), default=0)
+
+
+def _parts(lines: list[tuple[str, bool]], window: int, surge: int) -> list[str]:
+    kept, begin = [], 0
+    while begin < len(lines):
+        inside, end = lines[begin][1], begin
+        while end < len(lines) and lines[end][1] == inside:
+            end += 1
+        kept += _surges([t for t, _ in lines[begin:end]], window, 1 if inside else surge)
+        begin = end
+    return kept
+
+
+def _surges(lines: list[str], window: int, surge: int) -> list[str]:
+    size = [len(t) for t in lines]
     total, sums = sum(size[:window]), []
     for i in range(len(size)):
         sums.append(total)
         total += (size[i + window] if i + window < len(size) else 0) - size[i]
     kept, run, high = [], [], 0
-    for i, (text, _) in enumerate(lines):
+    for i, text in enumerate(lines):
         if sums[i] == 0:  # dive
             kept += run if high >= surge else []
             run, high = [], 0
@@ -111,8 +129,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             high = max(high, sums[i])
             if text:
                 run.append(text)
-    kept += run if high >= surge else []
-    return "\n\n".join(kept)
+    return kept + (run if high >= surge else [])
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
