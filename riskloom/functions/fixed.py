@@ -89,6 +89,14 @@ TEXT_RULES = {
     "pollution": ([("closure", "CPCB_CLOSURE_ORDER", "CRITICAL"), ("revoked", "CTO_REVOKED", "CRITICAL")], ("POLLUTION_NOTICE", "WATCH")),
     "insolvency_board": ([("liquidation", "LIQUIDATION", "CRITICAL"), ("(liq", "LIQUIDATION", "CRITICAL"), ("resolution plan", "RESOLUTION PLAN", "ALERT"), ("cp(ib)", "CIRP", "CRITICAL"), ("ib-", "CIRP", "CRITICAL"), ("cirp", "CIRP", "CRITICAL")], ("OTHER", "ALERT")),
 }
+#: rules of the batch specs, for columns that hold an order type, a disclosure or a list's kind
+BATCH_RULES = {
+    "regulator_order_type": ([("debar", "SEBI_DEBARMENT", "CRITICAL"), ("investigation", "SEBI_INVESTIGATION", "WATCH"), ("director", "SEBI_DIRECTOR_ACTION", "ALERT"), ("penalty", "SEBI_PENALTY", "ALERT"), ("settlement", "SEBI_SETTLEMENT", "WATCH")], ("SEBI_FINAL_ORDER", "ALERT")),
+    "promoter_disclosure": ([("pledge", "SEBI_PLEDGE_CREATED", "WATCH")], (None, None)),
+    "vat_backfill": ([], ("VAT_HISTORICAL_DEFAULT", "WATCH")),
+}
+#: commercial suits fire only above this claim, in rupees
+SUIT_CLAIM = 10_000_000
 #: status transitions: source: ordered (previous statuses or None for any known, new status, event type, severity)
 TRANSITIONS = {
     "gst": [(None, "cancelled", "GST_CANCELLED", "CRITICAL"), (None, "suspended", "GST_SUSPENDED", "ALERT"), (["cancelled", "suspended"], "active", "GST_RESTORED", "INFO")],
@@ -112,6 +120,13 @@ COMPOSITES = {
     "CONTAGION_BAD_ACTOR": ("ALERT", 0, [["WILFUL_DEFAULT_DIRECTOR"]]),
     "PROMOTER_EXIT_BANK_SEIZURE": ("CRITICAL", 90, [["SEBI_BULK_DEAL_PROMOTER_SELL"], ["SARFAESI_DEMAND", "SARFAESI_POSSESSION"]]),
     "FUNDED_GROWTH": ("INFO", 180, [["CAPITAL_INCREASE"], ["EPFO_HIRING_SURGE"], ["GEM_ORDER_WON"]]),
+    # only in the matrix of the documents, which gives no window; the director of a red company is o11_contagious_directors
+    "UNSTABLE_GROWTH": ("WATCH", 180, [["CAPITAL_INCREASE"], ["DIRECTOR_RESIGNED", "CFO_RESIGNED"]]),
+    "NEW_MSME_SELLER": ("INFO", 180, [["NEW_COMPANY"], ["UDYAM_NEW"], ["GEM_NEW_SELLER"]]),
+    "HEALTHY_TRADER": ("INFO", 180, [["IEC_NEW"], ["GST_RESTORED"], ["EPFO_HIRING_SURGE"]]),
+    "MAJOR_EXPANSION": ("INFO", 180, [["CCI_MERGER_APPROVED"], ["CAPITAL_INCREASE"]]),
+    "PROJECT_GREENLIGHTED": ("INFO", 180, [["EC_GRANTED", "MOEF_CLEARANCE"], ["CPPP_TENDER_EVENT"]]),
+    "WORKFORCE_REDUCTION": ("ALERT", 180, [["LABOUR_MASS_RETRENCHMENT"], ["EPFO_CONTRIBUTION_DROP"]]),
 }
 #: emitted event types that stand for the names in the composite rules
 EVENT_ALIASES = {"AGM_OVERDUE": "FILING_DECAY", "SEC138_FILED": "ECOURTS_SEC138", "SEC138_MULTIPLE": "ECOURTS_SEC138", "CIVIL_SUIT_FILED": "ECOURTS_CIVIL", "SARFAESI_DEMAND_NOTICE": "SARFAESI_DEMAND", "SARFAESI_POSSESSION_TAKEN": "SARFAESI_POSSESSION", "HIRING_FREEZE_SIGNAL": "GEM_HIRING_FREEZE"}

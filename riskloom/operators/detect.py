@@ -161,6 +161,17 @@ def classify_text(records: DataFrame, kind: str, text: str, keep: list[str]) ->
     return records.select(*keep, first_match(text, *fixed.TEXT_RULES[kind]).alias("hit")).select(*keep, "hit.event_type", "hit.severity")
 
 
+def classify_batch(records: DataFrame, kind: str, text: str, keep: list[str]) -> DataFrame:
+    """Order types, disclosures and backfilled lists by the rules of the batch specs; rows that no rule names are dropped."""
+    return records.select(*keep, first_match(text, *fixed.BATCH_RULES[kind]).alias("hit")).select(*keep, "hit.event_type", "hit.severity").filter("event_type is not null")
+
+
+def classify_suits(records: DataFrame, text: str, claim: str, keep: list[str]) -> DataFrame:
+    """High-court texts; a commercial suit counts only above the least claim, a null claim does not reach it."""
+    hit = classify_text(records, "high_court", text, [*dict.fromkeys([*keep, claim])])
+    return hit.filter((F.col("event_type") != "HIGH_COURT_COMMERCIAL_SUIT") | (F.coalesce(F.col(claim), F.lit(0)) > fixed.SUIT_CLAIM)).select(*keep, "event_type", "severity")
+
+
 def classify_charges(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Charges by (cin, charge_id): created, above capital, raised, satisfied; amounts in whole rupees."""
     p = previous.select("cin", "charge_id", F.col("amount").alias("was"), F.col("status").alias("was_status"), F.lit(True).alias("known"))
