@@ -137,7 +137,8 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """64-bit hashes of any byte ranges of one buffer, by prefix sums of a polynomial modulo 2**64."""
+    """64-bit hashes of any byte ranges of one buffer, by prefix sums of a polynomial modulo 2**64. Fast, but ranges of many
+    hundred bytes can be made to collide for every base; where equal hashes have to mean equal bytes, PrimeHash decides."""
 
     def __init__(self, data: np.ndarray, base: int = BASES[0]):
         up, self.down = _power(base, len(data) + 1)
@@ -146,3 +147,44 @@ class RangeHash:
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
+#: The two largest primes below 2**31, each with a base.
+PRIMES = ((2147483647, 1580030173), (2147483629, 1271343253))
+_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _prime_power(p: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    have = _prime_powers.get(p)
+    if have is None or len(have[0]) < n:
+        out = []
+        for b in (base, pow(base, -1, p)):
+            x = np.ones(1, np.uint64)
+            while len(x) < max(n, 1 << 16):
+                x = np.concatenate([x, x * np.uint64(pow(b, len(x), p)) % np.uint64(p)])
+            out.append(x)
+        have = _prime_powers[p] = (out[0], out[1])
+    return have
+
+
+class PrimeHash:
+    """62-bit hashes of any byte ranges of one buffer, by prefix sums of polynomials modulo two primes: of another kind than
+    RangeHash, so that both together are 126 bits."""
+
+    STEP = 1 << 24  # so many terms below 2**39 add up to less than 2**64
+
+    def __init__(self, data: np.ndarray):
+        self.sums, self.down = [], []
+        for p, base in PRIMES:
+            up, down = _prime_power(p, base, len(data) + 1)
+            sums, carry = np.zeros(len(data) + 1, np.uint64), np.uint64(0)
+            for at in range(0, len(data), self.STEP):
+                part = np.cumsum((data[at : at + self.STEP].astype(np.uint64) + np.uint64(1)) * up[at : min(at + self.STEP, len(data))])
+                sums[at + 1 : at + 1 + len(part)] = (part + carry) % np.uint64(p)
+                carry = sums[at + len(part)]
+            self.sums.append(sums)
+            self.down.append(down)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = ((s[end] + np.uint64(p) - s[start]) % np.uint64(p) * d[start] % np.uint64(p) for (p, _), s, d in zip(PRIMES, self.sums, self.down, strict=True))
+        return mixed((a << np.uint64(31) | b) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

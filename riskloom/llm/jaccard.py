@@ -8,6 +8,7 @@ the contents of segments (and, for threshold 1, all contents with one element de
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import BASES, RangeHash, flat, is_space, lowered, mixed, pieces, stored, table
+from riskloom.llm.common import BASES, PrimeHash, RangeHash, flat, is_space, lowered, mixed, pieces, stored, table
 from riskloom.llm.components import connected
 from riskloom.llm.statistics import _bounds
 
@@ -27,14 +28,17 @@ SMALL = 16
 #: Documents of a block when the members of large buckets are compared.
 BLOCK = 256
 #: Ids of candidate documents up to this number go to every task; more are joined by shuffle.
-MOST_SENT = 1 << 20
+MOST_SENT = 1 << 19
+#: Rows of a signature and task that go the way of all rows; further ones are known to be shared and are salted.
+HOT = 32
 
 
 # ---- sets ------------------------------------------------------------------------------------
 
 
-def shingle_sets(column, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 64-bit hash of each distinct k-word shingle, sorted by both. A text of fewer words, but not none, has one."""
+def shingle_sets(column, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and two hashes (of different kinds, 126 bits) of each distinct k-word shingle, sorted by row and first hash. A
+    text of fewer words, but not none, has one shingle."""
     data, at = flat(column)
     rows = len(at) - 1
     space = is_space(data)
@@ -49,28 +53,37 @@ def shingle_sets(column, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     row = np.searchsorted(at, start, side="right") - 1
     words = np.bincount(row, minlength=rows) if len(row) else np.zeros(rows, np.int64)
     first = np.concatenate([[0], np.cumsum(words)])[:-1]
-    hashes = RangeHash(low)
     last = np.arange(len(start)) + k - 1
     full = np.flatnonzero((last < len(start)) & (row == row[np.minimum(last, len(start) - 1)])) if len(start) else np.zeros(0, np.int64)
     short = np.flatnonzero((words > 0) & (words < k))
     owner = np.concatenate([row[full], short])
-    h = np.concatenate([hashes(start[full], end[full + k - 1]), hashes(start[first[short]], end[first[short] + words[short] - 1])])
+    begin, stop = np.concatenate([start[full], start[first[short]]]), np.concatenate([end[full + k - 1], end[first[short] + words[short] - 1]])
+    h, g = RangeHash(low)(begin, stop), PrimeHash(low)(begin, stop)
     order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
-    return owner[new], h[new]
+    same = (owner[order][1:] == owner[order][:-1]) & (h[order][1:] == h[order][:-1])
+    if (same & (g[order][1:] != g[order][:-1])).any():  # different shingles with equal first hashes
+        order = np.lexsort((g, h, owner))
+        same = (owner[order][1:] == owner[order][:-1]) & (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
+    new = np.concatenate([np.ones(min(1, len(h)), bool), ~same])
+    return owner[order][new], h[order][new], g[order][new]
 
 
-def _set_hashes(owner: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size and two hashes of each row's set."""
-    size = np.bincount(owner, minlength=rows) if len(owner) else np.zeros(rows, np.int64)
-    out = []
-    for base in BASES:
-        total = np.zeros(rows, np.uint64)
-        np.add.at(total, owner, mixed(h ^ np.uint64(base)))
-        out.append(mixed(total + size.astype(np.uint64)).view(np.int64))
-    return size, out[0], out[1]
+def _sizes(owner: np.ndarray, rows: int) -> np.ndarray:
+    return np.bincount(owner, minlength=rows) if len(owner) else np.zeros(rows, np.int64)
+
+
+def _set_names(owner: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each row's set, for signatures: sets of equal names may differ, so ids() decides."""
+    total = np.zeros(len(size), np.uint64)
+    np.add.at(total, owner, mixed(h ^ np.uint64(BASES[0])))
+    return mixed(total + size.astype(np.uint64)).view(np.int64)
+
+
+def _set_ids(owner: np.ndarray, h: np.ndarray, g: np.ndarray, rows: int) -> list[bytes]:
+    """128-bit digest of each row's set, from both hashes of all its elements."""
+    cut = np.searchsorted(owner, np.arange(rows + 1)).tolist()
+    both = np.stack([h, g], 1).tobytes()
+    return [hashlib.blake2b(both[16 * a : 16 * b], digest_size=16).digest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _sketches(owner: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -173,16 +186,18 @@ def signatures(owner: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.n
 
 def _describe(batches):
     for batch in pieces(batches, "text"):
-        owner, h = shingle_sets(batch.column("text"))
-        size, h1, h2 = _set_hashes(owner, h, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(_sketches(owner, h, size), pa.binary())], names=["doc_id", "n_shingles", "h", "h2", "sketch"])
+        owner, h, g = shingle_sets(batch.column("text"))
+        size = _sizes(owner, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(size.astype(np.int64)), pa.array(_set_names(owner, h, size)), pa.array(_set_ids(owner, h, g, batch.num_rows), pa.binary()), pa.array(_sketches(owner, h, size), pa.binary())], names=["doc_id", "th", "n_shingles", "h", "id", "sketch"])
 
 
 def _sign(batches):
     seen: set[int] = set()  # sets of this task; equal ones sign once
+    hot = np.zeros(0, np.uint64)
     for batch in pieces(batches, "text"):
-        owner, h = shingle_sets(batch.column("text"))
-        size, name, _ = _set_hashes(owner, h, batch.num_rows)
+        owner, h, _ = shingle_sets(batch.column("text"))
+        size = _sizes(owner, batch.num_rows)
+        name = _set_names(owner, h, size)
         fresh = np.zeros(batch.num_rows, bool)
         for i, x in enumerate(name.tolist()):
             if x not in seen:
@@ -190,56 +205,84 @@ def _sign(batches):
                 fresh[i] = True
         use = fresh[owner]
         row, sig, spare = signatures(owner[use], h[use], np.where(fresh, size, 0))
-        if len(row):
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(name[row]), pa.array(np.minimum(spare, 32767).astype(np.int16))], names=["sig", "h", "spare"])
+        if not len(row):
+            continue
+        # a signature of more than HOT sets is known to be shared: HOT rows of it go the way of all rows, the others (and
+        # those of this task's later texts) are dealt to `salt` 1 and above, so that no task gets them all
+        order = np.argsort(sig, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], sig[order][1:] != sig[order][:-1]]))
+        count = np.diff(np.concatenate([first, [len(sig)]]))
+        nth = np.empty(len(sig), np.int64)
+        nth[order] = np.arange(len(sig)) - np.repeat(first, count)
+        beyond = np.isin(sig, hot) if len(hot) else np.zeros(len(sig), bool)
+        hot = np.union1d(hot, sig[order][first[count > HOT]])
+        salt = np.where(beyond | (nth >= HOT), 1 + (name[row].view(np.uint64) >> np.uint64(50)).astype(np.int64), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(salt.astype(np.int16)), pa.array(name[row]), pa.array(np.minimum(spare, 32767).astype(np.int16))], names=["sig", "salt", "h", "spare"])
 
 
 def _shared(batches):
-    """From rows sorted by signature and set: those of signatures that more than one set has, with their number of sets.
-    Held at a time: one batch and the run that it ends with."""
-    rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)]
-
-    def out(sig, h, spare):
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (h[1:] != h[:-1])
-        sig, h, spare = sig[new], h[new], spare[new]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-        n = np.repeat(np.diff(np.concatenate([first, [len(sig)]])), np.diff(np.concatenate([first, [len(sig)]])))
-        k = n > 1
-        return pa.RecordBatch.from_arrays([pa.array(sig[k]), pa.array(h[k]), pa.array(spare[k]), pa.array(n[k].astype(np.int64))], names=["sig", "h", "spare", "n"])
+    """From rows sorted by signature, salt and set: those of signatures that more than one set has, each once. A row waits
+    until the next one tells whether it is alone; rows with a salt are of shared signatures anyway."""
+    last = None  # sig, salt, h, spare of the row before, and whether it is out already
+
+    def out(cols, pick):
+        return pa.RecordBatch.from_arrays([pa.array(cols[k][pick]) for k in (0, 2, 3)], names=["sig", "h", "spare"])
 
     for batch in batches:
-        cols = [np.concatenate([r, np.asarray(c)]) for r, c in zip(rest, batch.columns, strict=True)]
+        cols = [np.asarray(c) for c in batch.columns]
         if not len(cols[0]):
             continue
-        cut = np.searchsorted(cols[0], cols[0][-1])
-        rest = [c[cut:] for c in cols]
-        if cut:
-            yield out(*(c[:cut] for c in cols))
-    if len(rest[0]):
-        yield out(*rest)
+        if last is not None:
+            cols = [np.concatenate([[v], c]).astype(c.dtype) for v, c in zip(last[:4], cols, strict=True)]
+        sig, salt, h, _ = cols
+        same = (sig[1:] == sig[:-1]) & (salt[1:] == salt[:-1])
+        new = np.concatenate([[True], ~(same & (h[1:] == h[:-1]))])  # not the same set again
+        more = same & (h[1:] != h[:-1])
+        # whether a signature's run holds two sets: by run, as copies of one set may stand between
+        run = np.cumsum(np.concatenate([[True], ~same])) - 1
+        several = np.bincount(run[1:][more], minlength=run[-1] + 1) > 0
+        if last is not None and last[4]:
+            several[0] = True
+        keep = new & (several[run] | (salt > 0))
+        if last is not None and (last[4] or last[1] > 0):
+            keep[0] = False
+        tail = run == run[-1]
+        lone = not several[run[-1]] and salt[-1] == 0  # one set so far: waits
+        if lone:
+            keep[tail] = False
+        if keep.any():
+            yield out(cols, keep)
+        last = (*(c[-1] for c in cols), not lone)
 
 
 def _with_sets(batches):
     for batch in pieces(batches, "text"):
-        owner, h = shingle_sets(batch.column("text"))
-        cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-        raw = h.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([raw[a * 8 : b * 8] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], names=["h", "items"])
+        owner, h, g = shingle_sets(batch.column("text"))
+        cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+        a, b = h.tobytes(), g.tobytes()
+        right = pa.array([x == y for x, y in zip(_set_ids(owner, h, g, batch.num_rows), batch.column("id").to_pylist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([a[x * 8 : y * 8] + b[x * 8 : y * 8] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["id", "items"]).filter(right)
 
 
 def _linked(n: int, a: int, b: int) -> bool:
     return OF * n >= ABOVE * (a + b - n)
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements that two sets share; x and y hold the sorted first hashes and then the second ones."""
+    n, m = len(x) // 2, len(y) // 2
+    if not n or not m:
+        return 0
+    at = np.minimum(np.searchsorted(x[:n], y[:m]), n - 1)
+    return int(((x[:n][at] == y[:m]) & (x[n:][at] == y[m:])).sum())
+
+
 def _verify(batches):
     for batch in batches:
         keep = []
         for i, (x, y) in enumerate(zip(batch.column("items_a"), batch.column("items_b"), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            at = np.searchsorted(x, y)
-            n = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-            if _linked(n, len(x), len(y)):
+            if _linked(_common(x, y), len(x) // 2, len(y) // 2):
                 keep.append(i)
         if keep:
             yield batch.select(["a", "b"]).take(pa.array(keep))
@@ -259,8 +302,10 @@ def _block_links(pdf):
     x, y = pdf[pdf.part == 0], pdf[pdf.part == 1]
     found = []
     if len(x) and len(y):
-        xs = [np.frombuffer(b, np.uint64) for b in x["items"]]
-        ys = [np.frombuffer(b, np.uint64) for b in y["items"]]
+        xs, ys = ([np.frombuffer(b, np.uint64).reshape(2, -1) for b in side["items"]] for side in (x, y))
+        # both hashes of an element as one value
+        mark = np.dtype([("h", np.uint64), ("g", np.uint64)])
+        xs, ys = ([np.ascontiguousarray(s.T).view(mark).ravel() for s in side] for side in (xs, ys))
         vocabulary = np.unique(np.concatenate(xs))
         ny, nx = np.array([len(s) for s in ys]), np.array([len(s) for s in xs])
         for at in range(0, len(vocabulary), 1 << 14):
@@ -270,14 +315,16 @@ def _block_links(pdf):
                 out = np.zeros((len(sets), len(part)), np.float32)
                 for i, s in enumerate(sets):
                     k = np.searchsorted(part, s)
-                    k = k[(k < len(part)) & (part[np.minimum(k, len(part) - 1)] == s)]
-                    out[i, k] = 1
+                    out[i, k[(k < len(part)) & (part[np.minimum(k, len(part) - 1)] == s)]] = 1
                 return out
 
             more = matrix(xs) @ matrix(ys).T
             both = more if at == 0 else both + more  # noqa: F821
         n = np.rint(both).astype(np.int64)
-        ok = (OF * n >= ABOVE * (nx[:, None] + ny[None, :] - n)) & (x["h"].to_numpy()[:, None] != y["h"].to_numpy()[None, :]) & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :])
+        cx, cy = x["c"].tolist(), y["c"].tolist()
+        name = {c: i for i, c in enumerate({*cx, *cy})}
+        kx, ky = np.array([name[c] for c in cx]), np.array([name[c] for c in cy])
+        ok = (OF * n >= ABOVE * (nx[:, None] + ny[None, :] - n)) & (kx[:, None] != ky[None, :])
         # links that join nothing new within the two blocks are left out
         parent: dict[int, int] = {}
 
@@ -286,82 +333,100 @@ def _block_links(pdf):
                 c = parent[c]
             return c
 
-        hx, hy, cx, cy = (df[k].tolist() for df, k in ((x, "h"), (y, "h"), (x, "c"), (y, "c")))
         for i, j in zip(*(k.tolist() for k in np.nonzero(ok)), strict=True):
-            a, b = root(cx[i]), root(cy[j])
+            a, b = root(kx[i]), root(ky[j])
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                found.append((hx[i], hy[j]))
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+                found.append((cx[i], cy[j]))
+    return pd.DataFrame(found, columns=["a", "b"])
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes and the sketch of the set of each document; equal sets have equal hashes."""
-    return docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, h long, h2 long, sketch binary")
+    """doc_id, n_shingles, name, id and sketch of the set of each document; sets are equal if and only if their ids are."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_describe, "doc_id long, th long, n_shingles long, h long, id binary, sketch binary")
 
 
-def links(docs: DataFrame, described: DataFrame, small: int = SMALL, most_sent: int = MOST_SENT) -> DataFrame:
-    """Links between different sets, as pairs (a, b) of set hashes, that connect all that is connected: in buckets of up
-    to `small` sets every similar pair, in larger ones every similar pair unless both sets are of one class already.
+def set_classes(docs: DataFrame, described: DataFrame, small: int = SMALL, most_sent: int = MOST_SENT) -> DataFrame:
+    """Classes of linked sets: v (id of a set) and c (the least id of its class), for all sets with a link.
 
     A signature of many sets is dropped for a set whose spare weight covers it (some other segment still agrees). What is
-    left of large buckets are sets whose segments are mostly common, that is, large groups of near copies: each meets the
-    bucket's most central set first, and only those not in the group's main class meet the rest, block against block.
+    left of large buckets are sets whose segments are mostly common, that is, large groups of near copies: each set meets
+    its bucket's most central one first. From then on only sets of different classes are compared, and links are kept
+    between classes, so that a group of any size makes no more links than it has members: in buckets of up to `small` sets
+    every such pair, in larger ones the sets outside of the group's main class with all others, block against block.
     """
-    rows = docs.select("text").mapInArrow(_sign, "sig long, h long, spare short")
-    shared = stored(rows.repartition("sig").sortWithinPartitions("sig", "h").mapInArrow(_shared, "sig long, h long, spare short, n long"))
+    rows = docs.select("text").mapInArrow(_sign, "sig long, salt short, h long, spare short")
+    shared = stored(rows.repartition("sig", "salt").sortWithinPartitions("sig", "salt", "h").mapInArrow(_shared, "sig long, h long, spare short"))
     heavy = F.element_at(F.array(*[F.lit(2 if a else 1) for _, a, _ in levels()]), (F.col("sig").bitwiseAND(63) + 1).cast("int"))
     band = F.col("sig").bitwiseAND(63).alias("band")
-    bad = shared.filter(F.col("n") > small).groupBy("h", band).agg(F.sum(heavy).alias("weight"))
-    kept = shared.withColumn("band", band).join(bad, ["h", "band"], "left").filter((F.col("n") <= small) | (F.col("weight") > F.col("spare"))).select("sig", "h")
+    many = shared.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > small)
+    marked = shared.join(many, "sig", "left").select("sig", "h", "spare", "n", band)
+    bad = marked.filter("n is not null").groupBy("h", "band").agg(F.sum(heavy).alias("weight"))
+    kept = marked.join(bad, ["h", "band"], "left").filter("n is null or weight > spare").select("sig", "h")
     # the buckets as they are without what was dropped
     n = kept.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(kept.join(n, "sig"))
-    sets = described.filter("n_shingles > 0").groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"))
-    sets = stored(sets.join(buckets.select("h").distinct(), "h", "left_semi"))
+    sets = described.filter("n_shingles > 0").groupBy("id").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"), F.any_value("h").alias("h"))
+    sets = stored(sets.join(buckets.select("h").distinct(), "h", "left_semi").select("h", "id", "d.doc_id", "d.th", "size", "sketch"))
+    buckets = stored(buckets.join(sets.select("h", "id"), "h").select("sig", "id", (F.col("n") <= small).alias("little")).distinct())
 
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs that neither sizes nor sketches rule out."""
-        side = lambda x: sets.select(F.col("h").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{OF} * least(size_a, size_b) >= {ABOVE} * greatest(size_a, size_b)")
-        return stored(both.select("a", "b", "sketch_a", "sketch_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(_close, "a long, b long"))
+        return stored(both.select("a", "b", "sketch_a", "sketch_b", (F.col("size_a") + F.col("size_b")).alias("sizes")).mapInArrow(_close, "a binary, b binary"))
 
-    def items_of(wanted: DataFrame) -> DataFrame:
-        """The sets of some hashes, from the text of one document each."""
-        wanted = stored(sets.select("h", "doc_id").join(wanted, "h", "left_semi"))
+    def items_of(ids: DataFrame) -> DataFrame:
+        """The elements of some sets, from the text of one document each."""
+        wanted = stored(sets.select("id", "doc_id", "th").join(ids.distinct(), "id", "left_semi"))
         few = wanted.limit(most_sent + 1).count() <= most_sent
-        texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("h", "text")
-        return stored(texts.mapInArrow(_with_sets, "h long, items binary").dropDuplicates(["h"]))
+        side = (F.broadcast(wanted) if few else wanted).alias("w")
+        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).alias("d").join(side, F.expr("d.th = w.th and d.doc_id <=> w.doc_id")).select("w.id", "d.text")
+        return stored(texts.mapInArrow(_with_sets, "id binary, items binary").dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
         full = pairs.join(items.toDF("a", "items_a"), "a").join(items.toDF("b", "items_b"), "b").select("a", "b", "items_a", "items_b")
-        return full.mapInArrow(_verify, "a long, b long")
-
-    little = buckets.filter(F.col("n") <= small).select("sig", "h")
-    pairs = little.alias("x").join(little.alias("y"), F.expr("x.sig = y.sig and x.h < y.h")).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-    large = buckets.filter(F.col("n") > small)
-    if large.limit(1).count() == 0:
-        near = close(pairs.distinct())
-        return stored(verified(near, items_of(near.select(F.col("a").alias("h")).union(near.select("b")).distinct())))
-    # the most central set of a bucket: the one in most large buckets
-    central = large.groupBy("h").agg(F.count("*").alias("times"))
-    pivot = large.join(central, "h").groupBy("sig").agg(F.max_by("h", F.struct("times", "h")).alias("pivot"))
-    stars = stored(large.join(pivot, "sig").select(F.col("h").alias("a"), F.col("pivot").alias("b")).filter("a <> b").distinct())
-    near = close(pairs.union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
-    items = items_of(near.select(F.col("a").alias("h")).union(near.select("b")).union(large.select("h")).distinct())
-    found = stored(verified(near, items))
-    groups = connected(stars).select(F.col("v").alias("h"), F.col("c").alias("g"))
-    classes = connected(found).select(F.col("v").alias("h"), F.col("c").alias("own"))
-    members = groups.join(classes, "h", "left").select("h", "g", F.coalesce("own", "h").alias("c"))
+        return full.mapInArrow(_verify, "a binary, b binary")
+
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    large, little = buckets.filter("not little").select("sig", "id"), buckets.filter("little").select("sig", "id")
+    crowded = large.limit(1).count() > 0
+    if crowded:
+        # the most central set of a bucket: the one in most large buckets
+        central = large.groupBy("id").agg(F.count("*").alias("times"))
+        pivot = large.join(central, "id").groupBy("sig").agg(F.max_by("id", F.struct("times", "id")).alias("pivot"))
+        stars = stored(large.join(pivot, "sig").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).filter("a <> b").distinct())
+        items = items_of(large.select("id"))
+        classes = connected(verified(close(stars), items))
+        little = little.join(classes.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    else:
+        little = little.withColumn("c", F.col("id"))
+    pairs = little.alias("x").join(little.alias("y"), F.expr("x.sig = y.sig and x.id < y.id and x.c <> y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    near = close(pairs.distinct())
+    found = verified(near, items_of(ends(near)))
+    if not crowded:
+        return connected(found)
+    classes = connected(classes.toDF("a", "b").union(_between(found, classes)))
+    groups = connected(stars).toDF("id", "g")
+    members = groups.join(classes.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     main = members.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("k"))
-    members = stored(members.join(main, "g").withColumn("block", F.pmod(F.xxhash64("h"), F.ceil(F.col("k") / BLOCK).cast("long"))))
+    members = stored(members.join(main, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / BLOCK).cast("long"))))
     loose = members.filter("c <> main")
+    if loose.limit(1).count() == 0:
+        return classes
     loose_blocks, blocks = loose.select("g", F.col("block").alias("i")).distinct(), members.select("g", F.col("block").alias("j")).distinct()
     meet = loose_blocks.join(blocks, "g")
-    left = loose.withColumnRenamed("block", "i").join(meet, ["g", "i"]).select("g", "i", "j", F.lit(0).alias("part"), "h", "c")
-    right = members.withColumnRenamed("block", "j").join(meet, ["g", "j"]).select("g", "i", "j", F.lit(1).alias("part"), "h", "c")
-    more = left.union(right).join(items, "h").groupBy("g", "i", "j").applyInPandas(_block_links, "a long, b long")
-    return stored(found.union(more))
+    left = loose.withColumnRenamed("block", "i").join(meet, ["g", "i"]).select("g", "i", "j", F.lit(0).alias("part"), "id", "c")
+    right = members.withColumnRenamed("block", "j").join(meet, ["g", "j"]).select("g", "i", "j", F.lit(1).alias("part"), "id", "c")
+    more = left.union(right).join(items, "id").groupBy("g", "i", "j").applyInPandas(_block_links, "a binary, b binary")
+    return connected(classes.toDF("a", "b").union(more.distinct()))
+
+
+def _between(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links as links between classes, each once."""
+    side = lambda x: classes.toDF(x, f"c_{x}")
+    both = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    return both.filter("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, small: int = SMALL, most_sent: int = MOST_SENT) -> DataFrame:
@@ -370,15 +435,18 @@ def near_duplicates(docs: DataFrame, small: int = SMALL, most_sent: int = MOST_S
     A document's set holds its distinct five-word shingles, A-Z lower-cased; a text of fewer words is one shingle; null,
     empty and blank texts have none and are linked with nothing, not with each other either. Documents of equal sets are
     linked and are one class from the start, so groups of copies cost nothing. Rows that repeat a doc_id give a row each,
-    of one class if their texts are linked. An empty table gives an empty table; other columns are not read.
+    of one class if their texts are linked. A row without doc_id has the smallest doc_id that it is linked with, or none.
+    An empty table gives an empty table; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
     described = stored(describe(docs))
-    classes = connected(links(docs, described, small, most_sent)).select(F.col("v").alias("h"), F.col("c").alias("k"))
-    named = described.join(classes, "h", "left").withColumn("k", F.coalesce("k", "h"))
-    least = named.filter("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "k", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    classes = set_classes(docs, described, small, most_sent)
+    ids = described.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    # one row for each class, then one for each set with copies or links; documents meet those last
+    held = classes.toDF("id", "c").join(ids, "id")
+    linked = held.join(held.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("id", "component_id")
+    known = ids.join(linked, "id", "left").filter("copies > 1 or component_id is not null").select("id", F.coalesce("component_id", "least").alias("component_id"))
+    return described.join(known, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
