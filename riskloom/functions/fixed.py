@@ -95,6 +95,8 @@ BATCH_RULES = {
     "promoter_disclosure": ([("pledge", "SEBI_PLEDGE_CREATED", "WATCH")], (None, None)),
     "vat_backfill": ([], ("VAT_HISTORICAL_DEFAULT", "WATCH")),
 }
+#: words that make a regulator's press release relevant
+PRESS_RELEVANT = ["enforcement", "cancellation of cor", "certificate of registration", "penalty", "restriction", "warning"]
 #: commercial suits fire only above this claim, in rupees
 SUIT_CLAIM = 10_000_000
 #: status transitions: source: ordered (previous statuses or None for any known, new status, event type, severity)

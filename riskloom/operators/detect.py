@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import fixed
-from riskloom.functions.clean import as_json, col, parties, present, whole
+from riskloom.functions.clean import as_json, col, mentions, name_light, parties, present, whole
 
 EVENT = ["cin", "source", "event_type", "severity", "record_id"]
 
@@ -41,6 +41,17 @@ def detect_source(records: DataFrame, seen: DataFrame, source: str, order: str =
     return new.select("cin", F.lit(source).alias("source"), hit.alias("hit"), "record_id").select("cin", "source", "hit.event_type", "hit.severity", "record_id")
 
 
+def detect_sources(records: DataFrame, seen: DataFrame, sources: list[str], order: str = "record_id") -> DataFrame:
+    """detect_source for several sources at once: records have source and text. One scan, one anti-join and one window,
+    whatever the number of sources; the rules are one expression on source and text."""
+    hit = None
+    for source in sources:
+        one = first_match("text", *fixed.SOURCE_RULES[source][1:])
+        hit = F.when(F.col("source") == source, one) if hit is None else hit.when(F.col("source") == source, one)
+    new = fresh(records.filter(F.col("source").isin(sources)), seen, ["source", "cin", "record_id"], [F.col(order)])
+    return new.select("cin", "source", hit.alias("hit"), "record_id").select("cin", "source", "hit.event_type", "hit.severity", "record_id")
+
+
 def detect_notices(records: DataFrame, seen: DataFrame) -> DataFrame:
     """Secured-creditor notices: the stage is part of the key."""
     staged = records.withColumn("stage", F.lower(F.coalesce(present("notice_stage"), F.lit(""))))
@@ -173,24 +184,22 @@ def classify_suits(records: DataFrame, text: str, claim: str, keep: list[str]) -
 
 
 def classify_charges(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Charges by (cin, charge_id): created, above capital, raised, satisfied; amounts in whole rupees."""
+    """Charges by (cin, charge_id), one event each: a known one that is raised, then satisfied, then above the company's capital;
+    a new one above ten crore or from one crore. Amounts are whole rupees."""
     p = previous.select("cin", "charge_id", F.col("amount").alias("was"), F.col("status").alias("was_status"), F.lit(True).alias("known"))
     both = current.join(p, ["cin", "charge_id"], "left")
     new = F.col("known").isNull()
     amount = F.coalesce("amount", F.lit(0))
-    tests = [
-        (new & (amount > 100_000_000), "CHARGE_EXCEEDS_CAPITAL", "CRITICAL"),
-        (new & amount.between(10_000_000, 100_000_000), "CHARGE_CREATED", "ALERT"),
-        (~new & (amount > F.coalesce("was", F.lit(0))), "CHARGE_MODIFIED", "WATCH"),
-        (~new & (F.coalesce("was_status", F.lit("")) != "Satisfied") & (F.col("status") == "Satisfied"), "CHARGE_SATISFIED", "INFO"),
-        (~new & (F.col("authorized_capital") > 0) & (amount > F.col("authorized_capital")), "CHARGE_EXCEEDS_CAPITAL", "CRITICAL"),
-    ]
-    return _fired(both, [(F.coalesce(t, F.lit(False)), k, s) for t, k, s in tests], ["cin", "charge_id"])
+    e = lambda k, s: F.struct(F.lit(k).alias("event_type"), F.lit(s).alias("severity"))
+    of_new = F.when(amount > 100_000_000, e("CHARGE_EXCEEDS_CAPITAL", "CRITICAL")).when(amount >= 10_000_000, e("CHARGE_CREATED", "ALERT"))
+    ended = (F.coalesce("was_status", F.lit("")) != "Satisfied") & (F.col("status") == "Satisfied")
+    of_known = F.when(amount > F.coalesce("was", F.lit(0)), e("CHARGE_MODIFIED", "WATCH")).when(ended, e("CHARGE_SATISFIED", "WATCH")).when((F.col("authorized_capital") > 0) & (amount > F.col("authorized_capital")), e("CHARGE_EXCEEDS_CAPITAL", "CRITICAL"))
+    return both.withColumn("hit", F.when(new, of_new).otherwise(of_known)).filter("hit is not null").select("cin", "charge_id", "hit.event_type", "hit.severity")
 
 
 def multiple_lenders(previous: DataFrame, current: DataFrame, lenders: int = 3) -> DataFrame:
     """Companies whose distinct open lenders reach the number now and did not before."""
-    count = lambda df, name: df.filter("status <> 'Satisfied'").groupBy("cin").agg(F.countDistinct("lender").alias(name))
+    count = lambda df, name: df.filter("status = 'Open'").groupBy("cin").agg(F.countDistinct("lender").alias(name))
     both = count(current, "now").join(count(previous, "before"), "cin", "left")
     return both.filter((F.col("now") >= lenders) & (F.coalesce("before", F.lit(0)) < lenders)).select("cin", F.lit("MULTIPLE_LENDERS").alias("event_type"), F.lit("ALERT").alias("severity"), F.col("now").alias("lenders"))
 
@@ -225,6 +234,65 @@ def project_changes(pulls: DataFrame, key: str = "key", ts: str = "pull_ts") ->
     return _fired(pulls.withColumn("spike", F.coalesce(spike, F.lit(False))), [(F.col("spike"), "RERA_COMPLAINT_SPIKE", "ALERT")], [key, ts])
 
 
+def clearances(pulls: DataFrame, key: str = "key", ts: str = "pull_ts", cost_above: int = 1_000_000_000, order: tuple = ()) -> DataFrame:
+    """Environmental clearances: a new project above the cost; else a status other than the one before, the first one too."""
+    w = Window.partitionBy(key).orderBy(ts, *order)
+    df = pulls.withColumn("__first", F.row_number().over(w) == 1).withColumn("__was", F.lag("status").over(w))
+    now = F.lower(F.coalesce("status", F.lit("")))
+    e = lambda k, s: F.struct(F.lit(k).alias("event_type"), F.lit(s).alias("severity"))
+    same = ~F.col("__first") & F.col("status").eqNullSafe(F.col("__was"))
+    hit = F.when(F.col("__first") & (F.coalesce("project_cost", F.lit(0)) > cost_above), e("EC_NEW_APPLICATION", "INFO")).when(same, F.lit(None)).when(now == "revoked", e("EC_REVOKED", "CRITICAL")).when(now == "refused", e("EC_REFUSED", "ALERT")).when(now == "granted", e("EC_GRANTED", "INFO"))
+    return df.withColumn("hit", hit).filter("hit is not null").select(key, ts, "hit.event_type", "hit.severity")
+
+
+def refresh_directors(previous: DataFrame, current: DataFrame, boards_above: int = 10) -> DataFrame:
+    """A company's directors against the stored ones (cin, din, director_name, designation, date_of_appointment,
+    cessation_date), by director number, or by name and role where it is missing: resignations (a finance chief's is an
+    alert), another auditor than the latest stored one, directors on more than boards_above boards. Equal events once."""
+    role = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    key = F.coalesce(present("din"), F.md5(F.concat_ws("|", F.lower(F.trim("director_name")), F.lower(F.trim("designation")))))
+    since = F.coalesce(F.col("date_of_appointment").cast("date"), F.lit("1900-01-01").cast("date"))
+    p = previous.withColumn("key", key)
+    old = p.groupBy("cin", "key").agg(F.max_by(F.struct(F.col("director_name").alias("old_name"), F.col("cessation_date").alias("old_end")), F.struct(since, F.col("cessation_date"))).alias("o")).select("cin", "key", "o.old_name", "o.old_end", F.lit(True).alias("known"))
+    auditor = p.filter(F.contains(role(F.col("designation")), F.lit("auditor"))).groupBy("cin").agg(F.max_by("director_name", F.struct(since, "director_name")).alias("old_auditor"), F.lit(True).alias("audited"))
+    boards = current.filter("cessation_date is null and din is not null").groupBy("din").agg(F.countDistinct("cin").alias("boards"))
+    both = current.withColumn("key", key).join(old, ["cin", "key"], "left").join(auditor, "cin", "left").join(boards, "din", "left")
+    kind, known = role(F.col("designation")), F.coalesce("known", F.lit(False))
+    chief, audits = (kind == "cfo") | F.contains(kind, F.lit("chief financial officer")), F.contains(kind, F.lit("auditor"))
+    ends = known & F.col("old_end").isNull() & F.col("cessation_date").isNotNull()
+    other = lambda c: ~F.col(c).eqNullSafe(F.col("director_name"))
+    tests = [
+        (ends & chief, "CFO_RESIGNED", "ALERT"),
+        (ends & ~chief, "DIRECTOR_RESIGNED", "WATCH"),
+        (audits & ((known & other("old_name")) | (F.coalesce("audited", F.lit(False)) & other("old_auditor"))), "AUDITOR_CHANGED", "ALERT"),
+        (F.coalesce("boards", F.lit(0)) > boards_above, "DIRECTOR_OVERLOADED", "WATCH"),
+    ]
+    return _fired(both, tests, ["cin", "key", "director_name"]).distinct()
+
+
+def address_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Companies whose registered address differs from the stored one; blank and missing addresses are no change."""
+    both = new.select("cin", present("registered_address").alias("a")).join(old.select("cin", present("registered_address").alias("b")), "cin")
+    return both.filter("a <> b").select("cin", F.lit("ADDRESS_CHANGE").alias("event_type"), F.lit("WATCH").alias("severity"))
+
+
+def press_releases(releases: DataFrame, seen: DataFrame, order: str = "title") -> DataFrame:
+    """Regulator press releases: relevant ones only, each (date, entity, action) once, classified by their text; those whose
+    entity no company has go without a cin. releases: release_date, entity_name, title; seen: release_date, entity_name, action."""
+    text = F.lower(F.coalesce("title", F.lit("")))
+    action = F.when(F.contains(text, F.lit("cancellation")) | F.contains(text, F.lit("certificate of registration")), "cancellation").when(F.contains(text, F.lit("restriction")), "restriction").when(F.contains(text, F.lit("warning")), "warning").otherwise("penalty")
+    new = fresh(releases.filter(mentions("title", fixed.PRESS_RELEVANT)).withColumn("action", action), seen, ["release_date", "entity_name", "action"], [F.col(order)])
+    return new.withColumn("hit", first_match("action", *fixed.TEXT_RULES["press_release"])).select("release_date", "entity_name", "action", "hit.event_type", "hit.severity")
+
+
+def process_source(records: DataFrame, seen: DataFrame, before: DataFrame, source: str, order: str = "record_id") -> tuple[DataFrame, DataFrame]:
+    """One pull of a source, by entity: where the fingerprint of an entity's records is the stored one nothing happens; else
+    its records are detected. Returns the events to append and the fingerprints to store (cin, n, digest)."""
+    now = fingerprint(records, ["cin"])
+    moved = changed_sources(now, before, ["cin"]).select("cin")
+    return detect_source(records.join(moved, "cin", "left_semi"), seen, source, order), now
+
+
 def security_interests(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Security interests: satisfied; a company with three open ones or more; a new one from a crore."""
     p = previous.select("cin", "interest_id", F.col("satisfied_on").alias("was_satisfied"), F.lit(True).alias("known"))
@@ -262,6 +330,13 @@ def party_events(orders: DataFrame, kind: str, text: str, key: str) -> DataFrame
     return orders.select(key, F.explode(parties(text)).alias("party"), first_match(text, *fixed.TEXT_RULES[kind]).alias("hit")).select(key, "party", "hit.event_type", "hit.severity")
 
 
+def resolved_party_events(orders: DataFrame, kind: str, text: str, key: str, master: DataFrame) -> DataFrame:
+    """party_events with the company of each party, by its cleaned name; parties of no company stay, without one."""
+    named = party_events(orders, kind, text, key).withColumn("name", name_light("party"))
+    one = master.select(name_light("company_name").alias("name"), "cin").filter("name <> ''").groupBy("name").agg(F.min("cin").alias("cin"))
+    return named.join(one, "name", "left").select(key, "party", "cin", "event_type", "severity")
+
+
 def not_done(jobs: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Backfill guard: the keys without a completed state."""
     return jobs.join(state.filter("complete").select(key), key, "left_anti")

@@ -165,8 +165,15 @@ def alias_table(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def search_companies(queries: DataFrame, master: DataFrame, n: int = 10) -> DataFrame:
-    """Names that start with a query, then names that hold it, at most n each. queries: a table of checked, small size."""
-    pairs = master.select("cin", F.lower("company_name").alias("name")).join(F.broadcast(queries.select("query", F.lower("query").alias("t")).limit(1000)), F.expr("contains(name, t)"))
+    """Names that start with a query, then names that hold it, at most n each. Any number of queries: they meet only the
+    names that hold their rarest three letters in a row (all letters of a shorter one), by an inverted index of the names."""
+    names = master.select("cin", F.lower("company_name").alias("name"))
+    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, k))).otherwise(F.array().cast("array<string>")))))
+    index = names.select("cin", "name", F.explode(pieces(F.col("name"))).alias("g"))
+    freq = index.groupBy("g").agg(F.count("*").alias("f"))
+    q = queries.select("query", F.lower("query").alias("t")).distinct().filter("t <> ''")
+    rarest = q.select("query", "t", F.explode(pieces(F.col("t"))).alias("g")).filter(F.length("g") == F.least(F.length("t"), F.lit(3))).join(freq, "g", "left").groupBy("query", "t").agg(F.min_by("g", F.struct(F.coalesce("f", F.lit(0)), "g")).alias("g"))
+    pairs = index.join(rarest, "g").filter(F.contains("name", F.col("t")))
     ranked = pairs.withColumn("rank", F.when(F.startswith("name", F.col("t")), 1).otherwise(2))
     w = Window.partitionBy("query", "rank").orderBy("name", "cin")
     return ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select("query", "cin", "rank", "r")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +13,30 @@ from riskloom.functions.clean import as_json, lag_hours, severity_rank, source_c
 def match_watchlists(events: DataFrame, watchlists: DataFrame, master: DataFrame, most_sent: int = 100_000) -> DataFrame:
     """One pending alert for each event and active watchlist that passes all filters (null filters pass).
 
-    Watchlists that name companies join on the company; only those without a company list need every event, and only
-    they are sent to all tasks, after a check of their number.
+    Watchlists that name companies join on the company, those with a state or an industry on that, and the others on the
+    severities that they take, so that no join is a product of both tables. An empty list of companies matches none.
     """
     full = events.join(master.select("cin", "registered_state", "industrial_class"), "cin", "left")
     active = watchlists.filter("is_active")
     named = active.filter("cin_list is not null").select("*", F.explode("cin_list").alias("cin")).dropDuplicates(["watchlist_id", "cin"])
     a = full.join(named.drop("cin_list"), "cin")
     general = active.filter("cin_list is null").drop("cin_list")
-    if general.limit(most_sent + 1).count() > most_sent:
-        general = general.repartition("watchlist_id")
-    else:
-        general = F.broadcast(general)
-    b = full.join(general, severity_rank("severity") >= severity_rank("severity_min"))
-    both = a.unionByName(b.select(*a.columns))
+    # filters that name a state or an industry are join keys; only lists with neither meet every event
+    parts = [a]
+    for state, sector in ((True, True), (True, False), (False, True), (False, False)):
+        mine = general.filter(F.col("state_filter").isNotNull() == F.lit(state)).filter(F.col("sector_filter").isNotNull() == F.lit(sector))
+        on = [F.col("state_filter") == F.col("registered_state")] * state + [F.col("sector_filter") == F.col("industrial_class")] * sector
+        if not on:
+            # a product with the lists, which is their result but for severity and type; they are sent if few enough
+            few = mine.limit(most_sent + 1).count() <= most_sent
+            types = fixed.SEVERITY_RANK
+            level = mine.withColumn("severity", F.explode(F.array(*map(F.lit, types)))).filter(severity_rank("severity") >= severity_rank("severity_min"))
+            parts.append(full.join(F.broadcast(level) if few else level, "severity").select(*a.columns))
+        else:
+            parts.append(full.join(mine, on[0] & on[-1]).select(*a.columns))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
     ok = (F.col("state_filter").isNull() | (F.col("state_filter") == F.col("registered_state"))) & (F.col("sector_filter").isNull() | (F.col("sector_filter") == F.col("industrial_class"))) & (severity_rank("severity") >= severity_rank("severity_min")) & (F.col("type_filter").isNull() | F.array_contains("type_filter", F.col("event_type")))
     payload = as_json("cin", "event_type", "severity")
     return both.filter(F.coalesce(ok, F.lit(False))).select(F.col("id").alias("event_id"), "watchlist_id", "cin", "severity", "detected_at", payload.alias("alert_payload"), F.lit("PENDING").alias("delivery_status"))
@@ -54,6 +65,12 @@ def mark_delivery(digests: DataFrame, outcomes: DataFrame, most_retries: int = 3
     return df.select("batch_id", "watchlist_id", "cin", channels("max_severity").alias("channels"), status.alias("delivery_status"), F.when(F.col("ok") == F.lit(False), tries).otherwise(F.coalesce("retry_count", F.lit(0))).alias("retry_count"))
 
 
+def delivery_events(marked: DataFrame, as_of: Column) -> DataFrame:
+    """An alert to the operator for each digest that has failed for good."""
+    payload = as_json("watchlist_id", "batch_id")
+    return marked.filter("delivery_status = 'PERMANENTLY_FAILED'").select("cin", F.lit("routing").alias("source"), F.lit("TELEGRAM_DELIVERY_FAILED").alias("event_type"), F.lit("ALERT").alias("severity"), as_of.alias("detected_at"), payload.alias("data_json"))
+
+
 def channels(severity) -> Column:
     return F.when(F.col(severity) == "CRITICAL", F.array(F.lit("telegram"), F.lit("email"))).otherwise(F.array(F.lit("email")))
 
@@ -96,10 +113,29 @@ def watchlist_entries(entries: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def cool_down(events: DataFrame, days: int = 30) -> DataFrame:
-    """Events of one company and type, without those that follow another within the days."""
-    w = Window.partitionBy("cin", "event_type").orderBy("detected_at", "id")
-    before = F.lag("detected_at").over(w)
-    return events.withColumn("__b", before).filter(F.col("__b").isNull() | (F.unix_timestamp("detected_at") - F.unix_timestamp("__b") >= days * 86400)).drop("__b")
+    """Events of one company and type that fire: the first, and each at least `days` after the last one that fired; events
+    in between do not prolong the silence. Rows without a time fire.
+
+    What fires depends on what fired before, which no window function can say: rows are dealt by key and sorted, and a task
+    keeps only the last time of the key that it is at, so that no key is gathered.
+    """
+    span = days * 86_400_000_000
+    key = ["cin", "event_type"]
+    rows = events.withColumn("__at", F.unix_micros("detected_at")).repartition(*key).sortWithinPartitions(*key, "detected_at", "id")
+
+    def run(batches):
+        last, fired = None, None
+        for batch in batches:
+            keep = []
+            for k, at in zip(zip(batch.column("cin").to_pylist(), batch.column("event_type").to_pylist(), strict=True), batch.column("__at").to_pylist(), strict=True):
+                if k != last:
+                    last, fired = k, None
+                ok = at is None or fired is None or at - fired >= span
+                keep.append(ok)
+                fired = at if ok and at is not None else fired
+            yield batch.filter(pa.array(keep)).drop_columns("__at")
+
+    return rows.mapInArrow(run, events.schema)
 
 
 # ---- feedback and operations -----------------------------------------------------------------
@@ -180,3 +216,36 @@ def top_events(events: DataFrame, as_of: Column, n: int = 5, hours: int = 24) ->
 
 def mode(df: DataFrame, value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(1)
+
+
+def past_due(state: DataFrame, as_of: Column) -> DataFrame:
+    """Sources whose next pull is past due, the latest first, with the hours since then."""
+    hours = F.round((F.unix_timestamp(as_of) - F.unix_timestamp("next_pull_at")) / 3600.0, 2)
+    return state.filter(F.col("next_pull_at") < as_of).select("source_id", "next_pull_at", "status", hours.alias("lag_hours")).orderBy(F.desc("lag_hours"), "source_id")
+
+
+def expired_rows(rows: DataFrame, as_of: Column, column: str = "expires_at") -> DataFrame:
+    """Cached rows whose time is over; those without a time never expire."""
+    return rows.filter(F.col(column) < as_of)
+
+
+def daily_digest(events: DataFrame, master: DataFrame, state: DataFrame, costs: DataFrame, predictions: DataFrame, queue: DataFrame, as_of: Column) -> DataFrame:
+    """The operator's daily digest as rows (section, place, label, value): the five top events, the sources by colour,
+    today's costs by service and operation, accuracy of critical predictions, the commonest reason of false ones, and the
+    number of open names."""
+    row = lambda df, section, place, label, value: df.select(F.lit(section).alias("section"), place.cast("int").alias("place"), label.cast("string").alias("label"), value.cast("double").alias("value"))
+    zero = F.lit(0)
+    top = top_events(events, as_of).join(master.select("cin", "company_name"), "cin", "left")
+    order = F.row_number().over(Window.orderBy(severity_rank("severity").desc(), F.col("detected_at").desc(), F.col("id").desc()))
+    out = row(top, "top event", order, F.concat_ws(" ", F.coalesce("company_name", "cin", F.lit("Unknown")), "event_type", "severity"), F.col("id"))
+    colour = F.when(F.col("last_pull_at").isNull(), "grey").when((F.lower("status") == "blocked") | (F.col("consecutive_failures") >= 3), "red").when(F.col("consecutive_failures") >= 1, "amber").otherwise("green")
+    out = out.unionByName(row(state.groupBy(colour.alias("colour")).agg(F.count("*").alias("n")), "sources", zero, F.col("colour"), F.col("n")))
+    today = costs.filter(F.col("log_date") == as_of.cast("date")).groupBy("service", "operation").agg(F.sum("cost_inr").alias("total"))
+    out = out.unionByName(row(today, "costs", zero, F.concat_ws(" ", "service", "operation"), F.round("total", 4)))
+    red = predictions.filter((F.col("severity") == "CRITICAL") & (F.col("fired_at") >= as_of - F.expr("INTERVAL 30 DAYS")))
+    right = red.agg(F.count("*").alias("n"), F.count_if(F.col("confirmed")).alias("ok"))
+    out = out.unionByName(row(right, "critical predictions", zero, F.lit("all"), F.col("n"))).unionByName(row(right, "critical predictions", zero, F.lit("confirmed"), F.col("ok")))
+    out = out.unionByName(row(right, "critical predictions", zero, F.lit("per cent"), F.when(F.col("n") > 0, F.round(F.col("ok") * 100.0 / F.col("n"), 1)).otherwise(0.0)))
+    wrong = predictions.filter(F.col("false_positive") & F.col("false_positive_reason").isNotNull() & (F.col("fired_at") >= as_of - F.expr("INTERVAL 30 DAYS")))
+    out = out.unionByName(row(mode(wrong, "false_positive_reason"), "commonest false reason", zero, F.col("false_positive_reason"), F.col("n")))
+    return out.unionByName(row(queue.filter("not resolved").agg(F.count("*").alias("n")), "open names", zero, F.lit("unresolved"), F.col("n")))

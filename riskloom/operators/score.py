@@ -89,34 +89,59 @@ def propagate(scores: DataFrame, edges: DataFrame, changed: DataFrame, keep, dep
     """Contagion from companies whose band changed: their peers are scored anew with a penalty, then the peers of those
     whose band changed by it, `depth` levels deep. All peers of a level see the bands at its start. scores: cin, score
     (without penalty), band. keep: writes a level's table and reads it back, which cuts its lineage.
-    Returns cin, depth, origin, penalty, score_before, score_after, band_before, band_after."""
+    Returns cin, depth, origin, chain (companies from the origin to this one; of several the least), penalty, score_before,
+    score_after, band_before, band_after."""
     bands, done, out = scores.select("cin", "score", "band"), changed.select("cin").distinct(), None
-    frontier = changed.select("cin", F.col("cin").alias("origin"))
+    frontier = changed.select("cin", F.array("cin").alias("chain"))
     for level in range(1, depth + 1):
-        touched = peers(edges, frontier).join(frontier, "cin").groupBy("peer").agg(F.min("origin").alias("origin")).withColumnRenamed("peer", "cin").join(done, "cin", "left_anti")
+        touched = peers(edges, frontier).join(frontier, "cin").groupBy("peer").agg(F.min("chain").alias("chain")).withColumnRenamed("peer", "cin").join(done, "cin", "left_anti")
+        touched = touched.select("cin", F.element_at("chain", 1).alias("origin"), F.concat("chain", F.array("cin")).alias("chain"))
         hit = contagion_penalty(peers(edges, touched), bands)
         now = touched.join(bands, "cin").join(hit.select("cin", "penalty"), "cin", "left").withColumn("penalty", F.coalesce("penalty", F.lit(0)))
         now = now.withColumn("after", F.round(F.greatest(F.lit(0.0), F.col("score") - F.col("penalty")), 1)).withColumn("band_after", band("after"))
-        now = keep(now.select("cin", F.lit(level).alias("depth"), "origin", "penalty", F.col("score").alias("score_before"), F.col("after").alias("score_after"), F.col("band").alias("band_before"), "band_after"))
+        now = keep(now.select("cin", F.lit(level).alias("depth"), "origin", "chain", "penalty", F.col("score").alias("score_before"), F.col("after").alias("score_after"), F.col("band").alias("band_before"), "band_after"))
         out = now if out is None else out.unionByName(now)
         bands = bands.join(now.select("cin", F.col("band_after").alias("nb")), "cin", "left").select("cin", "score", F.coalesce("nb", "band").alias("band"))
-        done, frontier = done.union(now.select("cin")).distinct(), now.filter("band_after <> band_before").select("cin", "origin")
+        done, frontier = done.union(now.select("cin")).distinct(), now.filter("band_after <> band_before").select("cin", "chain")
     return out
 
 
+def contagion_events(reached: DataFrame, as_of: Column) -> DataFrame:
+    """An event for each company that contagion has reached, with origin, depth and chain."""
+    chain = F.concat(F.lit('["'), F.array_join("chain", '","'), F.lit('"]'))
+    payload = F.concat(F.lit('{"origin_cin":"'), "origin", F.lit('","depth":'), F.col("depth") - 1, F.lit(',"chain":'), chain, F.lit("}"))
+    return reached.select("cin", F.lit("CONTAGION_ENGINE").alias("source"), F.lit("CONTAGION_PROPAGATED").alias("event_type"), F.lit("WATCH").alias("severity"), as_of.alias("detected_at"), payload.alias("data_json"))
+
+
 def apply_scores(events: DataFrame, scored: DataFrame) -> DataFrame:
     """Events with the score before and after, and whether a prediction is due."""
     return events.join(scored.select("cin", F.col("health_score_before"), F.col("score_stored").alias("health_score_after"), F.col("band")), "cin").select("id", "cin", "event_type", "severity", "health_score_before", "health_score_after", "band")
 
 
+def scored_master(master: DataFrame, scored: DataFrame, as_of: Column) -> DataFrame:
+    """The master with score, band and time of the scored companies; the others keep theirs."""
+    new = scored.select("cin", F.col("score_stored").alias("__s"), F.col("band").alias("__b"))
+    both = master.join(new, "cin", "left")
+    have = lambda c, kind: F.col(c) if c in master.columns else F.lit(None).cast(kind)
+    return both.withColumn("health_score", F.coalesce("__s", have("health_score", "int"))).withColumn("health_band", F.coalesce("__b", have("health_band", "string"))).withColumn("last_score_computed_at", F.when(F.col("__s").isNotNull(), as_of).otherwise(have("last_score_computed_at", "timestamp"))).drop("__s", "__b")
+
+
+def predictions_of(events: DataFrame, scored: DataFrame, as_of: Column) -> DataFrame:
+    """A prediction for each event of a scored company, with the event's severity and the score at firing."""
+    return events.join(scored.select("cin", "score_stored"), "cin").select("cin", F.col("id").alias("event_id"), F.col("score_stored").alias("health_score_at_firing"), "severity", as_of.alias("fired_at"))
+
+
 def rule_conditions(spark, rules: dict = fixed.COMPOSITES) -> DataFrame:
     rows = [(name, severity, window or 365, len(conditions), i, c if isinstance(c, list) else None, c.get("status") if isinstance(c, dict) else None) for name, (severity, window, conditions) in rules.items() for i, c in enumerate(conditions)]
     return spark.createDataFrame(rows, "rule string, severity string, days int, needed int, condition int, types array<string>, status string")
 
 
-def combine_signals(events: DataFrame, master: DataFrame, as_of: Column, fired: DataFrame | None = None, aliases: dict | None = fixed.EVENT_ALIASES, rules: dict = fixed.COMPOSITES, cool_days: int = 30) -> DataFrame:
+def combine_signals(events: DataFrame, master: DataFrame, as_of: Column, fired: DataFrame | None = None, aliases: dict | None = fixed.EVENT_ALIASES, rules: dict = fixed.COMPOSITES, cool_days: int = 30, new: DataFrame | None = None, silent_days: int = 365) -> DataFrame:
     """Composite signals per company: every condition of a rule met within the rule's days; newest event of each.
 
+    new: cin, event_type of the events that have just come; with it only rules that name one of the company's new types are
+    tried. A rule whose own name is among the company's events of the last silent_days stays silent.
+
     The rules are a small fixed table and are broadcast; events are joined once on their type, then grouped by company and
     rule. fired: cin, rule, detected_at of earlier composites, which keep the rule silent for cool_days.
     """
@@ -131,22 +156,32 @@ def combine_signals(events: DataFrame, master: DataFrame, as_of: Column, fired:
     # a company field alone starts no rule
     fields = per.select("cin", "rule").distinct().join(by_field, "rule").join(master.select("cin", "status"), ["cin", "status"]).select("cin", "rule", "severity", "needed", "condition", F.lit(None).cast("long").alias("id"))
     got = per.unionByName(fields).groupBy("cin", "rule", "severity", "needed").agg(F.countDistinct("condition").alias("n"), F.array_sort(F.collect_set("id")).alias("event_ids")).filter("n = needed")
+    own = events.filter(F.col("event_type").isin(list(rules)) & (F.unix_timestamp("detected_at") >= F.unix_timestamp(as_of) - silent_days * 86400)).select("cin", F.col("event_type").alias("rule")).distinct()
+    got = got.join(own, ["cin", "rule"], "left_anti")
+    if new is not None:
+        started = new.select("cin", name.alias("event_type")).distinct().join(by_type, "event_type").select("cin", "rule").distinct()
+        got = got.join(started, ["cin", "rule"], "left_semi")
     if fired is not None:
         recent = fired.filter(F.unix_timestamp("detected_at") >= F.unix_timestamp(as_of) - cool_days * 86400).select("cin", "rule").distinct()
         got = got.join(recent, ["cin", "rule"], "left_anti")
     return got.select("cin", "rule", "severity", "event_ids")
 
 
-def shell_companies(master: DataFrame, edges: DataFrame, as_of: Column, boards: int = 5, months: int = 36, capital: int = 1_000_000, fired: DataFrame | None = None) -> DataFrame:
-    """Young companies of small capital without meeting, provident-fund or tax number, with a director on many boards; one
-    row each, with the busiest director. Clauses whose column the master lacks are true."""
+def shell_companies(master: DataFrame, edges: DataFrame, as_of: Column, boards: int = 5, months: int = 36, capital: int = 1_000_000, fired: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """Young companies of small capital without meeting, with a director on many boards; one row each, with the busiest
+    director. They have no provident-fund and no tax number, or an event of the last 12 months that took it (delisted;
+    cancelled or suspended). Clauses whose column the master lacks are true."""
     has = lambda c: c in master.columns
     young = F.timestamp_diff("MONTH", F.col("date_of_incorporation").cast("timestamp"), as_of) < months
     test = young & F.col("date_of_last_agm").isNull()
     if has("authorized_capital"):
         test = test & (F.col("authorized_capital") <= capital)
-    for c in ("epfo_id", "gstin"):
-        if has(c):
+    for c, kinds in (("epfo_id", ["EPFO_ESTABLISHMENT_DELISTED"]), ("gstin", ["GST_CANCELLED", "GST_SUSPENDED"])):
+        if has(c) and events is not None:
+            lost = events.filter(F.col("event_type").isin(kinds) & (F.col("detected_at") > as_of - F.expr("INTERVAL 12 MONTHS")) & (F.col("detected_at") <= as_of)).select("cin").distinct()
+            master = master.join(lost.withColumn(f"__{c}", F.lit(True)), "cin", "left")
+            test = test & (F.col(c).isNull() | F.coalesce(F.col(f"__{c}"), F.lit(False)))
+        elif has(c):
             test = test & F.col(c).isNull()
     a = active_edges(edges)
     busy = a.join(a.groupBy("din").agg(F.count("*").alias("boards")).filter(F.col("boards") >= boards), "din").groupBy("cin").agg(F.max("boards").alias("boards"), F.max_by("din", F.struct("boards", "din")).alias("din"))

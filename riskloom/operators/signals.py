@@ -38,6 +38,14 @@ def postings(df: DataFrame, factor: float = 3.0) -> DataFrame:
     return c.withColumn("event_type", kind).filter("event_type is not null").select("cin", "month", "event_type")
 
 
+def reviews(df: DataFrame, factor: float = 3.0, low: float = 3.0) -> DataFrame:
+    """Employee reviews: more than `factor` times the month before, and a rating that drops below `low`."""
+    c = changes(df, ["cin"], "month", "reviews")
+    was = F.lag("rating").over(Window.partitionBy("cin").orderBy("month"))
+    c = c.withColumn("kinds", F.filter(F.array(F.when(F.col("ratio") > factor, F.lit("REVIEW_SPIKE")), F.when((F.col("rating") < low) & (was >= low), F.lit("RATING_LOW"))), lambda x: x.isNotNull()))
+    return c.select("cin", "month", F.explode("kinds").alias("event_type"))
+
+
 def financial_change(df: DataFrame) -> DataFrame:
     """Revenue down by a fifth, debt up by half, from year to year."""
     r = changes(df, ["cin"], "financial_year", "revenue").select("cin", "financial_year", F.col("ratio").alias("r"), "debt")
@@ -119,11 +127,14 @@ def strike_off_spikes(events: DataFrame, master: DataFrame, factor: float = 2.0)
     return c.filter(F.col("ratio") >= factor).select("registered_state", "industrial_class", "month", "n", "was")
 
 
-def alert_record(digests: DataFrame, penalties: DataFrame, labels: DataFrame, master: DataFrame) -> DataFrame:
-    """Full alert: digest, company, direction of the score, contagion and confidence."""
+def alert_record(digests: DataFrame, penalties: DataFrame, labels: DataFrame, master: DataFrame, events: DataFrame, late: DataFrame) -> DataFrame:
+    """Full alert: digest, company, direction of the score, all kinds of signals that the company has, contagion, confidence,
+    and the sources of the company whose data are late. late: source_id, late."""
+    per = events.select("cin", "source", "event_type").distinct().join(late.filter("late").select(F.col("source_id").alias("source"), F.lit(True).alias("late")), "source", "left")
+    per = per.groupBy("cin").agg(F.array_sort(F.collect_set("event_type")).alias("signals"), F.array_sort(F.collect_set(F.when(F.col("late"), F.col("source")))).alias("late_sources"))
     direction = F.when(F.col("score_after") < F.col("score_before"), "down").when(F.col("score_after") > F.col("score_before"), "up").otherwise("same")
-    df = digests.join(master.select("cin", "company_name"), "cin", "left").join(penalties.select("cin", "penalty"), "cin", "left").join(labels.select("cin", "label"), "cin", "left")
-    return df.select("batch_id", "watchlist_id", "cin", "company_name", "n_events", "max_severity", direction.alias("direction"), F.coalesce("penalty", F.lit(0)).alias("penalty"), F.coalesce("label", F.lit("LOW")).alias("confidence"), severity_rank("max_severity").alias("rank"))
+    df = digests.join(master.select("cin", "company_name"), "cin", "left").join(penalties.select("cin", "penalty"), "cin", "left").join(labels.select("cin", "label"), "cin", "left").join(per, "cin", "left")
+    return df.select("batch_id", "watchlist_id", "cin", "company_name", "n_events", "max_severity", direction.alias("direction"), F.coalesce("penalty", F.lit(0)).alias("penalty"), F.coalesce("label", F.lit("LOW")).alias("confidence"), severity_rank("max_severity").alias("rank"), "signals", "late_sources")
 
 
 def latest_auditor(edges: DataFrame) -> DataFrame:

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import clean, fixed
 from riskloom.operators import detect, resolve, route, score, signals
-from riskloom.plans.adapters import CUT_LEGAL, Tables, oracle
+from riskloom.plans.adapters import Tables, cin, oracle
 from riskloom.sources import tables as src
 from riskloom.streaming import replay, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-_made: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def query(sql: str | None = None):
@@ -23,19 +22,16 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
             ORACLE[f.__name__] = oracle(sql)
-        _made[f.__name__] = f
         return f
 
     return add
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage between levels of an iteration, in the shared folder."""
+    """Cuts lineage between levels of an iteration, in the shared folder of spark.checkpoint.dir."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-riskloom-"))
+        spark.sparkContext.setCheckpointDir(replay.shared_folder(spark))
     return df.checkpoint()
 
 
@@ -81,16 +77,18 @@ def a5_cells_to_records(t):
     return src.cells_to_records(o.select(cells.alias("cells")), "cells", {"case_number": 0, "stage": 1, "filed": 2}, 3, "filed", F.lit("1997-01-01").cast("date"), "Case No")
 
 
-@query("select event_id as id, cast(json_extract_string(props, '$.k') as string) as din, concat('D', cast(user_id as string)) as name from events where event_id % 5 = 0")
+@query("select event_id as id, cast(json_extract_string(props, '$.k') as string) as din, concat('D', cast(user_id as string)) as name from events")
 def a6_json_records(t):
-    e = t.cut(t.base("events"), "event_id % 5 = 0")
-    doc = F.concat(F.lit('{"result": {"page": 1, "directors": [{"dinNumber": "'), F.get_json_object("props", "$.k"), F.lit('", "directorName": "D'), F.col("user_id").cast("string"), F.lit('"}]}}'))
+    e = t.base("events")
+    rows = F.concat(F.lit('{"result": {"page": 1, "directors": [{"dinNumber": "'), F.get_json_object("props", "$.k"), F.lit('", "directorName": "D'), F.col("user_id").cast("string"), F.lit('"}]}}'))
+    # every second payload nests its rows ten levels deep
+    doc = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": [{"b": {"c": {"d": [{"e": '), rows, F.lit("}]}}}]}"))).otherwise(rows)
     return src.json_records(e.select(F.col("event_id").alias("id"), doc.alias("doc")), "id", "doc", {"din": ["din", "din_number"], "name": ["director_name", "name"]}).select("id", "din", "name")
 
 
-@query("select event_id as id, json_extract_string(props, '$.k') as value from events where event_id % 5 = 1")
+@query("select event_id as id, json_extract_string(props, '$.k') as value from events")
 def a7_json_deep_value(t):
-    e = t.cut(t.base("events"), "event_id % 5 = 1").select(F.col("event_id").alias("id"), F.concat(F.lit('{"a": {"taxpayerStatus": '), F.get_json_object("props", "$.k"), F.lit('}, "z": 1}')).alias("doc"))
+    e = t.base("events").select(F.col("event_id").alias("id"), F.concat(F.lit('{"a": {"taxpayerStatus": '), F.get_json_object("props", "$.k"), F.lit('}, "z": 1}')).alias("doc"))
     return src.json_deep_value(e, "id", "doc", ["taxpayer", "status"])
 
 
@@ -103,7 +101,8 @@ def a9_append_events(t):
 @query("select case_number, 'tribunal' as source, case when cast(substring(case_number, 2) as bigint) % 20 = 0 then 'Closed' else status end as status from legal")
 def a10_upsert_legal_events(t):
     l = t.legal.withColumn("source", F.lit("tribunal")).withColumn("k", F.expr("cast(substring(case_number, 2) as bigint)"))
-    table, _ = src.upsert_cases(l.filter("k % 3 <> 0").select("case_number", "source", "status"), l.filter("k % 20 = 0 or k % 3 = 0").select("case_number", "source", F.expr("case when k % 20 = 0 then 'Closed' else status end").alias("status")))
+    new = l.filter("k % 20 = 0 or k % 3 = 0").select("case_number", "source", F.expr("case when k % 20 = 0 then 'Closed' else status end").alias("status"))
+    table, _ = src.upsert_cases(l.filter("k % 3 <> 0").select("case_number", "source", "status"), new.union(new))
     return table
 
 
@@ -113,12 +112,25 @@ def a11_upsert_governance(t):
     return src.upsert_governance(e, e.filter("cast(din as int) % 2 = 0").withColumn("designation", F.lit("Director X")).withColumn("din", F.concat(F.lit("DIN "), F.col("din"))))
 
 
+@query("select case when id % 5 = 0 or id % 4 > 1 then 'unmapped' else 'resolution_queue' end as sink, id from ev where id % 5 = 0 or id % 4 <> 0")
+def a12_sinks(t):
+    r = t.ev.select("id", F.when(F.col("id") % 5 != 0, F.col("cin")).alias("cin"), F.element_at(F.array(F.lit(90.0), F.lit(60.0), F.lit(10.0), F.lit(10.0)), (F.col("id") % 4 + 1).cast("int")).alias("confidence"))
+    unmapped, queue = src.unmapped_rows(resolve.route_by_confidence(r))
+    return unmapped.unionByName(queue).select("sink", "id")
+
+
 @query("select 'PAN' as identifier_type, pan as identifier_value, cin, case when k % 2 = 0 then cast(1.0 as double) else cast(0.8 as double) end as confidence from company where pan is not null")
 def a13_store_identifier(t):
     c = t.company.filter("pan is not null").select(F.lit("PAN").alias("identifier_type"), F.col("pan").alias("identifier_value"), "cin", "k")
     return src.store_identifiers(c.filter("k % 2 = 0").select("identifier_type", "identifier_value", "cin", F.lit(1.0).alias("confidence")), c)
 
 
+@query("select cin, coalesce(pan, case when k % 2 = 0 then concat('F', cin) end) as pan from company")
+def a13_fill_identifier(t):
+    found = t.company.filter("k % 2 = 0").select("cin", F.concat(F.lit("F"), "cin").alias("pan"))
+    return src.fill_identifier(t.company.select("cin", F.coalesce("pan", F.lit(" ")).alias("pan")), found.union(found), "pan").select("cin", "pan")
+
+
 @query("select source as source_id, cin as entity_key, max(id) as last_id from ev group by 1, 2")
 def a14_source_state(t):
     s = t.ev.groupBy(F.col("source").alias("source_id"), F.col("cin").alias("entity_key"), F.expr("id % 2").alias("half")).agg(F.max("id").alias("last_id")).withColumn("updated_at", F.col("last_id"))
@@ -128,11 +140,17 @@ def a14_source_state(t):
     return src.save_state(old, both).select("source_id", "entity_key", "last_id")
 
 
-@query("select cin, 'gstin' as how from company where status = 'Active' and k % 4 = 0 union all select cin, 'worst' from (select cin from company order by authorized_capital, cin limit 200)")
+@query("""select cin, 'gstin' as how from company where status = 'Active' and (k % 4 = 0 or k % 7 = 0) union all select cin, 'worst' from (select cin from company order by case when k % 6 > 0 then authorized_capital end nulls last, cin limit 200)
+union all select cin, 'stressed' from company where k % 6 > 0 and authorized_capital < 5000000 union all select distinct c.cin, 'watched' from company c join entry_ e using (cin)
+union all select cin, 'random' from (select cin from company where k % 6 = 0 or authorized_capital < 50 order by md5(concat('7:', cin)), cin limit 200)""")
 def a15_monitored_set(t):
-    m = t.company.withColumn("gstin", F.lit(None).cast("string")).withColumn("score", F.col("authorized_capital"))
+    m = t.company.withColumn("gstin", F.when(F.col("k") % 7 == 0, "x").otherwise(" ")).withColumn("score", F.when(F.col("k") % 6 > 0, F.col("authorized_capital"))).withColumn("band", F.when(F.col("score") < 1_000_000, "RED").when(F.col("score") < 5_000_000, "AMBER"))
     ids = t.company.filter("k % 4 = 0").select("cin", F.lit("GSTIN").alias("identifier_type"))
-    return src.monitored(m, ids, None, "gstin").withColumn("how", F.lit("gstin")).union(src.monitored(m, ids, None, "worst").withColumn("how", F.lit("worst")))
+    out = None
+    for how in ("gstin", "worst", "stressed", "watched", "random"):
+        one = src.monitored(m, ids, t.entry_, how).withColumn("how", F.lit(how))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("select c_custkey as k, lpad(cast(c_custkey as string), 8, '0') as din, 'Asha Rao' as name, 'Director' as designation, date '2020-03-01' as appointed from customer")
@@ -146,12 +164,10 @@ def b1_b4_identifier_checks(t):
     return t.company.select("cin", clean.cin_ok("cin").alias("cin_ok"), clean.pan_ok("pan").alias("pan_ok"), clean.director_number(F.concat(F.lit("DIN-"), F.col("k"))).alias("din"))
 
 
-_IDS = {"IEC": r"\b([0-9]{10})\b", "BID": r"\b([0-9]{6,})\b", "ESTABLISHMENT": r"\b([0-9]{7})\b", "PAN": r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"}
-
-
-@query(" union all ".join(f"select distinct doc_id, '{k}' as id_type, unnest(regexp_extract_all(text, '{p}')) as value from documents" for k, p in _IDS.items()))
+@query(" union all ".join(f"select distinct doc_id, '{k}' as id_type, unnest(regexp_extract_all(text, '{p}')) as value from (select doc_id, concat(coalesce(text, ''), ' GSTIN 27ABCDE', lpad(doc_id::varchar, 4, '0')[1:4], 'F1ZP for AB-', doc_id::varchar) as text from documents)" for k, p in clean.IDENTIFIERS.items()))
 def b3_extract_identifiers(t):
-    return clean.extract_identifiers(t.base("documents"), "doc_id", "text", _IDS)
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" GSTIN 27ABCDE"), F.substring(F.lpad(F.col("doc_id").cast("string"), 4, "0"), 1, 4), F.lit("F1ZP for AB-"), F.col("doc_id").cast("string"))
+    return clean.extract_identifiers(t.base("documents").select("doc_id", text.alias("text")), "doc_id", "text")
 
 
 @query("""with d as (select cin, pan, lpad(cast(s as string), 2, '0') as code, concat(lpad(cast(s as string), 2, '0'), pan, '1Z') as body from company, range(1, 40) r(s) where pan is not null),
@@ -217,14 +233,14 @@ def b28_age_months(t):
 
 
 def _name_pairs(t):
-    m = t.cut(t.company, "k < 400").withColumn("company_name", F.concat(F.element_at(F.array(*map(F.lit, ["Apex", "Bharat", "Crystal", "Deccan", "Eastern", "Falcon", "Ganga"])), (F.col("k") % 7 + 1).cast("int")), F.lit(" "), F.element_at(F.array(*map(F.lit, ["Steel", "Textiles", "Chemical Works", "Motors", "Foods"])), (F.col("k") % 5 + 1).cast("int")), F.lit(" "), F.col("k").cast("string"), F.lit(" Pvt Ltd")))
-    q = t.cut(m, "k % 5 = 1").select(F.col("k").alias("qid"), F.when(F.col("k") % 2 == 0, F.upper("company_name")).otherwise(F.regexp_replace("company_name", "e", "a")).alias("raw_name"), F.col("registered_state").alias("state"), F.col("industrial_class").alias("industry"), F.when(F.col("k") % 11 == 0, F.col("cin")).alias("cin"), F.when(F.col("k") % 13 == 0, F.col("pan")).alias("pan"))
+    m = t.company.withColumn("company_name", F.concat(F.element_at(F.array(*map(F.lit, ["Apex", "Bharat", "Crystal", "Deccan", "Eastern", "Falcon", "Ganga"])), (F.col("k") % 7 + 1).cast("int")), F.lit(" "), F.element_at(F.array(*map(F.lit, ["Steel", "Textiles", "Chemical Works", "Motors", "Foods"])), (F.col("k") % 5 + 1).cast("int")), F.lit(" "), F.col("k").cast("string"), F.lit(" Pvt Ltd")))
+    q = m.select(F.col("k").alias("qid"), F.when(F.col("k") % 2 == 0, F.upper("company_name")).otherwise(F.regexp_replace("company_name", "e", "a")).alias("raw_name"), F.col("registered_state").alias("state"), F.col("industrial_class").alias("industry"), F.when(F.col("k") % 11 == 0, F.col("cin")).alias("cin"), F.when(F.col("k") % 13 == 0, F.col("pan")).alias("pan"))
     return m, q
 
 
-_NAMES = """with m as (select k, cin, registered_state as state, industrial_class as industry, pan, concat(['Apex', 'Bharat', 'Crystal', 'Deccan', 'Eastern', 'Falcon', 'Ganga'][k % 7 + 1], ' ', ['Steel', 'Textiles', 'Chemical Works', 'Motors', 'Foods'][k % 5 + 1], ' ', cast(k as string), ' Pvt Ltd') as company_name from company where k < 400),
+_NAMES = """with m as (select k, cin, registered_state as state, industrial_class as industry, pan, concat(['Apex', 'Bharat', 'Crystal', 'Deccan', 'Eastern', 'Falcon', 'Ganga'][k % 7 + 1], ' ', ['Steel', 'Textiles', 'Chemical Works', 'Motors', 'Foods'][k % 5 + 1], ' ', cast(k as string), ' Pvt Ltd') as company_name from company),
 ml as (select *, trim(regexp_replace(regexp_replace(lower(company_name), '\\b(pvt|ltd)\\b', ' ', 'g'), '\\s+', ' ', 'g')) as name from m),
-q as (select k as qid, case when k % 2 = 0 then upper(company_name) else replace(company_name, 'e', 'a') end as raw, state, industry, case when k % 11 = 0 then cin end as qcin, case when k % 13 = 0 then pan end as qpan from m where k % 5 = 1),
+q as (select k as qid, case when k % 2 = 0 then upper(company_name) else replace(company_name, 'e', 'a') end as raw, state, industry, case when k % 11 = 0 then cin end as qcin, case when k % 13 = 0 then pan end as qpan from m),
 ql as (select *, trim(regexp_replace(regexp_replace(lower(raw), '\\b(pvt|ltd)\\b', ' ', 'g'), '\\s+', ' ', 'g')) as name from q),
 mg as (select cin, state, industry, name, list_distinct(flatten([[substring('  ' || w || ' ', i, 3) for i in range(1, len(w) + 2)] for w in string_split(name, ' ')])) as g from ml),
 qg as (select qid, state, industry, name, list_distinct(flatten([[substring('  ' || w || ' ', i, 3) for i in range(1, len(w) + 2)] for w in string_split(name, ' ')])) as g from ql),
@@ -306,9 +322,11 @@ def e11_alias_table(t):
     return resolve.alias_table(a, a)
 
 
-@query("with q as (select unnest(['customer#00000001', '42', 'nobody']) as query) select query, cin, case when starts_with(lower(company_name), query) then 1 else 2 end as rank, cast(row_number() over (partition by query, case when starts_with(lower(company_name), query) then 1 else 2 end order by company_name, cin) as int) as r from q, company where contains(lower(company_name), query) qualify r <= 10")
+@query("with q as (select distinct lower(concat('r#', right(c_name, 4 - c_custkey % 3))) as query from customer union select '42' union select '9' union select 'nobody'), h as (select query, cin, lower(company_name) as name, case when starts_with(lower(company_name), query) then 1 else 2 end as rank from q, company where contains(lower(company_name), query)) select query, cin, rank, cast(row_number() over (partition by query, rank order by name, cin) as int) as r from h qualify r <= 10")
 def e12_search_companies(t):
-    return resolve.search_companies(t.spark.createDataFrame([("customer#00000001",), ("42",), ("nobody",)], "query string"), t.company)
+    typed = t.spark.createDataFrame([("42",), ("9",), ("nobody",)], "query string")
+    of_names = t.base("customer").select(F.lower(F.concat(F.lit("r#"), F.expr("right(c_name, 4 - c_custkey % 3)"))).alias("query")).distinct()
+    return resolve.search_companies(typed.union(of_names), t.company)
 
 
 @query("""with ids as (select pan, min(cin) as cin from company where pan is not null group by pan), dl as (select lower(director_name) as name, cin, row_number() over (partition by lower(director_name) order by date_of_appointment desc nulls last, cin) as r from edge)
@@ -345,14 +363,10 @@ def _source_sql() -> str:
 
 @query(_NEW + " " + _source_sql())
 def i3_i20_append_sources(t):
-    out = None
-    for source, (column, _, _) in fixed.SOURCE_RULES.items():
-        if source == "sarfaesi":
-            continue
-        text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("id") % 12 + 1).cast("int"))
-        one = detect.detect_source(_records(t, column, text), _seen(t), source, "id")
-        out = one if out is None else out.unionByName(one)
-    return out
+    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("id") % 12 + 1).cast("int"))
+    sources = [x for x in fixed.SOURCE_RULES if x != "sarfaesi"]
+    every = F.explode(F.array(*map(F.lit, sources))).alias("source")
+    return detect.detect_sources(_records(t, "text", text).select("*", every), _seen(t).select("*", every), sources, "id")
 
 
 @query(f"""with r as (select id, cin, concat('R', cast(id % 400 as string)) as record_id, {_TEXT_SQL} as txt from ev)
@@ -373,6 +387,15 @@ def i6_district_courts(t):
     return detect.detect_district_cases(r, r.limit(0), stored)
 
 
+@query("""with n as (select cin, cast(count(*) as bigint) as c from ev where id % 2 = 0 and event_type = 'SEC138_FILED' group by cin),
+r as (select cin, cast(id as string) as record_id, row_number() over (partition by cin order by cast(id as string)) as place from ev where id % 2 = 1 and event_type = 'SEC138_FILED')
+select r.cin, case when coalesce(c, 0) + place >= 3 then 'SEC138_MULTIPLE' else 'SEC138_FILED' end as event_type, record_id, cast(coalesce(c, 0) + place as bigint) as cheque_count from r left join n using (cin)""")
+def i6_cumulative_cases(t):
+    stored = t.ev.filter("id % 2 = 0 and event_type = 'SEC138_FILED'").groupBy("cin").agg(F.count("*").alias("cheque_count"))
+    r = t.ev.filter("id % 2 = 1 and event_type = 'SEC138_FILED'").select("cin", F.col("id").cast("string").alias("record_id"), F.lit("Open").alias("disposal_status"), F.lit("Cheque 138").alias("case_type"), F.lit("0").alias("claim_amount"))
+    return detect.detect_district_cases(r, r.limit(0), stored, cumulative=True).select("cin", "event_type", "record_id", "cheque_count")
+
+
 @query("""with r as (select cin, cast(id as string) as record_id, case when id % 6 = 5 then '' else ['cirp', 'Liquidation', 'moratorium', 'voluntary liquidation', 'other'][id % 6 + 1] end as ct from ev)
 select cin, 'ibbi' as source, case lower(ct) when '' then 'IBBI_CIRP_ADMITTED' when 'cirp' then 'IBBI_CIRP_ADMITTED' when 'liquidation' then 'IBBI_LIQUIDATION_ORDER' when 'moratorium' then 'IBBI_MORATORIUM' when 'voluntary liquidation' then 'IBBI_VOLUNTARY_LIQUIDATION' else 'IBBI_CASE_FILED' end as event_type,
 case lower(ct) when '' then 'CRITICAL' when 'cirp' then 'CRITICAL' when 'liquidation' then 'CRITICAL' when 'moratorium' then 'WATCH' else 'ALERT' end as severity, record_id from r""")
@@ -400,6 +423,24 @@ def i0_d11_changed_sources(t):
     return detect.changed_sources(detect.fingerprint(now, ["source"]), detect.fingerprint(before, ["source"]), ["source"])
 
 
+@query(_NEW.replace("from ev), seen", "from ev where user_id % 3 > 0), seen") + " select cin, 'nclt' as source, {0} as event_type, {1} as severity, record_id from f".format(*_case("txt", "nclt")))
+def i0_process_source(t):
+    """Companies whose records are as they were (every third user) give no events, whatever is stored of them."""
+    text = F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("id") % 12 + 1).cast("int"))
+    column = fixed.SOURCE_RULES["nclt"][0]
+    records = _records(t, column, text)
+    same = t.ev.filter("user_id % 3 = 0").select("cin").distinct()
+    before = detect.fingerprint(records.join(same, "cin", "left_semi"), ["cin"])
+    events, _ = detect.process_source(records, _seen(t), before, "nclt", "id")
+    return events
+
+
+@query("select id, case id % 4 when 0 then concat('C', cast(id as string)) when 1 then 'R' when 2 then concat('O', cast(id as string)) else cast(id as string) end as record_id from ev")
+def i21_record_id(t):
+    e = t.ev.select("id", *[F.when(F.col("id") % 4 == i, x).otherwise(F.lit(" ")).alias(n) for i, (n, x) in enumerate({"case_number": F.concat(F.lit("C"), "id"), "record_id": F.lit("R"), "order_number": F.concat(F.lit("O"), "id")}.items())], F.lit(None).cast("string").alias("filing_number"), F.col("id").cast("string").alias("key"))
+    return e.select("id", detect.record_id("case_number", "record_id", "order_number", "filing_number", "key").alias("record_id"))
+
+
 _SNAP = """with o as (select cin, status, paid_up_capital as cap, old_agm as agm from company where k % 89 <> 0), n as (select cin, case when k % 23 = 0 then 'Struck Off' else status end as status, case when k % 13 = 0 then paid_up_capital * 2 else paid_up_capital end as cap, case when k % 2 = 0 then old_agm else date_of_last_agm end as agm from company where k % 97 <> 0),
 b as (select coalesce(o.cin, n.cin) as cin, o.cin is not null as io, n.cin is not null as inn, o.status as os, n.status as ns, o.cap as oc, n.cap as nc, o.agm as oa, n.agm as na from o full outer join n on o.cin = n.cin)"""
 
@@ -423,6 +464,18 @@ def i2_director_diff(t):
     return detect.diff_directors(o, e, boards_from=3)
 
 
+@query("""with p as (select cin, din, designation, case when din::int % 3 = 0 then null else cessation_date end as e, case when din::int % 4 = 0 then concat('Old ', director_name) else director_name end as name, coalesce(date_of_appointment, date '1900-01-01') as since from edge where din::int % 5 <> 0),
+a as (select cin, name from p where designation = 'Auditor' qualify row_number() over (partition by cin order by since desc, name desc) = 1), b as (select din, count(distinct cin) as boards from edge where cessation_date is null group by din)
+select c.cin, c.din as key, director_name, 'CFO_RESIGNED' as event_type, 'ALERT' as severity from edge c join p using (cin, din) where c.designation = 'CFO' and p.e is null and cessation_date is not null
+union all select c.cin, c.din, director_name, 'DIRECTOR_RESIGNED', 'WATCH' from edge c join p using (cin, din) where c.designation <> 'CFO' and p.e is null and cessation_date is not null
+union all select c.cin, c.din, director_name, 'AUDITOR_CHANGED', 'ALERT' from edge c left join p using (cin, din) left join a on a.cin = c.cin where c.designation = 'Auditor' and (p.name <> director_name or a.name <> director_name)
+union all select c.cin, c.din, director_name, 'DIRECTOR_OVERLOADED', 'WATCH' from edge c join b using (din) where boards > 2""")
+def j10_director_refresh(t):
+    e = t.edge.withColumn("d", F.col("din").cast("int"))
+    old = e.filter("d % 5 <> 0").withColumn("cessation_date", F.expr("case when d % 3 = 0 then null else cessation_date end")).withColumn("director_name", F.expr("case when d % 4 = 0 then concat('Old ', director_name) else director_name end"))
+    return detect.refresh_directors(old, e, boards_above=2)
+
+
 def _transition_sql(source: str) -> str:
     out = []
     for previous, new, kind, severity in fixed.TRANSITIONS[source]:
@@ -442,27 +495,33 @@ def j1_j7_f7_transitions(t):
     return out
 
 
+@query("with p as (select key, pull_ts, case when value > 100 then 'Revoked' when value > 50 then 'granted' when value > 10 then 'refused' else 'applied' end as status, floor(value) * 20000000 as cost, row_number() over w as n, lag(case when value > 100 then 'Revoked' when value > 50 then 'granted' when value > 10 then 'refused' else 'applied' end) over w as was from (select user_id as key, cast(ts as timestamp) as pull_ts, event_id as id, value from events) window w as (partition by key order by pull_ts, id)) select key, pull_ts, case when n = 1 and cost > 1000000000 then 'EC_NEW_APPLICATION' else concat('EC_', upper(status)) end as event_type, case when n = 1 and cost > 1000000000 then 'INFO' when status = 'Revoked' then 'CRITICAL' when status = 'refused' then 'ALERT' else 'INFO' end as severity from p where n = 1 and cost > 1000000000 or (n = 1 or status <> was) and status <> 'applied'")
+def j7_clearances(t):
+    e = t.base("events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("pull_ts"), F.col("event_id").alias("id"), F.when(F.col("value") > 100, "Revoked").when(F.col("value") > 50, "granted").when(F.col("value") > 10, "refused").otherwise("applied").alias("status"), (F.floor("value") * 20_000_000).alias("project_cost"))
+    return detect.clearances(e, order=("id",))
+
+
 @query("with p as (select key, pull_ts, case classification when 'micro' then 1 when 'small' then 2 else 3 end as r, complaints from pull), q as (select *, lag(r) over w as was, lag(complaints) over w as cw from p window w as (partition by key order by pull_ts)) select key, pull_ts, 'UDYAM_CLASSIFICATION_UPGRADE' as event_type, 'INFO' as severity from q where r > was union all select key, pull_ts, 'RERA_COMPLAINT_SPIKE', 'ALERT' from q where cw > 0 and complaints >= greatest(cw, 1) * 3")
 def j4_j6_upgrades_and_spikes(t):
     return detect.upgrades(t.pull).unionByName(detect.project_changes(t.pull))
 
 
-_CHG = """with cur as (select cin, case_number as id, amount * 200 as amount, case when amount % 5 = 0 then 'Satisfied' else 'Open' end as status, case_type as lender, 30000000 as cap from legal), prev as (select cin, id, amount - cast(amount % 3 as bigint) * 100 as was, 'Open' as ws, lender from cur where amount % 2 = 0),
+_CHG = """with cur as (select cin, case_number as id, amount * 200 as amount, case when amount % 5 = 0 then 'Satisfied' else 'Open' end as status, 30000000 as cap from legal), prev as (select cin, id, amount - cast(amount % 3 as bigint) * 100 as was, 'Open' as ws from cur where (amount // 200) % 2 = 0),
 b as (select cur.*, was, ws, prev.id is not null as known from cur left join prev on cur.cin = prev.cin and cur.id = prev.id)"""
 
 
-@query(_CHG + """ select cin, id as charge_id, 'CHARGE_EXCEEDS_CAPITAL' as event_type, 'CRITICAL' as severity from b where not known and amount > 100000000 union all select cin, id, 'CHARGE_CREATED', 'ALERT' from b where not known and amount between 10000000 and 100000000 union all select cin, id, 'CHARGE_MODIFIED', 'WATCH' from b where known and amount > was
-union all select cin, id, 'CHARGE_SATISFIED', 'INFO' from b where known and status = 'Satisfied' union all select cin, id, 'CHARGE_EXCEEDS_CAPITAL', 'CRITICAL' from b where known and amount > cap""")
+@query(_CHG + """, h as (select cin, id as charge_id, case when not known and amount > 100000000 then 'CHARGE_EXCEEDS_CAPITAL' when not known and amount >= 10000000 then 'CHARGE_CREATED' when not known then null when amount > was then 'CHARGE_MODIFIED' when status = 'Satisfied' then 'CHARGE_SATISFIED' when amount > cap then 'CHARGE_EXCEEDS_CAPITAL' end as event_type from b)
+select cin, charge_id, event_type, case event_type when 'CHARGE_EXCEEDS_CAPITAL' then 'CRITICAL' when 'CHARGE_CREATED' then 'ALERT' else 'WATCH' end as severity from h where event_type is not null""")
 def j9_i14_charges(t):
     cur = t.legal.select("cin", F.col("case_number").alias("charge_id"), F.col("amount").alias("a"), (F.col("amount") * 200).alias("amount"), F.lit(30_000_000).alias("authorized_capital")).withColumn("status", F.when(F.col("a") % 5 == 0, "Satisfied").otherwise("Open"))
-    prev = cur.filter("amount % 2 = 0").select("cin", "charge_id", (F.col("amount") - F.col("amount") % 3 * 100).alias("amount"), F.lit("Open").alias("status"))
+    prev = cur.filter("a % 2 = 0").select("cin", "charge_id", (F.col("amount") - F.col("amount") % 3 * 100).alias("amount"), F.lit("Open").alias("status"))
     return detect.classify_charges(prev, cur)
 
 
-@query("with c as (select cin, count(distinct case_type) filter (where status <> 'Disposed') as now, count(distinct case_type) filter (where status <> 'Disposed' and amount % 2 = 0) as old from legal group by cin) select cin, 'MULTIPLE_LENDERS' as event_type, 'ALERT' as severity, cast(now as bigint) as lenders from c where now >= 2 and old < 2")
+@query("with c as (select cin, count(distinct case_type) filter (where status <> 'Disposed') as now, count(distinct case_type) filter (where status <> 'Disposed' and amount % 3 = 0) as old from legal group by cin) select cin, 'MULTIPLE_LENDERS' as event_type, 'ALERT' as severity, cast(now as bigint) as lenders from c where now >= 3 and old < 3")
 def f9_multiple_lenders(t):
     c = t.legal.select("cin", F.col("case_type").alias("lender"), F.when(F.col("status") == "Disposed", "Satisfied").otherwise("Open").alias("status"), "amount")
-    return detect.multiple_lenders(c.filter("amount % 2 = 0"), c, 2)
+    return detect.multiple_lenders(c.filter("amount % 3 = 0"), c)
 
 
 @query("""with c as (select cin, case_number as id, amount * 100 as amount, case when status = 'Disposed' then filing_date end as done from legal), o as (select cin, count(*) as n from c where done is null group by cin)
@@ -479,11 +538,11 @@ def j11_bulk_deals(t):
     return detect.classify_deals(d.union(d), d.limit(0))
 
 
-@query("""with r as (select distinct c_name as b, concat('Director ', cast(c_custkey % 900 as string)) as dn, c_custkey as k from customer where c_custkey % 2 = 0), dl as (select distinct director_name, cin from edge)
+@query("""with r as (select distinct c_name as b, concat('Director ', cast(c_custkey % 900 as string)) as dn, c_custkey as k from customer), dl as (select distinct director_name, cin from edge)
 select case when k % 4 = 0 then b else concat('X', b) end as borrower, case when k % 4 = 0 then concat('U', lpad(cast(k % 100000 as string), 5, '0'), 'MH2015PTC', lpad(cast(k as string), 6, '0')) end as cin, case when k % 4 = 0 then 'WILFUL_DEFAULT_COMPANY' else 'UNMAPPED' end as event_type, case when k % 4 = 0 then 'CRITICAL' else 'INFO' end as severity from r
 union all select case when k % 4 = 0 then b else concat('X', b) end, dl.cin, 'WILFUL_DEFAULT_DIRECTOR', 'ALERT' from r join dl on dl.director_name = r.dn""")
 def j12_wilful_defaulters(t):
-    r = t.cut(t.base("customer"), "c_custkey % 2 = 0").select(F.expr("case when c_custkey % 4 = 0 then c_name else concat('X', c_name) end").alias("borrower"), F.concat(F.lit("DIRECTOR "), (F.col("c_custkey") % 900).cast("string")).alias("director_name"))
+    r = t.base("customer").select(F.expr("case when c_custkey % 4 = 0 then c_name else concat('X', c_name) end").alias("borrower"), F.concat(F.lit("DIRECTOR "), (F.col("c_custkey") % 900).cast("string")).alias("director_name"))
     return detect.defaulter_rows(r, r.limit(0), t.company, t.edge.select("director_name", "cin").distinct())
 
 
@@ -507,6 +566,22 @@ def j14_j21_order_texts(t):
     return out
 
 
+@query("""with r as (select id, cast(detected_at as date) as release_date, concat('E', cast(user_id % 50 as string)) as entity_name, ['Penalty on a bank', 'Cancellation of CoR', 'Restrictions eased', 'Warning letter', 'Speech', 'Enforcement action'][id % 6 + 1] as title from ev),
+c as (select *, case when contains(lower(title), 'cancellation') then 'cancellation' when contains(lower(title), 'restriction') then 'restriction' when contains(lower(title), 'warning') then 'warning' else 'penalty' end as action from r where title <> 'Speech'), seen as (select distinct release_date, entity_name, action from c where id % 11 = 0)
+select distinct release_date, entity_name, action, case action when 'cancellation' then 'RBI_LICENSE_CANCELLED' when 'restriction' then 'RBI_RESTRICTION' when 'warning' then 'RBI_WARNING' else 'RBI_ENFORCEMENT' end as event_type, case action when 'cancellation' then 'CRITICAL' when 'warning' then 'WATCH' else 'ALERT' end as severity from c anti join seen using (release_date, entity_name, action)""")
+def j14_press_releases(t):
+    r = t.ev.select("id", F.col("detected_at").cast("date").alias("release_date"), F.concat(F.lit("E"), (F.col("user_id") % 50).cast("string")).alias("entity_name"), F.element_at(F.array(*map(F.lit, ["Penalty on a bank", "Cancellation of CoR", "Restrictions eased", "Warning letter", "Speech", "Enforcement action"])), (F.col("id") % 6 + 1).cast("int")).alias("title"))
+    none = r.limit(0).select("release_date", "entity_name", F.lit("").alias("action"))
+    seen = detect.press_releases(r.filter("id % 11 = 0"), none).select("release_date", "entity_name", "action")
+    return detect.press_releases(r, seen)
+
+
+@query("select c_custkey as k, concat(c_name, ' Pvt Ltd') as party, cin, 'CCI_PENALTY' as event_type, 'ALERT' as severity from customer join company on k = c_custkey union all select c_custkey, concat('Beta ', cast(c_custkey as string), ' LLP'), null, 'CCI_PENALTY', 'ALERT' from customer")
+def j16_j18_resolved_parties(t):
+    text = F.concat("c_name", F.lit(" Pvt Ltd; Beta "), F.col("c_custkey"), F.lit(" LLP; the State, penalty"))
+    return detect.resolved_party_events(t.base("customer").select(F.col("c_custkey").alias("k"), text.alias("text")), "competition", "text", "k", t.company)
+
+
 @query("select cin, cast(id as string) as record_id, case when id % 3 = 0 and floor(value) > 50 then 'LABOUR_MASS_RETRENCHMENT' when id % 3 = 1 then 'LABOUR_BACK_WAGES' else 'LABOUR_INDUSTRIAL_DISPUTE' end as event_type, case when id % 3 = 0 and floor(value) > 50 then 'ALERT' else 'WATCH' end as severity from ev")
 def j19_labour_orders(t):
     return detect.classify_labour(t.ev.select("cin", F.col("id").cast("string").alias("record_id"), F.element_at(F.array(F.lit("Retrenchment"), F.lit("Back Wages"), F.lit("other")), (F.col("id") % 3 + 1).cast("int")).alias("order_type"), F.floor("value").alias("affected")))
@@ -530,15 +605,23 @@ _SCORE = """with ff as (select cin, case when date_of_last_agm is null then case
 ds as (select cin, case count(*) when 1 then 80.0 when 2 then 50.0 else 20.0 end as director_stability from edge where date_of_appointment >= date '2001-05-04' or cessation_date >= date '2001-05-04' group by cin),
 lr as (select cin, case when bool_or(case_type in ('NCLT_7', 'NCLT_9', 'NCLT_10', 'SARFAESI_13_4', 'SARFAESI_AUCTION')) then 5.0 when count(*) >= 3 then 20.0 when count(*) filter (where case_type = 'SEC_138') between 1 and 2 then 50.0 when count(*) = 1 then 80.0 else 100.0 end as legal_risk from legal where status not in ('Disposed', 'Dismissed', 'Withdrawn', 'Closed') group by cin),
 fh as (select cin, case when d is null then 50.0 when d < 1 then 100.0 when d <= 2 then 70.0 when d <= 4 then 40.0 else 15.0 end as financial_health from (select cin, arg_max({'d': debt_to_equity}, financial_year).d as d from finance group by cin)),
-parts as (select c.cin, filing_freshness, coalesce(director_stability, 100.0) as director_stability, coalesce(legal_risk, 100.0) as legal_risk, coalesce(financial_health, 50.0) as financial_health, 50.0 as capital_trajectory from company c left join ff using (cin) left join ds using (cin) left join lr using (cin) left join fh using (cin)),
-sc as (select *, round(cast(filing_freshness * 0.25 + director_stability * 0.2 + legal_risk * 0.25 + financial_health * 0.2 + 5.0 as double), 1) as score from parts),
+cw as (select cin, max_by(floor(value)::bigint * 40000, epoch_us(detected_at)::hugeint * 100000000 + id)::double as was from ev where event_type = 'CAPITAL_CHANGE' group by cin),
+ct as (select c.cin, case when was is null or was = 0 then 50.0 when (authorized_capital::double - was) / was * 100 > 5 then 100.0 when (authorized_capital::double - was) / was * 100 >= -5 then 60.0 else 20.0 end as capital_trajectory from company c left join cw using (cin)),
+parts as (select c.cin, filing_freshness, coalesce(director_stability, 100.0) as director_stability, coalesce(legal_risk, 100.0) as legal_risk, coalesce(financial_health, 50.0) as financial_health, capital_trajectory from company c left join ff using (cin) left join ds using (cin) left join lr using (cin) left join fh using (cin) left join ct using (cin)),
+sc as (select *, round(cast(filing_freshness * 0.25 + director_stability * 0.2 + legal_risk * 0.25 + financial_health * 0.2 + capital_trajectory * 0.1 as double), 1) as score from parts),
 bd as (select *, case when score >= 70 then 'GREEN' when score >= 40 then 'AMBER' else 'RED' end as band from sc),
 act as (select distinct din, cin from edge where cessation_date is null), peer as (select distinct a.cin, b.cin as peer from act a join act b on a.din = b.din and a.cin <> b.cin),
 pen as (select p.cin, sum(case band when 'RED' then 15 else 5 end) as penalty, count(*) as peers, list_sort(list(p.peer)) as contributors from peer p join bd on bd.cin = p.peer where band in ('RED', 'AMBER') group by p.cin)"""
 
 
 def _parts(t):
-    return score.components(t.company, t.edge, t.legal, t.finance, t.ev, t.order_day)
+    return score.components(t.company, t.edge, t.legal, t.finance, _capital_events(t), t.order_day)
+
+
+def _capital_events(t):
+    """Events whose capital changes tell the capital before them."""
+    before = F.concat(F.lit('{"previous_capital":'), (F.floor("value") * 40_000).cast("string"), F.lit("}"))
+    return t.ev.withColumn("data_json", F.when(F.col("event_type") == "CAPITAL_CHANGE", before).otherwise(F.col("data_json")))
 
 
 @query(_SCORE + " select cin, filing_freshness::double as filing_freshness, director_stability::double as director_stability, legal_risk::double as legal_risk, financial_health::double as financial_health, capital_trajectory::double as capital_trajectory from parts")
@@ -548,9 +631,9 @@ def k1_k5_components(t):
 
 @query(_SCORE + ", f as (select bd.cin, coalesce(penalty, 0)::bigint as penalty, round(greatest(0, least(100, score - coalesce(penalty, 0))), 1)::double as score from bd left join pen using (cin)) select cin, penalty, score, case when score >= 70 then 'GREEN' when score >= 40 then 'AMBER' else 'RED' end as band, cast(floor(score) as int) as score_stored from f")
 def k6_health_score(t):
-    first = score.weigh(_parts(t))
-    pen = score.contagion_penalty(score.peers(t.edge), first.select("cin", "band"))
-    return score.weigh(_parts(t), pen).select("cin", F.col("penalty").cast("long").alias("penalty"), "score", "band", "score_stored")
+    parts = kept(_parts(t))
+    pen = score.contagion_penalty(score.peers(t.edge), score.weigh(parts).select("cin", "band"))
+    return score.weigh(parts, pen).select("cin", F.col("penalty").cast("long").alias("penalty"), "score", "band", "score_stored")
 
 
 @query(_SCORE + " select cin, penalty::bigint as penalty, peers::bigint as peers, contributors from pen")
@@ -558,45 +641,109 @@ def k7_c6_contagion_penalty(t):
     return score.contagion_penalty(score.peers(t.edge), score.weigh(_parts(t)).select("cin", "band")).select("cin", F.col("penalty").cast("long").alias("penalty"), "peers", "contributors")
 
 
-@query(_SCORE + """, ch as (select cin from bd where band = 'RED'), l1 as (select p.peer as cin, min(ch.cin) as origin from peer p join ch on p.cin = ch.cin where p.peer not in (select cin from ch) group by p.peer),
-r1 as (select l1.cin, 1 as depth, origin, coalesce(penalty, 0) as penalty, score as score_before, round(greatest(0.0, score - coalesce(penalty, 0)), 1) as score_after, band as band_before from l1 join bd using (cin) left join pen using (cin)),
+_REACH = _SCORE + """, ch as (select cin from bd where band = 'RED'), l1 as (select p.peer as cin, min([ch.cin]) as via from peer p join ch on p.cin = ch.cin where p.peer not in (select cin from ch) group by p.peer),
+r1 as (select l1.cin, 1 as depth, via[1] as origin, list_append(via, l1.cin) as chain, coalesce(penalty, 0) as penalty, score as score_before, round(greatest(0.0, score - coalesce(penalty, 0)), 1) as score_after, band as band_before from l1 join bd using (cin) left join pen using (cin)),
 s1 as (select *, case when score_after >= 70 then 'GREEN' when score_after >= 40 then 'AMBER' else 'RED' end as band_after from r1),
 b2 as (select bd.cin, score, coalesce(band_after, band) as band from bd left join s1 using (cin)), done as (select cin from ch union select cin from s1),
-l2 as (select p.peer as cin, min(s1.origin) as origin from peer p join s1 on p.cin = s1.cin and s1.band_after <> s1.band_before where p.peer not in (select cin from done) group by p.peer),
+l2 as (select p.peer as cin, min(s1.chain) as via from peer p join s1 on p.cin = s1.cin and s1.band_after <> s1.band_before where p.peer not in (select cin from done) group by p.peer),
 pen2 as (select p.cin, sum(case band when 'RED' then 15 else 5 end) as penalty from peer p join b2 on b2.cin = p.peer where band in ('RED', 'AMBER') group by p.cin),
-r2 as (select l2.cin, 2 as depth, origin, coalesce(penalty, 0) as penalty, score as score_before, round(greatest(0.0, score - coalesce(penalty, 0)), 1) as score_after, band as band_before from l2 join b2 using (cin) left join pen2 using (cin)),
-s2 as (select *, case when score_after >= 70 then 'GREEN' when score_after >= 40 then 'AMBER' else 'RED' end as band_after from r2)
-select cin, depth, origin, penalty::bigint as penalty, score_before::double as score_before, score_after::double as score_after, band_before, band_after from s1 union all select cin, depth, origin, penalty::bigint, score_before::double, score_after::double, band_before, band_after from s2""")
+r2 as (select l2.cin, 2 as depth, via[1] as origin, list_append(via, l2.cin) as chain, coalesce(penalty, 0) as penalty, score as score_before, round(greatest(0.0, score - coalesce(penalty, 0)), 1) as score_after, band as band_before from l2 join b2 using (cin) left join pen2 using (cin)),
+s2 as (select *, case when score_after >= 70 then 'GREEN' when score_after >= 40 then 'AMBER' else 'RED' end as band_after from r2),
+re as (select * from s1 union all select * from s2)"""
+
+
+@query(_REACH + " select cin, depth, origin, chain, penalty::bigint as penalty, score_before::double as score_before, score_after::double as score_after, band_before, band_after from re")
 def k8_propagate_contagion(t):
     first = kept(score.weigh(_parts(t)).select("cin", "score", "band"))
     return score.propagate(first, t.edge, first.filter("band = 'RED'"), kept).withColumn("penalty", F.col("penalty").cast("long"))
 
 
+@query(_REACH + """ select cin, 'CONTAGION_ENGINE' as source, 'CONTAGION_PROPAGATED' as event_type, 'WATCH' as severity, timestamp '2001-08-02 00:00:00' as detected_at, concat('{"origin_cin":"', origin, '","depth":', (depth - 1)::varchar, ',"chain":["', array_to_string(chain, '","'), '"]}') as data_json from re""")
+def k8_contagion_events(t):
+    first = kept(score.weigh(_parts(t)).select("cin", "score", "band"))
+    return score.contagion_events(score.propagate(first, t.edge, first.filter("band = 'RED'"), kept), t.order_day)
+
+
 @query(_SCORE + " select id, ev.cin, event_type, severity, 50 as health_score_before, cast(floor(score) as int) as health_score_after, band from ev join bd using (cin)")
 def k9_apply_scores(t):
     return score.apply_scores(t.ev, score.weigh(_parts(t)))
 
 
-_COMBO = "with n as (select id, cin, case event_type when 'AGM_OVERDUE' then 'FILING_DECAY' when 'SEC138_FILED' then 'ECOURTS_SEC138' else event_type end as et, detected_at from ev where detected_at <= timestamp '2024-01-31 00:00:00')"
+@query(_SCORE + " select cin, case when k % 4 = 0 then 11 else cast(floor(score) as int) end as health_score, case when k % 4 = 0 then 'OLD' else band end as health_band, case when k % 4 > 0 then timestamp '2001-08-02 00:00:00' end as last_score_computed_at from company join bd using (cin)")
+def k9_scored_master(t):
+    m = t.company.select("cin", "k", F.lit(11).alias("health_score"), F.lit("OLD").alias("health_band"))
+    return score.scored_master(m.drop("k"), score.weigh(_parts(t)).join(m.filter("k % 4 > 0").select("cin"), "cin", "left_semi"), t.order_day)
+
+
+@query(_SCORE + " select ev.cin, id as event_id, cast(floor(score) as int) as health_score_at_firing, severity, timestamp '2001-08-02 00:00:00' as fired_at from ev join bd using (cin)")
+def k9_predictions(t):
+    return score.predictions_of(t.ev, score.weigh(_parts(t)), t.order_day)
+
+
+#: every type that a rule names, and what stands for one
+_KINDS_OF_RULES = sorted({x for _, _, conditions in fixed.COMPOSITES.values() for c in conditions if isinstance(c, list) for x in c} | set(fixed.EVENT_ALIASES))
+_KIND_SQL = "['" + "', '".join(_KINDS_OF_RULES) + "']"
+
+
+def _combo_sql(more: str = "") -> str:
+    """All rules: the newest event of each condition within the rule's days, where every condition has one."""
+    stands = " ".join(f"when '{k}' then '{v}'" for k, v in fixed.EVENT_ALIASES.items())
+    out = [f"with e as (select id, {cin('((user_id // 25) * 25 + 1)')} as cin, {_KIND_SQL}[id % {len(_KINDS_OF_RULES)} + 1] as raw, detected_at from ev), n as (select id, cin, case raw {stands} else raw end as et, epoch_us(detected_at)::hugeint * 100000000 + id as tm, detected_at from e where detected_at <= timestamp '2024-01-31 00:00:00')"]
+    parts = []
+    for rule, (severity, window, conditions) in fixed.COMPOSITES.items():
+        typed = [c for c in conditions if isinstance(c, list)]
+        best = ["max_by(id, tm) filter (where et in ('" + "', '".join(c) + "'))" for c in typed]
+        status = "".join(f" and cin in (select cin from company where status = '{c['status']}')" for c in conditions if isinstance(c, dict))
+        parts.append(f"select cin, '{rule}' as rule, '{severity}' as severity, list_sort(list_distinct(list_value({', '.join(best)}))) as event_ids from n where detected_at >= timestamp '2024-01-31 00:00:00' - interval {window or 365} days{status} group by cin having " + " and ".join(f"{b} is not null" for b in best))
+    out.append("s as (" + " union all ".join(parts) + ")")
+    return ", ".join(out) + " select cin, rule, severity, event_ids from s" + more
+
+
+def _signals(t):
+    kind = F.element_at(F.array(*map(F.lit, _KINDS_OF_RULES)), (F.col("id") % len(_KINDS_OF_RULES) + 1).cast("int"))
+    return t.ev.select("id", F.expr(cin("(floor(user_id / 25) * 25 + 1)")).alias("cin"), kind.alias("event_type"), "detected_at")
 
 
-@query(_COMBO + """, a as (select cin, max_by(id, epoch_us(detected_at)::hugeint * 100000 + id) filter (where et = 'FILING_DECAY') as f, max_by(id, epoch_us(detected_at)::hugeint * 100000 + id) filter (where et = 'ECOURTS_SEC138') as s from n where detected_at >= timestamp '2024-01-31 00:00:00' - interval 180 days group by cin),
-z as (select n.cin, max_by(id, epoch_us(detected_at)::hugeint * 100000 + id) as g from n join company c on c.cin = n.cin and c.status = 'Active' where et = 'GST_CANCELLED' and detected_at >= timestamp '2024-01-31 00:00:00' - interval 365 days group by n.cin)
-select cin, 'PRE_INSOLVENCY_CLASSIC' as rule, 'ALERT' as severity, list_sort([f, s]) as event_ids from a where f is not null and s is not null union all select cin, 'ZOMBIE_COMPANY', 'ALERT', [g] from z""")
+@query(_combo_sql())
 def k10_f6_combine_signals(t):
-    return score.combine_signals(t.ev, t.company, t.event_day)
+    return score.combine_signals(_signals(t), t.company, t.event_day)
 
 
-@query("""with act as (select distinct din, cin from edge where cessation_date is null), b as (select din, count(*) as boards from act group by din having count(*) >= 2), x as (select cin, max(boards) as boards, max_by(act.din, boards * 100000000 + cast(act.din as int)) as din from act join b using (din) group by cin)
-select c.cin, din, boards::bigint as boards from company c join x using (cin) where date_of_last_agm is null and date_diff('month', date_of_incorporation, date '2001-08-02') < 72 and authorized_capital <= 10000000""")
+_TRIGGERED = " or ".join("rule = '{0}' and exists (select 1 from n where n.cin = s.cin and id % 50 = 0 and et in ('{1}'))".format(rule, "', '".join(x for c in conditions if isinstance(c, list) for x in c)) for rule, (_, _, conditions) in fixed.COMPOSITES.items())
+
+
+@query(_combo_sql(f" where ({_TRIGGERED}) and not (substring(cin, 16)::int % 2 = 0 and rule = 'ZOMBIE_COMPANY') and not (substring(cin, 16)::int % 3 = 0 and rule = 'FUNDED_GROWTH')"))
+def k10_c8_triggered_signals(t):
+    """Only rules that name a new event of the company (one of fifty is new), none whose own name is among its events, and
+    none that has fired within the last 30 days."""
+    e = _signals(t)
+    named = e.filter("cast(substring(cin, 16) as int) % 2 = 0").select("cin").distinct()
+    own = named.select(F.lit(-1).cast("long").alias("id"), "cin", F.lit("ZOMBIE_COMPANY").alias("event_type"), (t.event_day - F.expr("INTERVAL 300 DAYS")).alias("detected_at"))
+    old = named.select(F.lit(-2).cast("long").alias("id"), "cin", F.lit("FUNDED_GROWTH").alias("event_type"), (t.event_day - F.expr("INTERVAL 400 DAYS")).alias("detected_at"))
+    fired = e.filter("cast(substring(cin, 16) as int) % 3 = 0").select("cin", F.lit("FUNDED_GROWTH").alias("rule"), (t.event_day - F.expr("INTERVAL 20 DAYS")).alias("detected_at")).distinct()
+    return score.combine_signals(e.unionByName(own).unionByName(old), t.company, t.event_day, fired=fired, new=e.filter("id % 50 = 0").select("cin", "event_type"))
+
+
+@query("""with act as (select distinct din, cin from edge where cessation_date is null), b as (select din, count(*) as boards from act group by din having count(*) >= 2), x as (select cin, max(boards) as boards, max_by(act.din, boards * 100000000 + cast(act.din as int)) as din from act join b using (din) group by cin),
+lost as (select cin, bool_or(event_type = 'AGM_OVERDUE') as epfo, bool_or(event_type = 'GST_CANCELLED') as gst from ev group by cin)
+select c.cin, x.din, boards::bigint as boards from company c join x using (cin) left join lost using (cin) where date_of_last_agm is null and date_diff('month', date_of_incorporation, date '2001-08-02') < 72 and authorized_capital <= 10000000
+and (k % 2 = 0 or coalesce(epfo, false)) and (k % 3 = 0 or coalesce(gst, false)) and k % 13 > 0""")
 def k11_c7_shell_companies(t):
-    return score.shell_companies(t.company, t.edge, t.order_day, boards=2, months=72, capital=10_000_000)
+    m = t.company.withColumn("epfo_id", F.when(F.col("k") % 2 > 0, "E")).withColumn("gstin", F.when(F.col("k") % 3 > 0, "G"))
+    # the events are dated to the month before, as the companies are of 2001
+    e = t.ev.select("cin", F.when(F.col("event_type") == "AGM_OVERDUE", "EPFO_ESTABLISHMENT_DELISTED").otherwise(F.col("event_type")).alias("event_type"), (t.order_day - F.expr("INTERVAL 30 DAYS")).alias("detected_at"))
+    stale = e.withColumn("event_type", F.lit("GST_SUSPENDED")).withColumn("detected_at", t.order_day - F.expr("INTERVAL 13 MONTHS"))
+    fired = t.company.filter("k % 13 = 0").select("cin", (t.order_day - F.expr("INTERVAL 10 DAYS")).alias("detected_at"))
+    return score.shell_companies(m, t.edge, t.order_day, boards=2, months=72, capital=10_000_000, fired=fired, events=e.unionByName(stale))
 
 
-@query(_SCORE + " select c.registered_state, c.industrial_class, count(*)::bigint as stressed, list_sort(list(c.cin)) as cins from bd join company c using (cin) where band in ('RED', 'AMBER') and status = 'Active' group by 1, 2 having count(*) >= 3")
+@query(_SCORE + " select c.registered_state, c.industrial_class, count(*)::bigint as stressed, list_sort(list(c.cin)) as cins from bd join company c using (cin) where band in ('RED', 'AMBER') and status = 'Active' and not (registered_state in ('N1', 'N2') and industrial_class = 'BUILDING') group by 1, 2 having count(*) >= 3")
 def k12_d5_sector_clusters(t):
     s = score.weigh(_parts(t)).select("cin", "band").join(t.company.select("cin", "status", "registered_state", "industrial_class"), "cin").withColumn("scored_at", t.order_day)
-    return score.sector_clusters(s, t.order_day, least=3)
+    ago = lambda days: (t.order_day - F.expr(f"INTERVAL {days} DAYS")).alias("detected_at")
+    group = t.company.filter("industrial_class = 'BUILDING'").select("registered_state", "industrial_class").distinct()
+    fired = group.filter("registered_state in ('N1', 'N2')").select("*", ago(10)).unionByName(group.filter("registered_state = 'N3'").select("*", ago(40)))
+    return score.sector_clusters(s, t.order_day, least=3, fired=fired)
 
 
 @query("select distinct cin, event_type from ev where detected_at >= timestamp '2024-01-20 00:00:00'")
@@ -604,12 +751,13 @@ def k13_unscored_events(t):
     return score.unscored(t.ev.withColumn("health_score_after", F.lit(None).cast("int")), F.lit("2024-01-20 00:00:00").cast("timestamp"), 0)
 
 
-@query(_SCORE + """, e as (select cin, count(*) as n from (select cin, row_number() over (partition by cin order by detected_at desc, id desc) as r from ev) where r <= 10 group by cin), l as (select cin, count(*) as n from legal group by cin), d as (select cin, count(*) as n from edge group by cin)
-select p.cin, round(filing_freshness * 0.25, 2)::double as filing_freshness_weighted, coalesce(e.n, 0)::bigint as n_events, coalesce(l.n, 0)::bigint as n_cases, coalesce(d.n, 0)::bigint as n_directors from parts p left join e using (cin) left join l using (cin) left join d using (cin)""")
+@query(_SCORE + """, e as (select cin, string_agg(concat(r::varchar, ':', id::varchar, ':', event_type, ':', severity), ',' order by r) as x from (select *, row_number() over (partition by cin order by detected_at desc, id desc) as r from ev) where r <= 10 group by cin),
+l as (select cin, string_agg(concat(case_number, ':', case_type, ':', status), ',' order by case_number, case_type, status) as x from legal group by cin), d as (select cin, string_agg(concat(case when cessation_date is not null then 'true' else 'false' end, ':', din), ',' order by cessation_date is not null, din) as x from edge group by cin)
+select p.cin, round(filing_freshness * 0.25, 2)::double as filing_freshness_weighted, round(capital_trajectory * 0.1, 2)::double as capital_trajectory_weighted, coalesce(e.x, '') as events, coalesce(l.x, '') as cases, coalesce(d.x, '') as directors from parts p left join e using (cin) left join l using (cin) left join d using (cin)""")
 def k14_company_profile(t):
     p = score.company_profile(_parts(t), t.ev, t.legal, t.edge)
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return p.select("cin", "filing_freshness_weighted", F.greatest(n("events"), F.lit(0)).alias("n_events"), F.greatest(n("cases"), F.lit(0)).alias("n_cases"), F.greatest(n("directors"), F.lit(0)).alias("n_directors"))
+    written = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.array_join(F.array(*[x[f].cast("string") for f in p.schema[c].dataType.elementType.names]), ":")), ","), F.lit("")).alias(c)
+    return p.select("cin", "filing_freshness_weighted", "capital_trajectory_weighted", written("events"), written("cases"), written("directors"))
 
 
 # ---- routing ---------------------------------------------------------------------------------
@@ -618,7 +766,7 @@ def k14_company_profile(t):
 def _watch(t):
     w = t.watch.withColumn("type_filter", F.when(F.col("one_type").isNotNull(), F.array("one_type")))
     lists = t.entry_.groupBy(F.col("subscriber_id").alias("watchlist_id")).agg(F.array_sort(F.collect_set("cin")).alias("cin_list"))
-    return w.join(lists, "watchlist_id", "left").withColumn("cin_list", F.when(F.col("by_company"), F.col("cin_list"))).select("watchlist_id", "state_filter", "sector_filter", "severity_min", "type_filter", "cin_list", "is_active")
+    return w.join(lists, "watchlist_id", "left").withColumn("cin_list", F.when(F.col("by_company"), F.coalesce("cin_list", F.array().cast("array<string>")))).select("watchlist_id", "state_filter", "sector_filter", "severity_min", "type_filter", "cin_list", "is_active")
 
 
 def _alerts(t):
@@ -642,10 +790,10 @@ def l2_due_alerts(t):
 
 
 def _digests(t):
-    return route.build_digests(_alerts(t).withColumn("alert_id", F.col("event_id")).withColumn("score_before", F.col("event_id") % 100).withColumn("score_after", F.col("event_id") % 90))
+    return route.build_digests(_alerts(t).withColumn("alert_id", F.col("event_id") * 100 + F.col("watchlist_id")).withColumn("score_before", F.col("event_id") % 100).withColumn("score_after", F.col("event_id") % 90))
 
 
-_DIGEST = _ALERT + f", dg as (select watchlist_id, cin, count(*)::bigint as n_events, max_by(severity, {_R.format('severity')}) as max_severity, min_by(event_id % 100, epoch_us(detected_at)) as score_before, max_by(event_id % 90, epoch_us(detected_at)) as score_after, substring(md5(string_agg(event_id::varchar, ',' order by event_id)), 1, 16) as batch_id from al group by 1, 2)"
+_DIGEST = _ALERT + f", dg as (select watchlist_id, cin, count(*)::bigint as n_events, max_by(severity, {_R.format('severity')}) as max_severity, min_by(event_id % 100, epoch_us(detected_at)) as score_before, max_by(event_id % 90, epoch_us(detected_at)) as score_after, substring(md5(string_agg((event_id * 100 + watchlist_id)::varchar, ',' order by event_id)), 1, 16) as batch_id from al group by 1, 2)"
 
 
 @query(_DIGEST + " select watchlist_id, cin, n_events, max_severity, score_before, score_after, batch_id from dg")
@@ -660,6 +808,13 @@ def l4_l6_mark_delivery(t):
     return route.mark_delivery(d, o)
 
 
+@query(_DIGEST + """ select cin, 'routing' as source, 'TELEGRAM_DELIVERY_FAILED' as event_type, 'ALERT' as severity, timestamp '2024-01-31 00:00:00' as detected_at, concat('{"watchlist_id":', watchlist_id::varchar, ',"batch_id":"', batch_id, '"}') as data_json from dg where n_events % 4 > 0 and n_events % 3 = 2""")
+def l4_delivery_events(t):
+    d = kept(_digests(t))
+    o = d.filter("n_events % 4 > 0").select("batch_id", (F.col("n_events") % 3 == 1).alias("ok"), (F.col("n_events") % 3).alias("retry_count"))
+    return route.delivery_events(route.mark_delivery(d, o), t.event_day)
+
+
 _S = "case {0} when 'INFO' then 0 when 'WATCH' then 1 when 'AMBER' then 2 when 'RED' then 3 when 'ALERT' then 3 when 'CRITICAL' then 4 else 0 end"
 
 
@@ -696,7 +851,9 @@ def l11_watchlist_entries(t):
     return route.watchlist_entries(t.entry_, t.company)
 
 
-@query("select id, cin, event_type from (select *, lag(detected_at) over (partition by cin, event_type order by detected_at, id) as b from ev) where b is null or epoch(detected_at) - epoch(b) >= 2 * 86400")
+@query("""with recursive o as (select id, cin, event_type, epoch_us(detected_at) as tm, row_number() over (partition by cin, event_type order by detected_at, id) as r from ev),
+f as (select id, cin, event_type, r, tm as last, true as fires from o where r = 1 union all select o.id, o.cin, o.event_type, o.r, case when tm - last >= 172800000000 then tm else last end, tm - last >= 172800000000 from f join o on o.cin = f.cin and o.event_type = f.event_type and o.r = f.r + 1)
+select id, cin, event_type from f where fires""")
 def f10_cool_down(t):
     return route.cool_down(t.ev, 2).select("id", "cin", "event_type")
 
@@ -760,11 +917,35 @@ def m8_b22_b23_g4_source_status(t):
     return route.source_status(s, t.event_day)
 
 
+@query("select cin as source_id, timestamp '2024-01-31 00:00:00' - ((k % 50) - 20) * interval 1 hour as next_pull_at, ['OK', 'DEGRADED', 'UNREACHABLE'][k % 3 + 1] as status, round((k % 50) - 20, 2)::double as lag_hours from company where k % 7 > 0 and (k % 50) - 20 > 0")
+def g3_past_due(t):
+    s = t.company.select(F.col("cin").alias("source_id"), F.element_at(F.array(F.lit("OK"), F.lit("DEGRADED"), F.lit("UNREACHABLE")), (F.col("k") % 3 + 1).cast("int")).alias("status"), F.when(F.col("k") % 7 > 0, t.event_day - F.make_interval(hours=(F.col("k") % 50 - 20).cast("int"))).alias("next_pull_at"))
+    return route.past_due(s, t.event_day)
+
+
+@query("select id, cin from ev where detected_at + interval 5 days < timestamp '2024-01-20 00:00:00' and id % 9 > 0")
+def m13_expired_cache(t):
+    rows = t.ev.select("id", "cin", F.when(F.col("id") % 9 > 0, F.col("detected_at") + F.expr("INTERVAL 5 DAYS")).alias("expires_at"))
+    return route.expired_rows(rows, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("id", "cin")
+
+
 @query("select id, severity, detected_at from ev where detected_at between timestamp '2024-01-20 00:00:00' - interval 24 hours and timestamp '2024-01-20 00:00:00' order by case severity when 'CRITICAL' then 4 when 'ALERT' then 3 when 'WATCH' then 2 else 1 end desc, detected_at desc, id desc limit 5")
 def g1_m10_top_events(t):
     return route.top_events(t.ev, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("id", "severity", "detected_at")
 
 
+@query("""with s as (select case when k % 7 = 0 then 'grey' when k % 5 = 0 or k % 4 = 3 then 'red' when k % 4 > 0 then 'amber' else 'green' end as colour from company), p as (select * from pred where severity = 'CRITICAL' and fired_at >= timestamp '2024-01-20 00:00:00' - interval 30 days)
+select 'top event' as section, cast(row_number() over (order by case severity when 'CRITICAL' then 4 when 'ALERT' then 3 when 'WATCH' then 2 else 1 end desc, detected_at desc, id desc) as int) as place, concat(coalesce(company_name, ev.cin), ' ', event_type, ' ', severity) as label, id::double as value from ev left join company using (cin) where detected_at between timestamp '2024-01-20 00:00:00' - interval 24 hours and timestamp '2024-01-20 00:00:00' qualify place <= 5
+union all select 'sources', 0, colour, count(*)::double from s group by colour union all select 'costs', 0, concat(service, ' ', operation), round(sum(cost_inr), 4)::double from cost where log_date = date '2024-01-20' group by service, operation
+union all select 'critical predictions', 0, 'all', count(*)::double from p union all select 'critical predictions', 0, 'confirmed', count(*) filter (where confirmed)::double from p union all select 'critical predictions', 0, 'per cent', case when count(*) > 0 then round(count(*) filter (where confirmed) * 100.0 / count(*), 1)::double else 0 end from p
+union all (select 'commonest false reason', 0, concat('R', (prediction_id % 5)::varchar) as r, count(*)::double as n from pred where false_positive and fired_at >= timestamp '2024-01-20 00:00:00' - interval 30 days group by r order by n desc, r limit 1) union all select 'open names', 0, 'unresolved', count(*)::double from ev where id % 3 > 0""")
+def m10_daily_digest(t):
+    day = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    state = t.company.select(F.col("cin").alias("source_id"), F.when(F.col("k") % 5 == 0, "Blocked").otherwise("OK").alias("status"), (F.col("k") % 4).cast("int").alias("consecutive_failures"), F.when(F.col("k") % 7 > 0, day).alias("last_pull_at"))
+    wrong = t.pred.withColumn("false_positive_reason", F.concat(F.lit("R"), (F.col("prediction_id") % 5).cast("string")))
+    return route.daily_digest(t.ev, t.company, state, t.cost, wrong, t.ev.select((F.col("id") % 3 == 0).alias("resolved")), day)
+
+
 @query("select id, cin, severity, source from ev where severity in ('CRITICAL', 'ALERT') and source = 's1' order by detected_at desc, id desc limit 100")
 def g2_event_feed(t):
     return t.ev.filter(F.col("severity").isin("CRITICAL", "ALERT") & (F.col("source") == "s1")).orderBy(F.desc("detected_at"), F.desc("id")).limit(100).select("id", "cin", "severity", "source")
@@ -811,9 +992,10 @@ def m11_m13_events_by_source(t):
     return t.ev.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("detected_at") < F.lit("2024-01-20 00:00:00").cast("timestamp")).alias("expired")).orderBy(F.desc("n"), "source").limit(10)
 
 
-@query("select distinct ev.cin from ev where exists (select 1 from entry_ e where e.cin = ev.cin and e.subscriber_id = 7)")
+@query("select distinct e.subscriber_id, ev.cin from ev join entry_ e using (cin)")
 def c14_h2_watched_companies(t):
-    return t.ev.select("cin").distinct().join(t.entry_.filter("subscriber_id = 7"), "cin", "left_semi")
+    watched = t.entry_.join(t.ev.select("cin").distinct(), "cin", "left_semi")
+    return watched.select("subscriber_id", "cin").distinct()
 
 
 # ---- from documents --------------------------------------------------------------------------
@@ -834,6 +1016,11 @@ def o7_o8_monthly_changes(t):
     return signals.head_count(m).unionByName(signals.postings(m))
 
 
+@query("with m as (select cin, date_trunc('day', detected_at)::date as month, count(*)::bigint as n, avg(value)::double as r from ev group by 1, 2), l as (select *, lag(n) over (partition by cin order by month) as w, lag(r) over (partition by cin order by month) as rw from m) select cin, month, 'REVIEW_SPIKE' as event_type from l where n / w > 3 union all select cin, month, 'RATING_LOW' from l where r < 3.0 and rw >= 3.0")
+def o8_reviews(t):
+    return signals.reviews(t.ev.groupBy("cin", F.date_trunc("day", "detected_at").cast("date").alias("month")).agg(F.count("*").alias("reviews"), F.avg("value").alias("rating")))
+
+
 @query("with l as (select *, lag(revenue) over w as rw, lag(debt) over w as dw from finance window w as (partition by cin order by financial_year)) select cin, financial_year, 'REVENUE_DROP' as event_type from l where rw <> 0 and revenue / rw <= 0.8 union all select cin, financial_year, 'DEBT_RISE' from l where dw <> 0 and debt / dw >= 1.5")
 def o9_financial_change(t):
     return signals.financial_change(t.finance)
@@ -886,10 +1073,10 @@ def o13_freshness(t):
     return signals.freshness(s, s.select("source_id", F.lit(24).alias("max_hours")), t.event_day)
 
 
-@query(_ALERT + " select event_id, watchlist_id, 'BACKFILL' as label from al where detected_at >= timestamp '2024-01-31 00:00:00' - interval 90 days and watchlist_id = 2")
+@query(_ALERT + " select event_id, watchlist_id, 'BACKFILL' as label from al where detected_at >= timestamp '2024-01-31 00:00:00' - interval 90 days ")
 def o14_backfill(t):
     past = t.ev.filter(F.col("detected_at") >= t.event_day - F.expr("INTERVAL 90 DAYS"))
-    return route.match_watchlists(past, _watch(t).filter("watchlist_id = 2"), t.company).select("event_id", "watchlist_id", F.lit("BACKFILL").alias("label"))
+    return route.match_watchlists(past, _watch(t), t.company).select("event_id", "watchlist_id", F.lit("BACKFILL").alias("label"))
 
 
 @query(_SCORE + " select distinct e.subscriber_id, p.peer as cin from peer p join entry_ e on e.cin = p.cin where not exists (select 1 from entry_ x where x.subscriber_id = e.subscriber_id and x.cin = p.peer)")
@@ -908,10 +1095,17 @@ def o18_strike_off_spikes(t):
     return signals.strike_off_spikes(t.legal.select("cin", F.col("filing_date").alias("detected_at")), t.company)
 
 
-@query(_SCORE + _DIGEST[4:].join([",", ""]) + ", lb as (select cin, count(distinct source) as s from ev group by cin) select batch_id, watchlist_id, dg.cin, company_name, n_events, max_severity, case when score_after < score_before then 'down' when score_after > score_before then 'up' else 'same' end as direction, coalesce(penalty, 0)::bigint as penalty, case when s >= 3 then 'HIGH' when s = 2 then 'MEDIUM' else 'LOW' end as confidence, (" + _R.format("max_severity") + ")::int as rank from dg left join company using (cin) left join pen using (cin) left join lb using (cin)")
+@query("select cin, 'ADDRESS_CHANGE' as event_type, 'WATCH' as severity from company where k % 6 = 1")
+def o18_address_changes(t):
+    old = t.company.select("cin", F.when(F.col("k") % 6 == 2, " ").otherwise(F.concat(F.lit(" 1 Road, "), "registered_state")).alias("registered_address"))
+    new = t.company.select("cin", F.when(F.col("k") % 6 == 3, F.lit(None)).when(F.col("k") % 6 == 1, "2 Lane").otherwise(F.concat(F.lit("1 Road, "), "registered_state")).alias("registered_address"))
+    return detect.address_changes(old, new)
+
+
+@query(_SCORE + _DIGEST[4:].join([",", ""]) + ", lb as (select cin, count(distinct source) as s, list_sort(list(distinct event_type)) as signals, coalesce(list_sort(list(distinct source) filter (where source in ('s1', 's2'))), []) as late_sources from ev group by cin) select batch_id, watchlist_id, dg.cin, company_name, n_events, max_severity, case when score_after < score_before then 'down' when score_after > score_before then 'up' else 'same' end as direction, coalesce(penalty, 0)::bigint as penalty, case when s >= 3 then 'HIGH' when s = 2 then 'MEDIUM' else 'LOW' end as confidence, (" + _R.format("max_severity") + ")::int as rank, signals, late_sources from dg left join company using (cin) left join pen using (cin) left join lb using (cin)")
 def o19_alert_record(t):
     pen = score.contagion_penalty(score.peers(t.edge), score.weigh(_parts(t)).select("cin", "band"))
-    return signals.alert_record(_digests(t), pen, signals.confidence_label(t.ev), t.company).withColumn("penalty", F.col("penalty").cast("long"))
+    return signals.alert_record(_digests(t), pen, signals.confidence_label(t.ev), t.company, t.ev, t.ev.select(F.col("source").alias("source_id"), F.col("source").isin("s1", "s2").alias("late")).distinct()).withColumn("penalty", F.col("penalty").cast("long"))
 
 
 # ---- streams, replayed from the events table -------------------------------------------------
@@ -926,6 +1120,16 @@ def n1_h3_deduplicated_stream(t):
     return replay.drained(streams.deduplicated(_stream(t), ["user_id", "event_type"], delay="400 days").select("user_id", "event_type"))
 
 
+@query("select user_id, event_type from events group by 1, 2")
+def n1_durable_keys(t):
+    """The same stream drained twice: what comes again finds its key in the table."""
+    path = replay.shared(t.spark)
+    for part in ("first", "again"):
+        writer = _stream(t).select("user_id", "event_type").writeStream.foreachBatch(streams.append_unseen(f"{path}/rows", ["user_id", "event_type"]))
+        writer.option("checkpointLocation", f"{path}/{part}").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/rows")
+
+
 @query("select w as window_start, event_type, count(*)::bigint as n from (select time_bucket(interval 6 hours, ts) - k * interval 6 hours as w, event_type from events, range(0, 4) r(k)) group by 1, 2")
 def n6_rolling_counts_stream(t):
     return replay.drained(streams.rolling_counts(_stream(t), ["event_type"], length="24 hours", step="6 hours"), "complete")
@@ -939,35 +1143,9 @@ def n5_scored_batches(t):
     def score_batch(batch: DataFrame, _: int) -> None:
         touched = batch.select(F.col("user_id").alias("k")).distinct()
         master = t.company.join(touched, "k", "left_semi")
-        scored = score.weigh(score.components(master, t.edge, t.legal, t.finance, t.ev, t.order_day))
+        scored = score.weigh(score.components(master, t.edge, t.legal, t.finance, _capital_events(t), t.order_day))
         ids = batch.select(F.col("event_id").alias("id"), F.col("user_id").alias("k")).join(t.company.select("k", "cin"), "k")
         ids.join(scored.select("cin", F.col("score_stored").alias("health_score_after")), "cin").select("id", "cin", "health_score_after").write.mode("append").parquet(f"{path}/rows")
 
     streams.scored_batches(_stream(t), f"{path}/state", score_batch).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/rows")
-
-
-# ---- the same over the whole input -----------------------------------------------------------
-
-
-def _whole(name: str, *cuts: str) -> None:
-    """Registers `<name>_whole`: a query whose SQL cuts its input, without the cut. Its SQL is the other's less the cuts."""
-    f = _made[name]
-    QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Tables(spark, sf_dir, whole=True))
-    if name in ORACLE:
-        text = ORACLE[name]
-        for cut in cuts:
-            text = text.replace(cut, "")
-        ORACLE[f"{name}_whole"] = text
-
-
-for _name in ("e1_e3_similarity_join", "e3_candidates_in_state", "e2_jaro_winkler", "e4_resolve_strict", "e5_resolve_light", "e6_ambiguous"):
-    _whole(_name, " where k < 400", " where k % 5 = 1")
-
-_whole("a6_json_records", " where event_id % 5 = 0")
-_whole("a7_json_deep_value", " where event_id % 5 = 1")
-_whole("j12_wilful_defaulters", " where c_custkey % 2 = 0")
-for _name in """a10_upsert_legal_events b24_b29_case_labels d9_d10_case_pivot f9_multiple_lenders j8_security_interests j9_i14_charges k1_k5_components k6_health_score
-    k7_c6_contagion_penalty k8_propagate_contagion k9_apply_scores k12_d5_sector_clusters k14_company_profile n5_scored_batches o1_legal_velocity o4_sector_stress o11_contagious_directors
-    o18_strike_off_spikes o19_alert_record""".split():
-    _whole(_name, CUT_LEGAL)

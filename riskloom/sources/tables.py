@@ -83,7 +83,10 @@ def upsert_governance(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_cases(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cases by (case_number, source): the table with new statuses, and the cases that were not there."""
+    """Cases by (case_number, source): the table with new statuses, and the cases that were not there. Of new rows that share
+    a key, the one with the greatest status counts."""
+    one = Window.partitionBy("case_number", "source").orderBy(F.col("status").desc_nulls_last())
+    new = new.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
     update = new.select("case_number", "source", F.col("status").alias("__s"))
     kept = old.join(update, ["case_number", "source"], "left").withColumn("status", F.coalesce("__s", "status")).select(*old.columns)
     fresh = new.join(old.select("case_number", "source"), ["case_number", "source"], "left_anti")
@@ -106,34 +109,40 @@ def text_lines_to_records(docs: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumn("__n", F.row_number().over(Window.partitionBy(key, "din").orderBy("pos"))).filter("__n = 1").drop("__n", "pos")
 
 
-def _nodes(df: DataFrame, key: str, payload: str, depth: int) -> DataFrame:
-    """All (key, depth, pos, name, value) of nested JSON, level by level to a fixed depth."""
+def json_depth(df: DataFrame, payload: str) -> int:
+    """The deepest nesting of a column of JSON texts (0: no object or array), in one pass. Brackets inside strings do not count."""
+    marks = F.expr(f"regexp_extract_all({payload}, '\"(?:[^\"\\\\\\\\]|\\\\\\\\.)*+\"|[\\\\[\\\\]{{}}]', 0)")
+    step = lambda a, m: F.struct((a["now"] + F.when(m.isin("{", "["), 1).when(m.isin("}", "]"), -1).otherwise(0)).alias("now"), F.greatest(a["most"], a["now"] + F.when(m.isin("{", "["), 1).otherwise(0)).alias("most"))
+    deep = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    return df.agg(F.coalesce(F.max(deep), F.lit(0)).alias("d")).first().d
+
+
+def _nodes(df: DataFrame, key: str, payload: str, depth: int | None) -> DataFrame:
+    """All (key, depth, pos, name, value) of nested JSON, level by level, down to the data's own depth."""
     level = df.select(key, F.try_parse_json(payload).alias("v"), F.array().cast("array<int>").alias("pos")).filter("v is not null")
     out = None
-    for d in range(depth):
-        level.createOrReplaceTempView("__level")
-        step = df.sparkSession.sql(f"SELECT {key}, concat(l.pos, array(e.pos)) AS pos, e.key AS name, e.value AS v FROM __level l, LATERAL variant_explode(l.v) e")
+    for d in range(max(1, json_depth(df, payload) if depth is None else depth)):
+        step = df.sparkSession.sql(f"SELECT {key}, concat(l.pos, array(e.pos)) AS pos, e.key AS name, e.value AS v FROM {{level}} l, LATERAL variant_explode(l.v) e", level=level)
         rows = step.select(key, F.lit(d).alias("depth"), "pos", "name", "v")
         out = rows if out is None else out.unionByName(rows)
         level = step.filter("schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%'").select(key, "v", "pos")
     return out
 
 
-def json_deep_value(df: DataFrame, key: str, payload: str, tokens: list[str], depth: int = 4) -> DataFrame:
-    """The first value, level by level, whose name holds all tokens."""
+def json_deep_value(df: DataFrame, key: str, payload: str, tokens: list[str], depth: int | None = None) -> DataFrame:
+    """The first value, level by level, whose name holds all tokens. depth: levels to look into; all of them without it."""
     test = F.lit(True)
     for t in tokens:
         test = test & F.contains(F.lower("name"), F.lit(t.lower()))
     return _nodes(df, key, payload, depth).filter(test).groupBy(key).agg(F.min_by(F.col("v").cast("string"), F.struct("depth", "pos")).alias("value"))
 
 
-def json_records(df: DataFrame, key: str, payload: str, fields: dict[str, list[str]], depth: int = 4) -> DataFrame:
+def json_records(df: DataFrame, key: str, payload: str, fields: dict[str, list[str]], depth: int | None = None) -> DataFrame:
     """Rows of arrays of objects, wherever they are nested, with fields picked by alias: an exact name first, then one that
     holds an alias. One row for each object that has any of the fields."""
     nodes = _nodes(df, key, payload, depth)
     objects = nodes.filter("name is null and schema_of_variant(v) like 'OBJECT%'").select(key, "pos", "v")
-    objects.createOrReplaceTempView("__objects")
-    pairs = df.sparkSession.sql(f"SELECT {key}, o.pos, regexp_replace(lower(e.key), '[^a-z0-9]', '') AS name, CAST(e.value AS STRING) AS value FROM __objects o, LATERAL variant_explode(o.v) e")
+    pairs = df.sparkSession.sql(f"SELECT {key}, o.pos, regexp_replace(lower(e.key), '[^a-z0-9]', '') AS name, CAST(e.value AS STRING) AS value FROM {{objects}} o, LATERAL variant_explode(o.v) e", objects=objects)
     cols = []
     for target, names in fields.items():
         flat = [n.replace("_", "").lower() for n in names]
@@ -190,7 +199,7 @@ def monitored(master: DataFrame, identifiers: DataFrame, watched: DataFrame | No
     elif how == "worst":
         df = master.orderBy(F.col("score").asc_nulls_last(), "cin").limit(n)
     else:
-        df = master.filter(F.col("score").isNull() | (F.col("score") < below)).orderBy(F.xxhash64(F.lit(seed), "cin"), "cin").limit(n)
+        df = master.filter(F.col("score").isNull() | (F.col("score") < below)).orderBy(F.md5(F.concat_ws(":", F.lit(seed), "cin")), "cin").limit(n)
     return df.select("cin")
 
 

@@ -8,9 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a folder of this machine is
+    made only if Spark runs in one process; on a cluster other executors could not read it."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-riskloom-")
+
+
 def shared(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "file://" + tempfile.mkdtemp(prefix="spark-riskloom-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -54,12 +55,57 @@ def status_changes(stream: DataFrame, days: int = 400) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(StatusChange(days), "key string, ts timestamp, id long, was string, status string", "Append", "ProcessingTime")
 
 
+class CoolDown(StatefulProcessor):
+    """Lets an event of a key through if none has passed for `days`; the state is the time of the last one that passed, and
+    is dropped after as long."""
+
+    def __init__(self, days: int = 30):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long", self.days * 86_400_000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["ts", "id"])
+        fired, out = self.last.get()[0] if self.last.exists() else None, []
+        for at, ts, i in zip(events["ts"].astype("datetime64[us]").astype("int64"), events["ts"], events["id"], strict=True):
+            if fired is None or at - fired >= self.days * 86_400_000_000:
+                fired = int(at)
+                out.append((*key, ts, i))
+        if fired is not None:
+            self.last.update((fired,))
+        yield pd.DataFrame(out, columns=["cin", "event_type", "ts", "id"])
+
+    def close(self) -> None:
+        pass
+
+
+def cooled(stream: DataFrame, days: int = 30) -> DataFrame:
+    """Events (cin, event_type, ts, id) that fire under a cool-down of `days`."""
+    return stream.groupBy("cin", "event_type").transformWithStateInPandas(CoolDown(days), "cin string, event_type string, ts timestamp, id long", "Append", "ProcessingTime")
+
+
+def append_unseen(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends the rows of a micro-batch whose key the table at `path` does not hold yet, so that a key
+    counts once however late it comes again."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        one, spark = batch.dropDuplicates(key), batch.sparkSession
+        try:
+            old = spark.read.schema(batch.schema).parquet(path)
+        except AnalysisException:  # the table does not exist yet
+            old = batch.limit(0)
+        one.join(old.select(*key).distinct(), key, "left_anti").select(*batch.columns).write.mode("append").parquet(path)
+
+    return run
+
+
 class HeldAlerts(StatefulProcessor):
-    """Holds alerts of a watchlist and company until the severity's delay has passed, by a processing-time timer."""
+    """Holds alerts of a watchlist and company until their own severity's delay has passed, by processing-time timers."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "event_id long, severity string")
+        self.held = handle.getListState("held", "event_id long, severity string, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, urgent = timerValues.getCurrentProcessingTimeInMs(), []
@@ -69,16 +115,20 @@ class HeldAlerts(StatefulProcessor):
                 if wait == 0:
                     urgent.append((key[0], key[1], 1, severity))
                 else:
-                    self.held.appendValue((int(event_id), severity))
+                    self.held.appendValue((int(event_id), severity, now + wait))
                     self.handle.registerTimer(now + wait)
         yield pd.DataFrame(urgent, columns=["watchlist_id", "cin", "n_events", "max_severity"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = list(self.held.get()) if self.held.exists() else []
+        held, now = [tuple(x) for x in self.held.get()] if self.held.exists() else [], timerValues.getCurrentProcessingTimeInMs()
+        due = [s for _, s, at in held if at <= now]
         self.held.clear()
-        if held:
-            worst = max((s for _, s in held), key=lambda s: fixed.SEVERITY_RANK.get(s, 0))
-            yield pd.DataFrame([(key[0], key[1], len(held), worst)], columns=["watchlist_id", "cin", "n_events", "max_severity"])
+        for row in held:
+            if row[2] > now:
+                self.held.appendValue(row)
+        if due:
+            worst = max(due, key=lambda s: fixed.SEVERITY_RANK.get(s, 0))
+            yield pd.DataFrame([(key[0], key[1], len(due), worst)], columns=["watchlist_id", "cin", "n_events", "max_severity"])
         else:
             yield pd.DataFrame([], columns=["watchlist_id", "cin", "n_events", "max_severity"])
 
