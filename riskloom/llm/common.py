@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of all contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -22,9 +22,12 @@ _temporary: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a new local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a folder of this machine is
+    made only if Spark runs in one process; on a cluster other executors could not read it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("riskloom.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-riskloom-")
         spark.conf.set("riskloom.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -58,6 +61,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def running(df: DataFrame, order: list, **values: str) -> DataFrame:
+    """Adds running totals in a global order: for each name, the sum of a column up to and with the row. Rows are dealt by
+    ranges of the order and sorted within; the ranges' own totals, one row each, are summed and added. No window holds more
+    than one range, so no task holds all rows."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    per = ranged.groupBy("__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in values.items()])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = per.select("__range", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in values])
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offsets), "__range")
+    return out.select(*df.columns, *[(F.sum(c).over(within) + F.col(f"__{n}")).alias(n) for n, c in values.items()])
+
+
 def word_count(text):
     """Words of a text column; null counts as empty."""
     return F.expr(f"regexp_count(coalesce({text}, ''), r'{WORD}')").cast("long") if isinstance(text, str) else F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
@@ -149,42 +165,49 @@ class RangeHash:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-#: The two largest primes below 2**31, each with a base.
-PRIMES = ((2147483647, 1580030173), (2147483629, 1271343253))
-_prime_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: A Mersenne prime, and the bases of two polynomials modulo it.
+PRIME, PRIME_BASES = (1 << 31) - 1, (1580030173, 1271343253)
+_STEP = 1 << 16
 
 
-def _prime_power(p: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _prime_powers.get(p)
-    if have is None or len(have[0]) < n:
-        out = []
-        for b in (base, pow(base, -1, p)):
-            x = np.ones(1, np.uint64)
-            while len(x) < max(n, 1 << 16):
-                x = np.concatenate([x, x * np.uint64(pow(b, len(x), p)) % np.uint64(p)])
-            out.append(x)
-        have = _prime_powers[p] = (out[0], out[1])
-    return have
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**62."""
+    p, bits = np.uint64(PRIME), np.uint64(31)
+    x = (x & p) + (x >> bits)
+    x = (x & p) + (x >> bits)
+    return x - (x >= p) * p
 
 
-class PrimeHash:
-    """62-bit hashes of any byte ranges of one buffer, by prefix sums of polynomials modulo two primes: of another kind than
-    RangeHash, so that both together are 126 bits."""
+def _powers_of(base: int, n: int) -> np.ndarray:
+    x = np.ones(1, np.uint64)
+    while len(x) < n:
+        x = np.concatenate([x, _reduced(x * np.uint64(pow(base, len(x), PRIME)))])
+    return x[:n]
 
-    STEP = 1 << 24  # so many terms below 2**39 add up to less than 2**64
+
+_steps = {b: (_powers_of(b, _STEP), _powers_of(pow(b, -1, PRIME), _STEP)) for b in PRIME_BASES}
+
+
+class PrimeHash:
+    """62-bit hashes of any byte ranges of one buffer, by prefix sums of two polynomials modulo a prime: of another kind than
+    RangeHash, so that both together are 126 bits. Sums are made in steps, with small tables of powers."""
 
     def __init__(self, data: np.ndarray):
         self.sums, self.down = [], []
-        for p, base in PRIMES:
-            up, down = _prime_power(p, base, len(data) + 1)
-            sums, carry = np.zeros(len(data) + 1, np.uint64), np.uint64(0)
-            for at in range(0, len(data), self.STEP):
-                part = np.cumsum((data[at : at + self.STEP].astype(np.uint64) + np.uint64(1)) * up[at : min(at + self.STEP, len(data))])
-                sums[at + 1 : at + 1 + len(part)] = (part + carry) % np.uint64(p)
-                carry = sums[at + len(part)]
+        for base, (up, _) in _steps.items():
+            sums, carry, factor = np.zeros(len(data) + 1, np.uint32), np.uint64(0), 1
+            for at in range(0, len(data), _STEP):
+                part = data[at : at + _STEP].astype(np.uint64) + np.uint64(1)
+                part = _reduced(np.cumsum(part * up[: len(part)]))
+                part = _reduced(part * np.uint64(factor) + carry)
+                sums[at + 1 : at + 1 + len(part)] = part
+                carry, factor = part[-1], factor * pow(base, _STEP, PRIME) % PRIME
             self.sums.append(sums)
-            self.down.append(down)
+            self.down.append(_powers_of(pow(base, -_STEP, PRIME), len(data) // _STEP + 1))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        a, b = ((s[end] + np.uint64(p) - s[start]) % np.uint64(p) * d[start] % np.uint64(p) for (p, _), s, d in zip(PRIMES, self.sums, self.down, strict=True))
-        return mixed((a << np.uint64(31) | b) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        low, high, out = start & (_STEP - 1), start >> 16, []
+        for sums, down, (_, near) in zip(self.sums, self.down, _steps.values(), strict=True):
+            shift = _reduced(near[low] * down[high])
+            out.append(_reduced(_reduced(sums[end].astype(np.uint64) + np.uint64(PRIME) - sums[start].astype(np.uint64)) * shift))
+        return mixed((out[0] << np.uint64(31) | out[1]) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

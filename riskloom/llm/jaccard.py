@@ -31,14 +31,16 @@ BLOCK = 256
 MOST_SENT = 1 << 19
 #: Rows of a signature and task that go the way of all rows; further ones are known to be shared and are salted.
 HOT = 32
+#: Bytes of text that a Python task looks at together.
+PIECE = 1 << 19
 
 
 # ---- sets ------------------------------------------------------------------------------------
 
 
-def shingle_sets(column, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(column, k: int = SHINGLE, both: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and two hashes (of different kinds, 126 bits) of each distinct k-word shingle, sorted by row and first hash. A
-    text of fewer words, but not none, has one shingle."""
+    text of fewer words, but not none, has one shingle. Without `both` the first hash alone tells shingles apart."""
     data, at = flat(column)
     rows = len(at) - 1
     space = is_space(data)
@@ -58,7 +60,8 @@ def shingle_sets(column, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.n
     short = np.flatnonzero((words > 0) & (words < k))
     owner = np.concatenate([row[full], short])
     begin, stop = np.concatenate([start[full], start[first[short]]]), np.concatenate([end[full + k - 1], end[first[short] + words[short] - 1]])
-    h, g = RangeHash(low)(begin, stop), PrimeHash(low)(begin, stop)
+    h = RangeHash(low)(begin, stop)
+    g = PrimeHash(low)(begin, stop) if both else h
     order = np.lexsort((h, owner))
     same = (owner[order][1:] == owner[order][:-1]) & (h[order][1:] == h[order][:-1])
     if (same & (g[order][1:] != g[order][:-1])).any():  # different shingles with equal first hashes
@@ -185,7 +188,7 @@ def signatures(owner: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.n
 
 
 def _describe(batches):
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         owner, h, g = shingle_sets(batch.column("text"))
         size = _sizes(owner, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(size.astype(np.int64)), pa.array(_set_names(owner, h, size)), pa.array(_set_ids(owner, h, g, batch.num_rows), pa.binary()), pa.array(_sketches(owner, h, size), pa.binary())], names=["doc_id", "th", "n_shingles", "h", "id", "sketch"])
@@ -194,8 +197,8 @@ def _describe(batches):
 def _sign(batches):
     seen: set[int] = set()  # sets of this task; equal ones sign once
     hot = np.zeros(0, np.uint64)
-    for batch in pieces(batches, "text"):
-        owner, h, _ = shingle_sets(batch.column("text"))
+    for batch in pieces(batches, "text", PIECE):
+        owner, h, _ = shingle_sets(batch.column("text"), both=False)
         size = _sizes(owner, batch.num_rows)
         name = _set_names(owner, h, size)
         fresh = np.zeros(batch.num_rows, bool)
@@ -256,7 +259,7 @@ def _shared(batches):
 
 
 def _with_sets(batches):
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         owner, h, g = shingle_sets(batch.column("text"))
         cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
         a, b = h.tobytes(), g.tobytes()
