@@ -3,10 +3,15 @@
 A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. Strings that may repeat are found first,
 without loss: of the K-byte grams in each window of LENGTH bytes the one of the least hash is the window's anchor, so
 equal windows have equal anchors at the same place. Windows whose anchor occurs once in the corpus occur once. The texts
-around the other anchors are grouped by anchor; a group's texts are dealt into shards, each shard's suffixes are sorted
-once, and the shards' transforms are merged by refining their interleave, which also gives the common prefixes and so the
-intervals of equal LENGTH-byte strings. Symbols of the transforms are blocks of BLOCK bytes (as hashes), so that a merge
-settles in LENGTH / BLOCK rounds.
+around the other anchors are grouped by anchor, equal ones once; a group's texts are dealt into shards, each shard's
+suffixes are sorted once, and the shards' transforms are merged by refining their interleave, which also gives the common
+prefixes and so the intervals of equal LENGTH-byte strings. Symbols of the transforms are blocks of BLOCK bytes (as
+hashes), so that a merge settles in LENGTH / BLOCK rounds.
+
+An anchor with very many different texts around it (a passage of a third of all documents) is split without loss before
+it is merged: of its windows, those with the anchor in one half of the places share a longer string around it, those with
+it in the other half another one, and these strings are the new keys. A group that is still too large is halved again, at
+most nine times, after which windows of one key are equal.
 """
 
 from __future__ import annotations
@@ -18,19 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import BASES, RangeHash, flat, pieces, stored, table
+from riskloom.llm.common import RangeHash, flat, pieces, stored, table
 
 LENGTH, K, BLOCK = 400, 120, 100
 WINDOW = LENGTH - K + 1
 #: Shards of a work unit, and bytes of text from which on a unit is closed (at the next anchor).
 SHARDS, UNIT = 2, 1 << 19
-#: A unit of more bytes (one anchor with very many different texts around it) is merged in pairs of parts of this size.
+#: A key with more bytes of different texts is split.
 PART = 1 << 21
 #: Anchors, or documents with repeats, up to this number are sent to every task; more are joined by shuffle.
 MOST_SENT = 1 << 20
 PIECE = 1 << 20
-#: Low bits of a packed hash that hold a position; a text has at most so many bytes.
-_PLACE = np.uint64((1 << 28) - 1)
+#: Rows of an anchor and task that go the way of all rows; further ones are known to repeat and are salted.
+HOT = 32
+#: Low bits of a packed hash that hold a position, and window starts of a long text that are looked at together.
+_PLACE, CHUNK = np.uint64((1 << 28) - 1), 1 << 22
 
 
 def _sliding(x: np.ndarray, w: int) -> np.ndarray:
@@ -44,8 +51,21 @@ def _sliding(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, hash, position, first and last window start (all from the text's start) of the anchors of texts in one buffer."""
+def anchors(data: np.ndarray, at: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, ...]:
+    """Row, hash, position, first and last window start (all from the text's start) of the anchors of texts in one buffer.
+    A long text is looked at in chunks of window starts; an anchor may then come twice, with other windows each time."""
+    if len(data) < 2 * chunk + LENGTH:
+        return _anchors(data, at)
+    found = []
+    for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        for begin in range(a, max(a, b - LENGTH) + 1, chunk):
+            part = data[begin : min(b, begin + chunk + LENGTH - 1)]
+            r, h, place, first, last = _anchors(part, np.array([0, len(part)]))
+            found.append((r + row, h, place + begin - a, first + begin - a, last + begin - a))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
     if len(data) < LENGTH:
         return none
@@ -143,107 +163,148 @@ def repeated(texts: list[bytes], shards: int = SHARDS) -> tuple[np.ndarray, np.n
 # ---- Spark stages ----------------------------------------------------------------------------
 
 
-def _classes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(RangeHash(data, base)(at[:-1], at[1:]).view(np.int64) for base in BASES)
+def _digests(data: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """128 bits for each text; texts are equal if and only if these are."""
+    raw, cut = data.tobytes(), at.tolist()
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _describe(batches):
     for batch in pieces(batches, "text"):
         data, at = flat(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), *map(pa.array, _classes(data, at))], names=["doc_id", "n_bytes", "c", "c2"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(np.diff(at)), pa.array(_digests(data, at), pa.binary())], names=["doc_id", "th", "n_bytes", "c"])
 
 
 def _anchor_rows(batches):
-    seen: set[int] = set()  # texts of this task; equal ones give anchors once
+    seen: set[bytes] = set()  # texts of this task; equal ones give anchors once
+    hot = np.zeros(0, np.uint64)
     for batch in pieces(batches, "text", PIECE):
         data, at = flat(batch.column("text"))
-        c = _classes(data, at)[0]
-        fresh = np.array([not (x in seen or seen.add(x)) for x in c.tolist()], bool)
+        c = _digests(data, at)
+        fresh = np.array([not (x in seen or seen.add(x)) for x in c], bool)
         row, h, place, _, _ = anchors(data, at)
-        k = fresh[row]
-        if k.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), pa.array(c[row[k]]), pa.array(place[k])], names=["anchor", "c", "place"])
+        k = np.flatnonzero(fresh[row])
+        if not len(k):
+            continue
+        row, h, place = row[k], h[k], place[k]
+        # rows of an anchor that this task has often: HOT of them go to the anchor's task, the others are dealt out
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        count = np.diff(np.concatenate([first, [len(h)]]))
+        nth = np.empty(len(h), np.int64)
+        nth[order] = np.arange(len(h)) - np.repeat(first, count)
+        beyond = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
+        hot = np.union1d(hot, h[order][first[count > HOT]])
+        by_text = np.array([int.from_bytes(x[:2], "little") >> 2 for x in c], np.int64)[row]
+        salt = np.where(beyond | (nth >= HOT), 1 + by_text, 0).astype(np.int16)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array([c[i] for i in row.tolist()], pa.binary()), pa.array(place)], names=["anchor", "salt", "c", "place"])
+
+
+def _again(batches):
+    """From rows sorted by anchor, salt, text and place: those of anchors with more than one place, each once. A row waits
+    until the next one tells whether it is alone; rows with a salt are of such anchors anyway."""
+    last = None  # anchor, salt, text, place of the row before, and whether it is out already
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, salt, c, place = (np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.array(batch.column(2).to_pylist(), object), np.asarray(batch.column(3)))
+        if last is not None:
+            anchor, salt, place = (np.concatenate([[v], x]).astype(x.dtype) for v, x in ((last[0], anchor), (last[1], salt), (last[3], place)))
+            c = np.concatenate([np.array([last[2]], object), c])
+        same = (anchor[1:] == anchor[:-1]) & (salt[1:] == salt[:-1])
+        copy = same & (place[1:] == place[:-1]) & (c[1:] == c[:-1])
+        run = np.cumsum(np.concatenate([[True], ~same])) - 1
+        several = np.bincount(run[1:][same & ~copy], minlength=run[-1] + 1) > 0
+        if last is not None and last[4]:
+            several[0] = True
+        keep = np.concatenate([[True], ~copy]) & (several[run] | (salt > 0))
+        if last is not None and (last[4] or last[1] > 0):
+            keep[0] = False
+        lone = not several[run[-1]] and salt[-1] == 0
+        if lone:
+            keep[run == run[-1]] = False
+        k = np.flatnonzero(keep)
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c[k]), pa.binary()), pa.array(place[k])], names=["c", "place"])
+        last = (anchor[-1], salt[-1], c[-1], place[-1], not lone)
+
+
+_CONTEXT = "key long, k binary, c binary, start long, at int, low int, width int, context binary"
+
+
+def _rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    """key, c, start, at, low, width and context of texts around an anchor, with a digest k of the text."""
+    key, c, start, at, low, width, context = zip(*rows, strict=True)
+    k = [hashlib.blake2b(x, digest_size=16).digest() for x in context]
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary()), pa.array(start, pa.int64()), *(pa.array(x, pa.int32()) for x in (at, low, width)), pa.array(context, pa.binary())], names=["key", "k", "c", "start", "at", "low", "width", "context"])
 
 
 def _contexts(batches):
-    """The text around each wanted anchor of a document: from its first window's start to its last window's end."""
+    """The text around each wanted anchor of a document: from its first window's start to its last window's end; `at` is the
+    anchor's place in it, and its windows have the anchor `low` to `low + width - 1` bytes from their start."""
     for batch in pieces(batches, "text", PIECE):
         data, at = flat(batch.column("text"))
-        raw, c = data.tobytes(), np.asarray(batch.column("c"))
+        raw, c = data.tobytes(), batch.column("c").to_pylist()
         row, h, place, first, last = anchors(data, at)
         wanted = batch.column("places").to_pylist()
-        keys = np.concatenate([np.array(w, np.int64) + (i << 32) for i, w in enumerate(wanted)])
-        k = np.flatnonzero(np.isin(place + (row << 32), keys))
+        keys = np.concatenate([np.array(w, np.int64) + (i << 36) for i, w in enumerate(wanted)])
+        k = np.flatnonzero(np.isin(place + (row << 36), keys))
         lo, hi = at[row[k]] + first[k], at[row[k]] + last[k] + LENGTH
-        step = 8192
-        for s in range(0, len(k), step):
-            q = slice(s, s + step)
-            yield pa.RecordBatch.from_arrays([pa.array(h[k[q]].view(np.int64)), pa.array(c[row[k[q]]]), pa.array(first[k[q]]), pa.array([raw[x:y] for x, y in zip(lo[q].tolist(), hi[q].tolist(), strict=True)], pa.binary())], names=["anchor", "c", "start", "context"])
-
-
-def _in_parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """repeated() in bounded memory: every two parts of the texts meet once."""
-    size = np.cumsum([len(t) for t in texts])
-    if size[-1] <= 2 * PART:
-        return repeated(texts)
-    cuts = [np.flatnonzero(size // PART == k) for k in range(int(size[-1] // PART) + 1)]
-    cuts = [c for c in cuts if len(c)]
-    found = []
-    for i in range(len(cuts)):
-        for j in range(i + 1, len(cuts)):
-            ids = np.concatenate([cuts[i], cuts[j]])
-            text, place = repeated([texts[x] for x in ids])
-            found.append(np.stack([ids[text], place], 1))
-    both = np.unique(np.concatenate(found), axis=0)
-    return both[:, 0], both[:, 1]
+        texts = [c[i] for i in row[k].tolist()]
+        each = list(zip(h[k].view(np.int64).tolist(), texts, first[k].tolist(), (place[k] - first[k]).tolist(), [0] * len(k), [WINDOW] * len(k), [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], strict=True))
+        for s in range(0, len(each), 8192):
+            yield _rows_of(each[s : s + 8192])
+
+
+def _halves(key: int, c: bytes, start: int, at: int, low: int, width: int, context: bytes) -> list[tuple]:
+    """A context's windows in two parts, by the anchor's place in them. All windows of a part share a string around the
+    anchor, which is its key; equal windows are in one part and have one key."""
+    out, half, most = [], (width + 1) // 2, len(context) - LENGTH  # `most`: the last window's start
+    for p, q in ((low, low + half), (low + half, low + width)):
+        near, far = max(p, at - most), min(q - 1, at)
+        if near <= far:
+            core = context[at - p : at - q + 1 + LENGTH]
+            name = hashlib.blake2b(core, digest_size=8, salt=p.to_bytes(2, "little")).digest()
+            out.append((int.from_bytes(name, "little", signed=True), c, start + at - far, far, p, q - p, context[at - far : at - near + LENGTH]))
+    return out
+
+
+def _split(batches):
+    for batch in batches:
+        rows = [x for row in zip(*(batch.column(n).to_pylist() for n in ("key", "c", "start", "at", "low", "width", "context")), strict=True) for x in _halves(*row)]
+        if rows:
+            yield _rows_of(rows)
 
 
 def _units(batches):
-    """Work units from rows sorted by anchor: spans (c, start, end) of repeated strings. A unit ends at a new anchor. Equal
-    texts around an anchor repeat each other as a whole and are merged once."""
-    held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-    groups: dict[int, int] = {}
+    """Work units from different contexts sorted by key: the stretches (from, to) of each that repeat. A unit ends at a new
+    key, whose contexts have PART bytes at most. A context that stands at several places repeats as a whole."""
+    held: list[tuple[int, bytes, int, bytes]] = []
     size, last = 0, None
 
     def done():
-        c, start, end = [], [], []
-        texts = list(held)
-        # an anchor with one text around it, however often, has nothing to merge
-        some = [i for i, (anchor, _) in enumerate(texts) if groups[anchor] > 1]
-        if some:
-            text, place = _in_parts([texts[i][1] for i in some])
+        out = [(key, k, 0, len(context)) for key, k, copies, context in held if copies > 1]
+        keys = np.array([h[0] for h in held])
+        some = np.flatnonzero(np.concatenate([[False], keys[1:] == keys[:-1]]) | np.concatenate([keys[1:] == keys[:-1], [False]]))
+        if len(some):
+            text, place = repeated([held[i][3] for i in some.tolist()])
             order = np.lexsort((place, text))
             text, place = text[order], place[order]
             new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)])) if len(text) else np.zeros(0, np.int64)
             stop = np.concatenate([new[1:], [len(text)]]) - 1 if len(text) else new
-            for i, x, y in zip(text[new].tolist(), place[new].tolist(), place[stop].tolist(), strict=True):
-                for doc, at in held[texts[some[i]]]:
-                    c.append(doc)
-                    start.append(at + x)
-                    end.append(at + y + LENGTH)
-        for (_, context), owners in held.items():
-            if len(owners) > 1:
-                for doc, at in owners:
-                    c.append(doc)
-                    start.append(at)
-                    end.append(at + len(context))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["c", "start", "end"])
+            for i, x, y in zip(some[text[new]].tolist(), place[new].tolist(), place[stop].tolist(), strict=True):
+                out.append((held[i][0], held[i][1], x, y + LENGTH))
+        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["key", "k", "from", "to"])
 
     for batch in batches:
-        for anchor, c, start, context in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if size >= UNIT and anchor != last:
+        for key, k, copies, context in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if size >= UNIT and key != last:
                 yield done()
-                held.clear()
-                groups.clear()
-                size = 0
-            owners = held.get((anchor, context))
-            if owners is None:
-                held[anchor, context] = [(c, start)]
-                groups[anchor] = groups.get(anchor, 0) + 1
-                size += len(context)
-            else:
-                owners.append((c, start))
-            last = anchor
+                held, size = [], 0
+            held.append((key, k, copies, context))
+            size += len(context)
+            last = key
     if held:
         yield done()
 
@@ -271,51 +332,77 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(np.diff(at)), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], names=[*names, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, most_sent: int, how: str = "left_semi") -> DataFrame:
-    """The documents whose ids are wanted (or, with left_anti, the others). Up to most_sent ids go to every task, so that
-    only those documents' texts are shuffled afterwards; with more, left_semi leaves the choice to the join that follows."""
-    ids = wanted.select("doc_id").distinct()
-    if ids.limit(most_sent + 1).count() <= most_sent:
-        return docs.join(F.broadcast(ids), "doc_id", how)
-    return docs if how == "left_semi" else docs.join(ids, "doc_id", how)
+def _few(df: DataFrame, most_sent: int) -> bool:
+    return df.limit(most_sent + 1).count() <= most_sent
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+
+
+def _merged(contexts: DataFrame, part: int, most_sent: int) -> DataFrame:
+    """c, start, end of the repeated stretches of the texts around anchors. Keys with more than `part` bytes of different
+    texts are split and their parts looked at in the next round; all others are merged, a key in one task."""
+    done = None
+    for _ in range(WINDOW.bit_length() + 1):
+        contexts = stored(contexts)
+        different = stored(contexts.groupBy("key", "k").agg(F.count("*").alias("copies"), F.any_value("context").alias("context")))
+        big = stored(different.groupBy("key").agg(F.sum(F.octet_length("context")).alias("size"), F.count("*").alias("n")).filter((F.col("size") > part) & (F.col("n") > 1)).select("key"))
+        some = big.limit(1).count() > 0
+        side = F.broadcast(big) if _few(big, most_sent) else big
+        mine = different.join(side, "key", "left_anti") if some else different
+        found = mine.repartition("key").sortWithinPartitions("key", "k").select("key", "k", "copies", "context").mapInArrow(_units, "key long, k binary, `from` long, `to` long")
+        spans = contexts.join(found, ["key", "k"]).select("c", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
+        done = spans if done is None else done.union(spans)
+        if not some:
+            break
+        contexts = contexts.join(side, "key", "left_semi").mapInArrow(_split, _CONTEXT)
+    return done.distinct()
 
 
-def repeated_spans(docs: DataFrame, described: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
-    """c, spans: for each text (by hash) the stretches of bytes that go, as an array of (start, end) which may overlap.
+def repeated_spans(docs: DataFrame, described: DataFrame, most_sent: int = MOST_SENT, part: int = PART) -> DataFrame:
+    """c, spans: for each text (by digest) the stretches of bytes that go, as an array of (start, end) which may overlap.
 
     Texts that several documents share go whole and give anchors once. Anchors of one corpus place are dropped by a sort
-    of (anchor, text, position) rows, about one for 140 bytes; only texts around the others are shuffled, by anchor.
+    of (anchor, text, position) rows, about one for 140 bytes, in which the rows of a very common anchor are dealt to many
+    tasks; only texts around the others are shuffled.
     """
-    rows = docs.select("text").mapInArrow(_anchor_rows, "anchor long, c long, place long").distinct()
-    rows = stored(rows)
-    again = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    wanted = rows.join(again, "anchor").groupBy("c").agg(F.collect_list("place").alias("places"))
-    first = described.filter(F.col("n_bytes") >= LENGTH).groupBy("c", "c2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    wanted = stored(wanted.join(first, "c").select("doc_id", "c", "places"))
-    texts = _texts(docs.select("doc_id", "text"), wanted, most_sent).join(wanted, "doc_id").select("c", "places", "text")
-    around = texts.mapInArrow(_contexts, "anchor long, c long, start long, context binary").repartition("anchor").sortWithinPartitions("anchor", "c", "start")
-    parts = around.mapInArrow(_units, "c long, start long, `end` long").distinct()
-    whole = first.join(described.select("c", "c2", "n_bytes").distinct(), ["c", "c2"]).filter("copies > 1").select("c", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
+    rows = docs.select("text").mapInArrow(_anchor_rows, "anchor long, salt short, c binary, place long")
+    again = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "c", "place").mapInArrow(_again, "c binary, place long")
+    wanted = again.groupBy("c").agg(F.collect_set("place").alias("places"))
+    first = described.filter(F.col("n_bytes") >= LENGTH).groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"))
+    wanted = stored(wanted.join(first, "c").select("d.doc_id", "d.th", "c", "places"))
+    near = _hashed(docs)
+    hashes = wanted.select("th").distinct()
+    if _few(hashes, most_sent):  # only their texts are shuffled then
+        near = near.join(F.broadcast(hashes), "th", "left_semi")
+    texts = near.alias("d").join(wanted.alias("w"), F.expr("d.th = w.th and d.doc_id <=> w.doc_id")).select("w.c", "w.places", "d.text")
+    parts = _merged(texts.mapInArrow(_contexts, _CONTEXT), part, most_sent)
+    whole = first.filter("copies > 1").select("c", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
     return parts.union(whole).groupBy("c").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+def remove_repeats(docs: DataFrame, most_sent: int = MOST_SENT, part: int = PART) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 to documents (doc_id, text, any other columns).
 
     Texts are UTF-8 bytes; matches do not cross texts; all is judged on the input. Null, empty and short texts stay whole.
-    Rows that repeat a text are copies of each other and go whole if long enough. A kept text may end within a character,
-    so it is binary. An empty table gives an empty table; columns of the five names, and spans, are replaced.
+    Rows that repeat a text, with the same doc_id or not, are copies of each other and go whole if long enough. Rows
+    without a doc_id are judged like all others. A kept text may end within a character, so it is binary. An empty table gives an empty table; columns
+    of the five names, and spans, are replaced.
     """
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "spans")
-    described = stored(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_bytes long, c long, c2 long"))
-    spans = stored(repeated_spans(docs, described, most_sent))
-    own = stored(described.join(spans, "c").select("doc_id", "n_bytes", "spans").dropDuplicates(["doc_id", "n_bytes"]))
-    # rows that repeat a doc_id with texts of other lengths keep theirs
-    mine = _texts(docs, own, most_sent).withColumn("__n", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("d")
-    mine = mine.join(own.alias("o"), F.expr("d.doc_id = o.doc_id and d.__n = o.n_bytes"), "left").filter("d.doc_id is not null").select(*[F.col(f"d.`{c}`") for c in docs.columns], "spans")
-    others = _texts(docs, own, most_sent, "left_anti").withColumn("spans", F.lit(None).cast("array<struct<start: bigint, end: bigint>>"))
-    few = own.select("doc_id").distinct().limit(most_sent + 1).count() <= most_sent
-    joined = mine.select(*docs.columns, "spans").unionByName(others.select(*docs.columns, "spans")) if few else mine.unionByName(docs.filter("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start: bigint, end: bigint>>")))
+    described = stored(_hashed(docs).mapInArrow(_describe, "doc_id long, th long, n_bytes long, c binary"))
+    spans = stored(repeated_spans(docs, described, most_sent, part))
+    own = stored(described.join(spans, "c").select("doc_id", "th", "spans").dropDuplicates(["doc_id", "th"]))
+    hashes = own.select("th").distinct()
+    with_hash = docs.withColumn("__th", F.xxhash64("text"))
+    none = F.lit(None).cast("array<struct<start: bigint, end: bigint>>")
+    mine, others = with_hash, None
+    if _few(hashes, most_sent):  # texts that stay whole are not shuffled
+        side = F.broadcast(hashes.withColumnRenamed("th", "__th"))
+        mine, others = with_hash.join(side, "__th", "left_semi"), with_hash.join(side, "__th", "left_anti").select(*docs.columns, none.alias("spans"))
+    joined = mine.alias("d").join(own.alias("o"), F.expr("d.__th = o.th and d.doc_id <=> o.doc_id"), "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], "o.spans")
+    joined = joined if others is None else joined.unionByName(others)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"])
     return joined.mapInArrow(_apply, schema)
 
