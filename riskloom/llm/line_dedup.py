@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import BASES, RangeHash, flat, is_space, lowered, pieces, stored, table
+from riskloom.llm.common import PrimeHash, RangeHash, flat, is_space, lowered, pieces, stored, table
 
 #: Shorter keys (code points) are never dropped.
 MIN_CHARS = 40
 #: Keys in so many documents lose their lines.
 MIN_DOCS = 5
-#: log2 of the bits of each filter: 16 MB, whatever the input. With more lines than bits the filters let more lines
-#: through to the exact step, which shuffles them; the result stays the same.
-FILTER_BITS = 27
+#: log2 of the bits of each filter: eight or more for each line that can be long enough, within these bounds (1 MB to 64 MB).
+#: The upper one is what every task can hold; beyond some 10 GB of text the filters fill up and let more lines through to
+#: the exact step, which shuffles them; the result stays the same.
+LEAST_BITS, MOST_BITS = 23, 29
 #: Confirmed keys up to this number go to every task (24 bytes each); more are joined by document.
 MOST_SENT = 1 << 20
 _BLOCK = 16
@@ -43,9 +44,25 @@ class Lines:
         chars = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
         self.chars = chars[self.key_end] - chars[self.key_start]
 
+    def first(self, pick: np.ndarray) -> np.ndarray:
+        """64 bits for each of the picked lines' keys, for filters."""
+        return RangeHash(self.low)(self.key_start[pick], self.key_end[pick])
+
     def hashes(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits for each of the picked lines' keys."""
-        return tuple(RangeHash(self.low, base)(self.key_start[pick], self.key_end[pick]) for base in BASES)
+        """126 bits, of two kinds of hashes, for each of the picked lines' keys."""
+        return self.first(pick), PrimeHash(self.low)(self.key_start[pick], self.key_end[pick])
+
+
+def filter_bits(docs: DataFrame, min_chars: int) -> int:
+    """Bits of the filters, from the most lines of min_chars that the texts can have."""
+    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return min(MOST_BITS, max(LEAST_BITS, (8 * (size // (min_chars + 1)) + 1).bit_length()))
+
+
+def _ids(column) -> tuple[np.ndarray, np.ndarray]:
+    """Document ids, and which of them are missing."""
+    missing = np.asarray(column.is_null())
+    return np.asarray(column.fill_null(0)), missing
 
 
 def _probes(h: np.ndarray, bits: int) -> np.ndarray:
@@ -69,7 +86,7 @@ def _local_filters(min_chars: int, bits: int):
         for batch in pieces(batches, "text"):
             lines = Lines(batch.column("text"))
             pick = np.flatnonzero(lines.chars >= min_chars)
-            h = lines.hashes(pick)[0]
+            h = lines.first(pick)
             found.append(np.unique(np.stack([h, lines.row[pick].astype(np.uint64) + np.uint64(len(found)) * np.uint64(1 << 32)], 1), axis=0)[:, 0] if len(h) else h)
         if not found:
             return
@@ -103,10 +120,23 @@ def _merged(batches):
         yield done()
 
 
-def twice_seen(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> np.ndarray:
+def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     """The twice-seen filter: bytes of 2**bits bits. Each task fills both filters for its documents, blocks of them are
     merged by block, and the merged twice-seen filter, of fixed size, comes to the driver to be sent to all tasks."""
-    local = docs.select("text").mapInArrow(_local_filters(min_chars, bits), "block long, once binary, twice binary")
+    return _gathered(docs.select("text").mapInArrow(_local_filters(min_chars, bits), "block long, once binary, twice binary"), bits)
+
+
+def _of_hashes(bits: int):
+    def run(batches):
+        for batch in batches:
+            for k, _, t in _blocks(np.zeros(0, np.uint64), np.unique(_probes(np.asarray(batch.column(0)).view(np.uint64), bits))):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([b""], pa.binary()), pa.array([t], pa.binary())], names=["block", "once", "twice"])
+
+    return run
+
+
+def _gathered(local: DataFrame, bits: int) -> np.ndarray:
+    """The twice-seen filter from blocks of all tasks."""
     merged = local.repartition("block").sortWithinPartitions("block").mapInArrow(_merged, "block long, twice binary")
     out = np.zeros(1 << bits >> 3, np.uint8)
     for block, t in merged.toLocalIterator() if bits > 27 else merged.collect():
@@ -119,7 +149,7 @@ def _suspects(sent, min_chars: int, bits: int):
     def run(batches):
         twice = np.frombuffer(sent.value, np.uint8)
         for batch in pieces(batches, "text"):
-            ids = np.asarray(batch.column("doc_id"))
+            ids, missing = _ids(batch.column("doc_id"))
             lines = Lines(batch.column("text"))
             pick = np.flatnonzero(lines.chars >= min_chars)
             h1, h2 = lines.hashes(pick)
@@ -133,12 +163,12 @@ def _suspects(sent, min_chars: int, bits: int):
             hit = hit[first]
             low = lines.low.tobytes()
             keys = [low[a:b] for a, b in zip(lines.key_start[pick[hit]].tolist(), lines.key_end[pick[hit]].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lines.row[pick[hit]]], pa.int64()), pa.array(h1[hit].view(np.int64)), pa.array(h2[hit].view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "h1", "h2", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lines.row[pick[hit]]], pa.int64(), mask=missing[lines.row[pick[hit]]]), pa.array(h1[hit].view(np.int64)), pa.array(h2[hit].view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "h1", "h2", "key"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, bits: int) -> DataFrame:
     """Line keys in at least min_docs documents: h1, h2, keeper (the largest doc_id that holds the key). Only lines that
     pass the twice-seen filter are shuffled; they are grouped by the key itself, so the filter's errors do no harm."""
     sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, min_chars, bits).tobytes())
@@ -174,7 +204,7 @@ def _apply(keys, min_chars: int, with_list: bool):
     def run(batches):
         g1, g2, keeper = (np.frombuffer(x, np.int64) for x in keys.value) if keys is not None else (None,) * 3
         for batch in pieces(batches, "text"):
-            ids = np.asarray(batch.column("doc_id"))
+            ids, missing = _ids(batch.column("doc_id"))
             lines = Lines(batch.column("text"))
             drop = np.zeros(len(lines.start), bool)
             pick = np.flatnonzero(lines.chars >= min_chars)
@@ -182,11 +212,11 @@ def _apply(keys, min_chars: int, with_list: bool):
                 h1, h2 = (h.view(np.int64) for h in lines.hashes(pick))
                 if keys is not None:
                     if len(g1):
-                        # equal h1 with another h2 would need two keys of 64 equal bits; the next entries are looked at too
-                        at, last = np.searchsorted(g1, h1), len(g1) - 1
-                        for step in range(3):
-                            k = np.minimum(at + step, last)
-                            drop[pick] |= (g1[k] == h1) & (g2[k] == h2) & (keeper[k] != ids[lines.row[pick]])
+                        # all entries of an equal h1 are looked at, however many there are
+                        at, stop, row = np.searchsorted(g1, h1), np.searchsorted(g1, h1, side="right"), lines.row[pick]
+                        for step in range(int((stop - at).max(initial=0))):
+                            k = np.minimum(at + step, len(g1) - 1)
+                            drop[pick] |= (at + step < stop) & (g2[k] == h2) & ((keeper[k] != ids[row]) | missing[row])
                 else:
                     gone = batch.column("gone")
                     own = {(i, x["h1"], x["h2"]) for i, g in enumerate(gone.to_pylist()) for x in g or ()}
@@ -202,29 +232,33 @@ def _apply(keys, min_chars: int, with_list: bool):
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int = FILTER_BITS, most_sent: int = MOST_SENT) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits: int | None = None, most_sent: int = MOST_SENT) -> DataFrame:
     """Adds n_lines, n_dropped and kept_text to documents (doc_id, text and any other columns).
 
     A line's key is the line without white space at both ends, A-Z lower-cased. Keys of at least min_chars code points in
     at least min_docs documents lose all lines except those of the largest doc_id that holds them. Null and empty texts
     are one empty line. Rows that repeat a doc_id count as one document. An empty table gives an empty table; other
-    columns stay (n_lines, n_dropped, kept_text and gone are replaced). A null doc_id counts as -1.
+    columns stay (n_lines, n_dropped, kept_text and gone are replaced). doc_id is a whole number; rows without one count as
+    one document together, which is never the one that keeps a line.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "gone").withColumn("doc_id", F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long"))
+    docs = docs.drop("n_lines", "n_dropped", "kept_text", "gone").withColumn("doc_id", F.col("doc_id").cast("long"))
+    bits = filter_bits(docs, min_chars) if bits is None else bits
     found = stored(repeated_lines(docs, min_chars, min_docs, bits))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), _OUT])
     if found.limit(most_sent + 1).count() <= most_sent:
-        rows = sorted((r.h1, r.h2, r.keeper) for r in found.collect())
-        keys = tuple(np.array([r[i] for r in rows], np.int64).tobytes() for i in range(3))
+        rows = found.toArrow()
+        cols = [np.asarray(rows.column(i).combine_chunks()) for i in range(3)]
+        order = np.lexsort((cols[1], cols[0]))
+        keys = tuple(c[order].tobytes() for c in cols)
         return docs.mapInArrow(_apply(docs.sparkSession.sparkContext.broadcast(keys), min_chars, True), schema)
-    sent = docs.sparkSession.sparkContext.broadcast(b"\xff" * (1 << bits >> 3))
+    # a filter of the confirmed keys alone, so that only their lines are shuffled
+    sent = docs.sparkSession.sparkContext.broadcast(_gathered(found.select("h1").mapInArrow(_of_hashes(bits), "block long, once binary, twice binary"), bits).tobytes())
     held = docs.select("doc_id", "text").mapInArrow(_suspects(sent, min_chars, bits), "doc_id long, h1 long, h2 long, key binary").drop("key")
-    gone = held.join(found, ["h1", "h2"]).filter("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    return docs.join(gone, "doc_id", "left").select(*docs.columns, "gone").mapInArrow(_apply(None, min_chars, True), schema)
+    gone = held.join(found, ["h1", "h2"]).filter("doc_id is null or doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    joined = docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id"), "left").select("d.*", "g.gone")
+    return joined.mapInArrow(_apply(None, min_chars, True), schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
-
-
