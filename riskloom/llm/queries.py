@@ -76,7 +76,7 @@ l as (select doc_id, source, unnest(string_split(text, chr(10))) as line from d)
 lw as (select doc_id, source, line, lower(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as norm, len(regexp_extract_all(line, '{_WORD}')) as n from l),
 dup as (select doc_id, count(*) - count(distinct line) as n from lw where n > 0 group by doc_id),
 h as (select source, count(*) as docs from documents group by source),
-f as (select lw.source, norm from lw join h on lw.source is not distinct from h.source where n > 0 group by lw.source, norm, docs having count(distinct doc_id) > 20 and count(distinct doc_id) > 0.05 * docs),
+f as (select lw.source, norm from lw join h on lw.source is not distinct from h.source where n > 0 group by lw.source, norm, docs having count(distinct doc_id) > 20 and (count(distinct doc_id) > 0.05 * docs or count(distinct doc_id) > 5000)),
 g as (select doc_id, sum(n) as gone from lw join f on lw.source is not distinct from f.source and lw.norm = f.norm where n > 0 group by doc_id),
 win as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from d where len(w) >= 3),
 win2 as (select doc_id, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from win),

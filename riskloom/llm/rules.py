@@ -11,8 +11,9 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: Share of words in repeated 3-word windows, in per cent, above which a document fails.
 MAX_REPEAT = 50
-#: A line is boilerplate of its host when it is in more documents than this number and this share of the host's documents.
-LINE_DOCS, LINE_SHARE = 20, 0.05
+#: A line is boilerplate of its host when it is in more documents than LINE_DOCS and than this share of the host's, or in
+#: more than LINE_MANY, however large the host is.
+LINE_DOCS, LINE_SHARE, LINE_MANY = 20, 0.05, 5000
 #: A document is depleted when less than this share of its words is left without boilerplate lines.
 MIN_LEFT = 0.5
 #: Boilerplate lines up to this number are sent to every task; more are joined by shuffle.
@@ -26,6 +27,7 @@ def _without(text: str, chars: str):
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
+    Null and empty texts have zeros; other columns stay, but for those of the five names. Rows are judged one by one.
     Repeated windows: each window's hash and position share one long (position in the low bits), the longs are sorted,
     and neighbours with equal hash bits are compared word by word, so that equal hashes of different windows do not count.
     """
@@ -52,39 +54,53 @@ def _host_lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "th", "host", "pos", F.xxhash64(norm).alias("line"), F.expr(f"regexp_count(line, r'{WORD}')").alias("words")).filter("words > 0")
 
 
-def line_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, most_sent: int = MOST_SENT) -> DataFrame:
-    """Words in boilerplate lines of the documents that have any: doc_id, th (hash of the text), gone_words.
+def _line_documents(rows: DataFrame) -> DataFrame:
+    """Per host and line, the different doc_ids that hold it. Ids that stand in one row only, almost all, are counted before
+    the shuffle; the others are counted as different ids. Rows without an id are no documents."""
+    norm = F.transform(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x: F.length(F.translate(x, WS_CHARS, "")) > 0), lambda x: F.xxhash64(F.lower(F.trim(x, F.lit(WS_CHARS)))))
+    each = lambda df: df.select("doc_id", "host", F.explode(F.array_distinct(norm)).alias("line"))
+    again = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
+    if again.limit(1).count() == 0:
+        return each(rows.filter("doc_id is not null")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    once = each(rows.filter("doc_id is not null").join(again, "doc_id", "left_anti")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    more = each(rows.join(again, "doc_id", "left_semi")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    return once.union(more).groupBy("host", "line").agg(F.sum("n").alias("n"))
+
+
+def line_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, most_sent: int = MOST_SENT, line_many: int = LINE_MANY) -> DataFrame:
+    """Boilerplate lines of the documents that have any: doc_id, th (hash of the text), gone_words, gone (places of the lines).
 
     A line is hashed after trimming and lower-casing. A line's documents are counted per host by hash, with partial counts
     before the shuffle, so a line of a third of all documents costs one row a task.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col(host).alias("host"), "text")
-    norm = F.transform(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x: F.length(F.translate(x, WS_CHARS, "")) > 0), lambda x: F.xxhash64(F.lower(F.trim(x, F.lit(WS_CHARS)))))
-    freq = rows.select("host", F.explode(F.array_distinct(norm)).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > line_docs)
+    freq = _line_documents(rows).filter(F.col("n") > line_docs)
     hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    common = stored(freq.alias("f").join(hosts.alias("h"), F.expr("f.host <=> h.host")).filter(F.col("n") > F.lit(line_share) * F.col("docs")).selectExpr("f.host", "f.line"))
+    common = stored(freq.alias("f").join(hosts.alias("h"), F.expr("f.host <=> h.host")).filter((F.col("n") > F.lit(line_share) * F.col("docs")) | (F.col("n") > line_many)).selectExpr("f.host", "f.line"))
     few = common.limit(most_sent + 1).count() <= most_sent
     side = F.broadcast(common) if few else common
     hit = _host_lines(rows).alias("r").join(side.alias("c"), F.expr("r.line = c.line and r.host <=> c.host"))
     # rows that repeat a document repeat its lines: each position counts once
-    once = hit.groupBy("r.doc_id", "r.th", "pos").agg(F.max("words").alias("words"))
-    return once.groupBy("doc_id", "th").agg(F.sum("words").alias("gone_words"))
+    once = hit.groupBy("r.doc_id", "r.th", "r.host", "pos").agg(F.max("words").alias("words"))
+    return once.groupBy("doc_id", "th", "host").agg(F.sum("words").alias("gone_words"), F.collect_list("pos").alias("gone"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, min_left: float = MIN_LEFT) -> DataFrame:
-    """Adds the base counts, base_failed, gone_words and kept to documents (doc_id, text, host column, any others).
+    """Adds the base counts, base_failed, gone_words, clean_text and kept to documents (doc_id, text, host column, any others).
 
     base_failed: fewer than min_words words, or more than max_repeat per cent of the words in repeated 3-word windows.
-    kept: not base_failed, and at least min_left of the words remain after lines that are boilerplate of the host. Null
-    and empty texts have no words and fail. A null host is a host of its own. Repeated rows are judged alike.
+    clean_text: the text without lines that are boilerplate of the host. kept: not base_failed, and at least min_left of the
+    words remain in clean_text. Null and empty texts have no words and fail. A null host is a host of its own. Lines are
+    counted by different doc_ids; rows without one are judged, but do not count. Repeated rows are judged alike.
     Columns of the same names are replaced; an empty table gives an empty table.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "gone_words", "kept"]
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "gone_words", "clean_text", "kept"]
     docs = docs.drop(*own)
     gone = line_rules(docs, host)
     counts = base_counts(docs).withColumn("__th", F.xxhash64("text")).withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat))
-    out = counts.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.__th = g.th"), "left")
-    out = out.select("d.*", F.coalesce("g.gone_words", F.lit(0)).cast("long").alias("gone_words")).drop("__th")
+    out = counts.alias("d").join(gone.alias("g"), F.expr(f"d.doc_id <=> g.doc_id and d.__th = g.th and d.`{host}` <=> g.host"), "left")
+    stays = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.array_join(F.filter(F.split(F.coalesce("d.text", F.lit("")), "\n", -1), lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n"))
+    out = out.select("d.*", F.coalesce("g.gone_words", F.lit(0)).cast("long").alias("gone_words"), stays.alias("clean_text")).drop("__th")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("gone_words") >= F.lit(min_left) * F.col("n_words")))
 
 
