@@ -33,7 +33,8 @@ class Index:
     """
 
     def __init__(self, docs: DataFrame, items: DataFrame, window: int = WINDOW, anchors: int = ANCHORS, most_sent: int = MOST_SENT):
-        self.docs, self.window = docs.select("doc_id", "text"), window
+        # a row's name: its id, which may be missing or repeated, and its text's hash
+        self.docs, self.window = docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), window
         self.items = stored(items.select("item_id", tokens(F.col("text")).alias("words")).withColumn("n", F.size("words")).filter("n > 0").withColumn("len", F.least("n", F.lit(window))))
         size = self.items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         self.small, self.most_sent = size <= most_sent, most_sent
@@ -47,44 +48,49 @@ class Index:
         ranked = starts.withColumn("rank", F.row_number().over(by_window.orderBy("freq", "ipos"))).withColumn("missing", F.max(F.col("freq").isNull()).over(by_window)).filter(~F.col("missing") & (F.col("rank") <= anchors))
         self.windows = stored(ranked.select("item_id", "start", "ipos", "term"))
         self.anchors = self.windows.select("term", "item_id", "ipos").distinct()
-        places = self.docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-        self.postings = stored(places.join(side(self.anchors.select("term").distinct()), "term").select("term", "doc_id", "pos"))
+        places = self.docs.select("doc_id", "th", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+        self.postings = stored(places.join(side(self.anchors.select("term").distinct()), "term").select("term", "doc_id", "th", "pos"))
 
     def _side(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
     def alignments(self) -> DataFrame:
-        """doc_id, item_id, delta (document position of the item's first word) and the item positions found there."""
-        hits = self.postings.join(self._side(self.anchors), "term").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("delta"), "ipos")
-        return hits.groupBy("doc_id", "item_id", "delta").agg(F.collect_set("ipos").alias("found"))
+        """doc_id, th, item_id, delta (document position of the item's first word) and the item positions found there."""
+        hits = self.postings.join(self._side(self.anchors), "term").select("doc_id", "th", "item_id", (F.col("pos") - F.col("ipos")).alias("delta"), "ipos")
+        return hits.groupBy("doc_id", "th", "item_id", "delta").agg(F.collect_set("ipos").alias("found"))
 
     def candidates(self) -> DataFrame:
         """Alignments at which all rarest terms of at least one window stand."""
         need = self.windows.groupBy("item_id", "start").agg(F.collect_set("ipos").alias("need")).groupBy("item_id").agg(F.collect_set("need").alias("needs"))
         near = self.alignments().join(self._side(need), "item_id")
-        return near.filter(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("found"))) == 0)).select("doc_id", "item_id", "delta")
+        return near.filter(F.exists("needs", lambda need: F.size(F.array_except(need, F.col("found"))) == 0)).select("doc_id", "th", "item_id", "delta")
 
     def phrases(self) -> DataFrame:
-        """Exact matches per document: doc_id, n_words, hits (positions of hit words), items. Candidates meet the texts of
-        their documents by doc_id; each window is then compared word by word."""
+        """Exact matches per document: doc_id, th, n_words, hits (positions of hit words), items. Candidates meet the texts of
+        their documents; each window is then compared word by word."""
         found = stored(self.candidates())
-        per = found.join(self._side(self.items.select("item_id", "words", "n", "len")), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "delta", "words", "n", "len")).alias("found"))
-        ids = found.select("doc_id").distinct()
+        per = found.join(self._side(self.items.select("item_id", "words", "n", "len")), "item_id").groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "delta", "words", "n", "len")).alias("found"))
+        ids = found.select("th").distinct()
         few = ids.limit(self.most_sent + 1).count() <= self.most_sent
         # only texts with candidates are shuffled
-        texts = self.docs.join(F.broadcast(ids), "doc_id", "left_semi") if few else self.docs
-        w = texts.join(per, "doc_id").withColumn("w", tokens(F.col("text"))).drop("text")
+        texts = self.docs.join(F.broadcast(ids), "th", "left_semi") if few else self.docs
+        both = texts.alias("d").join(per.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.th = p.th"))
+        w = both.select("d.doc_id", "d.th", tokens(F.col("d.text")).alias("w"), "p.found")
         w = w.withColumn("found", F.expr("""transform(found, f -> struct(f.item_id as item_id, f.delta as delta, f.len as len, f.n as n,
             array_join(transform(f.words, (x, j) -> if(f.delta + j >= 0 and f.delta + j < size(w), if(get(w, f.delta + j) = x, '1', '0'), '0')), '') as same))"""))
         w = w.withColumn("found", F.expr("transform(found, f -> struct(f.item_id as item_id, f.delta as delta, f.len as len, filter(sequence(0, f.n - f.len), s -> substring(f.same, s + 1, f.len) = repeat('1', f.len)) as starts))"))
         w = w.withColumn("found", F.expr("filter(found, f -> size(f.starts) > 0)"))
         hits = F.expr("array_distinct(flatten(flatten(transform(found, f -> transform(f.starts, s -> sequence(f.delta + s, f.delta + s + f.len - 1))))))")
-        return w.select("doc_id", F.size("w").cast("long").alias("n_words"), hits.alias("hits"), F.array_sort(F.array_distinct(F.expr("transform(found, f -> cast(f.item_id as string))"))).alias("items"))
+        return w.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), hits.alias("hits"), F.array_sort(F.array_distinct(F.expr("transform(found, f -> cast(f.item_id as string))"))).alias("items"))
 
     def proximity(self, slop: int = SLOP) -> DataFrame:
-        """doc_id, item_id where rarest terms of the item stand within `slop` words of their distance in it, but displaced."""
-        order = Window.partitionBy("doc_id", "item_id").orderBy("delta")
-        return self.alignments().withColumn("gap", F.col("delta") - F.lag("delta").over(order)).filter(F.col("gap") <= slop).select("doc_id", "item_id").distinct()
+        """doc_id, item_id of near matches: two of a window's rarest terms stand in the document, but 1 to `slop` words
+        nearer or farther from each other than in the item. Short windows of one term have none. Of two terms the pairs of
+        least displacement are neighbours in the order of displacement, so that only neighbours are compared."""
+        spread = self.postings.join(self._side(self.windows), "term").select("doc_id", "th", "item_id", "start", "ipos", (F.col("pos") - F.col("ipos")).alias("delta"))
+        order = Window.partitionBy("doc_id", "th", "item_id", "start").orderBy("delta", "ipos")
+        near = spread.withColumn("gap", F.col("delta") - F.lag("delta").over(order)).withColumn("other", F.lag("ipos").over(order) != F.col("ipos"))
+        return near.filter(F.col("other") & F.col("gap").between(1, slop)).select("doc_id", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_sent: int = MOST_SENT) -> DataFrame:
@@ -92,16 +98,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
 
     A window is `window` consecutive words of an item (all of a shorter item); a word inside any occurrence is hit. Null
     and empty texts have no words; an item without words has no window; equal items are all reported. Rows that repeat
-    a document repeat its result. Empty tables give an empty table or documents without hits. A null doc_id has no hits.
+    a document repeat its result; rows that share an id but not the text have their own, and so have rows without an id.
+    Empty tables give an empty table or documents without hits.
     """
     index = Index(docs, items, window, most_sent=most_sent)
     # no filter on hits: Catalyst would push it below the words, which would then be cut out anew for each comparison
     best = F.max(F.struct(F.size("hits").cast("long").alias("n_hit"), "items")).alias("b")
-    found = index.phrases().groupBy("doc_id", "n_words").agg(best).select("doc_id", "n_words", "b.n_hit", "b.items")
-    counted = docs.select("doc_id", F.regexp_count(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(TOKEN)).cast("long").alias("n_words"))
-    out = counted.join(found, ["doc_id", "n_words"], "left")
+    found = index.phrases().groupBy("doc_id", "th").agg(best).select("doc_id", "th", "b.n_hit", "b.items")
+    counted = docs.select("doc_id", F.xxhash64("text").alias("th"), F.regexp_count(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(TOKEN)).cast("long").alias("n_words"))
+    out = counted.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.th = f.th"), "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items")).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
+    return out.select("d.doc_id", "d.th", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items")).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
