@@ -113,18 +113,20 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, min_contexts: int = MIN_C
 
 
 def _term_spans(docs: DataFrame, terms: DataFrame, most_sent: int) -> DataFrame:
-    """doc_id, th, terms (s, e, v) of the documents that hold a revealing term."""
+    """doc_id, th, terms (s, e, v) and the ones to remove, of the documents that hold a revealing term."""
     few = terms.limit(most_sent + 1).count() <= most_sent
     words = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(F.array_distinct(F.expr(_WORDS))).alias("term"))
-    held = stored(words.join(F.broadcast(terms) if few else terms, "term").groupBy("doc_id", "th").agg(F.collect_set("term").alias("own")))
+    held = stored(words.join(F.broadcast(terms) if few else terms, "term").groupBy("doc_id", "th").agg(F.collect_set("term").alias("own"), F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))).alias("removed")))
     few = held.limit(most_sent + 1).count() <= most_sent
-    mine = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("d").join((F.broadcast(held) if few else held).alias("h"), F.expr("d.doc_id <=> h.doc_id and d.th = h.th")).select("d.doc_id", "d.th", F.col("d.text").alias("t"), "own").dropDuplicates(["doc_id", "th"])
-    mine = mine.withColumn("pattern", F.expr(r"concat(r'(?iu)(?<![\p{L}\p{N}])(?:', array_join(array_sort(own), '|'), r')(?![\p{L}\p{N}])')"))
-    return mine.select("doc_id", "th", F.expr(_placed("pattern")).alias("terms"))
+    mine = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("d").join((F.broadcast(held) if few else held).alias("h"), F.expr("d.doc_id <=> h.doc_id and d.th = h.th")).select("d.doc_id", "d.th", F.col("d.text").alias("t"), "own", "removed").dropDuplicates(["doc_id", "th"])
+    # one pattern for all words of a text; those that are not its revealing terms are left out
+    places = _placed(rf"r'(?<![\p{{L}}\p{{N}}]){TERM}(?![\p{{L}}\p{{N}}])'")
+    return mine.select("doc_id", "th", F.expr(f"filter({places}, x -> array_contains(own, lower(x.v)))").alias("terms"), "removed")
 
 
 def find_personal_data(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE, most_sent: int = MOST_SENT) -> DataFrame:
-    """Per row of documents: doc_id, th (hash of the text), base and spans, arrays of (s, k, e, v) sorted by start and kind.
+    """Per row of documents: doc_id, th (hash of the text), base and spans, arrays of (s, k, e, v) sorted by start and kind, and
+    removed, the revealing terms of a disclosure of REMOVE or more.
 
     Base spans are the leftmost matches of the four patterns that do not overlap within their kind; matches that fail their
     check are dropped. Revealing terms inside a base span are left out. Null and empty texts have no spans. Rows that
@@ -139,11 +141,11 @@ def find_personal_data(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, disclo
     spans = stored(spans.withColumn("near", F.expr(f"transform(base, b -> {around})")).select("doc_id", F.xxhash64("text").alias("th"), "base", "near"))
     terms = revealing_terms(docs, spans, min_contexts, disclosure, most_sent)
     if terms is None or terms.limit(1).count() == 0:
-        return spans.select("doc_id", "th", "base", F.col("base").alias("spans"))
+        return spans.select("doc_id", "th", "base", F.col("base").alias("spans"), F.array().cast("array<string>").alias("removed"))
     placed = _term_spans(docs, terms, most_sent)
     out = spans.alias("b").join(placed.alias("p"), F.expr("b.doc_id <=> p.doc_id and b.th = p.th"), "left")
     added = F.expr(f"transform(filter(coalesce(terms, array()), x -> not exists(base, b -> b.s < x.e and x.s < b.e)), x -> named_struct('s', x.s, 'k', {KINDS.index('term')}, 'e', x.e, 'v', x.v))")
-    return out.select("b.doc_id", "b.th", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return out.select("b.doc_id", "b.th", "base", F.array_sort(F.concat("base", added)).alias("spans"), F.coalesce("removed", F.array().cast("array<string>")).alias("removed"))
 
 
 def _written(column: str):
@@ -152,14 +154,16 @@ def _written(column: str):
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """Documents with a column `sanitised`: base spans replaced by their kind in brackets, revealing terms by their first
-    letter and an ellipsis. Spans that overlap an earlier one are covered with it."""
+    """Documents with a column `sanitised`: base spans replaced by their kind in brackets, revealing terms generalised to their
+    first letter and an ellipsis, or removed where they reveal the value all but surely. Spans that overlap an earlier one
+    are covered with it. Null texts become empty; other columns stay, but for `sanitised`; an empty table stays one."""
+    docs = docs.drop("sanitised")
     found = find_personal_data(docs, **options).dropDuplicates(["doc_id", "th"])
     kinds = "array(" + ", ".join(f"'{k.upper()}'" for k in KINDS) + ")"
-    joined = docs.withColumn("__th", F.xxhash64("text")).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.__th = f.th"), "left").select("d.*", "spans")
-    out = joined.withColumn("__r", F.expr(f"""aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> if(x.e <= a.at, a, named_struct('at', x.e, 'out',
-        concat(a.out, substring(text, a.at + 1, greatest(x.s - a.at, 0)), if(x.k = 4, concat(substring(x.v, 1, 1), '…'), concat('[', element_at({kinds}, x.k + 1), ']'))))))"""))
-    return out.withColumn("sanitised", F.expr("concat(__r.out, substring(coalesce(text, ''), __r.at + 1, length(coalesce(text, ''))))")).drop("__r", "__th", "spans")
+    joined = docs.withColumn("__th", F.xxhash64("text")).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id and d.__th = f.th"), "left").select("d.*", F.col("f.spans").alias("__spans"), F.col("f.removed").alias("__removed"))
+    out = joined.withColumn("__r", F.expr(f"""aggregate(__spans, named_struct('at', 0, 'out', ''), (a, x) -> if(x.e <= a.at, a, named_struct('at', x.e, 'out',
+        concat(a.out, substring(text, a.at + 1, greatest(x.s - a.at, 0)), if(x.k = 4, if(array_contains(__removed, lower(x.v)), '', concat(substring(x.v, 1, 1), '…')), concat('[', element_at({kinds}, x.k + 1), ']'))))))"""))
+    return out.withColumn("sanitised", F.expr("concat(__r.out, substring(coalesce(text, ''), __r.at + 1, length(coalesce(text, ''))))")).drop("__r", "__th", "__spans", "__removed")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
