@@ -140,7 +140,8 @@ def _measure(batches):
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Machines:
     """Learns from text and non-null lang outside the held-out fold. Each language gives the documents whose hash is
-    below per_language / its number of documents; what comes to the driver is bounded by in_all rows of 4 KB."""
+    below per_language / its number of documents; what comes to the driver is bounded by in_all rows of 4 KB, twice as many
+    where hashes fall unevenly (then those of the least hashes). Of more than in_all / 20 languages the commonest are learned."""
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (fold("doc_id", FOLDS) != HELD_OUT))
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(in_all // 20).collect()}
     if not sizes:
@@ -148,7 +149,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_AL
     each = min(per_language, max(20, in_all // len(sizes)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))])
     place = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).cast("double") / float(1 << 53)
-    rows = usable.filter(place < F.element_at(share, F.col("lang"))).limit(in_all * 2).mapInArrow(_measure, "doc_id long, lang string, x binary").toArrow()
+    chosen = usable.filter(place < F.element_at(share, F.col("lang"))).mapInArrow(_measure, "doc_id long, lang string, x binary")
+    rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(in_all * 2).toArrow()
     ids, lang = np.asarray(rows.column("doc_id").combine_chunks()), np.array(rows.column("lang").to_pylist(), object)
     x = np.stack([np.frombuffer(b, np.float16) for b in rows.column("x").to_pylist()]).astype(np.float32) if len(ids) else np.zeros((0, DIMENSIONS), np.float32)
     order = np.lexsort([lang.astype(str), ids])

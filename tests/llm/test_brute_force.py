@@ -49,11 +49,43 @@ def test_merge_is_right_for_any_shards():
     places = {(n, i) for n, t in enumerate(texts) for i in range(len(t) - 399) if want[t[i : i + 400]] > 1}
     for shards in (1, 2, 3, 5):
         assert set(zip(*(x.tolist() for x in repeats.repeated(texts, shards)), strict=True)) == places
-    part, repeats.PART = repeats.PART, 500
-    try:
-        assert set(zip(*(x.tolist() for x in repeats._in_parts(texts)), strict=True)) == places
-    finally:
-        repeats.PART = part
+
+
+def _removed_by_windows(texts):
+    """Per text: bytes that go, and the rest, by counting all windows."""
+    seen = Counter(x[i : i + 400] for x in texts for i in range(len(x) - 399))
+    out = []
+    for x in texts:
+        cover = np.zeros(len(x) + 1, int)
+        for i in range(len(x) - 399):
+            if seen[x[i : i + 400]] > 1:
+                cover[i] += 1
+                cover[i + 400] -= 1
+        gone = np.cumsum(cover[:-1]) > 0
+        out.append((int(gone.sum()), bytes(np.frombuffer(x, np.uint8)[~gone])))
+    return out
+
+
+@pytest.mark.parametrize("part", [repeats.PART, 3000, 0])
+def test_splitting_a_common_anchor_loses_nothing(spark, part):
+    """One passage in many texts, between other words each time, cut at many places; some texts only share its edges."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = word(900)
+    texts = [word(int(rng.integers(0, 300))) + passage[int(a) : int(b)] + word(int(rng.integers(0, 300))) for a, b in zip(rng.integers(0, 300, 60), rng.integers(500, 900, 60), strict=True)]
+    texts += [passage[:399], passage[:400], "q" * 1200, texts[3], ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(df, part=part).collect()}
+    want = _removed_by_windows([t.encode() for t in texts])
+    assert got == {i: (n, hashlib.sha256(kept).hexdigest()) for i, (n, kept) in enumerate(want)}
+
+
+def test_long_texts_in_chunks():
+    rng = np.random.default_rng(6)
+    data = rng.integers(97, 101, 6000, dtype=np.uint8)
+    at = np.array([0, 300, 2500, 6000])
+    whole, cut = ({(r, h, p, x) for r, h, p, a, b in zip(*(c.tolist() for c in repeats.anchors(data, at, chunk)), strict=True) for x in range(a, b + 1)} for chunk in (1 << 22, 500))
+    assert whole == cut
 
 
 def _luhn(digits):
