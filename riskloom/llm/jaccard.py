@@ -433,7 +433,8 @@ def _between(links: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, small: int = SMALL, most_sent: int = MOST_SENT) -> DataFrame:
-    """Per row of documents: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+    """Per row of documents: doc_id, th (hash of the text), n_shingles, class (a digest; null without shingles) and
+    component_id (the smallest doc_id reachable by links).
 
     A document's set holds its distinct five-word shingles, A-Z lower-cased; a text of fewer words is one shingle; null,
     empty and blank texts have none and are linked with nothing, not with each other either. Documents of equal sets are
@@ -447,10 +448,11 @@ def near_duplicates(docs: DataFrame, small: int = SMALL, most_sent: int = MOST_S
     ids = described.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     # one row for each class, then one for each set with copies or links; documents meet those last
     held = classes.toDF("id", "c").join(ids, "id")
-    linked = held.join(held.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("id", "component_id")
-    known = ids.join(linked, "id", "left").filter("copies > 1 or component_id is not null").select("id", F.coalesce("component_id", "least").alias("component_id"))
-    return described.join(known, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = held.join(held.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("id", "c", "component_id")
+    known = ids.join(linked, "id", "left").filter("copies > 1 or c is not null").select("id", "c", F.coalesce("component_id", "least").alias("component_id"))
+    out = described.join(known, "id", "left")
+    return out.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("c", "id")).alias("class"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from riskloom.llm import repeats
+from riskloom.llm import language, quality_model, repeats
 from riskloom.llm.queries import ORACLE, QUERIES
 from tests.compare import same
 
@@ -161,6 +161,105 @@ def test_pipeline(spark):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     assert {r.doc_id for r in kept[2].collect()} == {i for i in ids if find(i) == i}
-    assert {r.doc_id for r in kept[3].collect()} <= {r.doc_id for r in kept[2].collect()}
-    mix = kept[4].collect()
-    assert len(mix) == kept[3].count() and all(r.taken <= 3 * r.size for r in mix)
+    # decontamination: documents with a window of ten words of an item, or a whole shorter item
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", key("a" + t)[1:] if t else "")
+    windows = set()
+    for item in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(item.text or "")
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    by_size = {len(w): {x for x in windows if len(x) == len(w)} for w in windows}
+    hit = lambda t: any(tuple(t[i : i + n]) in found for n, found in by_size.items() for i in range(len(t) - n + 1))
+    stay = {i for i in ids if find(i) == i and not hit(words(texts[i]))}
+    assert {r.doc_id for r in kept[3].collect()} == stay and len(stay) < len(kept[2].collect())
+    # mix: queues by hash of the id, entries by finish time
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", texts[i])) for i in stay}
+    source = {r.doc_id: r.source for r in kept[3].collect()}
+    names = sorted(set(source.values()))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    total = {s: sum(size[i] for i in stay if source[i] == s) for s in names}
+    target, open_, budget = {}, set(names), sum(total.values())
+    while True:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in open_)
+        full = [s for s in open_ if weight[s] * level > 3 * total[s]]
+        if not full:
+            break
+        target |= {s: 3 * total[s] for s in full}
+        open_ -= set(full)
+    target |= {s: weight[s] * level for s in open_}
+    number = lambda i: int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:15], 16)
+    entries = []
+    for s in names:
+        upto = 0
+        for i in sorted((i for i in stay if source[i] == s), key=lambda i: (number(i), i)):
+            upto += size[i]
+            entries += [(total[s] * e + upto > target[s], (total[s] * e + upto) / target[s], s, e, number(i), i) for e in range(3) if size[i]]
+    taken, at = Counter(), 0
+    for late, _, _, _, _, i in sorted(entries):
+        at += size[i]
+        taken[i] += size[i] * (not late or at <= budget)
+    mix = {r.doc_id: r for r in kept[4].collect()}
+    assert set(mix) == stay and all(abs(r.target - target[r.source]) < 1e-6 * max(1, r.target) for r in mix.values())
+    assert {i: r.taken for i, r in mix.items()} == {i: taken[i] for i in stay}
+
+
+def test_trees_one_by_one():
+    """Flattened trees against walking each tree node by node."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    trees = quality_model.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.2).astype(float), trees=7, depth=3)
+    for row, got in zip(x, trees.scores(x), strict=True):
+        total = trees.prior
+        for t in range(len(trees.feature)):
+            node = 0
+            while node < trees.feature.shape[1]:
+                node = 2 * node + (2 if row[trees.feature[t, node]] > trees.threshold[t, node] else 1)
+            total += trees.leaf[t, node - trees.feature.shape[1]]
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_votes_one_by_one():
+    """Family first, then a vote of every two languages in it, one text at a time."""
+    rng = np.random.default_rng(4)
+    langs = np.array(["de", "en", "nl", "es", "fr", "xx"] * 50, object)
+    x = (rng.normal(size=(300, 12)) * 0.3 + np.eye(12)[[["de", "en", "nl", "es", "fr", "xx"].index(k) for k in langs]]).astype(np.float32)
+    machines = language.fit(x, langs)
+    chance = lambda w, v: 1 / (1 + np.exp(-np.clip(2 * (v @ w[:-1] + w[-1]), -30, 30)))
+    label, score = machines.predict(x)
+    for v, got, p in zip(x, label, score, strict=True):
+        family = [chance(w, v) for w in machines.family]
+        codes = machines.members[machines.families[int(np.argmax(family))]]
+        votes, strength = dict.fromkeys(codes, 0), dict.fromkeys(codes, 0.0)
+        for i, a in enumerate(codes):
+            for b in codes[i + 1 :]:
+                q = chance(machines.pairs[a, b], v)
+                votes[a if q >= 0.5 else b] += 1
+                strength[a] += q
+                strength[b] += 1 - q
+        best = max(codes, key=lambda c: votes[c] + strength[c] / len(codes))
+        assert got == best and abs(p - max(family) * (strength[best] / (len(codes) - 1) if len(codes) > 1 else 1)) < 1e-6
+    assert np.mean(label == langs) > 0.9
+
+
+def test_pipeline_with_missing_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    text = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"other{i}" for i in range(80))
+    rows = [(1, text), (1, text), (1, other), (2, text + " more"), (None, text), (None, other + " x"), (3, None), (4, ""), (5, "one two three")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = {}
+    for name, stage in p.STAGES:
+        docs = p.stored(stage(spark, docs, str(tmp_path)))
+        kept[name] = sorted((str(r.doc_id), r.text) for r in docs.collect()) if "text" in docs.columns else docs.count()
+    assert len(kept["quality classifier"]) == len(kept["line dedup"]) == len(rows)
+    assert kept["n-gram Jaccard join"] == [("1", other), ("1", text), ("3", ""), ("4", ""), ("5", "one two three")]
+    assert [i for i, _ in kept["benchmark decontamination"]] == ["1", "1", "3", "4"] and kept["mixing sources"] == 4
+    docs = spark.createDataFrame([], schema)
+    for _, stage in p.STAGES:
+        docs = p.stored(stage(spark, docs, str(tmp_path)))
+        assert docs.count() == 0
