@@ -22,36 +22,56 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MOST_SENT = 1 << 20
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = stored(ids.distinct())
-    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*COLUMNS)
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, F.xxhash64("text").alias("th"))
+
+
+def _parted(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Documents (with th) whose id and text hash are among the rows, or are not: left_semi or left_anti. Up to MOST_SENT
+    rows go to every task; a missing id is equal to a missing id."""
+    few = rows.limit(MOST_SENT + 1).count() <= MOST_SENT
+    return docs.alias("d").join((F.broadcast(rows) if few else rows).alias("r"), F.expr("d.th = r.th and d.doc_id <=> r.doc_id"), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Rows are judged one by one; null and empty texts are judged too. Without
+    labels every document has the score 0.5 and stays. An empty table stays empty."""
     return classify_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).filter("predicted = 1").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one; a document may become empty."""
+    """Lines that many documents share stay in one; a document may become empty, but stays. Null texts become empty. Rows
+    that repeat an id count as one document, and so do all rows without one, which never keep a shared line."""
     out = drop_repeated_lines(docs.select(*COLUMNS)).withColumn("text", F.col("kept_text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    found = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
-    return _without(docs, found)
+    """One row of each group of near duplicates stays: the one with the smallest doc_id (rows without one come last), of
+    several texts of that id the one with the smallest hash, of repeated rows any one. Texts without words are near
+    duplicates of nothing and stay."""
+    found = stored(near_duplicates(docs).filter("n_shingles > 0").select("doc_id", "th", "class"))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    first = found.groupBy("class").agg(F.min(row).alias("first"))
+    others = stored(found.join(first, "class").filter(~row.eqNullSafe(F.col("first"))).select("doc_id", "th").distinct())
+    left = _parted(_hashed(docs), others, "left_anti")
+    again = stored(found.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "th").join(others, ["doc_id", "th"], "left_anti"))
+    if again.limit(1).count() == 0:
+        return left.select(*COLUMNS)
+    once = _parted(left, again, "left_semi").dropDuplicates(["doc_id", "th"])
+    return _parted(left, again, "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id"))
+    """Documents with a passage of the benchmark go. Rows are judged one by one, with an id or without; documents without
+    words stay, and so do all with an empty benchmark."""
+    hit = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id", "th")
+    return _parted(_hashed(docs), stored(hit.distinct()), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each row the mix takes: doc_id, source, size, source_size, target, taken. Repeated rows queue one
+    after the other; rows without words take none."""
     return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
