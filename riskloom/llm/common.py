@@ -111,7 +111,7 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each piece holds about `most` bytes of `column` (a longer row stands alone)."""
     for batch in batches:
         if batch.num_rows == 0:
