@@ -11,6 +11,7 @@ from riskloom.functions import clean, fixed
 from riskloom.operators import detect, resolve, route, score, signals
 from riskloom.plans.adapters import Tables, cin, oracle
 from riskloom.sources import tables as src
+from riskloom.sources.shared import kept
 from riskloom.streaming import replay, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,14 +28,6 @@ def query(sql: str | None = None):
     return add
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage between levels of an iteration, in the shared folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(replay.shared_folder(spark))
-    return df.checkpoint()
-
-
 def _case(column: str, source: str, texts: bool = False) -> tuple[str, str]:
     """SQL of a source's ordered rules: type and severity."""
     _, rules, default = (None, *fixed.TEXT_RULES[source]) if texts else fixed.SOURCE_RULES[source]

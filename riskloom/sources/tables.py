@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import fixed
 from riskloom.functions.clean import any_date, cin_ok, director_number, present, whole
+from riskloom.sources.shared import kept
 
 
 def canonical(header: str) -> str:
@@ -126,6 +127,8 @@ def _nodes(df: DataFrame, key: str, payload: str, depth: int | None) -> DataFram
         rows = step.select(key, F.lit(d).alias("depth"), "pos", "name", "v")
         out = rows if out is None else out.unionByName(rows)
         level = step.filter("schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%'").select(key, "v", "pos")
+        if d % 4 == 3:  # the plan of a level holds those of all levels above it
+            level = kept(level)
     return out
 
 

@@ -130,3 +130,84 @@ def test_strike_off_and_head_count(spark):
     df = spark.createDataFrame([("U1", 1, 100), ("U1", 2, 70), ("U1", 3, 90), ("U1", 4, 0)], "cin string, month int, headcount int")
     got = [(r.month, r.event_type) for r in signals.head_count(df).orderBy("month").collect()]
     assert got == [(2, "EPFO_CONTRIBUTION_DROP"), (3, "EPFO_HIRING_SURGE"), (4, "EPFO_DELISTED")]
+
+
+def test_charges(spark):
+    """One event a charge: a raise ends the row, a satisfied one is WATCH and does not exceed anything any more."""
+    schema = "cin string, charge_id string, amount long, status string, authorized_capital long"
+    old = spark.createDataFrame([("U1", k, 10_000_000, "Open", 5_000_000) for k in ("up", "done", "over", "same")] + [("U1", "was", 1, "Satisfied", 0)], schema)
+    new = spark.createDataFrame([("U1", "up", 20_000_000, "Satisfied", 5_000_000), ("U1", "done", 10_000_000, "Satisfied", 5_000_000), ("U1", "over", 10_000_000, "Open", 5_000_000), ("U1", "same", 9_000_000, "Open", 0), ("U1", "was", 1, "Satisfied", 0), ("U1", "n1", 12_000_000, "Open", 1), ("U1", "n2", 100_000_001, "Open", 1), ("U1", "n3", 9, "Open", 1)], schema)
+    got = {(r.charge_id, r.event_type, r.severity) for r in detect.classify_charges(old, new).collect()}
+    assert got == {("up", "CHARGE_MODIFIED", "WATCH"), ("done", "CHARGE_SATISFIED", "WATCH"), ("over", "CHARGE_EXCEEDS_CAPITAL", "CRITICAL"), ("n1", "CHARGE_CREATED", "ALERT"), ("n2", "CHARGE_EXCEEDS_CAPITAL", "CRITICAL")}
+
+
+def test_cool_down_counts_from_the_last_fired(spark):
+    rows = [(d, "U1", "A", dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for d in (0, 20, 40, 60, 75)] + [(9, "U2", "A", dt.datetime(2024, 1, 2)), (10, "U2", "A", None)]
+    e = spark.createDataFrame(rows, "id long, cin string, event_type string, detected_at timestamp")
+    assert sorted(r.id for r in route.cool_down(e.repartition(3), 30).collect()) == [0, 9, 10, 40, 75]
+
+
+def test_an_empty_list_of_companies_matches_nothing(spark):
+    t = dt.datetime(2024, 1, 30)
+    e = spark.createDataFrame([(1, "U1", "GST_CANCELLED", "CRITICAL", t), (2, "U2", "X", "INFO", t), (3, "U9", "X", "ALERT", t)], "id long, cin string, event_type string, severity string, detected_at timestamp")
+    m = spark.createDataFrame([("U1", "MH", "24"), ("U2", "GJ", "10")], "cin string, registered_state string, industrial_class string")
+    lists = [(1, None, None, "INFO", None, [], True), (2, None, None, "ALERT", None, None, True), (3, "MH", None, "INFO", None, None, True), (4, "MH", "10", "INFO", None, None, True), (5, None, "10", "INFO", ["X"], None, True), (6, None, None, "INFO", None, ["U2"], True), (7, None, None, "INFO", None, None, False)]
+    w = spark.createDataFrame(lists, "watchlist_id int, state_filter string, sector_filter string, severity_min string, type_filter array<string>, cin_list array<string>, is_active boolean")
+    for most in (100_000, 0):
+        got = {(r.watchlist_id, r.event_id) for r in route.match_watchlists(e, w, m, most).collect()}
+        assert got == {(2, 1), (2, 3), (3, 1), (5, 2), (6, 2)}
+
+
+def test_directors_by_refresh(spark):
+    schema = "cin string, din string, director_name string, designation string, date_of_appointment date, cessation_date date"
+    old = spark.createDataFrame([("U1", "D1", "A", "CFO", DAY, None), ("U1", "D2", "B", "Director", DAY, None), ("U1", None, "Old Co", "Auditor", DAY, None)], schema)
+    new = spark.createDataFrame([("U1", "D1", "A", "CFO", DAY, DAY), ("U1", "D2", "B", "Director", DAY, DAY), ("U1", None, "New Co", "Auditor", DAY, None), ("U2", None, "Any Co", "Auditor", DAY, None)], schema)
+    got = {(r.cin, r.director_name, r.event_type, r.severity) for r in detect.refresh_directors(old, new).collect()}
+    assert got == {("U1", "A", "CFO_RESIGNED", "ALERT"), ("U1", "B", "DIRECTOR_RESIGNED", "WATCH"), ("U1", "New Co", "AUDITOR_CHANGED", "ALERT")}
+    many = spark.createDataFrame([(f"U{i}", "D9", "C", "Director", DAY, None) for i in range(11)], schema)
+    assert {r.event_type for r in detect.refresh_directors(many, many).collect()} == {"DIRECTOR_OVERLOADED"}
+
+
+def test_new_cases_of_one_number(spark):
+    schema = "case_number string, source string, status string"
+    old = spark.createDataFrame([("C1", "t", "Open")], schema)
+    new = spark.createDataFrame([("C1", "t", "Closed"), ("C1", "t", "Closed"), ("C2", "t", "Open"), ("C2", "t", "Open")], schema)
+    table, fresh = src.upsert_cases(old, new)
+    assert sorted((r.case_number, r.status) for r in table.collect()) == [("C1", "Closed"), ("C2", "Open")] and fresh.count() == 1
+
+
+def test_json_of_any_depth(spark):
+    deep = '{"x": "no }{ depth"}'
+    for i in range(12):
+        deep = f'{{"l{i}": [{deep}]}}' if i else '{"rows": [{"dinNumber": "7", "directorName": "N"}]}'
+    df = spark.createDataFrame([(1, deep), (2, None), (3, "not json"), (4, '{"a": "}}{{["}')], "k int, doc string")
+    assert src.json_depth(df, "doc") == 25
+    got = [(r.k, r.din, r.name) for r in src.json_records(df, "k", "doc", {"din": ["din"], "name": ["director_name"]}).collect()]
+    assert got == [(1, "7", "N")]
+
+
+def test_contagion_names_its_chain(spark):
+    scores = spark.createDataFrame([("U1", 10.0, "RED"), ("U2", 70.0, "GREEN"), ("U3", 70.0, "GREEN"), ("U4", 70.0, "GREEN")], "cin string, score double, band string")
+    edges = spark.createDataFrame([("D1", "U1", None), ("D1", "U2", None), ("D2", "U2", None), ("D2", "U3", None), ("D3", "U3", None), ("D3", "U4", None)], "din string, cin string, cessation_date date")
+    got = {r.cin: (r.depth, r.chain, r.band_after) for r in score.propagate(scores, edges, scores.filter("band = 'RED'"), lambda df: df).collect()}
+    assert got == {"U2": (1, ["U1", "U2"], "AMBER"), "U3": (2, ["U1", "U2", "U3"], "AMBER")}
+    e = score.contagion_events(score.propagate(scores, edges, scores.filter("band = 'RED'"), lambda df: df), F.lit("2024-01-31 00:00:00").cast("timestamp")).filter("cin = 'U3'").first()
+    assert (e.event_type, e.data_json) == ("CONTAGION_PROPAGATED", '{"origin_cin":"U1","depth":1,"chain":["U1","U2","U3"]}')
+
+
+def test_light_resolution(spark):
+    m = spark.createDataFrame([("U1", "Apex Steel Works Pvt Ltd"), ("U2", "Bharat Foods Ltd"), ("U3", "Bharat Foods International Ltd")], "cin string, company_name string")
+    alias = spark.createDataFrame([("bharti food", "U2")], "normalized_alias string, cin string")
+    q = spark.createDataFrame([(1, "Bharti Food Ltd"), (2, "M/s Apex Steel Works Limited"), (3, "Bharat Foods Int Ltd"), (4, "Apex Steal Works Ltd"), (5, "Ramesh Kumar"), (6, "Zzz Qqq Ltd")], "qid int, raw_name string")
+    got = {r.qid: (r.cin, r.method) for r in resolve.resolve_light(q, m, alias).collect()}
+    assert got == {1: ("U2", "alias"), 2: ("U1", "light_exact"), 3: ("U3", "prefix"), 4: ("U1", "trigram"), 5: (None, "person"), 6: (None, "none")}
+
+
+def test_centrality(spark):
+    """Two directors, three companies: the one that both sit on is the most central; capital of 0 is left out."""
+    edges = spark.createDataFrame([("D1", "U1", None), ("D1", "U2", None), ("D2", "U2", None), ("D2", "U3", None), ("D2", "U0", None)], "din string, cin string, cessation_date date")
+    capital = spark.createDataFrame([("U1", 1), ("U2", 1), ("U3", 1), ("U0", 0)], "cin string, capital long")
+    got = {r.cin: r.centrality for r in signals.centrality(edges, capital, lambda df: spark.createDataFrame(df.collect(), df.schema), rounds=12).collect()}
+    # the matrix [[1, 1, 0], [1, 2, 1], [0, 1, 1]] has the main vector (1, 2, 1)
+    assert set(got) == {"U1", "U2", "U3"} and got["U2"] == 1.0 and abs(got["U1"] - 0.5) < 1e-4 and abs(got["U3"] - 0.5) < 1e-4
+

@@ -74,19 +74,42 @@ class _Handle:
 
 
 class _Clock:
+    def __init__(self, hours=0):
+        self.now = 1000 + hours * 3_600_000
+
     def getCurrentProcessingTimeInMs(self):
-        return 1000
+        return self.now
 
 
 def test_held_alerts():
+    """Each alert waits for its own severity's time: the ALERT's timer lets neither the WATCH nor the INFO out."""
     import pandas as pd
 
     p, h = streams.HeldAlerts(), _Handle()
     p.init(h)
-    rows = pd.DataFrame({"event_id": [1, 2, 3], "severity": ["WATCH", "CRITICAL", "ALERT"]})
+    rows = pd.DataFrame({"event_id": [1, 2, 3, 4, 5], "severity": ["WATCH", "CRITICAL", "ALERT", "INFO", "ALERT"]})
     now = pd.concat(p.handleInputRows((7, "U1"), iter([rows]), _Clock()))
     assert now.values.tolist() == [[7, "U1", 1, "CRITICAL"]]
-    assert h.timers == [1000 + 24 * 3_600_000, 1000 + 4 * 3_600_000]
-    due = pd.concat(p.handleExpiredTimer((7, "U1"), _Clock(), None))
-    assert due.values.tolist() == [[7, "U1", 2, "ALERT"]]
-    assert len(pd.concat(p.handleExpiredTimer((7, "U1"), _Clock(), None))) == 0
+    assert h.timers == [1000 + x * 3_600_000 for x in (24, 4, 168, 4)]
+    out = lambda hours: pd.concat(p.handleExpiredTimer((7, "U1"), _Clock(hours), None)).values.tolist()
+    assert out(3) == [] and out(4) == [[7, "U1", 2, "ALERT"]]
+    assert out(24) == [[7, "U1", 1, "WATCH"]] and out(25) == [] and out(168) == [[7, "U1", 1, "INFO"]] and out(200) == []
+
+
+def test_cool_down_of_a_stream(spark, tmp_path):
+    """Days 0, 20, 40 and 60 give two events: the suppressed one does not prolong the silence."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("U1", "A", dt.datetime(2024, 1, 1) + dt.timedelta(days=d), d) for d in (0, 20, 40, 60)] + [("U1", "B", dt.datetime(2024, 1, 5), 5)]
+    df = spark.createDataFrame(rows, "cin string, event_type string, ts timestamp, id long")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = drained(streams.cooled(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))))
+    assert sorted(r.id for r in got.collect()) == [0, 5, 40]
+
+
+def test_durable_keys(spark, tmp_path):
+    run = streams.append_unseen(str(tmp_path / "rows"), ["key"])
+    batch = lambda *keys: spark.createDataFrame([(k, "x") for k in keys], "key long, v string")
+    run(batch(1, 2, 2), 0)
+    run(batch(2, 3), 1)
+    run(batch(), 2)
+    assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == [1, 2, 3]
