@@ -46,7 +46,7 @@ def similar_names(queries: DataFrame, master: DataFrame, above: float, same: tup
 
     Inverted-index join: only the rarest trigrams of each name are joined. A pair above the limit shares more than
     above * n of a name's n trigrams, so one of any n - floor(above * n) of them, in a common order by rarity, is shared
-    (prefix filter); frequent trigrams are hardly ever joined. Similarity is then exact, from the whole sets.
+    (prefix filter), and at its place in both enough must be left (positional filter). Similarity is then exact, from the whole sets.
     """
     q = queries.select("qid", *same, trigrams("name").alias("g")).filter(F.size("g") > 0)
     m = master.select("cin", *same, trigrams("name").alias("h")).filter(F.size("h") > 0)
@@ -55,9 +55,11 @@ def similar_names(queries: DataFrame, master: DataFrame, above: float, same: tup
     def prefix(df: DataFrame, key: str, grams: str) -> DataFrame:
         w = Window.partitionBy(key).orderBy(F.coalesce("f", F.lit(0)), "t")
         each = df.select(key, *same, F.size(grams).alias("n"), F.explode(grams).alias("t")).join(freq, "t", "left").withColumn("r", F.row_number().over(w))
-        return each.filter(F.col("r") <= F.col("n") - F.floor(F.lit(above) * F.col("n")) + 1).select(key, *same, "t")
+        return each.filter(F.col("r") <= F.col("n") - F.floor(F.lit(above) * F.col("n")) + 1).select(key, *same, "t", F.col("n").alias(f"n_{key}"), F.col("r").alias(f"r_{key}"))
 
-    pairs = prefix(q, "qid", "g").join(prefix(m, "cin", "h"), ["t", *same]).select("qid", "cin").distinct()
+    # the first trigram that a pair shares leaves at most the shorter rest: too little of it, and the pair is not similar
+    enough = F.least(F.col("n_qid") - F.col("r_qid"), F.col("n_cin") - F.col("r_cin")) + 1 >= F.lit(above / (1 + above) - 1e-9) * (F.col("n_qid") + F.col("n_cin"))
+    pairs = prefix(q, "qid", "g").join(prefix(m, "cin", "h"), ["t", *same]).filter(enough).select("qid", "cin").distinct()
     both = pairs.join(q.select("qid", "g"), "qid").join(m.select("cin", "h"), "cin")
     sim = F.size(F.array_intersect("g", "h")).cast("double") / F.size(F.array_union("g", "h"))
     return both.select("qid", "cin", sim.alias("sim")).filter(F.col("sim") > above)

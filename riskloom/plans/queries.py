@@ -226,12 +226,15 @@ def b28_age_months(t):
 
 
 def _name_pairs(t):
-    m = t.company.withColumn("company_name", F.concat(F.element_at(F.array(*map(F.lit, ["Apex", "Bharat", "Crystal", "Deccan", "Eastern", "Falcon", "Ganga"])), (F.col("k") % 7 + 1).cast("int")), F.lit(" "), F.element_at(F.array(*map(F.lit, ["Steel", "Textiles", "Chemical Works", "Motors", "Foods"])), (F.col("k") % 5 + 1).cast("int")), F.lit(" "), F.col("k").cast("string"), F.lit(" Pvt Ltd")))
+    # three companies share each made-up word; without such variety the similar pairs would be the square of the table
+    word = F.translate(F.substring(F.md5(F.floor(F.col("k") / 3).cast("string")), 1, 8), "0123456789", "ghijklmnop")
+    trade = F.element_at(F.array(*map(F.lit, ["Steel", "Textiles", "Chemical Works", "Motors", "Foods"])), (F.floor(F.col("k") / 6) % 5 + 1).cast("int"))
+    m = t.company.withColumn("company_name", F.concat(word, F.lit(" "), trade, F.lit(" "), F.col("k").cast("string"), F.lit(" Pvt Ltd")))
     q = m.select(F.col("k").alias("qid"), F.when(F.col("k") % 2 == 0, F.upper("company_name")).otherwise(F.regexp_replace("company_name", "e", "a")).alias("raw_name"), F.col("registered_state").alias("state"), F.col("industrial_class").alias("industry"), F.when(F.col("k") % 11 == 0, F.col("cin")).alias("cin"), F.when(F.col("k") % 13 == 0, F.col("pan")).alias("pan"))
     return m, q
 
 
-_NAMES = """with m as (select k, cin, registered_state as state, industrial_class as industry, pan, concat(['Apex', 'Bharat', 'Crystal', 'Deccan', 'Eastern', 'Falcon', 'Ganga'][k % 7 + 1], ' ', ['Steel', 'Textiles', 'Chemical Works', 'Motors', 'Foods'][k % 5 + 1], ' ', cast(k as string), ' Pvt Ltd') as company_name from company),
+_NAMES = """with m as (select k, cin, registered_state as state, industrial_class as industry, pan, concat(translate(substring(md5(cast(k // 3 as varchar)), 1, 8), '0123456789', 'ghijklmnop'), ' ', ['Steel', 'Textiles', 'Chemical Works', 'Motors', 'Foods'][(k // 6) % 5 + 1], ' ', cast(k as string), ' Pvt Ltd') as company_name from company),
 ml as (select *, trim(regexp_replace(regexp_replace(lower(company_name), '\\b(pvt|ltd)\\b', ' ', 'g'), '\\s+', ' ', 'g')) as name from m),
 q as (select k as qid, case when k % 2 = 0 then upper(company_name) else replace(company_name, 'e', 'a') end as raw, state, industry, case when k % 11 = 0 then cin end as qcin, case when k % 13 = 0 then pan end as qpan from m),
 ql as (select *, trim(regexp_replace(regexp_replace(lower(raw), '\\b(pvt|ltd)\\b', ' ', 'g'), '\\s+', ' ', 'g')) as name from q),
