@@ -104,7 +104,7 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
         column = column.fill_null("")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -126,6 +126,44 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19)
         yield batch.slice(begin)
 
 
+def with_columns(batch: pa.RecordBatch, drop, more) -> pa.RecordBatch:
+    """A batch without some columns and with more of them, as (name, array)."""
+    kept, more = [n for n in batch.schema.names if n not in drop], list(more)
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(a for _, a in more)], names=[*kept, *(n for n, _ in more)])
+
+
+def ranges(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of True, cut at the offsets of texts: start, end and text of each."""
+    cut = np.zeros(len(mask) + 1, bool)
+    cut[at] = True
+    start = np.flatnonzero(mask & (cut[:-1] | ~np.concatenate([[False], mask[:-1]])))
+    end = np.flatnonzero(mask & (cut[1:] | ~np.concatenate([mask[1:], [False]]))) + 1
+    return start, end, np.searchsorted(at, start, "right") - 1
+
+
+def distinct_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
+    """The same number for the same bytes, for ranges in order that do not overlap, and how many numbers there are."""
+    code, kinds = encoded(data, start, end)
+    return code, len(kinds)
+
+
+def encoded(data: np.ndarray, start: np.ndarray, end: np.ndarray, kind=None) -> tuple[np.ndarray, pa.Array]:
+    """Ranges in order that do not overlap as places in an array of all different ones, which also holds what is between."""
+    kind = kind or pa.large_binary()
+    if not len(start):
+        return np.zeros(0, np.int64), pa.array([], kind)
+    bounds = np.stack([start, end], 1).astype(np.int64).ravel()
+    each = pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    both = each.dictionary_encode()
+    return np.asarray(both.indices)[::2].astype(np.int64), both.dictionary
+
+
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of ranges (start, size), one after the other."""
+    total = np.cumsum(size)
+    return values[np.repeat(start - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+
+
 # ---- hashes of byte ranges -------------------------------------------------------------------
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import html_text, jaccard, language, line_dedup, mixing, passages, pii, quality_model, repeats, rules
+from riskloom.llm import divergence, html_text, jaccard, language, line_dedup, mixing, passages, periodic, pii, quality_model, repeats, rules, subwords
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,11 +15,15 @@ QUERIES = {
     "op8_repeated_passages": repeats.op8_repeated_passages,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_sentencepiece": subwords.op12_sentencepiece,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 _TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE = {
@@ -86,4 +90,19 @@ select d.doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '{_WS}',
   len(w) < 50 or 100 * coalesce(cov.n, 0) > 50 * len(w) as base_failed,
   not (len(w) < 50 or 100 * coalesce(cov.n, 0) > 50 * len(w)) and len(w) - coalesce(gone, 0) >= 0.5 * len(w) as kept
 from d left join dup using (doc_id) left join cov using (doc_id) left join g using (doc_id)""",
+    "op13_source_divergence": f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_LETTERS}') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*)::bigint as n from t group by lang, term having count(distinct r) >= 30),
+s as (select distinct lang, source from d),
+c as (select t.lang, t.source, t.term, count(*)::bigint as n from t join k on t.lang = k.lang and t.term = k.term group by t.lang, t.source, t.term),
+v as (select lang, count(*)::hugeint as v, sum(n)::hugeint as total from k group by lang),
+g as (select s.lang, s.source, coalesce(sum(c.n), 0)::hugeint as total from s left join c on s.lang = c.lang and s.source = c.source group by s.lang, s.source),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * v.v))::bigint as p, (1 + (1000000000::hugeint * (k.n + 5)) // (v.total + 5 * v.v))::bigint as q
+  from g join k on g.lang = k.lang join v on g.lang = v.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pr as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+pw as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pr.value, 0) as value from s a join s b on a.lang = b.lang and a.source <> b.source left join pr on pr.lang = a.lang and pr.source = a.source and pr.item = b.source),
+tm as (select lang, source, 'term' as part, term as item, p - q as value from p where n > 0 and p > q)
+select lang, source, part, item, value, cast(row_number() over (partition by lang, source order by value desc, item) as int) as rank from pw
+union all select * from (select lang, source, part, item, value, cast(row_number() over (partition by lang, source order by value desc, item) as int) as rank from tm) where rank <= 50""",
 }
