@@ -112,11 +112,13 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each piece holds about `most` bytes of `column` (a longer row stands alone)."""
+    """Cuts batches so that each piece holds about `most` bytes of `column`, texts or lists of 32-bit numbers (a longer row
+    stands alone)."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        size = np.diff(flat(batch.column(batch.schema.get_field_index(column)))[1])
+        values = batch.column(batch.schema.get_field_index(column))
+        size = np.diff(np.asarray(values.offsets)) * 4 if pa.types.is_list(values.type) else np.diff(flat(values)[1])
         total, begin = 0, 0
         for i, n in enumerate(size.tolist()):
             if total and total + n > most:

@@ -18,7 +18,7 @@ from riskloom.llm.common import encoded, flat, gathered, pieces, table, with_col
 MARK = "▁"
 _MARK = np.frombuffer(MARK.encode(), np.uint8)
 #: Bytes of text that share a chunk table, and chunks that the library is given as one text.
-SLICE, TOGETHER = 1 << 23, 256
+SLICE, TOGETHER = 1 << 22, 256
 
 _loaded: dict[bytes, Model] = {}
 
@@ -189,9 +189,8 @@ def decode_ids(encoded_: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         model = _model(proto)
-        for batch in batches:
-            if batch.num_rows:
-                yield with_columns(batch, (), [("decoded", decode_column(batch.column("ids"), model))])
+        for batch in pieces(batches, "ids", SLICE):
+            yield with_columns(batch, (), [("decoded", decode_column(batch.column("ids"), model))])
 
     encoded_ = encoded_.drop("decoded")
     return encoded_.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded_.schema.fields), "decoded string"]))
