@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from riskloom.operators import detect, resolve, route, score, signals
 from riskloom.plans.adapters import Tables, cin, oracle
 from riskloom.sources import tables as src
 from riskloom.sources.shared import kept
-from riskloom.streaming import replay, streams
+from riskloom.streaming import monitor, replay, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -681,10 +682,12 @@ _KINDS_OF_RULES = sorted({x for _, _, conditions in fixed.COMPOSITES.values() fo
 _KIND_SQL = "['" + "', '".join(_KINDS_OF_RULES) + "']"
 
 
-def _combo_sql(more: str = "") -> str:
-    """All rules: the newest event of each condition within the rule's days, where every condition has one."""
+def _combo_sql(more: str = "", source: str | None = None) -> str:
+    """All rules: the newest event of each condition within the rule's days, where every condition has one. source: select
+    statement of the events (id, cin, raw, detected_at)."""
+    source = source or f"select id, {cin('((user_id // 25) * 25 + 1)')} as cin, {_KIND_SQL}[id % {len(_KINDS_OF_RULES)} + 1] as raw, detected_at from ev"
     stands = " ".join(f"when '{k}' then '{v}'" for k, v in fixed.EVENT_ALIASES.items())
-    out = [f"with e as (select id, {cin('((user_id // 25) * 25 + 1)')} as cin, {_KIND_SQL}[id % {len(_KINDS_OF_RULES)} + 1] as raw, detected_at from ev), n as (select id, cin, case raw {stands} else raw end as et, epoch_us(detected_at)::hugeint * 100000000 + id as tm, detected_at from e where detected_at <= timestamp '2024-01-31 00:00:00')"]
+    out = [f"with e as ({source}), n as (select id, cin, case raw {stands} else raw end as et, epoch_us(detected_at)::hugeint * 100000000 + id as tm, detected_at from e where detected_at <= timestamp '2024-01-31 00:00:00')"]
     parts = []
     for rule, (severity, window, conditions) in fixed.COMPOSITES.items():
         typed = [c for c in conditions if isinstance(c, list)]
@@ -1106,11 +1109,25 @@ def o19_alert_record(t):
 
 # ---- streams, replayed from the events table -------------------------------------------------
 
+_CUT = "2024-01-16 00:00:00"
+
 
 def _stream(t):
     return replay.file_stream(t.spark, t.dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _in_time(df, ts: str, *cuts: str) -> list:
+    """Conditions that cut a table by time, the last one for what has none too."""
+    at = [F.lit(c).cast("timestamp") for c in cuts]
+    out = [F.col(ts) < at[0], *[(F.col(ts) >= a) & (F.col(ts) < b) for a, b in zip(at, at[1:], strict=False)]]
+    return [*out, ~F.coalesce(F.col(ts) < at[-1], F.lit(False))]
+
+
+def _by_parts(t, df, ts: str = "ts"):
+    """A table as a stream of three files, in the order of time."""
+    return replay.part_stream(t.spark, replay.in_parts(df, _in_time(df, ts, "2024-01-09 00:00:00", "2024-01-20 00:00:00")), df.schema)
+
+
 @query("select distinct user_id, event_type from events")
 def n1_h3_deduplicated_stream(t):
     return replay.drained(streams.deduplicated(_stream(t), ["user_id", "event_type"], delay="400 days").select("user_id", "event_type"))
@@ -1119,11 +1136,83 @@ def n1_h3_deduplicated_stream(t):
 @query("select user_id, event_type from events group by 1, 2")
 def n1_durable_keys(t):
     """The same stream drained twice: what comes again finds its key in the table."""
-    path = replay.shared(t.spark)
+    path, numbers = replay.shared(t.spark), iter(range(1_000_000))
+    append = streams.append_unseen(path, ["user_id", "event_type"])
     for part in ("first", "again"):
-        writer = _stream(t).select("user_id", "event_type").writeStream.foreachBatch(streams.append_unseen(f"{path}/rows", ["user_id", "event_type"]))
-        writer.option("checkpointLocation", f"{path}/{part}").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{path}/rows")
+        writer = _stream(t).select("user_id", "event_type").writeStream.foreachBatch(lambda batch, _: append(batch, next(numbers)))
+        replay.run(writer.option("checkpointLocation", f"{path}/{part}"))
+    return t.spark.read.parquet(f"{path}/rows").select("user_id", "event_type")
+
+
+@query("with l as (select key, pull_ts as ts, id, status, lag(status) over (partition by key order by pull_ts, id) as was from pull) select * from l where status <> was")
+def n2_status_changes_stream(t):
+    """Changes of status from three micro-batches: those of the window function over all pulls."""
+    replay.with_state(t.spark)
+    pulls = t.pull.select("key", F.col("pull_ts").alias("ts"), "id", "status")
+    return replay.drained(streams.status_changes(_by_parts(t, pulls)))
+
+
+_HELD = "select watchlist_id, cin, n_events, max_severity, score_before, score_after, batch_id from dg"
+
+
+@query(_DIGEST + " " + _HELD)
+def n3_held_digests_stream(t):
+    """Alerts of two micro-batches with a stop of the stream between them, held by timers for their severity's hours (of 10 ms).
+    The digests that come out, added up for each watchlist and company, are those of the batch: each alert is in one."""
+    replay.with_state(t.spark)
+    path = replay.shared(t.spark)
+    a = kept(_alerts(t).withColumn("alert_id", F.col("event_id") * 100 + F.col("watchlist_id")).withColumn("score_before", F.col("event_id") % 100).withColumn("score_after", F.col("event_id") % 90))
+    early, late = _in_time(a, "detected_at", _CUT)
+    files = replay.in_parts(a, [early])
+    writer = lambda: replay.into(streams.held_digests(replay.part_stream(t.spark, files, a.schema), 10), path)
+    out = lambda: t.spark.read.schema(streams.DIGEST).parquet(f"{path}/rows")
+    come = lambda: out().agg(F.coalesce(F.sum("n_events"), F.lit(0))).first()[0]
+    replay.run_until(writer(), lambda: _folder(t.spark, f"{path}/rows"))
+    a.filter(late).coalesce(1).write.mode("append").parquet(files)
+    total = a.count()
+    replay.run_until(writer(), lambda: come() >= total)
+    again = out().select("watchlist_id", "cin", F.explode("alert_ids").alias("alert_id"))
+    ids = again.join(a.select("alert_id", "event_id", "severity", "detected_at", "score_before", "score_after"), "alert_id")
+    return route.build_digests(ids).drop("alert_ids")
+
+
+def _folder(spark, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+_FIRED = """o as (select *, epoch_us(detected_at) as tm, row_number() over (partition by {keys} order by detected_at, id) as r from src),
+f as (select {keys}, id, detected_at, r, tm as last, true as fires from o where r = 1 union all select {o_keys}, o.id, o.detected_at, o.r, case when tm - last >= {span} then tm else last end, tm - last >= {span} from f join o on {same} and o.r = f.r + 1)"""
+
+
+def _fired(keys: list[str], hours: int) -> str:
+    listed = ", ".join(keys)
+    return _FIRED.format(keys=listed, o_keys=", ".join(f"o.{k}" for k in keys), same=" and ".join(f"o.{k} = f.{k}" for k in keys), span=hours * 3_600_000_000)
+
+
+@query("with recursive src as (select id, cin, event_type, detected_at from ev), " + _fired(["cin", "event_type"], 48) + " select cin, event_type, detected_at as ts, id from f where fires")
+def n4_cool_down_stream(t):
+    """Cool-down over three micro-batches, by the times of the events."""
+    replay.with_state(t.spark)
+    e = t.ev.select("cin", "event_type", F.col("detected_at").alias("ts"), "id")
+    return replay.drained(streams.cooled(_by_parts(t, e), hours=48))
+
+
+@query("with recursive src as (select id, cin, event_type, detected_at from ev), " + _fired(["cin", "event_type"], 24 * 30) + " select cin, event_type, detected_at as ts, id from f where fires")
+def n4_c8_silent_for_30_days_stream(t):
+    replay.with_state(t.spark)
+    e = t.ev.select("cin", "event_type", F.col("detected_at").alias("ts"), "id")
+    return replay.drained(streams.cooled(_by_parts(t, e)))
+
+
+@query(f"with recursive src as (select ev.id, e.subscriber_id, ev.cin, ev.event_type, detected_at from ev join entry_ e using (cin) join subscriber s using (subscriber_id) where {_S.format('ev.severity')} >= {_S.format('severity_threshold')}), " + _fired(["subscriber_id", "cin", "event_type"], 24) + " select subscriber_id, cin, event_type, detected_at as ts, id from f where fires")
+def n4_l5_subscriber_stream(t):
+    """Each subscriber's alerts of a company and type, at most one in 24 hours, from three micro-batches."""
+    replay.with_state(t.spark)
+    none = t.ev.limit(0).select(F.lit(0).alias("subscriber_id"), "cin", "event_type", F.col("detected_at").alias("delivered_at"))
+    hits = route.subscriber_targets(t.ev, t.subscriber, t.entry_, none).join(t.ev.select("id", F.col("detected_at").alias("ts")), "id")
+    rows = hits.select("subscriber_id", "cin", "event_type", "ts", "id")
+    return replay.drained(streams.cooled(_by_parts(t, rows), ("subscriber_id", "cin", "event_type"), 24))
 
 
 @query("select w as window_start, event_type, count(*)::bigint as n from (select time_bucket(interval 6 hours, ts) - k * interval 6 hours as w, event_type from events, range(0, 4) r(k)) group by 1, 2")
@@ -1143,5 +1232,54 @@ def n5_scored_batches(t):
         ids = batch.select(F.col("event_id").alias("id"), F.col("user_id").alias("k")).join(t.company.select("k", "cin"), "k")
         ids.join(scored.select("cin", F.col("score_stored").alias("health_score_after")), "cin").select("id", "cin", "health_score_after").write.mode("append").parquet(f"{path}/rows")
 
-    streams.scored_batches(_stream(t), f"{path}/state", score_batch).trigger(availableNow=True).start().awaitTermination()
+    replay.run(monitor.scored_batches(_stream(t), f"{path}/state", score_batch))
     return spark.read.parquet(f"{path}/rows")
+
+
+def _chain_sql() -> str:
+    """K6, K8, K10 and L1 by two micro-batches: scores by the events so far, contagion from the bands that each batch changes."""
+    kind = f"case when id % 7 = 0 then 'CAPITAL_CHANGE' else {_KIND_SQL}[id % {len(_KINDS_OF_RULES)} + 1] end"
+    common, rest = _SCORE.split("cw as (", 1)
+    scores, graph = rest.split("act as (", 1)
+    people, penalty = graph.split("pen as (", 1)
+    reach = _REACH[len(_SCORE) :].lstrip(", ")
+    out = [common.rstrip() + " act as (" + people.rstrip().rstrip(",")]
+    own = r"\b(cw|ct|parts|sc|bd|pen2|pen|ch|l1|l2|r1|r2|s1|s2|b2|done|re)\b"
+    for step, when in enumerate(("false", f"detected_at < timestamp '{_CUT}'", "true")):
+        text = "cw as (" + scores.rstrip().rstrip(",").replace("from ev where event_type = 'CAPITAL_CHANGE'", f"from ev where id % 7 = 0 and {when}")
+        if step:
+            text += ", pen as (" + penalty + ", " + reach.replace("select cin from bd where band = 'RED'", f"select bd.cin from bd join bd__{step - 1} o using (cin) where bd.band <> o.band")
+        out.append(re.sub(own + r"(?!\s*')(?!__)", rf"\1__{step}", text))
+    combined = re.sub(r"\b(e|n|s)\b(?= as \(|\.|(?: where| group| having|\)|$))", r"x_\1", _combo_sql(source=f"select id, cin, {kind} as raw, detected_at from ev"))
+    combo, last = combined.removeprefix("with ").rsplit(" select cin, rule", 1)
+    out.append(combo)
+    alerts = re.sub(r"\bal\b", "x_al", _ALERT.removeprefix("with ").replace("one_type = event_type", f"one_type = {kind.replace('id %', 'ev.id %')}"))
+    out.append(alerts)
+    rows = ["select 'score' as part, cin, band as item, score::double as value from bd__2 where cin in (select cin from ev)"]
+    rows += [f"select 'contagion', cin, concat('{i - 1}:', depth::varchar, ':', array_to_string(chain, '>'), ':', band_before, ':', band_after), score_after::double from re__{i}" for i in (1, 2)]
+    rows += ["select 'composite', cin, concat(rule, ':', severity), 0::double from x_s", "select 'alert', cin, concat(watchlist_id::varchar, ':', event_id::varchar, ':', severity), 0::double from x_al"]
+    return ", ".join(out) + " " + " union all ".join(rows)
+
+
+def _chain_events(t):
+    kind = F.when(F.col("id") % 7 == 0, "CAPITAL_CHANGE").otherwise(F.element_at(F.array(*map(F.lit, _KINDS_OF_RULES)), (F.col("id") % len(_KINDS_OF_RULES) + 1).cast("int")))
+    e = t.ev.withColumn("event_type", kind)
+    before = F.concat(F.lit('{"previous_capital":'), (F.floor("value") * 40_000).cast("string"), F.lit("}"))
+    return e.select("id", "cin", "event_type", "severity", "detected_at", F.when(F.col("event_type") == "CAPITAL_CHANGE", before).otherwise(F.col("data_json")).alias("data_json"))
+
+
+@query(_chain_sql())
+def n5_k6_k8_k10_l1_chain(t):
+    """The whole chain over two micro-batches: newest scores of the touched companies, contagion of each batch, composite
+    signals, alerts."""
+    e = _chain_events(t)
+    m = monitor.Monitor(replay.shared(t.spark), kept(t.company), kept(t.edge), kept(t.legal), kept(t.finance), kept(_watch(t)), t.order_day)
+    m.start(e.limit(0))
+    files = replay.in_parts(e, _in_time(e, "detected_at", _CUT))
+    replay.run(monitor.scored_batches(replay.part_stream(t.spark, files, e.schema), f"{m.path}/state", m.run))
+    row = lambda df, part, item, value: df.select(F.lit(part).alias("part"), "cin", item.alias("item"), value.cast("double").alias("value"))
+    zero = F.lit(0.0)
+    out = row(m.scores().join(t.ev.select("cin").distinct(), "cin", "left_semi"), "score", F.col("band"), F.col("score"))
+    out = out.unionByName(row(m.table("contagion"), "contagion", F.concat_ws(":", F.col("batch").cast("string"), F.col("depth").cast("string"), F.array_join("chain", ">"), "band_before", "band_after"), F.col("score_after")))
+    out = out.unionByName(row(m.table("composites").filter("batch >= 0"), "composite", F.concat_ws(":", "rule", "severity"), zero))
+    return out.unionByName(row(m.table("alerts"), "alert", F.concat_ws(":", F.col("watchlist_id").cast("string"), F.col("event_id").cast("string"), "severity"), zero))
