@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,34 +10,56 @@ from pyspark.sql import functions as F
 from riskloom.functions.clean import likely_person, name_core, name_light, name_strict, pan_ok, trigrams, without_messrs
 
 
-def _jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    used, first = [False] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == x:
-                used[j] = True
-                first.append(x)
-                break
-    m = len(first)
-    if not m:
-        return 0.0
-    second = [y for j, y in enumerate(b) if used[j]]
-    half = sum(x != y for x, y in zip(first, second, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - half) / m) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + prefix * 0.1 * (1 - jaro)
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts as rows of a matrix, filled with zeros, and the lengths."""
+    size = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros((len(texts), max(1, int(size.max(initial=0)))), np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, size
+
+
+def jaro_winkler_of(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro-Winkler similarity of each pair, for all pairs at once: one step for each place of the longest first text, in which
+    every pair looks for its letter among the letters of the second text that are near and not taken yet. Pairs above 0.7 gain
+    by their common beginning, four letters at most; two empty texts are alike."""
+    x, n = _codes(a)
+    y, m = _codes(b)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    place, free = np.arange(y.shape[1]), np.arange(y.shape[1]) < m[:, None]
+    matched, every = np.zeros(x.shape, bool), np.arange(len(x))
+    for i in range(x.shape[1]):
+        near = free & (y == x[:, i : i + 1]) & (np.abs(place - i) <= reach[:, None]) & (i < n)[:, None]
+        hit = near.any(1)
+        free[every[hit], near.argmax(1)[hit]] = False
+        matched[hit, i] = True
+    taken = ~free & (place < m[:, None])
+    same = matched.sum(1)
+    # the matched letters of both texts in their own orders, side by side
+    first, second = np.zeros(x.shape, np.uint32), np.zeros(x.shape, np.uint32)
+    order = lambda mask: np.cumsum(mask, 1)[mask] - 1
+    first[np.nonzero(matched)[0], order(matched)] = x[matched]
+    second[np.nonzero(taken)[0], order(taken)] = y[taken]
+    half = (first != second).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(same > 0, (same / n + same / m + (same - half) / same) / 3, 0.0)
+    jaro = np.where((n == 0) & (m == 0), 1.0, jaro)
+    width = min(4, x.shape[1], y.shape[1])
+    alike = (x[:, :width] == y[:, :width]) & (np.arange(width) < np.minimum(n, m)[:, None])
+    return np.where(jaro > 0.7, jaro + np.logical_and.accumulate(alike, 1).sum(1) * 0.1 * (1 - jaro), jaro)
 
 
 def jaro_winkler(a, b):
-    """Column expression; only for candidate pairs that a blocking join has made."""
+    """Column expression; only for candidate pairs that a blocking join has made. Null counts as empty; two empty texts are
+    alike. A batch of pairs is judged in parts of alike length."""
 
     def judge(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_jaro_winkler(i or "", j or "") for i, j in zip(x, y, strict=True)])
+        left, right = x.fillna("").to_numpy(object), y.fillna("").to_numpy(object)
+        out, size = np.zeros(len(left)), np.array([max(len(i), len(j)) for i, j in zip(left, right, strict=True)], np.int64)
+        order = np.argsort(size, kind="stable")
+        for at in range(0, len(order), 1024):
+            part = order[at : at + 1024]
+            out[part] = jaro_winkler_of(list(left[part]), list(right[part]))
+        return pd.Series(out)
 
     return F.pandas_udf(judge, "double")(a, b)
 
@@ -111,6 +134,20 @@ def resolve_strict(queries: DataFrame, master: DataFrame, judge=jaro_winkler) ->
     return out.select("qid", "cin", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("method", F.lit("queue")).alias("method"))
 
 
+def shortest_with_prefix(names: DataFrame, master: DataFrame, least: int = 5) -> DataFrame:
+    """The shortest company name (`light`; then the smallest cin) that starts with each name of `least` letters or more.
+
+    Prefixes of any length are equal keys: a company's name gives one for each length that some query has, and only the
+    shortest company of each is kept, before the shuffle too. So a beginning that very many companies share is one row,
+    and no name meets companies that do not start with it.
+    """
+    asked = names.filter(F.length("light") >= least).select("qid", F.col("light").alias("prefix"))
+    lengths = [r.n for r in asked.select(F.length("prefix").alias("n")).distinct().collect()]  # as many as a name has letters
+    each = master.select("cin", "light", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("light"))).alias("n"))
+    best = each.groupBy(F.substring("light", F.lit(1), F.col("n")).alias("prefix")).agg(F.min(F.struct(F.length("light").alias("size"), "cin")).alias("b"))
+    return asked.join(best, "prefix").select("qid", "b.cin")
+
+
 def resolve_light(queries: DataFrame, master: DataFrame, aliases: DataFrame) -> DataFrame:
     """Cascade for scraped names (qid, raw_name): person, alias, light exact, same letters, prefix, core exact, trigrams."""
     q = queries.withColumn("clean", F.trim(without_messrs("raw_name"))).withColumn("light", name_light("clean")).withColumn("core", name_core("clean"))
@@ -121,8 +158,7 @@ def resolve_light(queries: DataFrame, master: DataFrame, aliases: DataFrame) ->
     alias = names.join(aliases.select(F.col("normalized_alias").alias("light"), "cin"), "light").join(m.select("cin"), "cin", "left_semi")
     light = names.select("qid", "light").join(m.select("light", "cin"), "light")
     letters = names.select("qid", F.lower("clean").alias("l")).join(m.select(F.lower("company_name").alias("l"), "cin"), "l")
-    w = Window.partitionBy("qid").orderBy(F.length("ml"), "cin")
-    start = names.filter(F.length("light") >= 5).select("qid", "light", F.substring("light", 1, 5).alias("p")).join(m.select("cin", F.col("light").alias("ml"), F.substring("light", 1, 5).alias("p")), "p").filter(F.startswith("ml", F.col("light"))).withColumn("r", F.row_number().over(w)).filter("r = 1")
+    start = shortest_with_prefix(names, m)
     core = names.filter("core <> '' and core <> light").select("qid", "core").join(m.select("core", "cin"), "core")
     exact = _first([tag(alias, 1, 99.0, "alias"), tag(light, 2, 95.0, "light_exact"), tag(letters, 3, 85.0, "same_letters"), tag(start, 4, 82.0, "prefix"), tag(core, 5, 78.0, "core_exact")])
     rest = names.join(exact.select("qid"), "qid", "left_anti")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import fixed
 from riskloom.functions.clean import as_json, lag_hours, severity_rank, source_colour, subscriber_rank
+from riskloom.sources.shared import kept
+
+DAY_US = 86_400_000_000
 
 
 def match_watchlists(events: DataFrame, watchlists: DataFrame, master: DataFrame, most_sent: int = 100_000) -> DataFrame:
@@ -112,30 +114,47 @@ def watchlist_entries(entries: DataFrame, master: DataFrame) -> DataFrame:
     return entries.join(master.select("cin", "company_name", "registered_state"), "cin", "left").select("subscriber_id", "cin", F.coalesce("company_name", "cin").alias("company"), "registered_state")
 
 
-def cool_down(events: DataFrame, days: int = 30) -> DataFrame:
-    """Events of one company and type that fire: the first, and each at least `days` after the last one that fired; events
-    in between do not prolong the silence. Rows without a time fire.
+def _successors(rows: DataFrame, key: list[str], span: int) -> DataFrame:
+    """For each row (__r, key, __at) the first row of its key at least `span` later: __r and __next, null where there is none.
 
-    What fires depends on what fired before, which no window function can say: rows are dealt by key and sorted, and a task
-    keeps only the last time of the key that it is at, so that no key is gathered.
+    Time is cut into bins of the span. The row sought is in the bin of __at + span, or else the first of the next bin that has
+    rows: so a window holds one bin of a key with what looks for rows in it, and another one bin each of a key.
+    """
+    bin_ = lambda c: F.floor(c / span)
+    at = F.struct("__at", "id", "__r")
+    there = rows.select(*key, "__r", bin_(F.col("__at")).alias("__bin"), F.col("__at").alias("__t"), F.lit(1).alias("__real"), at.alias("__it"))
+    sought = rows.select(*key, "__r", bin_(F.col("__at") + span).alias("__bin"), (F.col("__at") + span).alias("__t"), F.lit(0).alias("__real"), F.lit(None).cast(there.schema["__it"].dataType).alias("__it"))
+    # from the last to the first, so that the row last seen is the next one in time
+    after = Window.partitionBy(*key, "__bin").orderBy(F.desc("__t"), F.desc("__real"), F.desc("__it")).rowsBetween(Window.unboundedPreceding, 0)
+    found = there.unionByName(sought).withColumn("__in", F.last("__it", ignorenulls=True).over(after)).filter("__real = 0")
+    first = there.groupBy(*key, "__bin").agg(F.min("__it").alias("__first"))
+    bins = first.unionByName(found.filter("__in is null").select(*key, "__bin").distinct().withColumn("__first", F.lit(None).cast(there.schema["__it"].dataType)))
+    bins = bins.groupBy(*key, "__bin").agg(F.max("__first").alias("__first"))
+    later = Window.partitionBy(*key).orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("__later", F.last("__first", ignorenulls=True).over(later))
+    same = F.col("f.__bin") == F.col("b.__bin")
+    for k in key:
+        same = same & F.col(f"f.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return found.alias("f").join(bins.alias("b"), same, "left").select("f.__r", F.coalesce("f.__in", "b.__later")["__r"].alias("__next"))
+
+
+def cool_down(events: DataFrame, days: int = 30, key: tuple[str, ...] = ("cin", "event_type")) -> DataFrame:
+    """Events of a key that fire: the first, and each at least `days` after the last one that fired; events in between do not
+    prolong the silence. Rows without a time fire. Of rows with the same time the one with the smallest id comes first.
+
+    What fires next after a row that fires is the first row of its key at least `days` later. The rows on the way from each
+    key's first one are found by doubling: with steps of 1, 2, 4 and so on such rows at once, so that as many rounds are
+    needed as the longest way has binary digits. Rows are joined by number, and no key is gathered.
     """
-    span = days * 86_400_000_000
-    key = ["cin", "event_type"]
-    rows = events.withColumn("__at", F.unix_micros("detected_at")).repartition(*key).sortWithinPartitions(*key, "detected_at", "id")
-
-    def run(batches):
-        last, fired = None, None
-        for batch in batches:
-            keep = []
-            for k, at in zip(zip(batch.column("cin").to_pylist(), batch.column("event_type").to_pylist(), strict=True), batch.column("__at").to_pylist(), strict=True):
-                if k != last:
-                    last, fired = k, None
-                ok = at is None or fired is None or at - fired >= span
-                keep.append(ok)
-                fired = at if ok and at is not None else fired
-            yield batch.filter(pa.array(keep)).drop_columns("__at")
-
-    return rows.mapInArrow(run, events.schema)
+    span = days * DAY_US
+    rows = kept(events.withColumn("__at", F.unix_micros("detected_at")).withColumn("__r", F.monotonically_increasing_id()))
+    timed = rows.filter("__at is not null").select(*key, "id", "__at", "__r")
+    step = kept(_successors(timed, list(key), span).filter("__next is not null"))
+    fires = kept(timed.groupBy(*key).agg(F.min(F.struct("__at", "id", "__r")).alias("f")).select("f.__r"))
+    while step.limit(1).count():
+        fires = kept(fires.unionByName(fires.join(step, "__r").select(F.col("__next").alias("__r"))))
+        step = kept(step.alias("a").join(step.alias("b"), F.col("a.__next") == F.col("b.__r")).select("a.__r", "b.__next"))
+    return rows.join(fires, "__r", "left_semi").select(*events.columns).unionByName(rows.filter("__at is null").select(*events.columns))
 
 
 # ---- feedback and operations -----------------------------------------------------------------

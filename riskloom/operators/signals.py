@@ -61,17 +61,29 @@ def working_capital(df: DataFrame, coefficients: DataFrame) -> DataFrame:
     return d.withColumn("delta", F.col("alpha") * F.col("dh") - F.col("beta") * F.col("dd")).filter("delta < 0 and dh <= 0").select("cin", "month", "delta", F.lit("WATCH").alias("severity"))
 
 
-def centrality(edges: DataFrame, capital: DataFrame, keep, rounds: int = 10) -> DataFrame:
+def centrality(edges: DataFrame, capital: DataFrame, keep, rounds: int = 60, residual: float = 1e-4, steps: int = 5) -> DataFrame:
     """Capital-weighted eigenvector centrality over shared directors: power iteration on company - director - company, which
-    never lists pairs of companies. keep: writes a round's table and reads it back."""
+    never lists pairs of companies. After every `steps` rounds the values are written and compared with the round before: it
+    stops when none has moved by `residual` or more, after `rounds` at the latest. Companies that share no director have 0;
+    those without capital are left out. keep: writes a table and reads it back."""
     a = active_edges(edges).join(capital.select("cin", F.col("capital").cast("double").alias("w")), "cin").filter("w > 0")
-    v = a.select("cin").distinct().withColumn("x", F.lit(1.0))
-    for _ in range(rounds):
-        d = a.join(v, "cin").groupBy("din").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
-        nxt = keep(a.join(d, "din").groupBy("cin").agg(F.sum("y").alias("z")))
-        top = nxt.agg(F.max("z").alias("top"))
-        v = nxt.crossJoin(F.broadcast(top)).select("cin", (F.col("z") / F.col("top")).alias("x"))
-    return v.select("cin", F.round("x", 6).alias("centrality"))
+    linked = keep(a.join(a.groupBy("din").agg(F.count("*").alias("k")).filter("k > 1").select("din"), "din", "left_semi").select("din", "cin", "w"))
+    v = linked.select("cin").distinct().withColumn("x", F.lit(1.0))
+    for _ in range(0, rounds, steps):
+        for _ in range(steps):
+            mine = linked.join(v.select("cin", "x"), "cin")
+            y = mine.groupBy("din").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
+            v = mine.join(y, "din").groupBy("cin").agg(F.sum("y").alias("x"), F.max("x").alias("was"))
+        v = keep(v)
+        top, before = v.agg(F.max("x"), F.max("was")).first()
+        if top is None:
+            break
+        moved = v.agg(F.max(F.abs(F.col("x") / top - F.col("was") / before))).first()[0]
+        v = v.select("cin", (F.col("x") / top).alias("x"))
+        if moved < residual:
+            break
+    every = a.select("cin").distinct().join(v.select("cin", "x"), "cin", "left")
+    return every.select("cin", F.round(F.coalesce("x", F.lit(0.0)), 4).alias("centrality"))
 
 
 def sector_stress(scores: DataFrame, least: int = 5, drop: float = 15.0) -> DataFrame:

@@ -277,11 +277,47 @@ def e4_resolve_strict(t):
     return resolve.resolve_strict(q, m)
 
 
-@query()
+_MORE = " Exports Imports Holdings Consultancy Associates Pvt Ltd"
+_LIGHT = r"\b(pvt|ltd|private|limited|india|llp)\b"
+_COMPANY, _PLAIN = r"(?i)\b(" + "|".join(fixed.COMPANY_TOKENS) + r")\b", r"[A-Za-z]+(\s+[A-Za-z]+){1,4}"
+_CORE = r"\b(" + "|".join(sorted(fixed.CORE_TOKENS, key=len, reverse=True)) + r")\b"
+
+
+def _bare_sql(c: str, tokens: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower({c}), '{tokens}', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _grams_sql(c: str) -> str:
+    return f"list_distinct(flatten([[substring('  ' || w || ' ', i, 3) for i in range(1, len(w) + 2)] for w in string_split({c}, ' ') if w <> '']))"
+
+
+@query(f"""with b as (select k, cin, concat(translate(substring(md5(cast(k // 3 as varchar)), 1, 8), '0123456789', 'ghijklmnop'), ' ', ['Steel', 'Textiles', 'Chemical Works', 'Motors', 'Foods'][(k // 6) % 5 + 1]) as stem from company),
+m as (select *, concat(stem, ' ', k::varchar, case when k % 4 = 0 then ' Industries' else '' end, ' Pvt Ltd') as company_name from b),
+q as (select k as qid, case k % 9 when 1 then replace(company_name, 'e', 'a') when 2 then stem when 3 then 'Asha Rao' when 4 then concat(stem, ' ', k::varchar, ' Exports Pvt Ltd') when 5 then concat(replace(stem, 'e', 'a'), ' ', k::varchar, '{_MORE}') when 6 then concat('M/s. Alias ', k::varchar) when 7 then concat('Zq ', md5(k::varchar)) when 8 then concat('Stray ', k::varchar) else upper(company_name) end as raw from m),
+c as (select qid, trim(regexp_replace(raw, '(?i)^m/s\.?\s*', '')) as clean, not regexp_matches(raw, '{_COMPANY}') and regexp_full_match(trim(raw), '{_PLAIN}') as person from q),
+n as (select *, {_bare_sql('clean', _LIGHT)} as light, {_bare_sql('clean', _CORE)} as core from c), ml as (select cin, company_name, {_bare_sql('company_name', _LIGHT)} as light, {_bare_sql('company_name', _CORE)} as core from m),
+al as (select lower(concat('Alias ', k::varchar)) as light, cin from m where k % 2 = 0 union all select lower(concat('Stray ', k::varchar)), 'nobody' from m),
+nm as (select * from n where not person and light <> ''),
+ex as (select qid, 1 as stage, ml.cin, 99.0 as c, 'alias' as method from nm join al using (light) join ml on ml.cin = al.cin union all select qid, 2, cin, 95.0, 'light_exact' from nm join ml using (light) union all select qid, 3, cin, 85.0, 'same_letters' from nm join ml on lower(clean) = lower(company_name)
+ union all select qid, 4, cin, 82.0, 'prefix' from nm join ml on length(nm.light) >= 5 and starts_with(ml.light, nm.light) qualify row_number() over (partition by qid order by length(ml.light), cin) = 1 union all select qid, 5, cin, 78.0, 'core_exact' from nm join ml using (core) where core <> '' and core <> nm.light),
+rest as (select * from nm where qid not in (select qid from ex)),
+lg as (select qid, {_grams_sql('light')} as g from rest), cg as (select qid, {_grams_sql('core')} as g from rest where core <> '' and core <> light), mlg as (select cin, {_grams_sql('light')} as g from ml), mcg as (select cin, {_grams_sql('core')} as g from ml),
+s6 as (select qid, cin, len(list_intersect(lg.g, mlg.g)) / len(list_distinct(list_concat(lg.g, mlg.g))) as s from lg, mlg where list_has_any(lg.g, mlg.g)), s7 as (select qid, cin, len(list_intersect(cg.g, mcg.g)) / len(list_distinct(list_concat(cg.g, mcg.g))) as s from cg, mcg where list_has_any(cg.g, mcg.g)),
+fz as (select qid, 6 as stage, cin, case when s >= 0.75 then 85.0 when s >= 0.6 then 72.0 else 55.0 end as c, 'trigram' as method from s6 where s > 0.45 qualify row_number() over (partition by qid order by s desc, cin desc) = 1
+ union all select qid, 7, cin, case when s >= 0.6 then 65.0 else 45.0 end, 'core_trigram' from s7 where s > 0.4 qualify row_number() over (partition by qid order by s desc, cin desc) = 1),
+got as (select *, row_number() over (partition by qid order by stage, cin) as r from (select * from ex union all select * from fz))
+select n.qid, got.cin, case when person then 0.0 else coalesce(c, 0.0) end::double as confidence, case when person then 'person' else coalesce(method, 'none') end as method from n left join got on got.qid = n.qid and r = 1""")
 def e5_resolve_light(t):
-    m, q = _name_pairs(t)
-    aliases = resolve.alias_table(m.filter("k % 30 = 1").select(F.col("company_name").alias("alias"), "cin"), m.filter("k < 0").select(F.col("company_name").alias("alias"), "cin"))
-    return resolve.resolve_light(q.select("qid", "raw_name"), m, aliases)
+    """Names of every kind that the stages tell apart: as stored, with other letters, beginnings, persons, other business words,
+    many of them, aliases, aliases of companies that are not there, and names of nobody."""
+    word = F.translate(F.substring(F.md5(F.floor(F.col("k") / 3).cast("string")), 1, 8), "0123456789", "ghijklmnop")
+    trade = F.element_at(F.array(*map(F.lit, ["Steel", "Textiles", "Chemical Works", "Motors", "Foods"])), (F.floor(F.col("k") / 6) % 5 + 1).cast("int"))
+    k, other = F.col("k").cast("string"), lambda c: F.translate(c, "e", "a")
+    m = t.company.withColumn("stem", F.concat_ws(" ", word, trade)).withColumn("company_name", F.concat("stem", F.lit(" "), k, F.when(F.col("k") % 4 == 0, " Industries").otherwise(""), F.lit(" Pvt Ltd")))
+    raw = [F.upper("company_name"), other("company_name"), F.col("stem"), F.lit("Asha Rao"), F.concat("stem", F.lit(" "), k, F.lit(" Exports Pvt Ltd")), F.concat(other("stem"), F.lit(" "), k, F.lit(_MORE)), F.concat(F.lit("M/s. Alias "), k), F.concat(F.lit("Zq "), F.md5(k)), F.concat(F.lit("Stray "), k)]
+    q = m.select(F.col("k").alias("qid"), F.element_at(F.array(*raw), (F.col("k") % 9 + 1).cast("int")).alias("raw_name"))
+    aliases = m.filter("k % 2 = 0").select(F.concat(F.lit("Alias "), k).alias("alias"), "cin").unionByName(m.select(F.concat(F.lit("Stray "), k).alias("alias"), F.lit("nobody").alias("cin")))
+    return resolve.resolve_light(q, m, resolve.alias_table(aliases, aliases.limit(0)))
 
 
 @query(_NAMES + ", c as (select qid, s, row_number() over (partition by qid order by s desc, cin) as r, lead(s) over (partition by qid order by s desc, cin) as nx, count(*) over (partition by qid) as n from sim where s > 0.55) select qid, n between 2 and 3 and s between 0.5 and 0.7 and s - nx <= 0.05 + 1e-9 as ambiguous from c where r = 1")
@@ -1032,9 +1068,14 @@ def o2_working_capital(t):
     return signals.working_capital(m, k).withColumn("delta", F.round("delta", 4))
 
 
-@query()
+@query("""with recursive a as (select distinct din, edge.cin, authorized_capital::double as w from edge join company using (cin) where cessation_date is null and authorized_capital > 0), lk as (select * from a where din in (select din from a group by din having count(*) > 1)),
+m as (select b.cin, a.cin as peer, sum(a.w) as coef from lk a join lk b using (din) group by 1, 2),
+v as (select 0 as r, cin, 1.0::double as x, 1.0::double as moved from (select distinct cin from lk) union all
+  select r + 1, cin, z / top, max(abs(z / top - old)) over () from (select r, m.cin, sum(coef * x) as z, max(case when m.peer = m.cin then x end) as old, max(sum(coef * x)) over () as top from v join m on m.peer = v.cin where (moved >= 0.0001 or r % 5 > 0) and r < 60 group by r, m.cin)),
+l as (select cin, x from v where r = (select max(r) from v))
+select c.cin, round(coalesce(x, 0), 4)::double as centrality from (select distinct cin from a) c left join l using (cin)""")
 def o3_centrality(t):
-    return signals.centrality(t.edge, t.company.select("cin", F.col("authorized_capital").alias("capital")), kept, rounds=6)
+    return signals.centrality(t.edge, t.company.select("cin", F.col("authorized_capital").alias("capital")), kept)
 
 
 @query(_SCORE + ", g as (select c.registered_state, c.industrial_class, avg(70 - score) as st, count(*) as n from bd join company c using (cin) group by 1, 2 having count(*) >= 5 and avg(70 - score) > 2) select c.cin, c.registered_state, c.industrial_class, round(st, 4)::double as stress, 'SECTOR_STRESS' as event_type from company c join g on c.registered_state = g.registered_state and c.industrial_class = g.industrial_class")
