@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import fixed
-from riskloom.functions.clean import as_json, col, mentions, name_light, parties, present, whole
+from riskloom.functions.clean import as_json, col, mentions, parties, present, whole
+from riskloom.operators.resolve import resolve_light
 
 EVENT = ["cin", "source", "event_type", "severity", "record_id"]
 
@@ -330,11 +331,22 @@ def party_events(orders: DataFrame, kind: str, text: str, key: str) -> DataFrame
     return orders.select(key, F.explode(parties(text)).alias("party"), first_match(text, *fixed.TEXT_RULES[kind]).alias("hit")).select(key, "party", "hit.event_type", "hit.severity")
 
 
-def resolved_party_events(orders: DataFrame, kind: str, text: str, key: str, master: DataFrame) -> DataFrame:
-    """party_events with the company of each party, by its cleaned name; parties of no company stay, without one."""
-    named = party_events(orders, kind, text, key).withColumn("name", name_light("party"))
-    one = master.select(name_light("company_name").alias("name"), "cin").filter("name <> ''").groupBy("name").agg(F.min("cin").alias("cin"))
-    return named.join(one, "name", "left").select(key, "party", "cin", "event_type", "severity")
+def resolved_party_events(orders: DataFrame, kind: str, text: str, key: str, master: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """party_events with the company of each party and how sure that is, by the cascade for scraped names (resolve_light);
+    parties of no company stay, without one. Each different party is resolved once. aliases: normalized_alias, cin."""
+    found = party_events(orders, kind, text, key)
+    if aliases is None:
+        aliases = master.limit(0).select(F.col("company_name").alias("normalized_alias"), "cin")
+    names = found.select(F.col("party").alias("qid"), F.col("party").alias("raw_name")).distinct()
+    who = resolve_light(names, master, aliases).select(F.col("qid").alias("party"), "cin", "confidence")
+    return found.join(who, "party", "left").select(key, "party", "cin", "confidence", "event_type", "severity")
+
+
+def capital_increases(old: DataFrame, new: DataFrame, share: float = 0.5) -> DataFrame:
+    """Companies whose paid-up capital has risen by more than the share: the rise among the changes of capital that
+    diff_companies reports, which composite rules ask for by this name."""
+    both = new.select("cin", whole("paid_up_capital").alias("now")).join(old.select("cin", whole("paid_up_capital").alias("was")), "cin")
+    return both.filter((F.col("was") > 0) & ((F.col("now") - F.col("was")).cast("double") / F.col("was") > share)).select("cin", F.lit("CAPITAL_INCREASE").alias("event_type"), F.lit("INFO").alias("severity"))
 
 
 def not_done(jobs: DataFrame, state: DataFrame, key: str) -> DataFrame:

@@ -44,6 +44,15 @@ def _case(column: str, source: str, texts: bool = False) -> tuple[str, str]:
 _MASTER = "select cin, company_name, status, cast(date_of_last_agm as string) as date_of_last_agm, case when k % 17 = 0 then '31/31/2020' else cast(date_of_incorporation as string) end as date_of_incorporation, case when k % 19 = 0 then 'n/a' else cast(authorized_capital as string) end as authorized_capital, cast(paid_up_capital as string) as paid_up_capital from company"
 
 
+@query("select cin, company_name, status, registered_state, authorized_capital::varchar as authorized_capital, cast(null as varchar) as date_of_last_agm from company")
+def a1_read_company_master(t):
+    """A master file as it comes: other headers in another order, commas and quotes in names, a column that nobody asks for."""
+    path = f"{replay.shared(t.spark)}/master"
+    raw = t.company.select(F.col("status").alias("Company Status"), F.col("company_name").alias("CompanyName"), F.lit('a "b", c').alias("Remarks"), F.col("cin").alias(" Company CIN "), F.col("registered_state").alias("STATE-CODE"), F.col("authorized_capital").alias("Authorised Capital"))
+    raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return src.read_company_master(t.spark, path).select("cin", "company_name", "status", "registered_state", "authorized_capital", "date_of_last_agm")
+
+
 @query("select case when k % 17 = 0 then 'bad date_of_incorporation' when k % 19 = 0 then 'bad authorized_capital' else 'ok' end as reason, cast(count(*) as bigint) as n from company group by 1")
 def a2_validate_master(t):
     df = t.company.withColumn("date_of_incorporation", F.when(F.col("k") % 17 == 0, "31/31/2020").otherwise(F.col("date_of_incorporation").cast("string"))).withColumn("authorized_capital", F.when(F.col("k") % 19 == 0, "n/a").otherwise(F.col("authorized_capital").cast("string")))
@@ -100,6 +109,17 @@ def a10_upsert_legal_events(t):
     return table
 
 
+@query("select case_number, 'tribunal' as source, case when k % 3 = 0 then 'Admitted' when k % 3 = 1 then 'Disposed' else status end as status from (select *, cast(substring(case_number, 2) as bigint) as k from legal)")
+def a10_latest_status(t):
+    """Of several pulls of a case the last one counts, whatever its status is called."""
+    l = t.legal.withColumn("source", F.lit("tribunal")).withColumn("k", F.expr("cast(substring(case_number, 2) as bigint)"))
+    pull = lambda rows, status, at: rows.select("case_number", "source", F.lit(status).alias("status"), F.lit(at).alias("seen_at"))
+    a, b = l.filter("k % 3 = 0"), l.filter("k % 3 = 1")
+    new = pull(a, "Pending", 1).union(pull(a, "Admitted", 3)).union(pull(a, "Reserved", 2)).union(pull(b, "Pending", 1)).union(pull(b, "Disposed", 2)).union(pull(b, "Zero", None))
+    table, _ = src.upsert_cases(l.filter("k % 3 <> 0").select("case_number", "source", "status"), new, "seen_at")
+    return table
+
+
 @query("select din, cin, date_of_appointment, 'Director X' as designation from edge where cast(din as int) % 2 = 0 union all select din, cin, date_of_appointment, designation from edge where cast(din as int) % 2 = 1")
 def a11_upsert_governance(t):
     e = t.edge.select("din", "cin", "date_of_appointment", "designation")
@@ -481,10 +501,14 @@ b as (select coalesce(o.cin, n.cin) as cin, o.cin is not null as io, n.cin is no
 @query(_SNAP + """ select cin, 'NEW_COMPANY' as event_type, 'INFO' as severity from b where not io union all select cin, 'COMPANY_REMOVED', 'ALERT' from b where not inn and os = 'Active' union all select cin, 'STATUS_CHANGE', 'ALERT' from b where io and inn and os <> ns
  union all select cin, 'CAPITAL_CHANGE', 'WATCH' from b where io and inn and oc > 0 and abs(nc - oc) / oc > 0.5 union all select cin, 'AGM_OVERDUE', 'WATCH' from b where io and inn and ns = 'Active' and coalesce(date_diff('day', na, date '2002-06-01') > 548, false) and not coalesce(date_diff('day', oa, date '2002-06-01') > 548, false)""")
 def i1_c3_company_diff(t):
+    return detect.diff_companies(*_snapshots(t), F.lit("2002-06-01").cast("date"))
+
+
+def _snapshots(t):
     cap = F.col("paid_up_capital")
     o = t.company.filter("k % 89 <> 0").select("cin", "status", cap.cast("string").alias("paid_up_capital"), F.col("old_agm").alias("date_of_last_agm"))
     n = t.company.filter("k % 97 <> 0").select("cin", F.expr("case when k % 23 = 0 then 'Struck Off' else status end").alias("status"), F.when(F.col("k") % 13 == 0, cap * 2).otherwise(cap).cast("string").alias("paid_up_capital"), F.expr("case when k % 2 = 0 then old_agm else date_of_last_agm end").alias("date_of_last_agm"))
-    return detect.diff_companies(o, n, F.lit("2002-06-01").cast("date"))
+    return o, n
 
 
 @query("""with n as (select *, cast(din as int) as d from edge), o as (select din, cin, case when d % 3 = 0 then null else cessation_date end as e from n where d % 5 <> 0)
@@ -612,7 +636,67 @@ def j14_press_releases(t):
 @query("select c_custkey as k, concat(c_name, ' Pvt Ltd') as party, cin, 'CCI_PENALTY' as event_type, 'ALERT' as severity from customer join company on k = c_custkey union all select c_custkey, concat('Beta ', cast(c_custkey as string), ' LLP'), null, 'CCI_PENALTY', 'ALERT' from customer")
 def j16_j18_resolved_parties(t):
     text = F.concat("c_name", F.lit(" Pvt Ltd; Beta "), F.col("c_custkey"), F.lit(" LLP; the State, penalty"))
-    return detect.resolved_party_events(t.base("customer").select(F.col("c_custkey").alias("k"), text.alias("text")), "competition", "text", "k", t.company)
+    return detect.resolved_party_events(t.base("customer").select(F.col("c_custkey").alias("k"), text.alias("text")), "competition", "text", "k", t.company).drop("confidence")
+
+
+_PARTIES = """with p as (select c_custkey as k, case c_custkey % 3 when 0 then concat(upper(c_name), ' Private Limited') when 1 then concat('Alias ', c_custkey::varchar, ' LLP') else concat('Nobody ', c_custkey::varchar, ' Ltd') end as party from customer)"""
+
+
+@query(_PARTIES + " select k, party, case when k % 3 < 2 then cin end as cin, case k % 3 when 0 then 95.0 when 1 then 99.0 else 0.0 end::double as confidence, 'SC_APPEAL_DISMISSED' as event_type, 'ALERT' as severity from p join company using (k)")
+def j18_parties_by_cascade(t):
+    """Parties by the whole cascade: other letters, aliases, and companies that nobody knows."""
+    k = F.col("c_custkey")
+    party = F.when(k % 3 == 0, F.concat(F.upper("c_name"), F.lit(" Private Limited"))).when(k % 3 == 1, F.concat(F.lit("Alias "), k, F.lit(" LLP"))).otherwise(F.concat(F.lit("Nobody "), k, F.lit(" Ltd")))
+    orders = t.base("customer").select(k.alias("k"), F.concat(party, F.lit(" vs Union of India, dismissed")).alias("text"))
+    aliases = t.company.filter("k % 3 = 1").select(F.concat(F.lit("alias "), F.col("k")).alias("normalized_alias"), "cin")
+    return detect.resolved_party_events(orders, "supreme_court", "text", "k", t.company, aliases)
+
+
+_BATCH_TEXTS = {"regulator_order_type": ["Debarment order", "Investigation", "Director action", "Penalty", "Settlement", "Other"], "promoter_disclosure": ["Pledge created", "Sale"], "vat_backfill": ["any"]}
+
+
+def _batch_sql() -> str:
+    out = []
+    for kind, texts in _BATCH_TEXTS.items():
+        rules, default = fixed.BATCH_RULES[kind]
+        text = "lower(['" + "', '".join(texts) + f"'][id % {len(texts)} + 1])"
+        pick = lambda i: "case " + " ".join(f"when contains({text}, '{r[0]}') then '{r[i]}'" for r in rules) + (f" else '{default[i - 1]}' end" if default[0] else " end") if rules else f"'{default[i - 1]}'"  # noqa: B023, E731
+        out.append(f"select '{kind}' as kind, id, {pick(1)} as event_type, {pick(2)} as severity from ev where {pick(1)} is not null")
+    return " union all ".join(out)
+
+
+@query(_batch_sql())
+def o17_batch_rules(t):
+    """Order types, disclosures and backfilled lists by the rules of the batch specifications."""
+    out = None
+    for kind, texts in _BATCH_TEXTS.items():
+        text = F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % len(texts) + 1).cast("int"))
+        one = detect.classify_batch(t.ev.select("id", text.alias("txt")), kind, "txt", ["id"]).select(F.lit(kind).alias("kind"), "id", "event_type", "severity")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select id, case id % 3 when 0 then 'HIGH_COURT_ATTACHMENT' when 1 then 'HIGH_COURT_INJUNCTION' else 'HIGH_COURT_COMMERCIAL_SUIT' end as event_type, case id % 3 when 0 then 'CRITICAL' else 'ALERT' end as severity from ev where id % 3 < 2 or coalesce(case when id % 5 > 0 then floor(value * 400000) end, 0) > 10000000")
+def o17_commercial_suits(t):
+    """A commercial suit counts only above a crore; one without a claim does not."""
+    text = F.element_at(F.array(F.lit("Attachment ordered"), F.lit("Interim INJUNCTION"), F.lit("Recovery suit")), (F.col("id") % 3 + 1).cast("int"))
+    return detect.classify_suits(t.ev.select("id", text.alias("txt"), F.when(F.col("id") % 5 > 0, F.floor(F.col("value") * 400_000)).alias("claim")), "txt", "claim", ["id"])
+
+
+@query(_SNAP + " select cin, 'CAPITAL_INCREASE' as event_type, 'INFO' as severity from b where io and inn and oc > 0 and (nc - oc) / oc > 0.5")
+def o10_capital_increases(t):
+    return detect.capital_increases(*_snapshots(t))
+
+
+@query(_SNAP + """, up as (select distinct cin from b where io and inn and oc > 0 and (nc - oc) / oc > 0.5), gone as (select n.cin, max(cast(din as int)) as d from edge n where cast(din as int) % 3 = 0 and cast(din as int) % 5 <> 0 and cessation_date is not null group by n.cin)
+select cin, 'UNSTABLE_GROWTH' as rule, 'WATCH' as severity, [1::bigint, d + 10] as event_ids from up join gone using (cin)""")
+def o10_unstable_growth_of_detected_events(t):
+    """Composite signals from what the detectors themselves report: capital that rises (I1) and directors who resign (I2)."""
+    e = t.edge.withColumn("d", F.col("din").cast("int"))
+    was = e.filter("d % 5 <> 0").withColumn("cessation_date", F.expr("case when d % 3 = 0 then null else cessation_date end"))
+    left = detect.diff_directors(was, e).filter("event_type = 'DIRECTOR_RESIGNED'").select((F.col("din").cast("long") + 10).alias("id"), "cin", "event_type")
+    found = detect.capital_increases(*_snapshots(t)).select(F.lit(1).cast("long").alias("id"), "cin", "event_type").unionByName(left)
+    return score.combine_signals(found.withColumn("detected_at", t.event_day), t.company, t.event_day).filter("rule = 'UNSTABLE_GROWTH'")
 
 
 @query("select cin, cast(id as string) as record_id, case when id % 3 = 0 and floor(value) > 50 then 'LABOUR_MASS_RETRENCHMENT' when id % 3 = 1 then 'LABOUR_BACK_WAGES' else 'LABOUR_INDUSTRIAL_DISPUTE' end as event_type, case when id % 3 = 0 and floor(value) > 50 then 'ALERT' else 'WATCH' end as severity from ev")
@@ -864,6 +948,13 @@ def l7_l8_digest_text(t):
     return route.digest_text(_digests(t)).select("watchlist_id", "cin", "summary", "well_formed")
 
 
+@query("select id, id % 5 = 0 as well_formed from ev")
+def l8_bullet_check(t):
+    """Three lines with a dash each; two, four, one without a dash and an empty text are not."""
+    texts = ["- a\n- b\n- c", "- a\n- b", "- a\n- b\n- c\n- d", "- a\nb\n- c", ""]
+    return t.ev.select("id", route.bullets_ok(F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 5 + 1).cast("int"))).alias("well_formed"))
+
+
 def _delivered(t):
     return t.ev.join(t.entry_, "cin").select("subscriber_id", "cin", "event_type", F.col("detected_at").alias("delivered_at"))
 

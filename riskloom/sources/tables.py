@@ -83,10 +83,12 @@ def upsert_governance(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, ready, ["din", "cin", "date_of_appointment"], [F.col("designation")], null_conflicts=False)
 
 
-def upsert_cases(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+def upsert_cases(old: DataFrame, new: DataFrame, seen_at: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Cases by (case_number, source): the table with new statuses, and the cases that were not there. Of new rows that share
-    a key, the one with the greatest status counts."""
-    one = Window.partitionBy("case_number", "source").orderBy(F.col("status").desc_nulls_last())
+    a key the last by seen_at counts, rows without a time before all others; at the same time, and where rows have no order
+    (seen_at is None), it is the one with the greatest status."""
+    order = [F.col(seen_at).desc_nulls_last()] if seen_at else []
+    one = Window.partitionBy("case_number", "source").orderBy(*order, F.col("status").desc_nulls_last())
     new = new.withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
     update = new.select("case_number", "source", F.col("status").alias("__s"))
     kept = old.join(update, ["case_number", "source"], "left").withColumn("status", F.coalesce("__s", "status")).select(*old.columns)

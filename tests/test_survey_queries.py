@@ -8,6 +8,15 @@ from tests.compare import same
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """The tables are small: one partition a shuffle keeps the many jobs short."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
