@@ -45,12 +45,32 @@ REMOVE = 0.97
 MOST_SENT = 1 << 18
 
 
+#: Matches whose places are added up together, and code points of the pieces that contexts are cut from.
+_BLOCK, _PIECE = 256, 1000
+
+
+def _let(name: str, value: str, then: str) -> str:
+    """SQL: an expression over a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
 def _placed(pattern: str, t: str = "t") -> str:
-    """SQL: matches of a pattern with their places in code points. The text is split at the matches, and lengths add up."""
-    return f"""aggregate(arrays_zip(split({t}, {pattern}, -1), regexp_extract_all({t}, {pattern}, 0)),
-        named_struct('at', 0, 'out', cast(array() as array<struct<s: int, e: int, v: string>>)),
-        (a, x) -> if(x.`1` is null, a, named_struct('at', a.at + length(x.`0`) + length(x.`1`), 'out',
-            concat(a.out, array(named_struct('s', a.at + length(x.`0`), 'e', a.at + length(x.`0`) + length(x.`1`), 'v', x.`1`))))), a -> a.out)"""
+    """SQL: matches of a pattern with their places in code points. The text is split at the matches, and lengths add up, in
+    blocks: as arrays are copied when they grow, one array of all matches would take the square of their number."""
+    size = "length(x.`0`) + coalesce(length(x.`1`), 0)"
+    zipped = f"arrays_zip(split({t}, {pattern}, -1), regexp_extract_all({t}, {pattern}, 0))"
+    blocks = f"transform(sequence(0, (size(z) - 1) div {_BLOCK}), b -> slice(z, b * {_BLOCK} + 1, {_BLOCK}))"
+    starts = f"aggregate(transform(k, y -> aggregate(y, 0, (a, x) -> a + {size})), array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
+    placed = f"""flatten(transform(k, (y, i) -> aggregate(y, named_struct('at', q[i], 'out', cast(array() as array<struct<s: int, e: int, v: string>>)),
+        (a, x) -> if(x.`1` is null, a, named_struct('at', a.at + {size}, 'out', concat(a.out, array(named_struct('s', a.at + length(x.`0`), 'e', a.at + {size}, 'v', x.`1`))))), a -> a.out)))"""
+    return _let("z", zipped, _let("k", blocks, _let("q", starts, placed)))
+
+
+def _cut(start: str, size: str, pieces: str = "c") -> str:
+    """SQL: substring(text, start, size) for sizes up to _PIECE, from the text's pieces; a substring of the text itself is
+    searched from its beginning."""
+    piece = lambda i: f"coalesce(try_element_at({pieces}, cast(({start} - 1) div {_PIECE} + {i} as int)), '')"
+    return f"substring(concat({piece(1)}, {piece(2)}), ({start} - 1) % {_PIECE} + 1, {size})"
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -135,10 +155,11 @@ def find_personal_data(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, disclo
     docs = docs.select("doc_id", "text")
     spans = base_spans(docs)
     # with the character outside of the window goes the word that it belongs to, if any
-    before = rf"if(b.s > {CONTEXT}, regexp_replace(substring(t, b.s - {CONTEXT}, {CONTEXT + 1}), r'(?s)^(?:[\p{{L}}\p{{N}}]+|.)', ''), substring(t, 1, b.s))"
-    after = rf"if(length(substring(t, b.e + 1, {CONTEXT + 1})) > {CONTEXT}, regexp_replace(substring(t, b.e + 1, {CONTEXT + 1}), r'(?s)(?:[\p{{L}}\p{{N}}]+|.)\z', ''), substring(t, b.e + 1, {CONTEXT}))"
+    before = rf"if(b.s > {CONTEXT}, regexp_replace({_cut(f'(b.s - {CONTEXT})', str(CONTEXT + 1))}, r'(?s)^(?:[\p{{L}}\p{{N}}]+|.)', ''), {_cut('1', 'b.s')})"
+    after = rf"if(length({_cut('(b.e + 1)', str(CONTEXT + 1))}) > {CONTEXT}, regexp_replace({_cut('(b.e + 1)', str(CONTEXT + 1))}, r'(?s)(?:[\p{{L}}\p{{N}}]+|.)\z', ''), {_cut('(b.e + 1)', str(CONTEXT))})"
     around = f"named_struct('value', xxhash64(b.k, lower(b.v)), 'around', concat({before}, ' # ', {after}))"
-    spans = stored(spans.withColumn("near", F.expr(f"transform(base, b -> {around})")).select("doc_id", F.xxhash64("text").alias("th"), "base", "near"))
+    pieces = f"regexp_extract_all(t, r'(?s).{{1,{_PIECE}}}', 0)"
+    spans = stored(spans.withColumn("near", F.expr(f"if(size(base) = 0, cast(array() as array<struct<value: bigint, around: string>>), {_let('c', pieces, f'transform(base, b -> {around})')})")).select("doc_id", F.xxhash64("text").alias("th"), "base", "near"))
     terms = revealing_terms(docs, spans, min_contexts, disclosure, most_sent)
     if terms is None or terms.limit(1).count() == 0:
         return spans.select("doc_id", "th", "base", F.col("base").alias("spans"), F.array().cast("array<string>").alias("removed"))
