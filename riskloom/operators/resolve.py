@@ -48,6 +48,11 @@ def jaro_winkler_of(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(jaro > 0.7, jaro + np.logical_and.accumulate(alike, 1).sum(1) * 0.1 * (1 - jaro), jaro)
 
 
+def _jaro_winkler(a: str, b: str) -> float:
+    """One pair, for checks."""
+    return float(jaro_winkler_of([a], [b])[0])
+
+
 def jaro_winkler(a, b):
     """Column expression; only for candidate pairs that a blocking join has made. Null counts as empty; two empty texts are
     alike. A batch of pairs is judged in parts of alike length."""

@@ -297,6 +297,7 @@ def e4_resolve_strict(t):
     return resolve.resolve_strict(q, m)
 
 
+_MESSRS = r"(?i)^m/s\.?\s*"
 _MORE = " Exports Imports Holdings Consultancy Associates Pvt Ltd"
 _LIGHT = r"\b(pvt|ltd|private|limited|india|llp)\b"
 _COMPANY, _PLAIN = r"(?i)\b(" + "|".join(fixed.COMPANY_TOKENS) + r")\b", r"[A-Za-z]+(\s+[A-Za-z]+){1,4}"
@@ -314,7 +315,7 @@ def _grams_sql(c: str) -> str:
 @query(f"""with b as (select k, cin, concat(translate(substring(md5(cast(k // 3 as varchar)), 1, 8), '0123456789', 'ghijklmnop'), ' ', ['Steel', 'Textiles', 'Chemical Works', 'Motors', 'Foods'][(k // 6) % 5 + 1]) as stem from company),
 m as (select *, concat(stem, ' ', k::varchar, case when k % 4 = 0 then ' Industries' else '' end, ' Pvt Ltd') as company_name from b),
 q as (select k as qid, case k % 9 when 1 then replace(company_name, 'e', 'a') when 2 then stem when 3 then 'Asha Rao' when 4 then concat(stem, ' ', k::varchar, ' Exports Pvt Ltd') when 5 then concat(replace(stem, 'e', 'a'), ' ', k::varchar, '{_MORE}') when 6 then concat('M/s. Alias ', k::varchar) when 7 then concat('Zq ', md5(k::varchar)) when 8 then concat('Stray ', k::varchar) else upper(company_name) end as raw from m),
-c as (select qid, trim(regexp_replace(raw, '(?i)^m/s\.?\s*', '')) as clean, not regexp_matches(raw, '{_COMPANY}') and regexp_full_match(trim(raw), '{_PLAIN}') as person from q),
+c as (select qid, trim(regexp_replace(raw, '{_MESSRS}', '')) as clean, not regexp_matches(raw, '{_COMPANY}') and regexp_full_match(trim(raw), '{_PLAIN}') as person from q),
 n as (select *, {_bare_sql('clean', _LIGHT)} as light, {_bare_sql('clean', _CORE)} as core from c), ml as (select cin, company_name, {_bare_sql('company_name', _LIGHT)} as light, {_bare_sql('company_name', _CORE)} as core from m),
 al as (select lower(concat('Alias ', k::varchar)) as light, cin from m where k % 2 = 0 union all select lower(concat('Stray ', k::varchar)), 'nobody' from m),
 nm as (select * from n where not person and light <> ''),
