@@ -20,6 +20,11 @@ MIN_LEFT = 0.5
 MOST_SENT = 1 << 18
 
 
+#: The lines of d.text at all places but those of g.gone. The lines are an element of an array, so that they are cut once.
+_REST = r"""transform(array(split(coalesce(d.text, ''), '\\n', -1)), l -> array_join(transform(
+    array_except(sequence(0, size(l) - 1), g.gone), i -> l[i]), '\n'))[0]"""
+
+
 def _without(text: str, chars: str):
     return F.translate(F.col(text), chars, "")
 
@@ -99,7 +104,7 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = MIN_WO
     gone = line_rules(docs, host)
     counts = base_counts(docs).withColumn("__th", F.xxhash64("text")).withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat))
     out = counts.alias("d").join(gone.alias("g"), F.expr(f"d.doc_id <=> g.doc_id and d.__th = g.th and d.`{host}` <=> g.host"), "left")
-    stays = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.array_join(F.filter(F.split(F.coalesce("d.text", F.lit("")), "\n", -1), lambda x, i: ~F.array_contains(F.col("g.gone"), i)), "\n"))
+    stays = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.expr(_REST))
     out = out.select("d.*", F.coalesce("g.gone_words", F.lit(0)).cast("long").alias("gone_words"), stays.alias("clean_text")).drop("__th")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("gone_words") >= F.lit(min_left) * F.col("n_words")))
 
