@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import flat, lowered, pieces, table
+from riskloom.llm.common import flat, lowered, pieces, stored, table
 from riskloom.llm.quality_model import fold
 
 #: Expected number of training documents of each language, and the most in all, chosen by hash of doc_id.
@@ -135,22 +135,26 @@ def fit(x: np.ndarray, lang: np.ndarray) -> Machines:
 def _measure(batches):
     for batch in pieces(batches, "text"):
         x = features(batch.column("text")).astype(np.float16)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "lang", "place", "first")), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "place", "first", "x"])
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Machines:
-    """Learns from text and non-null lang outside the held-out fold. Each language gives the documents whose hash is
-    below per_language / its number of documents; what comes to the driver is bounded by in_all rows of 4 KB, twice as many
-    where hashes fall unevenly (then those of the least hashes). Of more than in_all / 20 languages the commonest are learned."""
+    """Learns from text and non-null lang outside the held-out fold, every language of it. Each language gives the documents
+    whose hash is below its share, so that per_language are expected of each, fewer where they would be more than in_all
+    together, and in any case the one of its least hash. What comes to the driver is bounded by twice in_all rows of 4 KB
+    (where hashes fall unevenly those of the least hashes, languages' first ones before all others). Repeated rows count once."""
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (fold("doc_id", FOLDS) != HELD_OUT))
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(in_all // 20).collect()}
-    if not sizes:
-        return Machines()
-    each = min(per_language, max(20, in_all // len(sizes)))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))])
     place = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).cast("double") / float(1 << 53)
-    chosen = usable.filter(place < F.element_at(share, F.col("lang"))).mapInArrow(_measure, "doc_id long, lang string, x binary")
-    rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(in_all * 2).toArrow()
+    usable = usable.withColumn("place", place)
+    sizes = stored(usable.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")))
+    languages = sizes.count()
+    if not languages:
+        return Machines()
+    each = max(1, min(per_language, in_all // languages))
+    side = F.broadcast(sizes) if languages <= in_all else sizes
+    chosen = usable.join(side, "lang").filter((F.col("place") < F.lit(float(each)) / F.col("n")) | (F.col("place") == F.col("least")))
+    chosen = chosen.select("doc_id", "lang", "text", "place", (F.col("place") == F.col("least")).alias("first")).mapInArrow(_measure, "doc_id long, lang string, place double, first boolean, x binary")
+    rows = chosen.distinct().orderBy(F.desc("first"), "place", "doc_id", "x").limit(in_all * 2).toArrow()
     ids, lang = np.asarray(rows.column("doc_id").combine_chunks()), np.array(rows.column("lang").to_pylist(), object)
     x = np.stack([np.frombuffer(b, np.float16) for b in rows.column("x").to_pylist()]).astype(np.float32) if len(ids) else np.zeros((0, DIMENSIONS), np.float32)
     order = np.lexsort([lang.astype(str), ids])
