@@ -51,9 +51,20 @@ dw as (select doc_id, lens.n, unnest(range(1, len(w) - lens.n + 2)) as i, w from
 occ as (select dw.doc_id, dw.i, dw.n, list_aggregate(w[i : i + dw.n - 1], 'string_agg', ' ') as t from dw),
 hit as (select occ.doc_id, occ.i, occ.n, win.item_id from occ join win on occ.n = win.n and occ.t = win.t),
 pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from hit)) group by doc_id),
-its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id)
-select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join pos using (doc_id) left join its using (doc_id)""",
+its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id),
+it as (select item_id, n, len(w) as words, unnest(range(0, len(w))) as ipos, unnest(w) as term from bl),
+dt as (select doc_id, unnest(range(0, len(w))) as pos, unnest(w) as term from d),
+fr as (select term, count(*) as freq from dt where term in (select term from it) group by term),
+st as (select item_id, n, ipos, it.term, freq, unnest(range(greatest(0, ipos - n + 1), least(ipos, words - n) + 1)) as start from it left join fr on it.term = fr.term),
+rk as (select *, row_number() over (partition by item_id, start order by freq nulls first, ipos) as r, max((freq is null)::int) over (partition by item_id, start) as missing from st),
+an as (select item_id, start, ipos, term from rk where missing = 0 and r <= 2),
+pr as (select distinct a.item_id, a.ipos as ai, a.term as ta, b.ipos as bi, b.term as tb from an a join an b on a.item_id = b.item_id and a.start = b.start and a.ipos < b.ipos),
+po as (select doc_id, term, pos from dt where term in (select term from an)),
+nr as (select distinct x.doc_id, item_id::varchar as item from pr join po x on x.term = ta join po y on y.term = tb and y.doc_id = x.doc_id and abs((y.pos - bi) - (x.pos - ai)) between 1 and 3),
+ne as (select doc_id, count(*) as n_near, string_agg(item, ',' order by item) as near from nr group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+  coalesce(n_near, 0)::bigint as n_near, sha256(coalesce(near, '')) as near_sha256
+from d left join pos using (doc_id) left join its using (doc_id) left join ne using (doc_id)""",
     "op9_jaccard_join": f"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORD}') as w from documents),
 sh as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [list_aggregate(w, 'string_agg', ' ')] else [list_aggregate(w[i : i + 4], 'string_agg', ' ') for i in range(1, len(w) - 3)] end)) as s from d),

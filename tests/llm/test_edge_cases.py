@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,9 +121,30 @@ def test_passages_without_ids_or_with_repeated_ones(spark):
 def test_proximity(spark):
     """Near matches are those whose rarest terms are displaced by one to three words, and no others."""
     items = spark.createDataFrame([(5, "never seen words"), (6, "alpha beta"), (7, "single")], "item_id long, text string")
-    texts = {1: "never clearly seen words", 2: "never seen words", 3: "never a b c d seen words", 4: "alpha x y z beta", 5: "alpha x y z q beta", 6: "beta alpha", 7: "single single"}
-    near = passages.Index(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), items).proximity()
-    assert sorted((r.doc_id, r.item_id) for r in near.collect()) == [(1, 5), (4, 6), (6, 6)]
+    texts = {1: "never clearly seen words", 2: "never seen words", 3: "never a b c d seen words", 4: "alpha x y z beta", 5: "alpha x y z q beta", 6: "beta alpha", 7: "single single", 8: "alpha beta beta", 9: "alpha " + "beta " * 500}
+    docs = spark.createDataFrame([*texts.items(), (1, texts[1]), (1, "other"), (None, texts[6]), (10, None), (11, "")], "doc_id long, text string")
+    near = passages.Index(docs, items).proximity()
+    assert sorted((r.doc_id or 0, r.item_id) for r in near.collect()) == [(0, 6), (1, 5), (4, 6), (6, 6), (8, 6), (9, 6)]
+    assert passages.Index(docs.limit(0), items).proximity().count() == 0 and passages.Index(docs, items.limit(0)).proximity().count() == 0
+    out = passages.contamination(docs, items, slop=3).collect()
+    assert len(out) == 14 and sorted((r.doc_id or 0, r.near) for r in out if r.near) == [(0, ["6"]), (1, ["5"]), (1, ["5"]), (4, ["6"]), (6, ["6"]), (8, ["6"]), (9, ["6"])]
+
+
+def test_words_of_passages(spark):
+    """Every character other than letters and digits of ASCII parts words; all others belong to them."""
+    chars = "".join(map(chr, range(160))) + "é\u2028\u00a0É𝔘ß"
+    texts = [chars, "".join(f"a{c}" for c in chars), "  a  b ", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(passages.tokens(F.col("text")).alias("w")).collect()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    assert [r.w for r in rows] == [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower)) for t in texts]
+
+
+def test_every_language_is_learned(spark):
+    """With more languages than a twentieth of the rows each gives fewer rows; repeated rows count once."""
+    rows = [(i * 40 + k, chr(0x4E00 + 50 * k) * (i + 3), f"l{k:02d}") for i in range(8) for k in range(40)]
+    docs = spark.createDataFrame(rows + [rows[5]] * 200, "doc_id long, text string, lang string")
+    machines = language.train(docs, in_all=60)
+    assert sorted(c for codes in machines.members.values() for c in codes) == [f"l{k:02d}" for k in range(40)]
 
 
 def test_language(docs, empty):
