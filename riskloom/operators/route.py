@@ -12,33 +12,31 @@ from riskloom.sources.shared import kept
 DAY_US = 86_400_000_000
 
 
-def match_watchlists(events: DataFrame, watchlists: DataFrame, master: DataFrame, most_sent: int = 100_000) -> DataFrame:
+def match_watchlists(events: DataFrame, watchlists: DataFrame, master: DataFrame, most_sent: int = 100_000, slots: int = 256) -> DataFrame:
     """One pending alert for each event and active watchlist that passes all filters (null filters pass).
 
-    Watchlists that name companies join on the company, those with a state or an industry on that, and the others on the
-    severities that they take, so that no join is a product of both tables. An empty list of companies matches none.
+    Watchlists that name companies join on the company, all others in one join on the state, the industry (either may be
+    open) and the severities that they take. Up to `most_sent` of those are sent to every task; more are joined by shuffle
+    over `slots` parts of each key. An empty list of companies matches none.
     """
     full = events.join(master.select("cin", "registered_state", "industrial_class"), "cin", "left")
     active = watchlists.filter("is_active")
     named = active.filter("cin_list is not null").select("*", F.explode("cin_list").alias("cin")).dropDuplicates(["watchlist_id", "cin"])
     a = full.join(named.drop("cin_list"), "cin")
     general = active.filter("cin_list is null").drop("cin_list")
-    # filters that name a state or an industry are join keys; only lists with neither meet every event
-    parts = [a]
-    for state, sector in ((True, True), (True, False), (False, True), (False, False)):
-        mine = general.filter(F.col("state_filter").isNotNull() == F.lit(state)).filter(F.col("sector_filter").isNotNull() == F.lit(sector))
-        on = [F.col("state_filter") == F.col("registered_state")] * state + [F.col("sector_filter") == F.col("industrial_class")] * sector
-        if not on:
-            # a product with the lists, which is their result but for severity and type; they are sent if few enough
-            few = mine.limit(most_sent + 1).count() <= most_sent
-            types = fixed.SEVERITY_RANK
-            level = mine.withColumn("severity", F.explode(F.array(*map(F.lit, types)))).filter(severity_rank("severity") >= severity_rank("severity_min"))
-            parts.append(full.join(F.broadcast(level) if few else level, "severity").select(*a.columns))
-        else:
-            parts.append(full.join(mine, on[0] & on[-1]).select(*a.columns))
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
+    # a row for each severity rank that a list takes (0 stands for unknown ones); an event meets the lists of its four patterns of state and industry, named or open
+    level = general.withColumn("takes", F.explode(F.array(*map(F.lit, sorted({0, *fixed.SEVERITY_RANK.values()}))))).filter(F.col("takes") >= severity_rank("severity_min"))
+    nothing = F.lit(None).cast("string")
+    patterns = [F.struct(state.alias("p_state"), sector.alias("p_sector")) for state in (F.col("registered_state"), nothing) for sector in (F.col("industrial_class"), nothing)]
+    met = full.withColumn("pattern", F.explode(F.array_distinct(F.array(*patterns)))).select("*", "pattern.*").drop("pattern")
+    on = F.col("p_state").eqNullSafe(F.col("state_filter")) & F.col("p_sector").eqNullSafe(F.col("sector_filter")) & (severity_rank("severity") == F.col("takes"))
+    if general.limit(most_sent + 1).count() <= most_sent:
+        by_pattern = met.join(F.broadcast(level), on)
+    else:
+        # most keys are hot: events are dealt into slots, and the lists, which are fewer, are repeated for each slot
+        dealt = met.withColumn("e_slot", F.pmod(F.xxhash64("id"), F.lit(slots)))
+        by_pattern = dealt.join(level.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))), on & (F.col("e_slot") == F.col("slot")))
+    both = a.unionByName(by_pattern.select(*a.columns))
     ok = (F.col("state_filter").isNull() | (F.col("state_filter") == F.col("registered_state"))) & (F.col("sector_filter").isNull() | (F.col("sector_filter") == F.col("industrial_class"))) & (severity_rank("severity") >= severity_rank("severity_min")) & (F.col("type_filter").isNull() | F.array_contains("type_filter", F.col("event_type")))
     payload = as_json("cin", "event_type", "severity")
     return both.filter(F.coalesce(ok, F.lit(False))).select(F.col("id").alias("event_id"), "watchlist_id", "cin", "severity", "detected_at", payload.alias("alert_payload"), F.lit("PENDING").alias("delivery_status"))

@@ -1,6 +1,7 @@
 """Small tables with results worked out by hand."""
 
 import datetime as dt
+import itertools
 
 from pyspark.sql import functions as F
 
@@ -158,6 +159,21 @@ def test_an_empty_list_of_companies_matches_nothing(spark):
         assert got == {(2, 1), (2, 3), (3, 1), (5, 2), (6, 2)}
 
 
+def test_watchlists_by_brute_force(spark):
+    """Every state, industry, severity and list filter, known, unknown or missing, sent to every task or joined in slots."""
+    t, rank = dt.datetime(2024, 1, 30), {"INFO": 1, "WATCH": 2, "ALERT": 3, "CRITICAL": 4}
+    places = {f"U{i}": p for i, p in enumerate(itertools.product(("MH", "GJ", None), ("24", "10", None)))}
+    levels = ("INFO", "ALERT", "CRITICAL", "ODD", None)
+    events = [(i, cin, kind, level, t) for i, (cin, level, kind) in enumerate(itertools.product((*places, "U99"), levels, ("X", None)))]
+    lists = [(i, *x, None, True) for i, x in enumerate(itertools.product(("MH", None), ("24", None), ("INFO", "CRITICAL", "ODD", None), (["X"], None)))]
+    e = spark.createDataFrame(events, "id long, cin string, event_type string, severity string, detected_at timestamp")
+    m = spark.createDataFrame([(k, *v) for k, v in places.items()], "cin string, registered_state string, industrial_class string")
+    w = spark.createDataFrame(lists, "watchlist_id int, state_filter string, sector_filter string, severity_min string, type_filter array<string>, cin_list array<string>, is_active boolean")
+    want = sorted((x[0], v[0]) for x in lists for v in events for state, sector in [places.get(v[1], (None, None))] if x[1] in (None, state) and x[2] in (None, sector) and rank.get(v[3], 0) >= rank.get(x[3], 0) and (x[4] is None or v[2] in x[4]))
+    for most in (100_000, 0):
+        assert sorted((r.watchlist_id, r.event_id) for r in route.match_watchlists(e, w, m, most, slots=5).collect()) == want
+
+
 def test_directors_by_refresh(spark):
     schema = "cin string, din string, director_name string, designation string, date_of_appointment date, cessation_date date"
     old = spark.createDataFrame([("U1", "D1", "A", "CFO", DAY, None), ("U1", "D2", "B", "Director", DAY, None), ("U1", None, "Old Co", "Auditor", DAY, None)], schema)
