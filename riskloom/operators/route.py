@@ -44,7 +44,7 @@ def match_watchlists(events: DataFrame, watchlists: DataFrame, master: DataFrame
 
 def due_alerts(alerts: DataFrame, as_of: Column, most_retries: int = 3) -> DataFrame:
     hours = F.element_at(F.create_map(*[F.lit(x) for kv in fixed.BATCH_HOURS.items() for x in kv]), F.col("severity"))
-    ripe = (F.col("delivery_status") == "PENDING") & (F.unix_timestamp(as_of) - F.unix_timestamp("created_at") >= hours * 3600)
+    ripe = (F.col("delivery_status") == "PENDING") & (F.unix_micros(as_of) - F.unix_micros("created_at") >= hours * 3_600_000_000)
     again = (F.col("delivery_status") == "FAILED") & (F.col("severity") == "CRITICAL") & (F.coalesce("retry_count", F.lit(0)) < most_retries)
     return alerts.filter(F.coalesce(ripe | again, F.lit(False)))
 
@@ -80,7 +80,7 @@ def subscriber_targets(events: DataFrame, subscribers: DataFrame, entries: DataF
     who = entries.join(subscribers.select("subscriber_id", "severity_threshold"), "subscriber_id").select("subscriber_id", "cin", "severity_threshold").distinct()
     hit = events.join(who, "cin").filter(subscriber_rank("severity") >= subscriber_rank("severity_threshold"))
     past = delivered.select("subscriber_id", "cin", "event_type", F.col("delivered_at"))
-    cond = [hit.subscriber_id == past.subscriber_id, hit.cin == past.cin, hit.event_type == past.event_type, past.delivered_at <= hit.detected_at, F.unix_timestamp(hit.detected_at) - F.unix_timestamp(past.delivered_at) < hours * 3600]
+    cond = [hit.subscriber_id == past.subscriber_id, hit.cin == past.cin, hit.event_type == past.event_type, past.delivered_at <= hit.detected_at, F.unix_micros(hit.detected_at) - F.unix_micros(past.delivered_at) < hours * 3_600_000_000]
     return hit.join(past, cond, "left_anti").select("id", "subscriber_id", "cin", "event_type", "severity", channels("severity").alias("channels"))
 
 
@@ -171,11 +171,12 @@ def top_reasons(predictions: DataFrame, n: int = 5) -> DataFrame:
 
 
 def within(left: DataFrame, right: DataFrame, key: list[str], t: str, u: str, seconds: int) -> DataFrame:
-    """Interval join on a key: |t - u| up to some seconds. Times are cut into bins of that length; a left row meets its own
-    bin and the two next to it, so no key is joined with all of its rows."""
-    bin_ = lambda c: F.floor(F.unix_timestamp(c) / seconds)
+    """Interval join on a key: |t - u| up to some seconds, to the microsecond. Times are cut into bins of that length; a left
+    row meets its own bin and the two next to it, so no key is joined with all of its rows."""
+    span = seconds * 1_000_000
+    bin_ = lambda c: F.floor(F.unix_micros(c) / span)
     a = left.withColumn("__bin", F.explode(F.array(bin_(t) - 1, bin_(t), bin_(t) + 1)))
-    return a.join(right.withColumn("__bin", bin_(u)), [*key, "__bin"]).filter(F.abs(F.unix_timestamp(t) - F.unix_timestamp(u)) <= seconds).drop("__bin")
+    return a.join(right.withColumn("__bin", bin_(u)), [*key, "__bin"]).filter(F.abs(F.unix_micros(t) - F.unix_micros(u)) <= span).drop("__bin")
 
 
 def apply_feedback(feedback: DataFrame, predictions: DataFrame, seconds: int = 3600) -> DataFrame:
