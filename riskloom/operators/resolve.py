@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.clean import likely_person, name_core, name_light, name_strict, pan_ok, trigrams, without_messrs
+from riskloom.operators.similar import similar_sets
+from riskloom.sources.shared import kept
+
+#: Queries up to this number are sent to every task.
+MOST_SENT = 100_000
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,21 +81,8 @@ def similar_names(queries: DataFrame, master: DataFrame, above: float, same: tup
     above * n of a name's n trigrams, so one of any n - floor(above * n) of them, in a common order by rarity, is shared
     (prefix filter), and at its place in both enough must be left (positional filter). Similarity is then exact, from the whole sets.
     """
-    q = queries.select("qid", *same, trigrams("name").alias("g")).filter(F.size("g") > 0)
-    m = master.select("cin", *same, trigrams("name").alias("h")).filter(F.size("h") > 0)
-    freq = m.select(F.explode("h").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
-
-    def prefix(df: DataFrame, key: str, grams: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy(F.coalesce("f", F.lit(0)), "t")
-        each = df.select(key, *same, F.size(grams).alias("n"), F.explode(grams).alias("t")).join(freq, "t", "left").withColumn("r", F.row_number().over(w))
-        return each.filter(F.col("r") <= F.col("n") - F.floor(F.lit(above) * F.col("n")) + 1).select(key, *same, "t", F.col("n").alias(f"n_{key}"), F.col("r").alias(f"r_{key}"))
-
-    # the first trigram that a pair shares leaves at most the shorter rest: too little of it, and the pair is not similar
-    enough = F.least(F.col("n_qid") - F.col("r_qid"), F.col("n_cin") - F.col("r_cin")) + 1 >= F.lit(above / (1 + above) - 1e-9) * (F.col("n_qid") + F.col("n_cin"))
-    pairs = prefix(q, "qid", "g").join(prefix(m, "cin", "h"), ["t", *same]).filter(enough).select("qid", "cin").distinct()
-    both = pairs.join(q.select("qid", "g"), "qid").join(m.select("cin", "h"), "cin")
-    sim = F.size(F.array_intersect("g", "h")).cast("double") / F.size(F.array_union("g", "h"))
-    return both.select("qid", "cin", sim.alias("sim")).filter(F.col("sim") > above)
+    sets = lambda df, key: df.select(key, *same, trigrams("name").alias("grams"))
+    return similar_sets(sets(queries, "qid"), sets(master, "cin"), above, same)
 
 
 def candidates(queries: DataFrame, master: DataFrame, above: float, k: int, same: tuple[str, ...] = ()) -> DataFrame:
@@ -125,8 +117,9 @@ def resolve_strict(queries: DataFrame, master: DataFrame, judge=jaro_winkler) ->
     two = q.filter(pan_ok("pan")).select("qid", "pan").join(m.select("pan", "cin"), "pan")
     three = q.filter("name <> ''").select("qid", "name").join(m.select("name", "cin"), "name")
     exact = _first([tag(one, 1, 100.0, "cin"), tag(two, 2, 100.0, "pan"), tag(three, 3, 95.0, "normalized_exact")])
-    rest = q.join(exact.select("qid"), "qid", "left_anti").filter("name <> ''")
-    near = similar_names(rest, m, 0.5, ("state",))
+    exact = kept(exact)
+    rest = kept(q.join(exact.select("qid"), "qid", "left_anti").filter("name <> ''").select("qid", "name", "state", "industry"))
+    near = kept(similar_names(rest, m, 0.5, ("state",)))
     four = near.filter("sim > 0.8")
     pairs = near.join(rest.select("qid", F.col("name").alias("a")), "qid").join(m.select("cin", F.col("name").alias("b")), "cin")
     five = pairs.filter(judge("a", "b") >= 0.85)
@@ -150,7 +143,7 @@ def shortest_with_prefix(names: DataFrame, master: DataFrame, least: int = 5) ->
     lengths = [r.n for r in asked.select(F.length("prefix").alias("n")).distinct().collect()]  # as many as a name has letters
     each = master.select("cin", "light", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("light"))).alias("n"))
     best = each.groupBy(F.substring("light", F.lit(1), F.col("n")).alias("prefix")).agg(F.min(F.struct(F.length("light").alias("size"), "cin")).alias("b"))
-    return asked.join(best, "prefix").select("qid", "b.cin")
+    return asked.join(best.hint("merge"), "prefix").select("qid", "b.cin")  # a row explodes to many: its estimate is far too low
 
 
 def resolve_light(queries: DataFrame, master: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -166,7 +159,8 @@ def resolve_light(queries: DataFrame, master: DataFrame, aliases: DataFrame) ->
     start = shortest_with_prefix(names, m)
     core = names.filter("core <> '' and core <> light").select("qid", "core").join(m.select("core", "cin"), "core")
     exact = _first([tag(alias, 1, 99.0, "alias"), tag(light, 2, 95.0, "light_exact"), tag(letters, 3, 85.0, "same_letters"), tag(start, 4, 82.0, "prefix"), tag(core, 5, 78.0, "core_exact")])
-    rest = names.join(exact.select("qid"), "qid", "left_anti")
+    exact = kept(exact)
+    rest = kept(names.join(exact.select("qid"), "qid", "left_anti").select("qid", "light", "core"))
 
     def best(df: DataFrame, steps) -> DataFrame:
         top = df.groupBy("qid").agg(F.max(F.struct("sim", "cin")).alias("b")).select("qid", "b.cin", "b.sim")
@@ -209,14 +203,16 @@ def alias_table(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def search_companies(queries: DataFrame, master: DataFrame, n: int = 10) -> DataFrame:
     """Names that start with a query, then names that hold it, at most n each. Any number of queries: they meet only the
-    names that hold their rarest three letters in a row (all letters of a shorter one), by an inverted index of the names."""
+    names that hold their rarest three letters in a row (all letters of a shorter one), by an inverted index of the names.
+    Up to MOST_SENT queries are sent to every task, more are joined by shuffle; the index is never sent, whatever its estimate."""
     names = master.select("cin", F.lower("company_name").alias("name"))
     pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, k))).otherwise(F.array().cast("array<string>")))))
     index = names.select("cin", "name", F.explode(pieces(F.col("name"))).alias("g"))
     freq = index.groupBy("g").agg(F.count("*").alias("f"))
     q = queries.select("query", F.lower("query").alias("t")).distinct().filter("t <> ''")
-    rarest = q.select("query", "t", F.explode(pieces(F.col("t"))).alias("g")).filter(F.length("g") == F.least(F.length("t"), F.lit(3))).join(freq, "g", "left").groupBy("query", "t").agg(F.min_by("g", F.struct(F.coalesce("f", F.lit(0)), "g")).alias("g"))
-    pairs = index.join(rarest, "g").filter(F.contains("name", F.col("t")))
+    rarest = q.select("query", "t", F.explode(pieces(F.col("t"))).alias("g")).filter(F.length("g") == F.least(F.length("t"), F.lit(3))).join(freq.hint("merge"), "g", "left").groupBy("query", "t").agg(F.min_by("g", F.struct(F.coalesce("f", F.lit(0)), "g")).alias("g"))
+    few = q.limit(MOST_SENT + 1).count() <= MOST_SENT
+    pairs = index.join(rarest.hint("broadcast" if few else "merge"), "g").filter(F.contains("name", F.col("t")))
     ranked = pairs.withColumn("rank", F.when(F.startswith("name", F.col("t")), 1).otherwise(2))
     w = Window.partitionBy("query", "rank").orderBy("name", "cin")
     return ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select("query", "cin", "rank", "r")
