@@ -71,9 +71,9 @@ def centrality(edges: DataFrame, capital: DataFrame, keep, rounds: int = 60, res
     v = linked.select("cin").distinct().withColumn("x", F.lit(1.0))
     for _ in range(0, rounds, steps):
         for _ in range(steps):
-            mine = linked.join(v.select("cin", "x"), "cin")
+            mine = linked.join(v.select("cin", "x").hint("merge"), "cin")  # sent in every round, the values would add up on the driver
             y = mine.groupBy("din").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
-            v = mine.join(y, "din").groupBy("cin").agg(F.sum("y").alias("x"), F.max("x").alias("was"))
+            v = mine.join(y.hint("merge"), "din").groupBy("cin").agg(F.sum("y").alias("x"), F.max("x").alias("was"))
         v = keep(v)
         top, before = v.agg(F.max("x"), F.max("was")).first()
         if top is None:
