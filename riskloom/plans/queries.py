@@ -1297,7 +1297,7 @@ def n3_held_digests_stream(t):
     out = lambda: t.spark.read.schema(streams.DIGEST).parquet(f"{path}/rows")
     come = lambda: out().agg(F.coalesce(F.sum("n_events"), F.lit(0))).first()[0]
     replay.run_until(writer(), lambda: _folder(t.spark, f"{path}/rows"))
-    a.filter(late).coalesce(1).write.mode("append").parquet(files)
+    a.filter(late).repartition(1).write.mode("append").parquet(files)
     total = a.count()
     replay.run_until(writer(), lambda: come() >= total)
     again = out().select("watchlist_id", "cin", F.explode("alert_ids").alias("alert_id"))

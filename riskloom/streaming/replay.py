@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from riskloom.sources.shared import shared_folder
+from riskloom.sources.shared import kept, shared_folder
 
 
 def shared(spark: SparkSession) -> str:
@@ -24,10 +24,12 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def in_parts(df: DataFrame, parts: list[Column]) -> str:
-    """Writes the rows of each condition into one more file of a new folder, in this order."""
+    """Writes the rows of each condition into one more file of a new folder, in this order. The rows are made by all tasks first;
+    the one that writes a file only copies them."""
     path = shared(df.sparkSession)
+    rows = kept(df)
     for part in parts:
-        df.filter(part).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(part).repartition(1).write.mode("append").parquet(path)
     return path
 
 
@@ -46,7 +48,7 @@ def run(writer: DataStreamWriter, seconds: float = 3600) -> None:
         q.stop()
 
 
-def run_until(writer: DataStreamWriter, done: Callable[[], bool], seconds: float = 600) -> None:
+def run_until(writer: DataStreamWriter, done: Callable[[], bool], seconds: float = 3600) -> None:
     """Runs a stream, of which timers are a part, until a condition holds, then stops it."""
     q, end = writer.start(), time.monotonic() + seconds
     try:

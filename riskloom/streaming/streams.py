@@ -127,15 +127,17 @@ class HeldAlerts(StatefulProcessor):
         self.held = handle.getListState("held", "at long, alert_id long, severity string, score_before long, score_after long, due long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now, urgent, due = timerValues.getCurrentProcessingTimeInMs(), [], set()
+        now, urgent, waiting, due = timerValues.getCurrentProcessingTimeInMs(), [], [], set()
         for r in rows:
             alert = (r.at, r.alert_id, r.severity, r.score_before, r.score_after)
             wait = int(fixed.BATCH_HOURS.get(r.severity, 168) * self.hour_ms)
             if wait == 0:
                 urgent.append(alert)
             else:
-                self.held.appendValue((*alert, now + wait))
+                waiting.append((*alert, now + wait))
                 due.add(now + wait)
+        if waiting:  # all at once: each call of the state is a round trip
+            self.held.appendList(waiting)
         for t in due:
             self.handle.registerTimer(t)
         if urgent:
