@@ -81,10 +81,17 @@ def similar_names(queries: DataFrame, master: DataFrame, above: float, same: tup
     above * n of a name's n trigrams, so one of any n - floor(above * n) of them, in a common order by rarity, is shared
     (prefix filter), and at its place in both enough must be left (positional filter). Similarity is then exact, from the whole sets.
     """
-    sets = lambda df, key: df.select(key, *same, trigrams("name").alias("grams"))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # names are small, what comes of them is large
+    sets = lambda df, key: df.select(key, *same, "name").dropna(subset=[key]).repartition(parts, key).select(key, *same, trigrams("name").alias("grams"))
     return similar_sets(sets(queries, "qid"), sets(master, "cin"), above, same)
 
 
+def judged(near: DataFrame, queries: DataFrame, master: DataFrame) -> DataFrame:
+    """Pairs (qid, cin, sim) with jw, the Jaro-Winkler similarity of their names."""
+    both = near.join(_shuffled(queries.select("qid", F.col("name").alias("__a"))), "qid").join(_shuffled(master.select("cin", F.col("name").alias("__b"))), "cin")
+    return both.withColumn("jw", jaro_winkler("__a", "__b")).drop("__a", "__b")
+
+
 def candidates(queries: DataFrame, master: DataFrame, above: float, k: int, same: tuple[str, ...] = ()) -> DataFrame:
     """The k most similar companies of each name, ties by cin."""
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), "cin")
@@ -99,6 +106,12 @@ def ambiguous(found: DataFrame) -> DataFrame:
     return flagged.select("qid", (F.col("n").between(2, 3) & F.col("sim").between(0.5, 0.7) & (F.col("sim") - F.col("next") <= 0.05 + 1e-9)).alias("ambiguous"))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side that grows with the names or the companies. Spark's estimate of it comes from the size of compressed files, less
+    than a tenth of what a broadcast of it takes on the driver, so it is never left to that estimate."""
+    return df.hint("merge")
+
+
 def _first(found: list[DataFrame]) -> DataFrame:
     """Lowest stage wins for each name, then the cin."""
     out = found[0]
@@ -113,22 +126,23 @@ def resolve_strict(queries: DataFrame, master: DataFrame, judge=jaro_winkler) ->
     m = master.select("cin", F.col("registered_state").alias("state"), F.col("industrial_class").alias("industry"), "pan", name_strict("company_name").alias("name"))
     q = queries.withColumn("name", name_strict("raw_name"))
     tag = lambda df, stage, confidence, method: df.select("qid", F.lit(stage).alias("stage"), "cin", F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))
-    one = q.select("qid", F.col("cin")).join(m.select("cin"), "cin")
-    two = q.filter(pan_ok("pan")).select("qid", "pan").join(m.select("pan", "cin"), "pan")
-    three = q.filter("name <> ''").select("qid", "name").join(m.select("name", "cin"), "name")
+    one = q.select("qid", F.col("cin")).join(_shuffled(m.select("cin")), "cin")
+    two = q.filter(pan_ok("pan")).select("qid", "pan").join(_shuffled(m.select("pan", "cin")), "pan")
+    three = q.filter("name <> ''").select("qid", "name").join(_shuffled(m.select("name", "cin")), "name")
     exact = _first([tag(one, 1, 100.0, "cin"), tag(two, 2, 100.0, "pan"), tag(three, 3, 95.0, "normalized_exact")])
     exact = kept(exact)
-    rest = kept(q.join(exact.select("qid"), "qid", "left_anti").filter("name <> ''").select("qid", "name", "state", "industry"))
-    near = kept(similar_names(rest, m, 0.5, ("state",)))
-    four = near.filter("sim > 0.8")
-    pairs = near.join(rest.select("qid", F.col("name").alias("a")), "qid").join(m.select("cin", F.col("name").alias("b")), "cin")
+    rest = kept(q.join(_shuffled(exact.select("qid")), "qid", "left_anti").filter("name <> ''").select("qid", "name", "state", "industry"))
+    near = similar_names(rest, m, 0.5, ("state",))
+    asked, known = rest.select("qid", F.col("name").alias("a"), F.col("industry").alias("i")), m.select("cin", F.col("name").alias("b"), F.col("industry").alias("j"))
+    pairs = kept(near.join(_shuffled(asked), "qid").join(_shuffled(known), "cin"))
+    four = pairs.filter("sim > 0.8")
     five = pairs.filter(judge("a", "b") >= 0.85)
-    six = similar_names(rest, m, 0.6, ("state", "industry"))
-    far = candidates(rest, m, 0.6, 10)
-    seven = far.filter("rank = 1").join(ambiguous(far).filter("not ambiguous").select("qid"), "qid")
+    six = pairs.filter("sim > 0.6 and i = j")  # pairs of a state above 0.5 hold those of a state and industry above 0.6
+    far = kept(candidates(rest, m, 0.6, 10))
+    seven = far.filter("rank = 1").join(_shuffled(ambiguous(far).filter("not ambiguous").select("qid")), "qid")
     best = lambda df: df.groupBy("qid").agg(F.max_by("cin", F.struct("sim", "cin")).alias("cin"))
     fuzzy = _first([tag(best(four), 4, 90.0, "trigram_state_08"), tag(best(five), 5, 85.0, "jaro_winkler"), tag(best(six), 6, 75.0, "trigram_state_industry"), tag(seven, 7, 60.0, "trigram_any")])
-    out = queries.select("qid").join(exact.unionByName(fuzzy), "qid", "left")
+    out = queries.select("qid").join(_shuffled(exact.unionByName(fuzzy)), "qid", "left")
     return out.select("qid", "cin", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("method", F.lit("queue")).alias("method"))
 
 
@@ -152,15 +166,15 @@ def resolve_light(queries: DataFrame, master: DataFrame, aliases: DataFrame) ->
     m = master.select("cin", "company_name", name_light("company_name").alias("light"), name_core("company_name").alias("core"))
     tag = lambda df, stage, confidence, method: df.select("qid", F.lit(stage).alias("stage"), "cin", F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))
     person = q.filter(likely_person("clean")).select("qid")
-    names = q.join(person, "qid", "left_anti").filter("light <> ''")
-    alias = names.join(aliases.select(F.col("normalized_alias").alias("light"), "cin"), "light").join(m.select("cin"), "cin", "left_semi")
-    light = names.select("qid", "light").join(m.select("light", "cin"), "light")
-    letters = names.select("qid", F.lower("clean").alias("l")).join(m.select(F.lower("company_name").alias("l"), "cin"), "l")
+    names = q.join(_shuffled(person), "qid", "left_anti").filter("light <> ''")
+    alias = names.join(_shuffled(aliases.select(F.col("normalized_alias").alias("light"), "cin")), "light").join(_shuffled(m.select("cin")), "cin", "left_semi")
+    light = names.select("qid", "light").join(_shuffled(m.select("light", "cin")), "light")
+    letters = names.select("qid", F.lower("clean").alias("l")).join(_shuffled(m.select(F.lower("company_name").alias("l"), "cin")), "l")
     start = shortest_with_prefix(names, m)
-    core = names.filter("core <> '' and core <> light").select("qid", "core").join(m.select("core", "cin"), "core")
+    core = names.filter("core <> '' and core <> light").select("qid", "core").join(_shuffled(m.select("core", "cin")), "core")
     exact = _first([tag(alias, 1, 99.0, "alias"), tag(light, 2, 95.0, "light_exact"), tag(letters, 3, 85.0, "same_letters"), tag(start, 4, 82.0, "prefix"), tag(core, 5, 78.0, "core_exact")])
     exact = kept(exact)
-    rest = kept(names.join(exact.select("qid"), "qid", "left_anti").select("qid", "light", "core"))
+    rest = kept(names.join(_shuffled(exact.select("qid")), "qid", "left_anti").select("qid", "light", "core"))
 
     def best(df: DataFrame, steps) -> DataFrame:
         top = df.groupBy("qid").agg(F.max(F.struct("sim", "cin")).alias("b")).select("qid", "b.cin", "b.sim")
@@ -170,7 +184,7 @@ def resolve_light(queries: DataFrame, master: DataFrame, aliases: DataFrame) ->
     seven = best(similar_names(rest.filter("core <> '' and core <> light").select("qid", F.col("core").alias("name")), m.select("cin", F.col("core").alias("name")), 0.4), lambda s: F.when(s >= 0.6, 65.0).otherwise(45.0))
     fuzzy = _first([six.select("qid", F.lit(6).alias("stage"), "cin", "confidence", F.lit("trigram").alias("method")), seven.select("qid", F.lit(7).alias("stage"), "cin", "confidence", F.lit("core_trigram").alias("method"))])
     found = exact.unionByName(fuzzy).unionByName(person.select("qid", F.lit(None).cast("string").alias("cin"), F.lit(0.0).alias("confidence"), F.lit("person").alias("method")))
-    return queries.select("qid").join(found, "qid", "left").select("qid", "cin", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("method", F.lit("none")).alias("method"))
+    return queries.select("qid").join(_shuffled(found), "qid", "left").select("qid", "cin", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("method", F.lit("none")).alias("method"))
 
 
 def route_by_confidence(resolved: DataFrame, sure: float = 75.0, maybe: float = 50.0) -> DataFrame:
