@@ -162,8 +162,10 @@ def shortest_with_prefix(names: DataFrame, master: DataFrame, least: int = 5) ->
 
 def resolve_light(queries: DataFrame, master: DataFrame, aliases: DataFrame) -> DataFrame:
     """Cascade for scraped names (qid, raw_name): person, alias, light exact, same letters, prefix, core exact, trigrams."""
-    q = queries.withColumn("clean", F.trim(without_messrs("raw_name"))).withColumn("light", name_light("clean")).withColumn("core", name_core("clean"))
-    m = master.select("cin", "company_name", name_light("company_name").alias("light"), name_core("company_name").alias("core"))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.select("qid", "raw_name").repartition(parts, "qid").select("qid", F.trim(without_messrs("raw_name")).alias("clean")).withColumn("light", name_light("clean")).withColumn("core", name_core("clean"))
+    m = master.select("cin", "company_name").repartition(parts, "cin").select("cin", "company_name", name_light("company_name").alias("light"), name_core("company_name").alias("core"))
+    q, m = kept(q), kept(m)  # many joins read either side: names are cleaned once
     tag = lambda df, stage, confidence, method: df.select("qid", F.lit(stage).alias("stage"), "cin", F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))
     person = q.filter(likely_person("clean")).select("qid")
     names = q.join(_shuffled(person), "qid", "left_anti").filter("light <> ''")
