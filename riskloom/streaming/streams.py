@@ -86,33 +86,73 @@ def status_changes(stream: DataFrame, days: int = 400, delay: str = "1 hour") ->
     return out.select("key", F.timestamp_micros("at").alias("ts"), "id", "was", "status")
 
 
-class CoolDown(_Expiring):
-    """Lets a key's event through if none has passed for `span` microseconds; the state is the time of the last one that did."""
+#: Groups that the keys of a cool-down are dealt into; a checkpoint holds only for the number that it began with.
+BUCKETS = 4096
 
-    def __init__(self, keys: tuple[str, ...], span: int):
-        self.keys, self.span = keys, span
+
+class CoolDown(StatefulProcessor):
+    """Lets a key's event through if none has passed for `span` microseconds. The state of a bucket of keys is one list with the
+    last event of each key that did, which is read and written in one call: the calls to the state store are as many as there
+    are buckets, not keys. What can suppress nothing any more goes when the watermark has passed it."""
+
+    def __init__(self, keys: tuple[str, ...], span: int, kinds: str):
+        self.keys, self.span, self.kinds = keys, span, kinds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._kept_for(handle, "id long")
+        self.handle, self.last = handle, handle.getListState("last", f"{self.kinds}, at long, id long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        fired = first = tuple(self.last.get()) if self.last.exists() else None
-        for at, i in sorted((r.at, r.id) for r in rows if r.at is not None):
-            if fired is None or at - fired[0] >= self.span:
-                fired = (at, i)
-                yield Row(**dict(zip(self.keys, key, strict=True)), at=at, id=i)
-        if fired != first:
-            self._set(first, fired)
+        found: dict[tuple, list[tuple]] = {}
+        for r in rows:
+            if r.at is not None:
+                found.setdefault(tuple(r[k] for k in self.keys), []).append((r.at, r.id))
+        if not found:
+            return
+        fired = {tuple(x[:-2]): tuple(x[-2:]) for x in self.last.get()}
+        fresh, changed = not fired, False
+        for own, events in found.items():
+            last = fired.get(own)
+            for at, i in sorted(events):
+                if last is None or at - last[0] >= self.span:
+                    last = fired[own] = (at, i)
+                    changed = True
+                    yield Row(**dict(zip(self.keys, own, strict=True)), at=at, id=i)
+        if changed:
+            self.last.put([(*k, *v) for k, v in fired.items()])
+        if fresh:  # else a timer is pending, which looks at the list when it comes
+            self._wait(at for at, _ in fired.values())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, held = timerValues.getCurrentWatermarkInMs(), [tuple(x) for x in self.last.get()]
+        rest = [x for x in held if self._due(x[-2]) > now]
+        if not rest:
+            self.last.clear()
+        else:
+            if len(rest) < len(held):
+                self.last.put(rest)
+            self._wait(x[-2] for x in rest)
+        yield from ()
+
+    def _due(self, at: int) -> int:
+        return (at + self.span) // 1000 + 1
+
+    def _wait(self, times: Iterator[int]) -> None:
+        self.handle.registerTimer(self._due(min(times)))
+
+    def close(self) -> None:
+        pass
 
 
-def cooled(stream: DataFrame, keys: tuple[str, ...] = ("cin", "event_type"), hours: int = 24 * 30, delay: str = "1 hour") -> DataFrame:
+def cooled(stream: DataFrame, keys: tuple[str, ...] = ("cin", "event_type"), hours: int = 24 * 30, delay: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Events (keys, ts, id) that fire under a cool-down of `hours`: the first of a key, and each at least so long after the
     last one that fired. Within a micro-batch they are taken by time and id; an event before the last one that fired is
-    out of order and stays silent. The state goes by event time, once it can suppress nothing any more."""
-    rows = stream.withWatermark("ts", delay).select(*keys, "ts", F.unix_micros("ts").alias("at"), "id")
-    kinds = dict(stream.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "at long, id long"])
-    out = rows.groupBy(*keys).transformWithState(CoolDown(tuple(keys), hours * 3_600_000_000), schema, "Append", "EventTime")
+    out of order and stays silent. The state goes by event time, once it can suppress nothing any more. Keys are texts, whole
+    numbers or days; they are dealt into `buckets`, which share their state and are processed at once."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("__bucket")
+    rows = stream.withWatermark("ts", delay).select(bucket, *keys, "ts", F.unix_micros("ts").alias("at"), "id")
+    listed = dict(stream.dtypes)
+    kinds = ", ".join(f"{k} {listed[k]}" for k in keys)
+    out = rows.groupBy("__bucket").transformWithState(CoolDown(tuple(keys), hours * 3_600_000_000, kinds), f"{kinds}, at long, id long", "Append", "EventTime")
     return out.select(*keys, F.timestamp_micros("at").alias("ts"), "id")
 
 
