@@ -1288,19 +1288,20 @@ def n3_held_digests_stream(t):
     """Alerts of two micro-batches with a stop of the stream between them, held by timers for their severity's hours (of 10 ms).
     The digests that come out, added up for each watchlist and company, are those of the batch: each alert is in one."""
     replay.with_state(t.spark)
-    path = replay.shared(t.spark)
-    a = kept(_alerts(t).withColumn("alert_id", F.col("event_id") * 100 + F.col("watchlist_id")).withColumn("score_before", F.col("event_id") % 100).withColumn("score_after", F.col("event_id") % 90))
+    path, files = replay.shared(t.spark), replay.shared(t.spark)
+    a = _alerts(t).withColumn("alert_id", F.col("event_id") * 100 + F.col("watchlist_id")).withColumn("score_before", F.col("event_id") % 100).withColumn("score_after", F.col("event_id") % 90)
     early, late = _in_time(a, "detected_at", _CUT)
-    files = replay.in_parts(a, [early])
-    writer = lambda: replay.into(streams.held_digests(replay.part_stream(t.spark, files, a.schema), 10), path)
+    writer = lambda: replay.into(streams.held_digests(replay.part_stream(t.spark, files, a.schema, whole=True), 10), path)
     out = lambda: t.spark.read.schema(streams.DIGEST).parquet(f"{path}/rows")
     come = lambda: out().agg(F.coalesce(F.sum("n_events"), F.lit(0))).first()[0]
-    replay.run_until(writer(), lambda: _folder(t.spark, f"{path}/rows"))
-    a.filter(late).repartition(1).write.mode("append").parquet(files)
-    total = a.count()
+    a.filter(early).write.mode("append").parquet(files)
+    replay.run_until(writer(), lambda: _folder(t.spark, f"{path}/state/commits/0"))
+    a.filter(late).write.mode("append").parquet(files)
+    alerts = t.spark.read.schema(a.schema).parquet(files)
+    total = alerts.count()
     replay.run_until(writer(), lambda: come() >= total)
     again = out().select("watchlist_id", "cin", F.explode("alert_ids").alias("alert_id"))
-    ids = again.join(a.select("alert_id", "event_id", "severity", "detected_at", "score_before", "score_after"), "alert_id")
+    ids = again.join(alerts.select("alert_id", "event_id", "severity", "detected_at", "score_before", "score_after").hint("merge"), "alert_id")
     return route.build_digests(ids).drop("alert_ids")
 
 

@@ -33,9 +33,11 @@ def in_parts(df: DataFrame, parts: list[Column]) -> str:
     return path
 
 
-def part_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The files of a folder as a stream, one in each micro-batch, in the order of their writing."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def part_stream(spark: SparkSession, path: str, schema: StructType, whole: bool = False) -> DataFrame:
+    """The files of a folder as a stream, one in each micro-batch, in the order of their writing; or, where it is whole, all
+    that are there when a micro-batch begins."""
+    reader = spark.readStream.schema(schema)
+    return (reader if whole else reader.option("maxFilesPerTrigger", 1)).parquet(path)
 
 
 def run(writer: DataStreamWriter, seconds: float = 3600) -> None:
