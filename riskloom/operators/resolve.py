@@ -82,7 +82,8 @@ def similar_names(queries: DataFrame, master: DataFrame, above: float, same: tup
     (prefix filter), and at its place in both enough must be left (positional filter). Similarity is then exact, from the whole sets.
     """
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # names are small, what comes of them is large
-    sets = lambda df, key: df.select(key, *same, "name").dropna(subset=[key]).repartition(parts, key).select(key, *same, trigrams("name").alias("grams"))
+    # the names are kept, as they are read twice: to count their trigrams and to deal them
+    sets = lambda df, key: kept(df.select(key, *same, "name").dropna(subset=[key]).repartition(parts, key)).select(key, *same, trigrams("name").alias("grams"))
     return similar_sets(sets(queries, "qid"), sets(master, "cin"), above, same)
 
 

@@ -14,8 +14,11 @@ LETTERS = " 0123456789abcdefghijklmnopqrstuvwxyz"
 ALL = len(LETTERS) ** 3
 _VALUE = np.zeros(128, np.int64)
 _VALUE[[ord(c) for c in LETTERS]] = np.arange(len(LETTERS))
-#: Rows of a trigram that meet at once, of either side; more are dealt into parts. Pairs that are compared at once.
-PART, PAIRS = 1 << 15, 1 << 20
+#: Rows of a trigram that meet at once, of either side; more are dealt into parts. Pairs that are listed at once, pairs whose bits
+#: are compared at once (so many stay in a core's cache), and pairs whose sets are.
+PART, PAIRS, TILE, SETS = 1 << 15, 1 << 20, 1 << 16, 1 << 14
+#: Fills up the rows of sets; no trigram has this rank.
+NONE = 65535
 #: Pairs of one key from which on they are compared as a block.
 LARGE = 1 << 16
 
@@ -50,28 +53,36 @@ def _prefixes(rank: np.ndarray, parts: np.ndarray, others: np.ndarray, above: fl
     return run
 
 
-def _side(table: pa.Table, fill: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes, places, sets as rows of a matrix, and the parity of each set's members over 128 bits."""
+def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, places, sets as rows of a matrix, and the parity of each set's members over 128 and over 512 bits."""
     n, r = table.column("n").to_numpy().astype(np.int64), table.column("r").to_numpy().astype(np.int64)
-    sets = np.full((len(n), int(n.max(initial=1))), fill, np.uint16)
-    there = np.arange(sets.shape[1]) < n[:, None]
-    sets[there] = np.frombuffer(b"".join(table.column("ranks").to_pylist()), "<u2")
-    bit = (sets.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(25)
-    one = np.where(there, np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64), np.uint64(0))
-    high = bit >= 64
-    return n, r, sets, np.stack([np.bitwise_xor.reduce(np.where(high == h, one, np.uint64(0)), 1) for h in (False, True)])
+    members = np.frombuffer(b"".join(table.column("ranks").to_pylist()), "<u2")
+    sets = np.full((len(n), int(n.max(initial=1))), NONE, np.uint16)
+    sets[np.arange(sets.shape[1]) < n[:, None]] = members
+    bit = (members.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(23)).astype(np.int64)
+    wide = np.zeros(len(n) * 8, np.uint64)
+    np.bitwise_xor.at(wide, np.repeat(np.arange(0, len(wide), 8), n) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return n, r, sets, np.bitwise_xor.reduce(wide.reshape(-1, 4, 2), 1).T.copy(), wide.reshape(-1, 8)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many members the sets of each row share, and the rarest of those."""
+    both = np.sort(np.concatenate([a, b], 1), 1)  # what both have stands side by side
+    mark = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
+    return mark.sum(1), both[np.arange(len(both)), mark.argmax(1)]
 
 
 def _similar(above: float, schema: pa.Schema, keys: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Pairs of a bucket, each at the first trigram that both have, so that none comes twice. Pairs are ruled out by the sizes
-    and places, then by the bits (sets differ at least as much as their bits do); the rest is counted exactly."""
+    and places, then by 128 and by 512 bits (sets differ at least as much as their bits do); the rest is counted exactly."""
     large_from = LARGE
     share, apart = above / (1 + above) - 1e-9, (1 - above) / (1 + above) + 1e-9
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return schema.empty_table()
-        (n, r, a, x), (m, s, b, y) = _side(left, 65535), _side(right, 65534)
+        (n, r, a, x, wide), (m, s, b, y, other_wide) = _side(left), _side(right)
+        at_left = left.column("g").to_numpy()
         # the same number for equal keys of both sides
         both = pa.concat_tables([left.select(keys), right.select(keys)])
         number = np.zeros(len(both), np.int64)
@@ -84,14 +95,17 @@ def _similar(above: float, schema: pa.Schema, keys: list[str]) -> Callable[[pa.T
         found = []
 
         def check(i: np.ndarray, j: np.ndarray) -> None:
-            step = max(1, (1 << 22) // (a.shape[1] * b.shape[1]))
-            for at in range(0, len(i), step):
-                u, v = i[at : at + step], j[at : at + step]
-                same = a[u][:, :, None] == b[v][:, None, :]
-                mark = same.any(2)
-                shared = mark.sum(1)
+            for at in range(0, len(i), SETS):
+                u, v = i[at : at + SETS], j[at : at + SETS]
+                bits = np.bitwise_count(wide.take(u, 0) ^ other_wide.take(v, 0)).view(np.uint64)[:, 0]
+                bits = bits * np.uint64(0x0101010101010101) >> np.uint64(56)  # all eight counts; above 255 it is less, which lets a pair through
+                ok = bits <= apart * (n.take(u) + m.take(v))
+                u, v = u[ok], v[ok]
+                if not len(u):
+                    continue
+                shared, rarest = _shared(a[u], b[v])
                 sim = shared / (n[u] + m[v] - shared)
-                ok = (sim > above) & (mark.argmax(1) == r[u] - 1)
+                ok = (sim > above) & (rarest == at_left[u])
                 found.append((u[ok], v[ok], sim[ok]))
 
         def near(i: np.ndarray, j: np.ndarray) -> None:
@@ -104,21 +118,26 @@ def _similar(above: float, schema: pa.Schema, keys: list[str]) -> Callable[[pa.T
 
         def block(i: np.ndarray, j: np.ndarray) -> None:
             """All pairs of rows of one key: each size and place of the first side with the rows of the other that may fit."""
-            kind, which = np.unique(n[i] << 16 | r[i], return_inverse=True)
+            (kind, which), (theirs, yours) = (np.unique(size[rows] << 16 | place[rows], return_inverse=True) for size, place, rows in ((n, r, i), (m, s, j)))
+            j, rows = j[np.argsort(yours, kind="stable")], np.bincount(yours)
+            sizes, places = theirs >> 16, theirs & 65535
             for c, code in enumerate(kind):
                 size, place, mine = int(code) >> 16, int(code) & 65535, i[which == c]
-                total = size + m[j]
-                fit = np.minimum(size - place, m[j] - s[j]) + 1 >= share * total
-                other, most = j[fit], np.floor(apart * total[fit]).clip(0, 255).astype(np.uint8)
-                if not len(other):
+                total = size + sizes
+                fit = np.minimum(size - place, sizes - places) + 1 >= share * total
+                if not fit.any():
                     continue
-                step = max(1, PAIRS // len(other))
+                other, most = j[np.repeat(fit, rows)], np.repeat(np.floor(apart * total[fit]).clip(0, 255).astype(np.uint8), rows[fit])
+                step, u, v = max(1, TILE // len(other)), [], []
+                low_bits, high_bits = y[0][other], y[1][other]
                 for at in range(0, len(mine), step):
                     part = mine[at : at + step, None]
-                    bits = np.bitwise_count(x[0][part] ^ y[0][other])
-                    bits += np.bitwise_count(x[1][part] ^ y[1][other])
-                    u, v = np.nonzero(bits <= most)
-                    check(part[u, 0], other[v])
+                    bits = np.bitwise_count(x[0][part] ^ low_bits)
+                    bits += np.bitwise_count(x[1][part] ^ high_bits)
+                    hit = np.flatnonzero(bits <= most)
+                    u.append(mine[at + hit // len(other)])
+                    v.append(other[hit % len(other)])
+                check(np.concatenate(u), np.concatenate(v))
 
         _, starts, sizes = np.unique(mine, return_index=True, return_counts=True)
         large = sizes * (high - low)[starts] > large_from

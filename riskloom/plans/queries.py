@@ -250,7 +250,8 @@ def _name_pairs(t):
     # three companies share each made-up word; without such variety the similar pairs would be the square of the table
     word = F.translate(F.substring(F.md5(F.floor(F.col("k") / 3).cast("string")), 1, 8), "0123456789", "ghijklmnop")
     trade = F.element_at(F.array(*map(F.lit, ["Steel", "Textiles", "Chemical Works", "Motors", "Foods"])), (F.floor(F.col("k") / 6) % 5 + 1).cast("int"))
-    m = t.company.withColumn("company_name", F.concat(word, F.lit(" "), trade, F.lit(" "), F.col("k").cast("string"), F.lit(" Pvt Ltd")))
+    dealt = t.company.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "k")  # names are cleaned by all tasks, however few read the file
+    m = dealt.withColumn("company_name", F.concat(word, F.lit(" "), trade, F.lit(" "), F.col("k").cast("string"), F.lit(" Pvt Ltd")))
     q = m.select(F.col("k").alias("qid"), F.when(F.col("k") % 2 == 0, F.upper("company_name")).otherwise(F.regexp_replace("company_name", "e", "a")).alias("raw_name"), F.col("registered_state").alias("state"), F.col("industrial_class").alias("industry"), F.when(F.col("k") % 11 == 0, F.col("cin")).alias("cin"), F.when(F.col("k") % 13 == 0, F.col("pan")).alias("pan"))
     return m, q
 
